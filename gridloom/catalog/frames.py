@@ -51,8 +51,8 @@ UNION ALL
 SELECT event_type, ts, 'n', CAST(1 AS DOUBLE) FROM events"""
 
 
-def r15(spark: SparkSession, sf: str, step_s: int = 900) -> DataFrame:
-    return gr.resample(readings(spark, sf), step_s)
+def r15(spark: SparkSession, sf: str) -> DataFrame:
+    return gr.resample(readings(spark, sf), gr.STEP_S)
 
 
 CTES["r15"] = """
@@ -61,7 +61,7 @@ FROM readings GROUP BY 1, 2, 3"""
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return gr.complete_grid(r15(spark, sf))
+    return gr.grid_means(readings(spark, sf))
 
 
 CTES["bounds"] = """

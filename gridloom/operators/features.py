@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import TIME_FEATURES, calendar_parts, cyclical_time, direction_parts
 from gridloom.plans.joins import join_params
-from gridloom.plans.series import BLOCK_ROWS, SERIES, block_window, overlap_blocks
+from gridloom.plans.series import BLOCK_BITS, SERIES, block_window, overlap_blocks
 
 # Grid steps of the lags and rolling windows.
 LAGS = (1, 2, 3, 4, 8, 12, 24, 48, 96)
@@ -50,14 +50,14 @@ def causal_features(
     means: Sequence[int] = (),
     stds: Sequence[int] = (),
     keys: Sequence[str] = SERIES,
-    block_rows: int = BLOCK_ROWS,
+    bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Lags and rolling statistics of the rows strictly before each grid place.
 
     A rolling statistic is null unless all its rows are present and known. All windows share one sort per block.
     """
     before = max([*lags, *means, *stds, 0])
-    rows, own = overlap_blocks(df, before=before, block_rows=block_rows)
+    rows, own = overlap_blocks(df, before=before, bits=bits)
     w = block_window(keys)
     made = [F.lag("value", k).over(w).alias(f"lag_{k}") for k in lags]
     for stat, label, sizes in ((F.avg, "rollmean", means), (F.stddev_samp, "rollstd", stds)):

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.plans.joins import join_params
-from gridloom.plans.series import BLOCK_ROWS, SERIES, epoch_us, floor_ts, from_us, whole_div
+from gridloom.plans.series import BLOCK_BITS, SERIES, block_of, epoch_us, floor_ts, from_us, whole_div
+from gridloom.session import stage_table
 
 STEP_S = 900
 
@@ -33,34 +33,34 @@ def series_spans(df: DataFrame, step_s: int = STEP_S) -> DataFrame:
     )
 
 
-def complete_grid(df: DataFrame, step_s: int = STEP_S, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def complete_grid(df: DataFrame, step_s: int = STEP_S, bits: int = BLOCK_BITS) -> DataFrame:
     """Every step from the station's first to its last time, for each of its variables.
 
     Readings off the anchored steps are dropped, copies are averaged, gaps are null. ``pos`` is the place on the grid
     and ``n_pos`` the station's number of places. Empty places are made block by block, so a long series is spread
-    over tasks; places and readings meet in one aggregate instead of a join.
+    over tasks; places and readings meet in one aggregate instead of a join. Keys are known not to be null, so every
+    reader of the grid asks for the same aggregate and Spark runs its shuffle once.
     """
-    step = step_s * 1_000_000
-    spans = series_spans(df, step_s).persist()
-    last_block = whole_div(F.col("n_pos") - 1, block_rows)
+    step, size = step_s * 1_000_000, 1 << bits
+    named = F.col("station").isNotNull() & F.col("variable").isNotNull()
+    rows = df.where(named & F.col("ts").isNotNull())
+    spans = stage_table(series_spans(rows, step_s), "spans").where(named)
     places = (
-        spans.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
+        spans.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(F.col("n_pos") - 1, bits))))
         .repartition(*SERIES, "_blk")
         .withColumn(
             "pos",
-            F.explode(
-                F.sequence(
-                    F.col("_blk") * block_rows, F.least((F.col("_blk") + 1) * block_rows, F.col("n_pos")) - 1
-                )
-            ),
+            F.explode(F.sequence(F.col("_blk") * size, F.least((F.col("_blk") + 1) * size, F.col("n_pos")) - 1)),
         )
         .select(*SERIES, "t0", "n_pos", "pos", F.lit(None).cast("double").alias("value"))
     )
     offset = epoch_us("ts") - F.col("t0")
+    pos = F.coalesce(whole_div(offset, step), F.lit(0).cast("bigint"))
     placed = (
-        join_params(df.select(*SERIES, "ts", "value"), spans, SERIES)
+        rows.select(*SERIES, "ts", "value")
+        .join(spans, list(SERIES))
         .where(F.pmod(offset, F.lit(step).cast("bigint")) == 0)
-        .select(*SERIES, "t0", "n_pos", whole_div(offset, step).alias("pos"), F.col("value").cast("double"))
+        .select(*SERIES, "t0", "n_pos", pos.alias("pos"), F.col("value").cast("double"))
     )
     return (
         placed.unionByName(places)
@@ -70,6 +70,11 @@ def complete_grid(df: DataFrame, step_s: int = STEP_S, block_rows: int = BLOCK_R
     )
 
 
+def grid_means(df: DataFrame, step_s: int = STEP_S, origin_s: int = 0) -> DataFrame:
+    """Resampled readings on their complete grid; both means are one aggregate, so rows are shuffled once."""
+    return complete_grid(df.withColumn("ts", floor_ts("ts", step_s, origin_s)), step_s)
+
+
 def step_deltas(df: DataFrame, keys: Sequence[str] = ("station",), bucket_s: int = 3600) -> DataFrame:
     """Seconds between successive rows as (keys, delta_s, n).
 

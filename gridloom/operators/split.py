@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.joins import join_params
 from gridloom.plans.quantiles import exact_quantiles
-from gridloom.plans.series import BLOCK_ROWS, SERIES, block_of, carry_known, number_rows
+from gridloom.plans.series import BLOCK_BITS, SERIES, block_of, carry_known, number_rows
 
 SPLITS = ("train", "val", "test")
 
@@ -33,14 +33,15 @@ def fill_gaps(
     limit: int = 4,
     whole_gap_only: bool = False,
     keys: Sequence[str] = (*SERIES, "split"),
-    block_rows: int = BLOCK_ROWS,
+    bits: int = BLOCK_BITS,
 ) -> DataFrame:
     """Linear fill of the first ``limit`` places of every gap with known ends inside one split.
 
-    With ``whole_gap_only`` longer gaps stay empty altogether.
+    With ``whole_gap_only`` longer gaps stay empty altogether. ``df`` is read twice, for the rows and for one summary
+    row per block; grid rows share one shuffle for both, other frames are best staged first.
     """
-    rows = df.withColumn("_blk", block_of("pos", block_rows))
-    rows = rows.join(carry_known(rows, keys), [*keys, "_blk"])
+    rows = df.withColumn("_blk", block_of("pos", bits))
+    rows = rows.join(carry_known(rows, keys), [*keys, "_blk"], "left")
     known_pos = F.when(F.col("value").isNotNull(), F.col("pos"))
     back = Window.partitionBy(*keys, "_blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys, "_blk").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)

@@ -21,7 +21,7 @@ def prepare_series(
 ) -> DataFrame:
     """Readings to filled, capped grid rows with their split; the filled rows are written once between the fits."""
     clean = nm.drop_negatives(nm.coerce_numeric(readings))
-    grid = sp.chrono_split(gr.complete_grid(gr.resample(clean, step_s), step_s))
+    grid = sp.chrono_split(gr.grid_means(clean, step_s))
     filled = stage_table(sp.fill_gaps(grid, limit), "filled")
     if cap is None:
         return filled
@@ -49,7 +49,7 @@ def feature_job(
 
 def baseline_report(readings: DataFrame, step_s: int = gr.STEP_S) -> DataFrame:
     """Persistence metrics per split and station on rows that have their lags."""
-    grid = sp.chrono_split(gr.complete_grid(gr.resample(readings, step_s), step_s))
+    grid = sp.chrono_split(gr.grid_means(readings, step_s))
     feats = fe.causal_features(sp.fill_gaps(grid), lags=(1, 2, 4), means=(4,))
     feats = sp.require_nonnull(feats, ["value", "lag_1", "lag_2", "lag_4"])
     preds = feats.select(

@@ -1,25 +1,19 @@
-"""Joins against fitted-parameter tables: broadcast only after the size is known."""
+"""Joins against fitted-parameter tables, broadcast only by their measured size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows of fixed-width parameters; about 10 MB at 100 bytes a row.
-MAX_BROADCAST_ROWS = 100_000
+from gridloom.session import stage_table
 
 
-def join_params(
-    df: DataFrame, params: DataFrame, on: Sequence[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS
-) -> DataFrame:
-    """Join ``df`` with a parameter table whose row count is measured first.
+def join_params(df: DataFrame, params: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join ``df`` with a fitted table that is written to the shared folder first.
 
-    Up to ``max_rows`` the table is broadcast, so ``df`` is not shuffled. Beyond that both sides are shuffled on the
-    keys and adaptive execution splits the partitions of hot keys. The table is persisted, so the fit runs once.
+    The fit runs once, and the join sees the real size of its result: a table below Spark's broadcast threshold is
+    broadcast, so ``df`` is not shuffled; a larger one is joined by a shuffle in which adaptive execution splits the
+    partitions of hot keys.
     """
-    params = params.persist()
-    if params.limit(max_rows + 1).count() <= max_rows:
-        params = F.broadcast(params)
-    return df.join(params, list(on), how)
+    return df.join(stage_table(params, "params"), list(on), how)

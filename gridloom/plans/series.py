@@ -1,9 +1,9 @@
 """Work on long ordered series without putting a whole series into one task.
 
 A series (station, variable) may hold a large share of all rows, so ordered windows never run over the series as a
-whole. Rows carry ``pos``, their 0-based place in the series, and are grouped in blocks of a fixed number of places.
-A window then runs inside (series, block); what it needs from outside its block comes either from rows copied over
-the block edge (``overlap_blocks``) or from one summary row per block (``carry_known``).
+whole. Rows carry ``pos``, their 0-based place in the series, and are grouped in blocks of 2 ** bits places. A window then
+runs inside (series, block); what it needs from outside its block comes either from rows copied over the block edge
+(``overlap_blocks``) or from one summary row per block (``carry_known``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_BITS = 12
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 SERIES = ("station", "variable")
 
@@ -30,7 +30,8 @@ def from_us(us: Column) -> Column:
 
 def whole_div(a: Column, b: int) -> Column:
     """Floor division on integers, also for negative numbers."""
-    return ((a - F.pmod(a, F.lit(b).cast("bigint"))) / F.lit(b)).cast("bigint")
+    whole = F.lit(b).cast("bigint")
+    return F.call_function("div", a - F.pmod(a, whole), whole)
 
 
 def floor_ts(ts: Column | str, step_s: int, origin_s: int = 0) -> Column:
@@ -40,27 +41,30 @@ def floor_ts(ts: Column | str, step_s: int, origin_s: int = 0) -> Column:
     return from_us(us - F.pmod(us - F.lit(origin).cast("bigint"), F.lit(step).cast("bigint")))
 
 
-def block_of(pos: Column | str, block_rows: int = BLOCK_ROWS) -> Column:
-    return whole_div(F.col(pos) if isinstance(pos, str) else pos, block_rows)
+def block_of(pos: Column | str, bits: int = BLOCK_BITS) -> Column:
+    """Block of a place; a shift, so it is never null where the place is not."""
+    return F.shiftright(F.col(pos) if isinstance(pos, str) else pos, bits)
 
 
 def overlap_blocks(
-    df: DataFrame, before: int = 0, after: int = 0, pos: str = "pos", block_rows: int = BLOCK_ROWS
+    df: DataFrame, before: int = 0, after: int = 0, pos: str = "pos", bits: int = BLOCK_BITS
 ) -> tuple[DataFrame, Column]:
     """Add ``_blk`` and copy edge rows into the neighbouring blocks.
 
-    Every block sees the last ``before`` places of the previous block and the first ``after`` places of the next one.
-    Returns the frame and the condition that keeps each row only in its own block.
+    Every block sees the last ``before`` places of the previous block and the first ``after`` places of the next one;
+    blocks grow where the reach is longer than a block. Returns the frame and the condition that keeps each row only
+    in its own block.
     """
-    size = max(block_rows, before, after, 1)
-    blk, place = block_of(pos, size), F.pmod(F.col(pos), F.lit(size).cast("bigint"))
+    bits = max(bits, (max(before, after, 1) - 1).bit_length())
+    size = 1 << bits
+    blk, place = block_of(pos, bits), F.col(pos).bitwiseAND(F.lit(size - 1).cast("bigint"))
     homes = [blk]
     if before:
         homes.append(F.when(place >= size - before, blk + 1))
     if after:
         homes.append(F.when(place < after, blk - 1))
     copied = df.withColumn("_blk", F.explode(F.array_compact(F.array(*homes)))) if len(homes) > 1 else df.withColumn("_blk", blk)
-    return copied, F.col("_blk") == block_of(pos, size)
+    return copied, F.col("_blk") == block_of(pos, bits)
 
 
 def block_window(keys: Sequence[str], pos: str = "pos"):

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "gridloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "gridloom", master: str | None = None, shuffle_partitions: int | None = None, quiet: bool = False) -> SparkSession:
     """A session with the settings the operators are written for; a cluster supplies its own sizes."""
     builder = (
         SparkSession.builder.appName(app)
@@ -19,6 +19,8 @@ def build_session(app: str = "gridloom", master: str | None = None, shuffle_part
     )
     if master:
         builder = builder.master(master)
+    if quiet:
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -54,7 +54,7 @@ def main() -> int:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(entry.queries())
-    spark = build_session(master="local[8]", shuffle_partitions=8)
+    spark = build_session(master="local[8]", shuffle_partitions=8, quiet=True)
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf), []
     for name in names:
