@@ -14,34 +14,20 @@ STATIONS = ("BHATAGAON", "AIIMS", "IGKV", "SILTARA")
 HEADER_CELL = r"(?i)^\s*date\s*&\s*time\s*$"
 SHEET_NAME = r"^\d{1,2}$"
 SHARED_SUFFIXES = ("AIIM", "AIIMS")
-TIME_FORMATS = (
-    "dd-MM-yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd-MM-yyyy HH:mm",
-    "dd/MM/yyyy HH:mm",
-    "dd-MM-yyyy",
-    "dd/MM/yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm",
-    "yyyy-MM-dd",
-    "yyyy-MM",
-    "yyyy",
-    "d-M-yyyy H:mm:ss",
-    "d/M/yyyy H:mm:ss",
-    "d-M-yyyy H:mm",
-    "d/M/yyyy H:mm",
-    "d-M-yyyy",
-    "d/M/yyyy",
-    "d-M-yy H:mm",
-    "d/M/yy H:mm",
-    "d-M-yy",
-    "d/M/yy",
-    "d MMM yyyy HH:mm",
+NUMERIC_DATE = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?:[ T]+(\d.*))?$"
+SHORT_DATE = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(?:[ T]+(\d.*))?$"
+YEAR_FIRST_DATE = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T]+(\d.*))?$"
+YEAR_OR_MONTH = r"^\d{4}(-\d{1,2})?$"
+COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
+WORDED_FORMATS = (
+    "d/M/yyyy h:mm:ss a",
+    "d/M/yyyy h:mm a",
+    "d MMM yyyy H:mm:ss",
+    "d MMM yyyy H:mm",
     "d MMM yyyy",
-    "d-MMM-yyyy HH:mm",
-    "d-MMM-yyyy",
+    "d MMMM yyyy H:mm:ss",
+    "d MMMM yyyy H:mm",
+    "d MMMM yyyy",
 )
 SERIAL_RANGE = (20_000.0, 70_000.0)
 SERIAL_DAYS_TO_1970 = 25_569
@@ -80,16 +66,35 @@ def clean_value(
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
-def parse_timestamp(cell: Column | str, formats: Sequence[str] = TIME_FORMATS) -> Column:
-    """Wall-clock time of a cell: text formats in order, then serial days counted from 1899-12-30."""
+def parse_timestamp(cell: Column | str) -> Column:
+    """Wall-clock time of a cell: day-first dates, ISO, worded dates, then serial days counted from 1899-12-30.
+
+    The shape of the text decides how it is read; day-first is tried before month-first. Casts give null on a
+    mismatch, so only worded dates, which are rare, go through pattern parsing.
+    """
     text = F.trim(col(cell))
-    # A shape test keeps a format from seeing texts it would read loosely.
-    tries = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+
+    def read(pattern: str, order: str) -> Column:
+        return F.trim(F.regexp_replace(text, pattern, order)).try_cast("timestamp_ntz")
+
+    def shaped(pattern: str, *orders: str) -> Column:
+        return F.when(text.rlike(pattern), F.coalesce(*[read(pattern, o) for o in orders]))
+
+    worded = F.regexp_replace(F.regexp_replace(text, r"[-,]", " "), r"^(\d+)[ /](\d+)[ /](\d+)", "$1/$2/$3")
+    worded = F.initcap(F.regexp_replace(worded, r"\s+", " "))
+    tries = [F.try_to_timestamp(worded, F.lit(f)).cast("timestamp_ntz") for f in WORDED_FORMATS]
     serial = text.try_cast("double")
     in_range = (serial > SERIAL_RANGE[0]) & (serial < SERIAL_RANGE[1])
     micros = F.round((serial - SERIAL_DAYS_TO_1970) * 86_400_000_000.0).cast("bigint")
-    days = F.when(in_range, F.timestamp_add("MICROSECOND", micros, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
-    return F.coalesce(*tries, days)
+    return F.coalesce(
+        shaped(NUMERIC_DATE, "$3-$2-$1 $4", "$3-$1-$2 $4"),
+        shaped(YEAR_FIRST_DATE, "$1-$2-$3 $4", "$1-$3-$2 $4"),
+        shaped(YEAR_OR_MONTH, "$0"),
+        shaped(SHORT_DATE, "20$3-$2-$1 $4", "20$3-$1-$2 $4"),
+        shaped(COMPACT_DATE, "$1-$2-$3"),
+        F.when(text.rlike(r"^\d.*[A-Za-z]{2}"), F.coalesce(*tries)),
+        F.when(in_range, F.timestamp_micros(micros).cast("timestamp_ntz")),
+    )
 
 
 def canonical_name(name: Column | str, station: Column | str, suffixes: Sequence[str] = SHARED_SUFFIXES) -> Column:

@@ -14,18 +14,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 12
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 SERIES = ("station", "variable")
 
 
 def epoch_us(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a wall-clock timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), F.col(ts) if isinstance(ts, str) else ts)
+    """Microseconds since 1970 of a wall-clock timestamp, in a session that runs in UTC."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
 
 
 def from_us(us: Column) -> Column:
     """Wall-clock timestamp from microseconds since 1970."""
-    return F.timestamp_add("MICROSECOND", us.cast("bigint"), F.expr(EPOCH))
+    return F.timestamp_micros(us.cast("bigint")).cast("timestamp_ntz")
 
 
 def whole_div(a: Column, b: int) -> Column:
