@@ -10,6 +10,7 @@ from gridloom.operators import features as fe
 from gridloom.operators import grid as gr
 from gridloom.operators import split as sp
 from gridloom.plans.series import epoch_us, whole_div
+from gridloom.session import stage_table
 from gridloom.sources.tables import load_table
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -90,6 +91,11 @@ def filled(spark: SparkSession, sf: str) -> DataFrame:
     return sp.fill_gaps(split_grid(spark, sf))
 
 
+def filled_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The filled rows written once, for queries that read them in several passes."""
+    return stage_table(filled(spark, sf), "filled")
+
+
 CTES["known"] = """
 SELECT *,
   max(CASE WHEN value IS NOT NULL THEN pos END) OVER b AS p0, last_value(value IGNORE NULLS) OVER b AS v0,
@@ -156,6 +162,10 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return long.dropna(subset=["y_true", "y_pred"])
 
 
+def predictions_once(spark: SparkSession, sf: str) -> DataFrame:
+    return stage_table(predictions(spark, sf), "predictions")
+
+
 CTES["basis"] = """
 SELECT split, station, ts, variable AS target, value AS y_true,
   lag(value, 1) OVER w AS a, lag(value, 4) OVER w AS b,

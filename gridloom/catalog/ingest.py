@@ -11,7 +11,7 @@ from gridloom.operators import metrics as me
 from gridloom.operators import naming as nm
 from gridloom.operators import prepare as pr
 from gridloom.operators import sheets as sh
-from gridloom.session import scratch_path
+from gridloom.session import scratch_path, stage_table
 from gridloom.sources import cells as ce
 from gridloom.sources import records as rec
 from gridloom.sources import tables as tb
@@ -96,8 +96,8 @@ def parquet_roundtrip(spark, sf):
 WHERE target = 'value' AND ((split = 'val' AND model <> 'mean4') OR (split = 'test' AND model = 'mean4'))""")
 def metrics_upsert(spark, sf):
     """A CSV of validation metrics in which one model's rows are replaced twice by its test metrics."""
-    table = me.metrics_table(fr.predictions(spark, sf).where("target = 'value'"), ["split", "model"])
-    table = table.persist()
+    preds = fr.predictions(spark, sf).where("target = 'value'")
+    table = stage_table(me.metrics_table(preds, ["split", "model"]), "metrics")
     old, new = scratch_path(spark, "metrics"), scratch_path(spark, "metrics")
     schema = "station string, model string, rmse double, n_rows bigint"
     columns = ["station", "model", "rmse", "n_rows"]

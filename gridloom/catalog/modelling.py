@@ -26,7 +26,7 @@ def scaler_fit(spark, sf):
 @query("scaler_apply", f"""SELECT f.station, f.variable, f.ts, {R('(f.value - s.mean) / s.std', 'value')}
 FROM filled f JOIN (SELECT variable, avg(value) AS mean, {_SAMPLE} AS std FROM filled WHERE split = 'train' GROUP BY 1) s ON s.variable = f.variable""")
 def scaler_apply(spark, sf):
-    df = fr.filled(spark, sf)
+    df = fr.filled_once(spark, sf)
     return keep(pr.apply_scaler(df, pr.fit_scaler(df)), "station", "variable", "ts", rnd=("value",))
 
 
@@ -37,7 +37,7 @@ def scaler_pop(spark, sf):
 
 @query("scaler_inverse", f"SELECT station, variable, ts, {R('value', 'value')} FROM filled")
 def scaler_inverse(spark, sf):
-    df = fr.filled(spark, sf)
+    df = fr.filled_once(spark, sf)
     params = pr.fit_scaler(df, population=True)
     back = pr.invert_scaler(pr.apply_scaler(df, params), params, ["value"])
     return keep(back, "station", "variable", "ts", rnd=("value",))

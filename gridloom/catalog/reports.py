@@ -17,8 +17,9 @@ M = ("rmse", "mae", "r2")
 MS = ", ".join(R(m, m) for m in M)
 
 
-def value_preds(spark, sf):
-    return fr.predictions(spark, sf).where("target = 'value'")
+def value_preds(spark, sf, once=False):
+    rows = fr.predictions_once(spark, sf) if once else fr.predictions(spark, sf)
+    return rows.where("target = 'value'")
 
 
 @query("metrics_basic", f"""SELECT model, {R('sqrt(avg((y_true - y_pred) ** 2))', 'rmse')}, {R('avg(abs(y_true - y_pred))', 'mae')},
@@ -72,7 +73,7 @@ def route_station_target(spark, sf):
 
 
 def routed(spark, sf):
-    preds = fr.predictions(spark, sf)
+    preds = fr.predictions_once(spark, sf)
     keys = ("station", "target")
     return me.apply_routing(preds, _routing(preds, keys, "persist1"), "persist1", keys)
 
@@ -113,7 +114,7 @@ FROM metric_rows v JOIN val_best b ON b.station = v.station AND b.target = v.tar
 LEFT JOIN metric_rows t ON t.station = v.station AND t.model = v.model AND t.target = v.target AND t.split = 'test'
 WHERE v.split = 'val' AND v.target = 'value' AND v.station <> 'ALL'""")
 def routing_summary(spark, sf):
-    table = me.metrics(value_preds(spark, sf), ["split", "station", "model"])
+    table = me.metrics(value_preds(spark, sf, once=True), ["split", "station", "model"])
     val, test = table.where("split = 'val'"), table.where("split = 'test'")
     out = me.routing_summary(val, test, me.route_models(val, fr.MODELS))
     return keep(out, "station", "model", "chosen", rnd=("val_rmse", "test_rmse"))
@@ -148,7 +149,7 @@ def split_counts(spark, sf):
 
 @query("dist_summary", _dist_sql("station", "target_rows"))
 def dist_summary(spark, sf):
-    return keep(ex.distribution(target_rows(spark, sf)), "station", "n_rows", rnd=_DIST, digits=3)
+    return keep(ex.distribution(fr.filled_once(spark, sf).where("variable = 'value'")), "station", "n_rows", rnd=_DIST, digits=3)
 
 
 @query("density_bins", """SELECT station, CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 200 THEN 41 ELSE floor(value / 200 * 40) + 1 END AS BIGINT) AS bin,
@@ -185,7 +186,7 @@ def monthly_pattern(spark, sf):
 @query("level_stats", f"""SELECT station, {R('avg(value)', 'mean')}, {R('median(value)', 'median')}, {R('quantile_cont(value, 0.9)', 'p90')}
 FROM target_rows GROUP BY 1""")
 def level_stats(spark, sf):
-    return keep(ex.level_stats(target_rows(spark, sf)), "station", rnd=("mean", "median", "p90"))
+    return keep(ex.level_stats(fr.filled_once(spark, sf).where("variable = 'value'")), "station", rnd=("mean", "median", "p90"))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(fr.LINE_VARIABLES) for b in fr.LINE_VARIABLES[: i + 1]]
@@ -243,8 +244,9 @@ def first_days(spark, sf):
   SELECT station, model, n_rows, rmse, mae, r2 FROM metric_rows WHERE split = 'test' AND target = 'value'
   UNION ALL SELECT station, 'routed', n_rows, rmse, mae, r2 FROM routed_metrics WHERE split = 'test' AND target = 'value')""")
 def metrics_union(spark, sf):
-    own = me.metrics_table(value_preds(spark, sf).where("split = 'test'"))
-    chosen = me.metrics_table(routed(spark, sf).where("split = 'test' AND target = 'value'"))
+    preds = value_preds(spark, sf, once=True)
+    own = me.metrics_table(preds.where("split = 'test'"))
+    chosen = me.metrics_table(me.apply_routing(preds, _routing(preds), "persist1").where("split = 'test'"))
     out = ex.metrics_union([own, chosen], [*fr.MODELS, "routed"])
     return keep(out, "station", "model", "n_rows", "model_place", rnd=M)
 
@@ -256,10 +258,10 @@ LEFT JOIN (SELECT station, count(*) AS n_features FROM (SELECT station, variable
 LEFT JOIN (SELECT station, count(*) AS test_rows FROM target_rows WHERE split = 'test' GROUP BY 1) t ON t.station = b.station
 WHERE b.target = 'value'""")
 def scorecard(spark, sf):
-    preds = value_preds(spark, sf)
+    preds = value_preds(spark, sf, once=True)
     routing = _routing(preds)
     chosen = me.metrics_table(me.apply_routing(preds, routing, "persist1").where("split = 'test'"), ["model"])
-    rows = fr.filled(spark, sf)
+    rows = fr.filled_once(spark, sf)
     counts = ex.split_counts(rows.where("variable = 'value'"))
     out = ex.scorecard(routing, chosen.where("station <> 'ALL'"), fe.base_columns(rows, "value"), counts)
     return keep(out, "station", "chosen", "n_features", "test_rows", rnd=("val_rmse", *M))

@@ -80,7 +80,7 @@ def gap_fill(spark, sf):
 FROM filled f LEFT JOIN (SELECT station, variable, quantile_cont(value, 0.95) AS cap FROM filled WHERE split = 'train' GROUP BY 1, 2) c
   ON c.station = f.station AND c.variable = f.variable""")
 def target_cap(spark, sf):
-    df = fr.filled(spark, sf)
+    df = fr.filled_once(spark, sf)
     return keep(sp.apply_caps(df, sp.fit_caps(df, 0.95)), "station", "variable", "ts", "split", rnd=("value",))
 
 
@@ -89,7 +89,7 @@ def target_cap(spark, sf):
 FROM filled f JOIN (SELECT station, variable, quantile_cont(value, 0.005) AS lo, quantile_cont(value, 0.995) AS hi
                     FROM filled WHERE split = 'train' GROUP BY 1, 2) c ON c.station = f.station AND c.variable = f.variable""")
 def winsorize(spark, sf):
-    return keep(sp.winsorize(fr.filled(spark, sf)), "station", "variable", "ts", rnd=("value",))
+    return keep(sp.winsorize(fr.filled_once(spark, sf)), "station", "variable", "ts", rnd=("value",))
 
 
 @query("require_nonnull", f"""SELECT station, variable, ts, {R('value', 'value')}, {R('lag_1', 'lag_1')}, {R('lag_96', 'lag_96')} FROM lagged
@@ -105,7 +105,7 @@ FROM filled f JOIN (SELECT variable, median(value) AS m FROM filled WHERE split
 JOIN (SELECT station, variable, median(value) AS m FROM filled WHERE split = 'train' GROUP BY 1, 2) s
   ON s.station = f.station AND s.variable = f.variable""")
 def median_impute(spark, sf):
-    df = fr.filled(spark, sf)
+    df = fr.filled_once(spark, sf)
     series = ["station", "variable"]
     one = sp.apply_medians(df, sp.fit_medians(df)).withColumnRenamed("value", "by_variable")
     both = sp.apply_medians(
