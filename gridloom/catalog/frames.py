@@ -364,7 +364,7 @@ def sheet_cells(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(2).cast("bigint").alias("row_idx"), F.array(F.lit(""), *[F.lit("ug/m3")] * 6).alias("cells")),
     )
     tops = rows.select("source_file", "source_sheet").distinct().select("source_file", "source_sheet", F.inline(head))
-    return tops.unionByName(data)
+    return stage_table(tops.unionByName(data), "cells")
 
 
 CTES["sheets"] = "SELECT DISTINCT source_file, source_sheet FROM sheet_events"

@@ -37,18 +37,21 @@ def file_listing(spark, sf):
     return ce.list_files(spark, sf, (".parquet",)).select("name", "n_bytes")
 
 
-@query("cell_table")
+@query("cell_table", """SELECT event_type AS book, count(*) AS n_rows, count(*) * 3 AS n_cells, count(DISTINCT source_sheet) AS n_sheets,
+  true AS numbered FROM sheet_events GROUP BY 1""")
 def cell_table(spark, sf):
-    """Events written as tab-separated sheet dumps, read back as cells, and summed up per book and sheet."""
+    """Events written as tab-separated sheet dumps, read back as cells, and summed up per book."""
     rows = fr.sheet_events(spark, sf)
     line = F.concat_ws("\t", "time_text", "value_text", "k_text").alias("value")
     root = scratch_path(spark, "dumps")
     rows.select(F.col("event_type").alias("book"), F.col("source_sheet").alias("sheet"), line).write.partitionBy("book", "sheet").text(root)
-    cells = ce.read_cells(spark, root)
-    return cells.groupBy(F.regexp_extract("source_file", "book=([^/]*)", 1).alias("book")).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.size("cells").cast("bigint")).alias("n_cells"),
-        F.sum(F.when(F.col("row_idx") == 0, 1).otherwise(0)).alias("n_files"),
+    files = ce.read_cells(spark, root).groupBy("source_file", "source_sheet").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.size("cells")).alias("c"),
+        ((F.min("row_idx") == 0) & (F.max("row_idx") + 1 == F.count_distinct("row_idx"))).alias("ok"),
+    )
+    return files.groupBy(F.regexp_extract("source_file", "book=([^/]*)", 1).alias("book")).agg(
+        F.sum("n").alias("n_rows"), F.sum("c").alias("n_cells"), F.count_distinct("source_file").alias("n_sheets"), F.bool_and("ok").alias("numbered")
     )
 
 

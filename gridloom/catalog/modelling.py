@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from gridloom.catalog import frames as fr
@@ -63,10 +64,21 @@ def drop_all_null(spark, sf):
     return keep(wide, "station", "ts", rnd=tuple(kept), digits=3)
 
 
-@query("model_matrix")
+_MATRIX = ("value_lag_1", "value_rollmean_12", "k_rollmean_4")
+CTES["matrix"] = "SELECT split, station, ts, " + ", ".join(
+    f"max(CASE WHEN variable = '{v}' THEN {c} END) AS {v}_{c}"
+    for v, c in (("value", "value"), *(("value", f"lag_{k}") for k in (1, 2, 3, 4)), ("value", "rollmean_12"), ("k", "rollmean_4"))
+) + " FROM feats GROUP BY 1, 2, 3"
+
+
+@query("model_matrix", f"""SELECT split, station, ts, {R('value_value', 'label')}, {', '.join(R(c, c) for c in _MATRIX)} FROM matrix
+WHERE value_value IS NOT NULL AND value_lag_1 IS NOT NULL AND value_lag_2 IS NOT NULL AND value_lag_3 IS NOT NULL AND value_lag_4 IS NOT NULL""")
 def model_matrix(spark, sf):
-    rows = pr.model_matrix(fr.model_table(spark, sf), fr.MODEL_FEATURES, "value")
-    return rows.select("split", "station", "ts", "label", F.expr("cast(features as string)").alias("features"))
+    """The vectors taken apart again; a missing feature is NaN in a vector and null here."""
+    rows = pr.model_matrix(fr.model_table(spark, sf), _MATRIX, "value")
+    cells = vector_to_array("features")
+    parts = [F.when(~F.isnan(cells[i]), cells[i]).alias(c) for i, c in enumerate(_MATRIX)]
+    return keep(rows.select("split", "station", "ts", "label", *parts), "split", "station", "ts", rnd=("label", *_MATRIX))
 
 
 CTES["quota_counts"] = "SELECT o_orderpriority AS station, count(*) AS n FROM orders GROUP BY 1"
@@ -121,7 +133,7 @@ CTES["complete"] = "SELECT station, variable, ts, split, value FROM filled WHERE
 def complete_rows(spark, sf):
     """Rows of the target after rows without it are gone, so neighbours may be hours apart."""
     rows = fr.filled(spark, sf).where("variable = 'value'")
-    return require_nonnull(rows, ["value"]).select("station", "ts", "split", "value")
+    return stage_table(require_nonnull(rows, ["value"]).select("station", "ts", "split", "value"), "complete")
 
 
 _AHEAD = "lead({c}, 4) OVER (PARTITION BY station, split ORDER BY ts)"
@@ -149,7 +161,7 @@ _T = 24
   epoch_us(last_ts) - epoch_us(first_ts) = {(_T - 1) * 900_000_000} AS contiguous FROM ({_SEQ.format(a=_T, b='1 PRECEDING', t=_T)})""")
 def sequence_windows(spark, sf):
     """Windows summed up per row; those without a hole in time are marked by a second, contiguous build."""
-    rows = stage_table(complete_rows(spark, sf), "complete")
+    rows = complete_rows(spark, sf)
     windows = lb.sequence_windows(rows, ["value"], "value", _T)
     whole = lb.sequence_windows(rows, ["value"], "value", _T, contiguous_step_s=900)
     marked = windows.join(whole.select("station", "ts", F.lit(True).alias("contiguous")), ["station", "ts"], "left")

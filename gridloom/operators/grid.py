@@ -81,13 +81,10 @@ def step_deltas(df: DataFrame, keys: Sequence[str] = ("station",), bucket_s: int
     Equal times are counted before the shuffle and give ``n - 1`` zero steps. The step into a time bucket comes from
     the last time of the bucket before it, taken from a table with one row per bucket.
     """
-    times = (
-        df.where(F.col("ts").isNotNull())
-        .groupBy(*keys, epoch_us("ts").alias("_us"))
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_bucket", whole_div(F.col("_us"), bucket_s * 1_000_000))
-    )
-    ends = times.groupBy(*keys, "_bucket").agg(F.max("_us").alias("_end"))
+    us, width = epoch_us("ts"), bucket_s * 1_000_000
+    dated = df.where(F.col("ts").isNotNull()).select(*keys, us.alias("_us"), whole_div(us, width).alias("_bucket"))
+    times = dated.groupBy(*keys, "_bucket", "_us").agg(F.count(F.lit(1)).alias("_copies"))
+    ends = dated.groupBy(*keys, "_bucket").agg(F.max("_us").alias("_end"))
     into = ends.select(
         *keys, "_bucket", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_before")
     )

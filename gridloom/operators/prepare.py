@@ -119,27 +119,28 @@ def proportional_table(df: DataFrame, max_rows: int, key: str = "station") -> Da
 
 
 def take_quota(
-    df: DataFrame, quotas: DataFrame, key: str, row_id: Sequence[Column | str], seed: int = 42, cells: int = 4096
+    df: DataFrame, quotas: DataFrame, key: str, row_id: Sequence[Column | str], seed: int = 42, cells: int = 1 << 16
 ) -> DataFrame:
     """Exactly ``quota`` random rows per key, chosen by a seeded hash of ``row_id`` (unique per row).
 
-    Hash ranges are counted first, so only the one range that the quota cuts through is ordered.
+    Rows fall into many hash ranges that are counted first. Ranges before the one in which the quota ends are taken
+    whole; only that one range is ordered. ``df`` is read three times and nothing but the last range is shuffled.
     """
-    draw = F.xxhash64(*row_id, F.lit(seed))
-    rows = df.withColumn("_draw", draw).withColumn("_cell", F.pmod(F.col("_draw"), F.lit(cells).cast("bigint")))
-    ordered = Window.partitionBy(key).orderBy("_cell")
+    rows = df.withColumn("_draw", F.xxhash64(*row_id, F.lit(seed)))
+    rows = rows.withColumn("_cell", F.pmod(F.col("_draw"), F.lit(cells).cast("bigint")))
     per_cell = rows.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    starts = per_cell.select(key, "_cell", (F.sum("_c").over(ordered) - F.col("_c")).alias("_start"), "_c")
-    room = starts.join(quotas.select(key, "quota"), key).select(
-        key, "_cell", (F.col("quota") - F.col("_start")).alias("_room"), "_c"
+    before = F.sum("_c").over(Window.partitionBy(key).orderBy("_cell")) - F.col("_c")
+    reached = per_cell.withColumn("_start", before).join(quotas.select(key, "quota"), key)
+    cuts = (
+        reached.where(F.col("_start") < F.col("quota"))
+        .groupBy(key)
+        .agg(F.max("_cell").alias("_cut"), F.max_by(F.col("quota") - F.col("_start"), "_cell").alias("_room"))
     )
-    open_cells = room.where(F.col("_room") > 0)
-    inside = rows.join(open_cells, [key, "_cell"])
-    full = inside.where(F.col("_room") >= F.col("_c"))
-    cut = inside.where(F.col("_room") < F.col("_c"))
-    order = Window.partitionBy(key, "_cell").orderBy("_draw", *row_id)
-    cut = cut.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= F.col("_room"))
-    return full.select(*df.columns).unionByName(cut.select(*df.columns))
+    inside = join_params(rows, cuts, [key])
+    whole = inside.where(F.col("_cell") < F.col("_cut"))
+    order = Window.partitionBy(key).orderBy("_draw", *row_id)
+    last = inside.where(F.col("_cell") == F.col("_cut")).withColumn("_rank", F.row_number().over(order))
+    return whole.select(*df.columns).unionByName(last.where(F.col("_rank") <= F.col("_room")).select(*df.columns))
 
 
 def sample_rows(df: DataFrame, n: int, row_id: Sequence[Column | str], seed: int = 42) -> DataFrame:

@@ -92,7 +92,9 @@ def data_rows(cells: DataFrame, preview: int = 50) -> DataFrame:
     """Rows below the unit row whose time parses, with the sheet's variable names."""
     layout = sheet_layout(cells, preview).where(F.col("skip_reason").isNull()).select(*SHEET, "var_row", "names")
     rows = join_params(cells, layout, SHEET).where(F.col("row_idx") >= F.col("var_row") + 2)
-    return rows.withColumn("ts", parse_timestamp(F.get("cells", 0))).where(F.col("ts").isNotNull())
+    # As a generated column the time is parsed once, not again in the filter.
+    timed = rows.withColumn("ts", F.explode(F.array(parse_timestamp(F.get("cells", 0)))))
+    return timed.where(F.col("ts").isNotNull())
 
 
 def sheet_to_long(cells: DataFrame, preview: int = 50, station: Column | None = None) -> DataFrame:

@@ -74,7 +74,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], ts: str = "ts", bucket_s: in
     """Exact 0-based ``pos`` and series length ``n_pos`` for rows unique in (keys, ts).
 
     Rows are numbered inside time buckets; the running total of the bucket counts, a table with one row per bucket,
-    gives the start of each bucket.
+    gives the start of each bucket. ``df`` is read twice, so derived frames are best staged first.
     """
     rows = df.withColumn("_bucket", whole_div(epoch_us(ts), bucket_s * 1_000_000))
     per_bucket = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.joins import join_params
+
 
 def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
@@ -44,7 +46,7 @@ def read_cells(spark: SparkSession, root: str, delimiter: str = "\t", max_column
     path = _decoded(F.col("_path"))
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     inner = F.regexp_replace(path, f"^.*?{_quoted(base)}/+", "")
-    return lines.join(starts, ["_path", "_block"]).select(
+    return join_params(lines, starts, ["_path", "_block"]).select(
         F.regexp_replace(inner, r"/[^/]*$", "").alias("source_file"),
         F.regexp_extract(inner, r"([^/]*?)(\.[^./]*)?$", 1).alias("source_sheet"),
         (F.col("_id") + F.col("_shift")).alias("row_idx"),

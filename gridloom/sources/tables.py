@@ -9,8 +9,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.joins import join_params  # noqa: F401  (re-exported for parameter tables)
-
 LEADING = ("station", "timestamp", "source_file", "source_sheet")
 
 

@@ -10,6 +10,8 @@ import __spark_entry__ as entry
 from gridloom.catalog import frames as fr
 from gridloom.operators import split as sp
 from gridloom.plans import jobs
+from gridloom.session import scratch_path
+from gridloom.streaming import jobs as streams
 
 SF = "/root/testdata/sf0.001"
 QUICK = (
@@ -46,6 +48,17 @@ def test_query_agrees_with_sql(spark, con, name):
         assert len(got)
 
 
+def test_ingest_resumes_with_new_files_only(spark):
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("incoming", "out", "checkpoint"))
+    events = fr.table(spark, SF, "events")
+    schema = events.schema
+    for part, total in ((0, 1), (1, 2)):
+        events.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
+        for _ in range(2):
+            done = streams.ingest_files(spark, source, schema, out, checkpoint, max_files=1)
+        assert done.count() == events.where(F.col("event_id") % 2 < total).count() == done.select("event_id").distinct().count()
+
+
 def test_grid_is_computed_once_for_a_fill(spark):
     df = sp.fill_gaps(fr.split_grid(spark, SF))
     df.collect()
