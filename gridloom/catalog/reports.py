@@ -9,7 +9,6 @@ from gridloom.catalog.registry import CTES, R, keep, query
 from gridloom.operators import explore as ex
 from gridloom.operators import features as fe
 from gridloom.operators import metrics as me
-from gridloom.operators.naming import drop_negatives  # noqa: F401
 from gridloom.session import scratch_path
 from gridloom.streaming import jobs
 
@@ -68,7 +67,9 @@ def route_station(spark, sf):
 
 @query("route_station_target", f"SELECT station, target, model, {R('val_rmse', 'val_rmse')} FROM val_best")
 def route_station_target(spark, sf):
-    routing = _routing(fr.predictions(spark, sf), ("station", "target"), "persist1")
+    preds, keys = fr.predictions_once(spark, sf), ("station", "target")
+    val = me.metrics(preds.where("split = 'val'"), [*keys, "model"])
+    routing = me.route_models(val, fr.MODELS, keys, "persist1", preds)
     return keep(routing, "station", "target", "model", rnd=("val_rmse",))
 
 
@@ -233,6 +234,26 @@ def metric_matrix(spark, sf):
     return keep(ex.metric_matrix(table, "station", "model", fr.MODELS, clip=60.0), "station", rnd=fr.MODELS)
 
 
+@query("metric_matrix_target", "SELECT target, " + ", ".join(R(f"avg(CASE WHEN model = '{m}' THEN r2 END)", m) for m in fr.MODELS)
+    + " FROM metric_rows WHERE split = 'test' AND station = 'ALL' GROUP BY 1")
+def metric_matrix_target(spark, sf):
+    """Pooled R2 by target and model."""
+    table = me.metrics_table(fr.predictions(spark, sf).where("split = 'test'"), ["target", "model"])
+    return keep(ex.metric_matrix(table.where("station = 'ALL'"), "target", "model", fr.MODELS, "r2"), "target", rnd=fr.MODELS)
+
+
+_TARGETS = ("value", "k", "n")
+
+
+@query("metric_matrix_station_target", "SELECT station, " + ", ".join(R(f"avg(CASE WHEN target = '{t}' THEN mae END)", t) for t in _TARGETS)
+    + " FROM metric_rows WHERE split = 'test' AND model = 'mean4' GROUP BY 1")
+def metric_matrix_station_target(spark, sf):
+    """Mean absolute error of one model by station and target."""
+    preds = fr.predictions(spark, sf).where("split = 'test' AND model = 'mean4'")
+    table = me.metrics_table(preds, ["target"])
+    return keep(ex.metric_matrix(table, "station", "target", _TARGETS, "mae"), "station", rnd=_TARGETS)
+
+
 @query("first_days", f"""SELECT f.station, f.ts, {R('f.value', 'value')} FROM target_rows f
 JOIN (SELECT station, min(ts) AS t0 FROM target_rows GROUP BY 1) m ON m.station = f.station WHERE f.ts < m.t0 + INTERVAL '7 days'""")
 def first_days(spark, sf):

@@ -96,11 +96,16 @@ def model_order(models: Sequence[str], column: str = "model") -> Column:
 
 
 def route_models(
-    val_metrics: DataFrame, models: Sequence[str], keys: Sequence[str] = ("station",), default: str | None = None
+    val_metrics: DataFrame,
+    models: Sequence[str],
+    keys: Sequence[str] = ("station",),
+    default: str | None = None,
+    all_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Model with the lowest validation RMSE per key; the earlier candidate wins ties.
 
-    Missing RMSEs are skipped. Keys without any RMSE get ``default``, or are an error when there is none.
+    Missing RMSEs are skipped. Keys without any RMSE get ``default``, or are an error when there is none; with
+    ``all_keys`` that covers keys that have no validation rows at all.
     """
     candidates = val_metrics.where(F.col("model").isin(*models))
     usable = F.when(~F.isnan("rmse"), F.col("rmse"))
@@ -110,6 +115,8 @@ def route_models(
         .withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") == 1)
     )
+    if all_keys is not None:
+        best = all_keys.select(*keys).distinct().join(best, list(keys), "left")
     none = F.col("_rmse").isNull()
     if default is None:
         message = F.concat(F.lit("no candidate model for "), F.concat_ws("/", *keys))

@@ -6,13 +6,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.metrics import metrics
+from gridloom.operators.metrics import align_predictions, long_predictions, metrics
 from gridloom.plans.joins import join_params
 from gridloom.plans.quantiles import exact_quantiles
 from gridloom.session import stage_table
@@ -277,11 +276,5 @@ def compare_strategies(preds: Mapping[str, DataFrame], split: str = "test") -> D
     for name, df in preds.items():
         part = df.where(F.col("split") == split).select("split", "station", "ts", "y_true", "y_pred").withColumn("model", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    from gridloom.operators.metrics import align_predictions, long_predictions
-
     shared = long_predictions(align_predictions(rows, names), names)
     return metrics(shared, ["model"]).withColumnRenamed("model", "strategy")
-
-
-def pipeline_of(stages: Sequence) -> Pipeline:
-    return Pipeline(stages=list(stages))

@@ -5,6 +5,9 @@ from datetime import timedelta
 import numpy as np
 import pytest
 from helpers import START
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from gridloom.operators import explore as ex
@@ -12,6 +15,8 @@ from gridloom.operators import metrics as me
 from gridloom.operators import models as mo
 from gridloom.operators import prepare as pr
 from gridloom.plans.quantiles import exact_quantiles
+from gridloom.session import scratch_path
+from gridloom.sources.tables import load_model, save_model
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 101, 1000])
@@ -145,6 +150,16 @@ def test_trees(spark):
     assert each.count() == 600
 
 
+def test_saved_pipeline_keeps_features_and_target(spark):
+    df = frame(spark)
+    model = Pipeline(stages=[VectorAssembler(inputCols=X, outputCol="f"), LinearRegression(featuresCol="f", labelCol="y")]).fit(df)
+    path = scratch_path(spark, "bundle")
+    save_model(model, path, X, "y")
+    loaded, features, target = load_model(path)
+    assert (features, target) == (X, "y")
+    assert loaded.transform(df).agg(F.sum("prediction")).first()[0] == pytest.approx(model.transform(df).agg(F.sum("prediction")).first()[0])
+
+
 PREDS = "split string, station string, ts timestamp_ntz, target string, model string, y_true double, y_pred double"
 
 
@@ -175,6 +190,9 @@ def test_routing(spark):
     )
     routed = {r["station"]: r["model"] for r in me.route_models(val, ["x", "y"], default="y").collect()}
     assert routed == {"A": "x", "B": "y", "C": "y"}
+    keys = spark.createDataFrame([("A",), ("D",)], "station string")
+    covered = {r["station"]: r["model"] for r in me.route_models(val, ["x", "y"], default="y", all_keys=keys).collect()}
+    assert covered == {"A": "x", "D": "y"}
     with pytest.raises(Exception, match="no candidate model for C"):
         me.route_models(val, ["x", "y"]).collect()
     preds = predictions(spark, [("A", 0, "x", 1.0, 10.0), ("A", 0, "y", 1.0, 20.0), ("B", 0, "x", 1.0, 30.0), ("B", 1, "y", 1.0, 40.0)])
