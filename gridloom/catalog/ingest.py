@@ -71,9 +71,9 @@ def sheet_filter(spark, sf):
     return sh.filter_sheets(listing.distinct(), max_per_file=20)
 
 
-@query("union_by_name", """SELECT event_type AS station, ts AS timestamp, 'a' AS source_file, value AS "A", CAST(NULL AS BIGINT) AS "B" FROM events
+@query("union_by_name", """SELECT event_type AS station, ts AS timestamp, 'a' AS source_file, value AS "A", CAST(NULL AS DOUBLE) AS "B" FROM events
 WHERE event_type = 'click'
-UNION ALL SELECT event_type, ts, 'b', TRY_CAST(CASE WHEN event_id % 2 = 0 THEN 'off' ELSE CAST(value AS VARCHAR) END AS DOUBLE), user_id FROM events
+UNION ALL SELECT event_type, ts, 'b', TRY_CAST(CASE WHEN event_id % 2 = 0 THEN 'off' ELSE CAST(value AS VARCHAR) END AS DOUBLE), CAST(user_id AS DOUBLE) FROM events
 WHERE event_type = 'view'""")
 def union_by_name(spark, sf):
     ev = fr.table(spark, sf, "events", "event_id", "event_type", "ts", "value", "user_id")
@@ -82,7 +82,7 @@ def union_by_name(spark, sf):
     )
     text = F.when(F.col("event_id") % 2 == 0, "off").otherwise(F.col("value").cast("string"))
     b = ev.where("event_type = 'view'").select(
-        F.col("event_type").alias("station"), F.col("user_id").alias("B"), text.alias("A"), F.col("ts").alias("timestamp"), F.lit("b").alias("source_file")
+        F.col("event_type").alias("station"), F.col("user_id").cast("double").alias("B"), text.alias("A"), F.col("ts").alias("timestamp"), F.lit("b").alias("source_file")
     )
     return tb.union_chunks([a, b])
 
@@ -145,15 +145,16 @@ def stations(spark, sf):
     return rows.groupBy("source_file", station_from_path("source_file").alias("station")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("variable_row", "SELECT source_file, source_sheet, CAST(var_row AS BIGINT) AS var_row FROM var_rows")
+@query("variable_row", "SELECT source_file, source_sheet, CAST(coalesce(var_row, -1) AS BIGINT) AS var_row FROM var_rows")
 def variable_row(spark, sf):
-    return sh.variable_rows(fr.sheet_cells(spark, sf))
+    """Header rows; -1 marks a sheet without one."""
+    return sh.variable_rows(fr.sheet_cells(spark, sf)).fillna(-1, ["var_row"])
 
 
-@query("active_width", """SELECT v.source_file, v.source_sheet, CAST(v.var_row AS BIGINT) AS var_row, CAST(w.width AS BIGINT) AS width
+@query("active_width", """SELECT v.source_file, v.source_sheet, CAST(coalesce(v.var_row, -1) AS BIGINT) AS var_row, CAST(coalesce(w.width, 0) AS BIGINT) AS width
 FROM var_rows v LEFT JOIN widths w ON w.source_file = v.source_file AND w.source_sheet = v.source_sheet""")
 def active_width(spark, sf):
-    return sh.active_width(fr.sheet_cells(spark, sf))
+    return sh.active_width(fr.sheet_cells(spark, sf)).fillna({"var_row": -1, "width": 0})
 
 
 @query("header_names", "SELECT source_file, source_sheet, CAST(i + 1 AS BIGINT) AS sheet_column, variable FROM named")
@@ -187,7 +188,7 @@ def provenance(spark, sf):
 
 
 @query("ingest_report", f"""SELECT s.source_file, s.source_sheet, {fr.station_sql('s.source_file')} AS station,
-  CAST(coalesce(d.n, 0) AS BIGINT) AS n_rows, CASE WHEN s.skip IS NULL THEN CAST(s.width + 3 AS BIGINT) END AS n_columns,
+  CAST(coalesce(d.n, 0) AS BIGINT) AS n_rows, CASE WHEN s.skip IS NULL THEN CAST(s.width + 3 AS BIGINT) ELSE 0 END AS n_columns,
   CASE WHEN s.skip IS NOT NULL THEN s.skip WHEN coalesce(d.n, 0) = 0 THEN 'no data rows' END AS skip_reason
 FROM (SELECT v.source_file, v.source_sheet, w.width,
         CASE WHEN v.var_row IS NULL THEN 'no variable row' WHEN w.width < 2 THEN 'too few columns' END AS skip
@@ -197,7 +198,7 @@ LEFT JOIN (SELECT t.source_file, t.source_sheet, count(*) AS n FROM timed t
            WHERE w.width >= 2 AND t.row_idx >= w.var_row + 2 AND t.ts IS NOT NULL GROUP BY 1, 2) d
   ON d.source_file = s.source_file AND d.source_sheet = s.source_sheet""")
 def ingest_report(spark, sf):
-    return sh.ingest_report(fr.sheet_cells(spark, sf))
+    return sh.ingest_report(fr.sheet_cells(spark, sf)).fillna(0, ["n_columns"])
 
 
 # Names and types

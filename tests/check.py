@@ -41,6 +41,10 @@ def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
         return f"columns {sorted(spark_df.columns)} != {sorted(sql_df.columns)}"
     if len(spark_df) != len(sql_df):
         return f"rows {len(spark_df)} != {len(sql_df)}"
+    kinds = {c: (spark_df[c].dtype.kind, sql_df[c].dtype.kind) for c in spark_df.columns}
+    odd = {c: k for c, k in kinds.items() if k[0] != k[1] and spark_df[c].notna().any()}
+    if odd:
+        return f"types differ: {odd}"
     a, b = canonical(spark_df), canonical(sql_df)
     bad = ~(a.map(repr) == b.map(repr)).all(axis=1)
     if bad.any():
