@@ -137,7 +137,7 @@ FEATURE_COLUMNS = ("value", *[f"lag_{k}" for k in fe.LAGS], *[f"rollmean_{w}" fo
 
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
     """Wide rows with two targets and a handful of features; rows without the target or its lags are dropped."""
-    return fe.build_features(filled(spark, sf), "value", ["value", "k"], lags=(1, 2, 3, 4), windows=(4, 12))
+    return fe.build_features(filled_once(spark, sf), "value", ["value", "k"], lags=(1, 2, 3, 4), windows=(4, 12))
 
 
 MODEL_FEATURES = (

@@ -9,7 +9,7 @@ from gridloom.catalog.registry import CTES, R, keep, query
 from gridloom.operators import explore as ex
 from gridloom.operators import features as fe
 from gridloom.operators import metrics as me
-from gridloom.session import scratch_path
+from gridloom.session import scratch_path, stage_table
 from gridloom.streaming import jobs
 
 M = ("rmse", "mae", "r2")
@@ -115,7 +115,7 @@ FROM metric_rows v JOIN val_best b ON b.station = v.station AND b.target = v.tar
 LEFT JOIN metric_rows t ON t.station = v.station AND t.model = v.model AND t.target = v.target AND t.split = 'test'
 WHERE v.split = 'val' AND v.target = 'value' AND v.station <> 'ALL'""")
 def routing_summary(spark, sf):
-    table = me.metrics(value_preds(spark, sf, once=True), ["split", "station", "model"])
+    table = stage_table(me.metrics(value_preds(spark, sf), ["split", "station", "model"]), "metrics")
     val, test = table.where("split = 'val'"), table.where("split = 'test'")
     out = me.routing_summary(val, test, me.route_models(val, fr.MODELS))
     return keep(out, "station", "model", "chosen", rnd=("val_rmse", "test_rmse"))

@@ -191,7 +191,7 @@ _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ["value", *[f"value_{c}" fo
 
 @query("feature_build", _wide_sql("station, ts, split, " + ", ".join(R(c, c) for c in _WIDE) + ", " + _TIME, _COMPLETE))
 def feature_build(spark, sf):
-    out = fe.build_features(fr.filled(spark, sf), "value", _WIDE_VARIABLES)
+    out = fe.build_features(fr.filled_once(spark, sf), "value", _WIDE_VARIABLES)
     rnd = (*_WIDE, "hour_sin", "hour_cos", "dow_sin", "dow_cos")
     return keep(out, "station", "ts", "split", F.col("is_weekend").cast("int"), rnd=rnd)
 

@@ -97,15 +97,15 @@ def correlation_per_station(
 ) -> DataFrame:
     """Lower-triangle correlations of the variables that have more than ``min_values`` values at a station."""
     pairs = correlations(widen(df, "variable", variables, ["station", "ts"]), variables, ["station"])
-    support = pairs.where(F.col("var_a") == F.col("var_b")).select(
-        "station",
-        F.col("var_a").alias("variable"),
-        F.col("n_pairs").alias("n_values"),
-        F.sum((F.col("n_pairs") > min_values).cast("int")).over(Window.partitionBy("station")).alias("n_variables"),
-    )
-    enough = support.where((F.col("n_values") > min_values) & (F.col("n_variables") >= min_variables))
-    a, b = (enough.select("station", F.col("variable").alias(v)) for v in ("var_a", "var_b"))
-    return pairs.join(a, ["station", "var_a"], "left_semi").join(b, ["station", "var_b"], "left_semi")
+    own = F.when(F.col("var_a") == F.col("var_b"), F.col("n_pairs"))
+
+    def support(v: str):
+        return F.max(own).over(Window.partitionBy("station", v))
+
+    supported = F.sum((own > min_values).cast("int")).over(Window.partitionBy("station"))
+    known = pairs.select("*", support("var_a").alias("_a"), support("var_b").alias("_b"), supported.alias("_variables"))
+    enough = (F.col("_a") > min_values) & (F.col("_b") > min_values) & (F.col("_variables") >= min_variables)
+    return known.where(enough).select(*pairs.columns)
 
 
 def predictor_ranking(df: DataFrame, target: str, variables: Sequence[str], min_values: int = 200) -> DataFrame:

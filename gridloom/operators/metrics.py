@@ -55,24 +55,26 @@ def metrics_table(
     rows are not listed but count in ``ALL``.
     """
     parts = error_sums(preds, [*keys, by])
-    inner = F.col("_var") * F.col("n_rows")
-    single = parts.withColumn("_sst", inner)
-    centre = Window.partitionBy(*keys)
-    grand = F.sum(F.col("_mean") * F.col("n_rows")).over(centre) / F.sum("n_rows").over(centre)
-    pooled = (
+    everyone = Window.partitionBy(*keys)
+    grand = F.sum(F.col("_mean") * F.col("n_rows")).over(everyone) / F.sum("n_rows").over(everyone)
+    inner = F.sum(F.col("_var") * F.col("n_rows"))
+    between = F.sum(F.col("n_rows") * F.pow(F.col("_mean") - F.col("_grand"), 2))
+    pooled = F.grouping(by) == 1
+    sums = (
         parts.withColumn("_grand", grand)
-        .groupBy(*keys)
+        .groupingSets([[*keys, by], [*keys]], *keys, by)
         .agg(
+            F.sum(F.col("_mean") * F.col("n_rows")).alias("_total"),
             F.sum("n_rows").alias("n_rows"),
             F.sum("_sse").alias("_sse"),
             F.sum("_sae").alias("_sae"),
-            F.max("_grand").alias("_mean"),
-            F.sum(inner + F.col("n_rows") * F.pow(F.col("_mean") - F.col("_grand"), 2)).alias("_sst"),
+            F.when(pooled, inner + between).otherwise(inner).alias("_sst"),
+            pooled.alias("_pooled"),
         )
-        .withColumn(by, F.lit(POOLED))
+        .withColumn("_mean", F.col("_total") / F.col("n_rows"))
+        .withColumn(by, F.when(F.col("_pooled"), F.lit(POOLED)).otherwise(F.col(by)))
     )
-    listed = _finish(single.where(F.col("n_rows") >= min_rows), [*keys, by])
-    return listed.unionByName(_finish(pooled, [*keys, by]))
+    return _finish(sums.where(F.col("_pooled") | (F.col("n_rows") >= min_rows)), [*keys, by])
 
 
 def align_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[str] = ("split", "station", "ts")) -> DataFrame:
