@@ -29,6 +29,7 @@ WORDED_FORMATS = (
     "d MMMM yyyy H:mm",
     "d MMMM yyyy",
 )
+PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 SERIAL_RANGE = (20_000.0, 70_000.0)
 SERIAL_DAYS_TO_1970 = 25_569
 
@@ -62,7 +63,12 @@ def clean_value(
 ) -> Column:
     """Measurement in a cell: status texts, null words, non-numbers and non-finite numbers become null."""
     text = F.lower(F.trim(col(cell)))
-    number = F.when(~text.isin(*null_words) & ~text.rlike("|".join(status)), text).try_cast("double")
+    return plain_number(F.when(~text.isin(*null_words) & ~text.rlike("|".join(status)), text))
+
+
+def plain_number(text: Column) -> Column:
+    """Finite number written as digits; a cast alone would also take ``1.5d``, ``inf`` or ``nan``."""
+    number = F.when(F.trim(text).rlike(PLAIN_NUMBER), text.try_cast("double"))
     return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
@@ -83,7 +89,7 @@ def parse_timestamp(cell: Column | str) -> Column:
     worded = F.regexp_replace(F.regexp_replace(text, r"[-,]", " "), r"^(\d+)[ /](\d+)[ /](\d+)", "$1/$2/$3")
     worded = F.initcap(F.regexp_replace(worded, r"\s+", " "))
     tries = [F.try_to_timestamp(worded, F.lit(f)).cast("timestamp_ntz") for f in WORDED_FORMATS]
-    serial = text.try_cast("double")
+    serial = plain_number(text)
     in_range = (serial > SERIAL_RANGE[0]) & (serial < SERIAL_RANGE[1])
     micros = F.round((serial - SERIAL_DAYS_TO_1970) * 86_400_000_000.0).cast("bigint")
     return F.coalesce(

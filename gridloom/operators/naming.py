@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridloom.functions.text import SHARED_SUFFIXES, canonical_name
+from gridloom.functions.text import SHARED_SUFFIXES, canonical_name, plain_number
 from gridloom.plans.joins import join_params
 
 
@@ -50,8 +51,15 @@ def coerce_keys(df: DataFrame, station: str = "station", ts: str = "ts") -> Data
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str] = ("value",)) -> DataFrame:
     """Measurements as finite doubles, anything else null."""
-    number = {c: F.col(c).try_cast("double") for c in columns}
-    return df.withColumns({c: F.when(F.abs(n) < float("inf"), n) for c, n in number.items()})
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+
+    def number(c: str):
+        if c in texts:
+            return plain_number(F.col(c))
+        value = F.col(c).try_cast("double")
+        return F.when(F.abs(value) < float("inf"), value)
+
+    return df.withColumns({c: number(c) for c in columns})
 
 
 def drop_negatives(df: DataFrame, columns: Sequence[str] = ("value",)) -> DataFrame:

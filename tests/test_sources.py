@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import session
 from gridloom.functions import text as tx
 from gridloom.operators import naming as nm
 from gridloom.operators import sheets as sh
@@ -45,7 +46,7 @@ def test_timestamps(spark):
 
 
 def test_values(spark):
-    cases = {"Maint.": None, "Power Off": None, " NA ": None, "3.5": 3.5, "-1": -1.0, "abc": None, "": None, "NaN": None, "inf": None, " 7 ": 7.0}
+    cases = {"Maint.": None, "Power Off": None, " NA ": None, "3.5": 3.5, "-1": -1.0, "abc": None, "": None, "NaN": None, "inf": None, " 7 ": 7.0, "1.5d": None, "1e3": 1000.0, ".5": 0.5, "1e999": None}
     assert column(spark, list(cases), tx.clean_value) == list(cases.values())
 
 
@@ -183,6 +184,16 @@ def test_shared_folder_follows_the_session(spark):
     assert scratch_path(spark, "x").startswith(folder)
 
 
+def test_drop_staged(spark, monkeypatch):
+    folder = session._own_folder(spark) + "-other"
+    monkeypatch.setattr(session, "_own_folder", lambda s: folder)
+    staged = session.stage_table(spark.range(3), "x")
+    assert staged.count() == 3
+    session.drop_staged(spark)
+    with pytest.raises(FileNotFoundError):
+        tb.load_table(spark, folder)
+
+
 def test_coercions(spark):
     df = spark.createDataFrame([("A", "2024-01-01", "1.5"), ("A", "bad", "2"), (None, "2024-01-01", "3"), ("A", "2024-01-02", "NaN")], "station string, ts string, value string")
     got = nm.coerce_numeric(nm.coerce_keys(df)).orderBy("ts").collect()
