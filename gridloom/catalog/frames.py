@@ -87,13 +87,15 @@ SELECT *, CASE WHEN pos < floor(n_pos * CAST(0.70 AS DOUBLE)) THEN 'train'
 FROM grid"""
 
 
-def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return sp.fill_gaps(split_grid(spark, sf))
+def filled(spark: SparkSession, sf: str, *variables: str) -> DataFrame:
+    """Filled rows of the named variables, or of all; chosen before the fill so that both of its readers agree."""
+    rows = split_grid(spark, sf)
+    return sp.fill_gaps(rows.where(F.col("variable").isin(*variables)) if variables else rows)
 
 
-def filled_once(spark: SparkSession, sf: str) -> DataFrame:
+def filled_once(spark: SparkSession, sf: str, *variables: str) -> DataFrame:
     """The filled rows written once, for queries that read them in several passes."""
-    return stage_table(filled(spark, sf), "filled")
+    return stage_table(filled(spark, sf, *variables), "filled")
 
 
 CTES["known"] = """
@@ -149,9 +151,9 @@ MODEL_FEATURES = (
 )
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
+def predictions(spark: SparkSession, sf: str, *targets: str) -> DataFrame:
     """Three baselines for every variable: the last value, the value an hour ago, the mean of the last hour."""
-    rows = fe.causal_features(filled(spark, sf), lags=(1, 4), means=(4,))
+    rows = fe.causal_features(filled(spark, sf, *targets), lags=(1, 4), means=(4,))
     cells = [
         F.struct(F.lit(m).alias("model"), F.col(c).alias("y_pred"))
         for m, c in zip(MODELS, ("lag_1", "lag_4", "rollmean_4"))
@@ -162,8 +164,8 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return long.dropna(subset=["y_true", "y_pred"])
 
 
-def predictions_once(spark: SparkSession, sf: str) -> DataFrame:
-    return stage_table(predictions(spark, sf), "predictions")
+def predictions_once(spark: SparkSession, sf: str, *targets: str) -> DataFrame:
+    return stage_table(predictions(spark, sf, *targets), "predictions")
 
 
 CTES["basis"] = """

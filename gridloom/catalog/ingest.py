@@ -99,7 +99,7 @@ def parquet_roundtrip(spark, sf):
 WHERE target = 'value' AND ((split = 'val' AND model <> 'mean4') OR (split = 'test' AND model = 'mean4'))""")
 def metrics_upsert(spark, sf):
     """A CSV of validation metrics in which one model's rows are replaced twice by its test metrics."""
-    preds = fr.predictions(spark, sf).where("target = 'value'")
+    preds = fr.predictions(spark, sf, "value")
     table = stage_table(me.metrics_table(preds, ["split", "model"]), "metrics")
     old, new = scratch_path(spark, "metrics"), scratch_path(spark, "metrics")
     schema = "station string, model string, rmse double, n_rows bigint"
@@ -121,7 +121,7 @@ def require_columns(spark, sf):
   SELECT station, 'rmse' AS metric, rmse AS value FROM metric_rows WHERE split = 'test' AND target = 'value' AND model = 'mean4'
   UNION ALL SELECT station, 'mae', mae FROM metric_rows WHERE split = 'test' AND target = 'value' AND model = 'mean4')""")
 def json_flatten(spark, sf):
-    preds = fr.predictions(spark, sf).where("target = 'value' AND model = 'mean4' AND split = 'test'")
+    preds = fr.predictions(spark, sf, "value").where("model = 'mean4' AND split = 'test'")
     path = scratch_path(spark, "metrics_json")
     rec.write_nested_json(me.metrics_table(preds), "station", ["rmse", "mae"], path)
     return keep(rec.read_nested_json(spark, path), "station", "metric", rnd=("value",))

@@ -11,6 +11,7 @@ from gridloom.operators import labels as lb
 from gridloom.operators import metrics as me
 from gridloom.operators import models as mo
 from gridloom.operators import prepare as pr
+from gridloom.operators.features import causal_features
 from gridloom.operators.naming import pivot_wide
 from gridloom.operators.split import require_nonnull
 from gridloom.session import stage_table
@@ -21,7 +22,7 @@ _POP = "CASE WHEN stddev_pop(value) > 0 THEN stddev_pop(value) ELSE 1 END"
 
 @query("scaler_fit", f"SELECT variable, {R('avg(value)', 'mean')}, {R(_SAMPLE, 'std')} FROM filled WHERE split = 'train' AND variable <> 'value' GROUP BY 1")
 def scaler_fit(spark, sf):
-    return keep(pr.fit_scaler(fr.filled(spark, sf), exclude=["value"]), "variable", rnd=("mean", "std"))
+    return keep(pr.fit_scaler(fr.filled_once(spark, sf), exclude=["value"]), "variable", rnd=("mean", "std"))
 
 
 @query("scaler_apply", f"""SELECT f.station, f.variable, f.ts, {R('(f.value - s.mean) / s.std', 'value')}
@@ -33,7 +34,7 @@ def scaler_apply(spark, sf):
 
 @query("scaler_pop", f"SELECT station, variable, {R('avg(value)', 'mean')}, {R(_POP, 'std')} FROM filled WHERE split = 'train' GROUP BY 1, 2")
 def scaler_pop(spark, sf):
-    return keep(pr.fit_scaler(fr.filled(spark, sf), ["station", "variable"], population=True), "station", "variable", rnd=("mean", "std"))
+    return keep(pr.fit_scaler(fr.filled_once(spark, sf), ["station", "variable"], population=True), "station", "variable", rnd=("mean", "std"))
 
 
 @query("scaler_inverse", f"SELECT station, variable, ts, {R('value', 'value')} FROM filled")
@@ -132,7 +133,7 @@ CTES["complete"] = "SELECT station, variable, ts, split, value FROM filled WHERE
 
 def complete_rows(spark, sf):
     """Rows of the target after rows without it are gone, so neighbours may be hours apart."""
-    rows = fr.filled(spark, sf).where("variable = 'value'")
+    rows = fr.filled(spark, sf, "value")
     return stage_table(require_nonnull(rows, ["value"]).select("station", "ts", "split", "value"), "complete")
 
 
@@ -213,7 +214,7 @@ FROM (SELECT station, count(*) AS n, covar_pop(y, x) * count(*) AS sxy, var_pop(
       FROM pairs WHERE split = 'train' GROUP BY 1)""")
 def ridge_1d(spark, sf):
     """One lag per station; a penalty of 10 on the standardised input."""
-    rows = fr.fe.causal_features(fr.filled(spark, sf).where("variable = 'value'"), lags=(1,))
+    rows = causal_features(fr.filled(spark, sf, "value"), lags=(1,))
     rows = rows.withColumnRenamed("lag_1", "x").dropna(subset=["value", "x"])
     fit = mo.fit_ridge(rows, ["x"], ["value"], key="station", alphas=[10.0])
     return keep(fit.withColumn("slope", F.col("coefs")[0]), "station", "n_train", rnd=("slope", "intercept"))

@@ -17,15 +17,14 @@ MS = ", ".join(R(m, m) for m in M)
 
 
 def value_preds(spark, sf, once=False):
-    rows = fr.predictions_once(spark, sf) if once else fr.predictions(spark, sf)
-    return rows.where("target = 'value'")
+    return fr.predictions_once(spark, sf, "value") if once else fr.predictions(spark, sf, "value")
 
 
 @query("metrics_basic", f"""SELECT model, {R('sqrt(avg((y_true - y_pred) ** 2))', 'rmse')}, {R('avg(abs(y_true - y_pred))', 'mae')},
   {R('CASE WHEN max(y_true) > min(y_true) THEN 1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)) END', 'r2')}, count(*) AS n_rows
 FROM preds WHERE target = 'n' OR target = 'value' GROUP BY model""")
 def metrics_basic(spark, sf):
-    preds = fr.predictions(spark, sf).where("target IN ('n', 'value')")
+    preds = fr.predictions(spark, sf, "n", "value")
     return keep(me.metrics(preds), "model", "n_rows", rnd=M)
 
 
@@ -128,7 +127,7 @@ CTES["order_values"] = "SELECT station, year(ts) AS year, value FROM orders_dail
 
 
 def target_rows(spark, sf):
-    return fr.filled(spark, sf).where("variable = 'value'")
+    return fr.filled(spark, sf, "value")
 
 
 def _dist_sql(keys: str, source: str) -> str:
@@ -145,12 +144,12 @@ _DIST = ("q1", "median", "q3", "whisker_low", "whisker_high", "mean", "std")
 
 @query("split_counts", "SELECT split, station, count(*) AS n_rows FROM target_rows GROUP BY 1, 2")
 def split_counts(spark, sf):
-    return ex.split_counts(target_rows(spark, sf))
+    return ex.split_counts(fr.split_grid(spark, sf).where("variable = 'value'"))
 
 
 @query("dist_summary", _dist_sql("station", "target_rows"))
 def dist_summary(spark, sf):
-    return keep(ex.distribution(fr.filled_once(spark, sf).where("variable = 'value'")), "station", "n_rows", rnd=_DIST, digits=3)
+    return keep(ex.distribution(fr.filled_once(spark, sf, "value")), "station", "n_rows", rnd=_DIST, digits=3)
 
 
 @query("density_bins", """SELECT station, CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 200 THEN 41 ELSE floor(value / 200 * 40) + 1 END AS BIGINT) AS bin,
@@ -187,7 +186,7 @@ def monthly_pattern(spark, sf):
 @query("level_stats", f"""SELECT station, {R('avg(value)', 'mean')}, {R('median(value)', 'median')}, {R('quantile_cont(value, 0.9)', 'p90')}
 FROM target_rows GROUP BY 1""")
 def level_stats(spark, sf):
-    return keep(ex.level_stats(fr.filled_once(spark, sf).where("variable = 'value'")), "station", rnd=("mean", "median", "p90"))
+    return keep(ex.level_stats(fr.filled_once(spark, sf, "value")), "station", rnd=("mean", "median", "p90"))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(fr.LINE_VARIABLES) for b in fr.LINE_VARIABLES[: i + 1]]

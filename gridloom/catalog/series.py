@@ -147,7 +147,7 @@ def direction_features(spark, sf):
 
 @query("base_columns", """SELECT station, variable, count(value) AS n_known FROM filled WHERE split = 'train' GROUP BY 1, 2 HAVING count(value) > 0""")
 def base_columns(spark, sf):
-    return fe.base_columns(fr.filled(spark, sf), "value")
+    return fe.base_columns(fr.filled_once(spark, sf), "value")
 
 
 def _sql(columns, source):
@@ -200,7 +200,7 @@ def feature_build(spark, sf):
 FROM (SELECT station, ts, max(CASE WHEN variable = 'k' THEN value END) AS k, max(CASE WHEN variable = 'value' THEN value END) AS value FROM filled WHERE split = 'test' GROUP BY 1, 2)""")
 def schema_stable(spark, sf):
     """The test rows brought to a schema with one column they lack and without one they have."""
-    test = fr.filled(spark, sf).where("split = 'test'")
+    test = fr.filled_once(spark, sf).where("split = 'test'")
     wide = fe.widen_features(test, ["n", "value", "k"], ["value"], ["station", "ts"])
     stable = fe.stable_schema(wide, {"station": "string", "ts": "timestamp_ntz", "k": "double", "absent": "double", "value": "double"})
     return keep(stable, "station", "ts", "absent", rnd=("k", "value"))
@@ -212,4 +212,4 @@ FROM (SELECT station, variable FROM filled WHERE split = 'train' GROUP BY 1, 2 H
   (SELECT 'base' AS kind, 0 AS size UNION ALL SELECT 'lag', unnest([1, 2, 3, 4, 8, 12, 24, 48, 96])
    UNION ALL SELECT 'rollmean', unnest([4, 12, 24, 48, 96]))""")
 def schema_record(spark, sf):
-    return fe.schema_record(fe.base_columns(fr.filled(spark, sf), "value"), "value")
+    return fe.schema_record(fe.base_columns(fr.filled_once(spark, sf), "value"), "value")

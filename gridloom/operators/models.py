@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.metrics import align_predictions, long_predictions, metrics
@@ -151,24 +151,35 @@ def fit_ridge(
     return solve_ridge(grams, name, len(features), targets, alphas, refit)
 
 
+def _dot(x: str | Column, w: str | Column) -> Column:
+    return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
 def score_ridge(df: DataFrame, coefs: DataFrame, features: Sequence[str], targets: Sequence[str], model: str, key: str | None = None) -> DataFrame:
-    """Long predictions of the rows that have a target, one row per target."""
-    name = key or "scope"
-    rows = df if key else df.withColumn("scope", F.lit(POOLED))
-    truth = F.map_from_arrays(F.array(*[F.lit(t) for t in targets]), F.array(*[F.col(t).cast("double") for t in targets]))
-    joined = join_params(
-        rows.select(
-            *dict.fromkeys(["split", "station", "ts", name]),
-            F.array(*[F.col(c).cast("double") for c in features]).alias("_x"),
-            truth.alias("_y"),
-        ),
-        coefs.select(name, "target", "intercept", "coefs"),
-        [name],
-    )
-    dot = F.aggregate(F.zip_with("_x", "coefs", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return joined.select(
-        "split", "station", "ts", "target", F.lit(model).alias("model"), F.col("_y")[F.col("target")].alias("y_true"), (F.col("intercept") + dot).alias("y_pred")
-    ).dropna(subset=["y_true", "y_pred"])
+    """Long predictions of the rows that have a target, one row per target.
+
+    The coefficients of a pooled model are one list per target and enter the plan as literals; those of keyed models
+    are joined.
+    """
+    x = F.array(*[F.col(c).cast("double") for c in features]).alias("_x")
+    if key is None:
+        fitted = [r for r in coefs.collect() if r["target"] in targets]
+        cells = [
+            F.struct(
+                F.lit(r["target"]).alias("target"),
+                F.col(r["target"]).cast("double").alias("y_true"),
+                (F.lit(r["intercept"]) + _dot("_x", F.array(*[F.lit(w) for w in r["coefs"]]))).alias("y_pred"),
+            )
+            for r in fitted
+        ]
+        scored = df.select("split", "station", "ts", x, *targets).select("split", "station", "ts", F.inline(F.array(*cells)))
+    else:
+        truth = F.map_from_arrays(F.array(*[F.lit(t) for t in targets]), F.array(*[F.col(t).cast("double") for t in targets]))
+        rows = df.select(*dict.fromkeys(["split", "station", "ts", key]), x, truth.alias("_y"))
+        joined = join_params(rows, coefs.select(key, "target", "intercept", "coefs"), [key])
+        y_pred = F.col("intercept") + _dot("_x", "coefs")
+        scored = joined.select("split", "station", "ts", "target", F.col("_y")[F.col("target")].alias("y_true"), y_pred.alias("y_pred"))
+    return scored.select("split", "station", "ts", "target", F.lit(model).alias("model"), "y_true", "y_pred").dropna(subset=["y_true", "y_pred"])
 
 
 # Spark ML learners

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.plans.joins import join_params
+from gridloom.plans.joins import join_params, one_group
 
 KEY_COLUMNS = ("station", "ts", "timestamp", "split", "pos", "n_pos", "source_file", "source_sheet")
 # Pollutants tried as targets, in this order.
@@ -145,6 +145,6 @@ def take_quota(
 
 def sample_rows(df: DataFrame, n: int, row_id: Sequence[Column | str], seed: int = 42) -> DataFrame:
     """One global draw of exactly ``n`` rows, or all rows when there are fewer."""
-    keyed = df.withColumn("_one", F.lit(1))
+    keyed = df.withColumn("_one", one_group(*row_id))
     quotas = keyed.groupBy("_one").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
     return take_quota(keyed, quotas, "_one", row_id, seed).select(*df.columns)

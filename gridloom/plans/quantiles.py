@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.plans.joins import join_params
+from gridloom.plans.joins import join_params, one_group
 
 ACCURACY = 20_000
 
@@ -25,7 +25,7 @@ def exact_quantiles(
     keys = list(keys) or ["_all"]
     data = df.where(F.col(value).isNotNull())
     if keys == ["_all"]:
-        data = data.withColumn("_all", F.lit(1))
+        data = data.withColumn("_all", one_group(value))
     data = data.select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 3.0 / ACCURACY
     cuts = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-slack, slack)]
