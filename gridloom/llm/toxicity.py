@@ -16,7 +16,6 @@ null labels are skipped, a document with several labels counts as toxic if any s
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +28,8 @@ from gridloom.llm.common import Cached, join_small, over_texts, stage
 
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
+#: Share of the classes' log odds that the score takes into account; 1 finds fewer toxic texts, 0 rejects more clean ones.
+PRIOR = 0.35
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}@$]+")
 
 
@@ -79,8 +80,8 @@ class Model:
         return float(self.grams[grams(word)].mean())
 
 
-def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, epochs: int = 8, batch: int = 64, rate: float = 3.0, balance: float = 0.0, seed: int = 7) -> Model:
-    """Embeddings and softmax trained together with Adagrad on the bags; ``balance`` 1 lets both classes weigh alike, 0 each row."""
+def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, steps: int = 400, batch: int = 64, rate: float = 1.0, calm: float = 1e-8, seed: int = 7) -> Model:
+    """Embeddings and softmax trained together with Adagrad on the bags; both classes weigh alike."""
     labels = np.array([r[0] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 40.0 if labels.any() else -40.0)
@@ -90,8 +91,9 @@ def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, epochs: int = 8, b
     emb = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     out += rng.normal(0, 0.5, out.shape).astype(np.float32)
-    g_emb, g_out, g_bias = np.full_like(emb, 1e-6), np.full_like(out, 1e-2), np.full_like(bias, 1e-2)
+    g_emb, g_out, g_bias = np.full_like(emb, calm), np.full_like(out, 1e-2), np.full_like(bias, 1e-2)
     share = np.bincount(labels, minlength=2) / len(labels)
+    epochs = max(5, -(-steps * batch // len(rows)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
@@ -108,7 +110,7 @@ def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, epochs: int = 8, b
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), labels[pick]] -= 1
-            p *= ((0.5 / share[labels[pick]]) ** balance / len(pick))[:, None]
+            p *= (0.5 / share[labels[pick]] / len(pick))[:, None]
             d_vec, d_out, d_bias = p @ out.T, vec.T @ p, p.sum(0)
             touched, inverse = np.unique(cols, return_inverse=True)
             grad = np.stack([np.bincount(inverse, d_vec[doc, d] * w, len(touched)) for d in range(dim)], 1).astype(np.float32)
@@ -130,11 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 2500) ->
     chosen = stage(parts[0].union(parts[1]), "sample")
     rows = bags(join_small(docs.select("doc_id", "text"), chosen, "doc_id", "inner")).collect()
     model = train(sorted((r["y"], bytes(r["at"]), bytes(r["weight"])) for r in rows))
-    # The sample holds another share of each class than the labels do; the bias makes up for it.
+    # Trained as if both classes were as frequent; the bias takes back PRIOR of the true log odds.
     there = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    taken = Counter(r["y"] for r in rows)
-    if taken[0] and taken[1]:
-        model.bias += float(np.log(there[1] / taken[1]) - np.log(there[0] / taken[0]))
+    if there.get(0) and there.get(1):
+        model.bias += PRIOR * float(np.log(there[1] / there[0]))
     return model
 
 
