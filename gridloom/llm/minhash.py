@@ -6,11 +6,14 @@ the whole sequence is one shingle; without words it is empty and linked with not
 
 1. Documents with equal sets become one class, named by its smallest doc_id; only that one is searched for.
 2. Signatures are cut into bands; classes that share a band are candidates. Each band's bucket first links its members
-   with one hub, so a bucket of any size costs as many pairs as it has members.
+   with one hub, so a bucket of any size costs as many pairs as it has members. The hub is the member that shares most
+   buckets with others: of many copies of one text, the text itself.
 3. Candidates are verified in turns: after each batch of signature values a pair is dropped once the posterior
    probability of a similarity at the threshold (uniform prior) is below ``miss``. Survivors are compared on full sets.
-4. Only where a bucket still holds more than one component, pairs across its components follow by the same steps. Pairs
-   within a component cannot change the result.
+4. Only where a bucket still holds more than one component are its other pairs looked at: its members are dealt into
+   cells of bounded size, and tasks compare signatures within a cell. From buckets of at most DENSE members the pairs of
+   different components that pass all batches leave the task, to be compared on full sets; to cells of larger buckets the
+   full sets are sent along, and only links leave the task. Pairs within a component cannot change the result.
 
 Null and empty texts have no shingles and form components of their own. Repeated rows of a doc_id stay or go together.
 Rows without doc_id are linked with nothing, have a null component and are not kept by it. Extra columns are ignored.
@@ -31,8 +34,10 @@ from gridloom.llm.common import Cached, components, hash64, join_small, over_tex
 BANDS, ROWS = 40, 6
 BATCH = 24
 WIDTH = 5
-#: Two orders in which buckets choose their hub, so that one poor hub does not decide for all bands.
-HUBS = (0, 0x2C3A95)
+#: Members of a bucket that meet in one cell, about twice as many where two parts of a bucket meet.
+CELL = 256
+#: Members up to which a bucket may give out its candidate pairs: half as many a member at most.
+DENSE = 64
 
 _WORDS = Cached(hash64)
 
@@ -126,28 +131,93 @@ def prune(pairs: DataFrame, sigs: DataFrame, count: int, percent: int, miss: flo
             n = batch.num_rows
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, count) for c in ("sig_a", "sig_b"))
             alive, hits, before = np.arange(n), np.zeros(n, np.int64), 0
-            for seen, needed_ in steps:
+            for seen, least in steps:
                 hits[alive] += (x[alive, before:seen] == y[alive, before:seen]).sum(1)
-                alive, before = alive[hits[alive] >= needed_], seen
+                alive, before = alive[hits[alive] >= least], seen
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, width: int, count: int, percent: int, miss: float) -> DataFrame:
-    """Pairs linked by their full sets, among candidates; sets are made anew from the texts of documents that need them."""
-    left = stage(prune(pairs, sigs, count, percent, miss), "survivors")
-    needed = stage(left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct(), "compared")
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Exact comparison of two sets of sorted 64-bit values."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def cells(mixed: DataFrame, own: DataFrame, count: int, percent: int, miss: float) -> DataFrame:
+    """Pairs (a, b) of different ``part`` in buckets (bucket, n, rep, part) that no batch of signature values rules out.
+
+    ``own`` has rep, sig and ``x``, the full set as bytes or null. With sets, pairs that are no links are ruled out too.
+    """
+    chunks = F.ceil(F.col("n") / CELL)
+    dealt = mixed.join(own, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = dealt.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "part", "sig", "x")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    steps = least_matches(count, BATCH, percent, miss)
+
+    def compare(key, rows):
+        """Pairs of a cell; where two chunks meet, only pairs from one to the other."""
+        side, rep, part = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), count)
+        for i in range(len(rows) - 1):
+            alive = np.arange(i + 1, len(rows))
+            alive = alive[(part[alive] != part[i]) & ((side[alive] != side[i]) | (key[1] == key[2]))]
+            hits, before = np.zeros(len(alive), np.int64), 0
+            for seen, least in steps:
+                if not len(alive):
+                    break
+                hits = hits + (sig[alive, before:seen] == sig[i, before:seen]).sum(1)
+                alive, hits, before = alive[hits >= least], hits[hits >= least], seen
+            if len(alive) and rows[i][4] is not None:
+                alive = alive[[linked(rows[i][4], rows[k][4], percent) for k in alive]]
+            if len(alive):
+                yield np.minimum(rep[i], rep[alive]), np.maximum(rep[i], rep[alive])
+
+    def run(batches):
+        key, held = None, []
+
+        def flush():
+            for a, b in compare(key, held) if held else ():
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "chunk", "rep", "part", "sig", "x")]
+            for row in zip(*cols, strict=True):
+                if row[:3] != key:
+                    yield from flush()
+                    key, held = row[:3], []
+                held.append(row[3:])
+        yield from flush()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """rep and ``x``, its full set as sorted 64-bit values, made anew from the texts of the documents ``needed`` (rep)."""
+    found = join_small(docs.select(F.col("doc_id").alias("rep"), "text"), stage(needed, "compared"), "rep", "left_semi")
 
     def work(part: pa.RecordBatch):
-        own = [shingles(t or b"", width).view(np.int64) for t in part.column("text").cast(pa.binary()).to_pylist()]
-        return {"doc_id": part.column("doc_id"), "own": own}
+        return {"rep": part.column("rep"), "x": [shingles(t or b"", width).tobytes() for t in part.column("text").cast(pa.binary()).to_pylist()]}
+
+    return stage(over_texts(found, work, "rep long, x binary"), "sets")
+
 
-    sets = stage(over_texts(join_small(docs.select("doc_id", "text"), needed, "doc_id", "inner").select("doc_id", "text"), work, "doc_id long, own array<long>"), "sets")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
-    sized = both.where(100 * F.least(F.size("x"), F.size("y")) >= percent * F.greatest(F.size("x"), F.size("y")))
-    shared = sized.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return shared.where(100 * F.col("both") >= percent * (F.col("total") - F.col("both"))).select("a", "b").distinct()
+def confirm(docs: DataFrame, left: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs linked by their full sets, among candidates."""
+    ends = left.select(F.col("a").alias("rep")).union(left.select("b")).distinct()
+    sets = full_sets(docs, ends, width)
+
+    def run(batches):
+        for batch in batches:
+            keep = [linked(x, y, percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = left.join(sets.select(F.col("rep").alias("a"), "x"), "a").join(sets.select(F.col("rep").alias("b"), F.col("x").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-9) -> DataFrame:
@@ -157,26 +227,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, band
     classes = stage(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = stage(full.join(classes, "set_key").where("doc_id = rep").select("rep", "sig", "bands"), "representatives")
 
-    def check(pairs):
-        return stage(verify(docs, pairs, reps, width, bands * rows, percent, miss), "links")
-
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    order = F.when(F.col("bucket") % 2 == 0, F.lit(HUBS[0])).otherwise(F.lit(HUBS[1])).cast("long")
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(order)).alias("least")).where("n > 1")
-    members = stage(banded.join(shared.select("bucket", "n", F.col("least").bitwiseXOR(order).alias("hub")), "bucket"), "members")
-    first = stage(members.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "hub-pairs")
-    links = check(first)
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stage(banded.join(shared, "bucket"), "members")
+    weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"))).alias("top"))
+    starred = members.join(hubs.select("bucket", (-F.col("top.back")).alias("hub")), "bucket").where("rep <> hub")
+    first = stage(starred.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "hub-pairs")
+    links = stage(confirm(docs, stage(prune(first, reps, bands * rows, percent, miss), "survivors"), width, percent), "links")
     found = components(links)
-    placed = members.where("n > 2").join(found, members.rep == found.node, "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part"))
+    placed = members.where("n > 2").join(found, members.rep == found.node, "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("part"))
     split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
     mixed = stage(placed.join(split, "bucket"), "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    across = x.join(y, F.expr("x.bucket = y.bucket AND x.part < y.part")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = stage(across.join(first, ["a", "b"], "left_anti"), "cross-pairs")
-    if not rest.isEmpty():
-        more = check(rest)
-        if not more.isEmpty():
-            found = components(links.union(more))
+    sigs = stage(join_small(reps.select("rep", "sig"), stage(mixed.select("rep").distinct(), "needed"), "rep", "left_semi"), "signatures")
+    few, many = mixed.where(F.col("n") <= DENSE), mixed.where(F.col("n") > DENSE)
+    rest = cells(few, sigs.withColumn("x", F.lit(None).cast("binary")), bands * rows, percent, miss)
+    more = confirm(docs, stage(rest.join(first, ["a", "b"], "left_anti"), "cell-pairs"), width, percent)
+    sets = full_sets(docs, many.select("rep").distinct(), width)
+    more = stage(more.union(cells(many, sigs.join(sets, "rep"), bands * rows, percent, miss)), "more-links")
+    if not more.isEmpty():
+        found = components(links.union(more))
     rooted = classes.join(found, classes.rep == found.node, "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     placed = prints.join(rooted, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))

@@ -314,6 +314,7 @@ def test_components(spark, pairs):
 def test_near_copies_against_brute_force(spark, monkeypatch):
     """Chains, a star of near copies and copies, with cells so small that buckets are cut."""
     monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "DENSE", 8)
     rng = random.Random(6)
     word = lambda: f"w{rng.randint(0, 5000)}"
     base = [word() for _ in range(120)]
