@@ -27,9 +27,9 @@ def scan_parquet(spark, sf):
     return keep(out, "event_type", "n_rows", "first_ts", "last_ts", rnd=("mean",))
 
 
-@query("scan_projected", "SELECT event_id, event_type, ts FROM events WHERE event_type <> 'view'")
+@query("scan_projected", "SELECT event_id, event_type, ts FROM events")
 def scan_projected(spark, sf):
-    return tb.load_table(spark, f"{sf}/events.parquet", ["event_id", "event_type", "ts"]).where("event_type <> 'view'")
+    return tb.load_table(spark, f"{sf}/events.parquet", ["event_id", "event_type", "ts"])
 
 
 @query("file_listing")
@@ -58,9 +58,8 @@ def cell_table(spark, sf):
 _SHEETS = "SELECT DISTINCT event_type AS source_file, CAST(day(ts) AS BIGINT) AS sheet_pos, CASE WHEN day(ts) % 7 = 0 THEN 'notes ' || strftime(ts, '%d') ELSE strftime(ts, '%d') || CASE WHEN day(ts) % 5 = 0 THEN ' copy' ELSE '' END END AS source_sheet FROM events"
 
 
-@query("sheet_filter", f"""SELECT source_file, sheet_pos, source_sheet FROM (
-  SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY sheet_pos) AS place FROM ({_SHEETS}))
-WHERE place <= 20 AND regexp_full_match(source_sheet, '[0-9]{{1,2}}')""")
+@query("sheet_filter", f"""SELECT source_file, sheet_pos, source_sheet FROM ({_SHEETS})
+WHERE regexp_full_match(source_sheet, '[0-9]{{1,2}}')""")
 def sheet_filter(spark, sf):
     day = F.date_format("ts", "dd")
     n = F.dayofmonth("ts").cast("bigint")
@@ -68,16 +67,16 @@ def sheet_filter(spark, sf):
     listing = fr.table(spark, sf, "events", "event_type", "ts").select(
         F.col("event_type").alias("source_file"), n.alias("sheet_pos"), name.alias("source_sheet")
     )
-    return sh.filter_sheets(listing.distinct(), max_per_file=20)
+    return sh.filter_sheets(listing.distinct())
 
 
 @query("union_by_name", """SELECT event_type AS station, ts AS timestamp, 'a' AS source_file, value AS "A", CAST(NULL AS DOUBLE) AS "B" FROM events
-WHERE event_type = 'click'
+WHERE event_type <> 'view'
 UNION ALL SELECT event_type, ts, 'b', TRY_CAST(CASE WHEN event_id % 2 = 0 THEN 'off' ELSE CAST(value AS VARCHAR) END AS DOUBLE), CAST(user_id AS DOUBLE) FROM events
 WHERE event_type = 'view'""")
 def union_by_name(spark, sf):
     ev = fr.table(spark, sf, "events", "event_id", "event_type", "ts", "value", "user_id")
-    a = ev.where("event_type = 'click'").select(
+    a = ev.where("event_type <> 'view'").select(
         F.col("value").alias("A"), F.col("ts").alias("timestamp"), F.col("event_type").alias("station"), F.lit("a").alias("source_file")
     )
     text = F.when(F.col("event_id") % 2 == 0, "off").otherwise(F.col("value").cast("string"))

@@ -14,6 +14,7 @@ from gridloom.operators import prepare as pr
 from gridloom.operators.features import causal_features
 from gridloom.operators.naming import pivot_wide
 from gridloom.operators.split import require_nonnull
+from gridloom.plans.series import epoch_us
 from gridloom.session import stage_table
 
 _SAMPLE = "CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) ELSE 1 END"
@@ -154,18 +155,17 @@ def horizon_exact(spark, sf):
 _SEQ = """SELECT station, ts, value AS y, first_ts, last_ts, s, m FROM (
   SELECT *, count(*) OVER w AS m, min(ts) OVER w AS first_ts, max(ts) OVER w AS last_ts, sum(value) OVER w AS s,
     count(*) OVER (PARTITION BY station) AS n
-  FROM complete WINDOW w AS (PARTITION BY station ORDER BY ts ROWS BETWEEN {a} PRECEDING AND {b})) WHERE m = {t} AND n > {t} + 1"""
+  FROM complete WINDOW w AS (PARTITION BY station ORDER BY ts ROWS BETWEEN {a} PRECEDING AND {b})) WHERE m = {t}"""
 _T = 24
 
 
 @query("sequence_windows", f"""SELECT station, ts, {R('y', 'y')}, first_ts, last_ts, {R('s', 'x_sum')}, m AS n_items,
   epoch_us(last_ts) - epoch_us(first_ts) = {(_T - 1) * 900_000_000} AS contiguous FROM ({_SEQ.format(a=_T, b='1 PRECEDING', t=_T)})""")
 def sequence_windows(spark, sf):
-    """Windows summed up per row; those without a hole in time are marked by a second, contiguous build."""
-    rows = complete_rows(spark, sf)
-    windows = lb.sequence_windows(rows, ["value"], "value", _T)
-    whole = lb.sequence_windows(rows, ["value"], "value", _T, contiguous_step_s=900)
-    marked = windows.join(whole.select("station", "ts", F.lit(True).alias("contiguous")), ["station", "ts"], "left")
+    """Windows summed up per row, and whether they have no hole in time."""
+    windows = lb.sequence_windows(complete_rows(spark, sf), ["value"], "value", _T)
+    span = epoch_us(F.col("x")[_T - 1]["ts"]) - epoch_us(F.col("x")[0]["ts"])
+    marked = windows.withColumn("contiguous", span == (_T - 1) * 900_000_000)
     total = F.aggregate("x", F.lit(0.0), lambda s, r: s + r["value"])
     out = marked.select(
         "station",
@@ -175,7 +175,7 @@ def sequence_windows(spark, sf):
         F.col("x")[_T - 1]["ts"].alias("last_ts"),
         total.alias("x_sum"),
         F.size("x").cast("bigint").alias("n_items"),
-        F.coalesce("contiguous", F.lit(False)).alias("contiguous"),
+        "contiguous",
     )
     return keep(out, "station", "ts", "first_ts", "last_ts", "n_items", "contiguous", rnd=("y", "x_sum"))
 
@@ -185,7 +185,7 @@ def sequence_windows(spark, sf):
     count(*) OVER (PARTITION BY station) AS n
   FROM complete WINDOW o AS (PARTITION BY station ORDER BY ts),
     w AS (PARTITION BY station ORDER BY ts ROWS BETWEEN {_T - 1} PRECEDING AND CURRENT ROW))
-WHERE m = {_T} AND y_ts IS NOT NULL AND n >= {_T} + 4 + 5""")
+WHERE m = {_T} AND y_ts IS NOT NULL""")
 def sequence_multi(spark, sf):
     windows = lb.sequence_windows_multi(complete_rows(spark, sf), ["value"], ["value"], _T, 4)
     total = F.aggregate("x", F.lit(0.0), lambda s, r: s + r["value"])

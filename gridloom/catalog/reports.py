@@ -29,17 +29,17 @@ def metrics_basic(spark, sf):
 
 
 @query("metrics_by_station", f"""SELECT model, station, n_rows, {MS} FROM metric_rows
-WHERE split = 'test' AND target = 'value' AND (station = 'ALL' OR n_rows >= 10)""")
+WHERE split = 'test' AND target = 'value'""")
 def metrics_by_station(spark, sf):
     preds = value_preds(spark, sf).where("split = 'test'")
-    return keep(me.metrics_table(preds, min_rows=10), "model", "station", "n_rows", rnd=M)
+    return keep(me.metrics_table(preds), "model", "station", "n_rows", rnd=M)
 
 
 @query("metrics_by_target", f"""SELECT target, model, station, n_rows, {MS} FROM metric_rows
-WHERE split = 'test' AND (station = 'ALL' OR n_rows >= 50)""")
+WHERE split = 'test'""")
 def metrics_by_target(spark, sf):
     preds = fr.predictions(spark, sf).where("split = 'test'")
-    return keep(me.metrics_table(preds, ["target", "model"], min_rows=50), "target", "model", "station", "n_rows", rnd=M)
+    return keep(me.metrics_table(preds, ["target", "model"]), "target", "model", "station", "n_rows", rnd=M)
 
 
 @query("metrics_by_split", f"SELECT split, model, station, n_rows, {MS} FROM metric_rows WHERE target = 'value'")

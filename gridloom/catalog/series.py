@@ -48,15 +48,11 @@ def step_topk(spark, sf):
     return gr.step_topk(fr.floored_events(spark, sf))
 
 
-_AUDIT = 20
-
-
 @query("sheet_audit", f"""SELECT station, source_sheet, n_rows, {R('frac_15', 'frac_15')}, {R('frac_60', 'frac_60')} FROM (
   SELECT station, source_sheet, count(*) AS n_rows, {_NEAR.format(s=900.0)} AS frac_15, {_NEAR.format(s=3600.0)} AS frac_60
-  FROM {_DELTAS.format(k='station, source_sheet')} GROUP BY 1, 2)
-WHERE n_rows >= {_AUDIT} AND frac_60 >= 0.02 ORDER BY frac_60 DESC, n_rows DESC, station, source_sheet LIMIT 50""")
+  FROM {_DELTAS.format(k='station, source_sheet')} GROUP BY 1, 2)""")
 def sheet_audit(spark, sf):
-    out = gr.sheet_audit(fr.floored_events(spark, sf), min_rows=_AUDIT, min_hourly=0.02)
+    out = gr.sheet_audit(fr.floored_events(spark, sf))
     return keep(out, "station", "source_sheet", "n_rows", rnd=("frac_15", "frac_60"))
 
 

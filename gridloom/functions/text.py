@@ -89,6 +89,8 @@ def parse_timestamp(cell: Column | str) -> Column:
     worded = F.regexp_replace(F.regexp_replace(text, r"[-,]", " "), r"^(\d+)[ /](\d+)[ /](\d+)", "$1/$2/$3")
     worded = F.initcap(F.regexp_replace(worded, r"\s+", " "))
     tries = [F.try_to_timestamp(worded, F.lit(f)).cast("timestamp_ntz") for f in WORDED_FORMATS]
+    # Two-digit years from 69 on lie in the last century.
+    recent = F.regexp_extract(text, SHORT_DATE, 3) < "69"
     serial = plain_number(text)
     in_range = (serial > SERIAL_RANGE[0]) & (serial < SERIAL_RANGE[1])
     micros = F.round((serial - SERIAL_DAYS_TO_1970) * 86_400_000_000.0).cast("bigint")
@@ -96,7 +98,7 @@ def parse_timestamp(cell: Column | str) -> Column:
         shaped(NUMERIC_DATE, "$3-$2-$1 $4", "$3-$1-$2 $4"),
         shaped(YEAR_FIRST_DATE, "$1-$2-$3 $4", "$1-$3-$2 $4"),
         shaped(YEAR_OR_MONTH, "$0"),
-        shaped(SHORT_DATE, "20$3-$2-$1 $4", "20$3-$1-$2 $4"),
+        F.when(recent, shaped(SHORT_DATE, "20$3-$2-$1 $4", "20$3-$1-$2 $4")).otherwise(shaped(SHORT_DATE, "19$3-$2-$1 $4", "19$3-$1-$2 $4")),
         shaped(COMPACT_DATE, "$1-$2-$3"),
         F.when(text.rlike(r"^\d.*[A-Za-z]{2}"), F.coalesce(*tries)),
         F.when(in_range, F.timestamp_micros(micros).cast("timestamp_ntz")),

@@ -129,17 +129,12 @@ def step_topk(df: DataFrame, k: int = 8) -> DataFrame:
     return counts.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
-def sheet_audit(df: DataFrame, min_rows: int = 500, min_hourly: float = 0.10, limit: int = 50) -> DataFrame:
-    """Sheets in which hourly steps are common."""
+def sheet_audit(df: DataFrame) -> DataFrame:
+    """All sheets, those first in which hourly steps are most common; shares are null where there is no step."""
     keys = ("station", "source_sheet")
     rows = df.where(F.col("ts").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     shares = step_deltas(df, keys).groupBy(*keys).agg(_share(900.0).alias("frac_15"), _share(3600.0).alias("frac_60"))
-    return (
-        shares.join(rows, list(keys))
-        .where((F.col("n_rows") >= min_rows) & (F.col("frac_60") >= min_hourly))
-        .orderBy(F.desc("frac_60"), F.desc("n_rows"), *keys)
-        .limit(limit)
-    )
+    return rows.join(shares, list(keys), "left").orderBy(F.desc_nulls_last("frac_60"), F.desc("n_rows"), *keys)
 
 
 def top_sheets(df: DataFrame, k: int = 20) -> DataFrame:

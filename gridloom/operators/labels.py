@@ -42,11 +42,11 @@ def sequence_windows(
     keys: Sequence[str] = ("station",),
     bucket_s: int = 86_400,
 ) -> DataFrame:
-    """Input rows t-T .. t-1 as an array and the label of row t; series with n <= T + 1 rows are left out.
+    """Input rows t-T .. t-1 as an array and the label of row t, wherever T rows come before.
 
     ``contiguous_step_s`` keeps only windows without a hole in time.
     """
-    numbered = number_rows(df, keys, bucket_s=bucket_s, pos="_pos").where(F.col("n_pos") > length + 1)
+    numbered = number_rows(df, keys, bucket_s=bucket_s, pos="_pos")
     rows, own = overlap_blocks(numbered, before=length, pos="_pos")
     frame = block_window(keys, "_pos").rowsBetween(-length, -1)
     x = F.collect_list(F.struct("ts", *features)).over(frame)
@@ -67,8 +67,8 @@ def sequence_windows_multi(
     keys: Sequence[str] = ("station",),
     bucket_s: int = 86_400,
 ) -> DataFrame:
-    """Windows ending at row t with one label per target at row t + h; a series needs T + h + 5 rows."""
-    numbered = number_rows(df, keys, bucket_s=bucket_s, pos="_pos").where(F.col("n_pos") >= length + horizon + 5)
+    """Windows ending at row t with one label per target at row t + h, wherever both exist."""
+    numbered = number_rows(df, keys, bucket_s=bucket_s, pos="_pos")
     rows, own = overlap_blocks(numbered, before=length - 1, after=horizon, pos="_pos")
     w = block_window(keys, "_pos")
     x = F.collect_list(F.struct("ts", *features)).over(w.rowsBetween(-(length - 1), 0))

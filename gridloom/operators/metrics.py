@@ -46,13 +46,11 @@ def metrics(preds: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     return _finish(sums, keys)
 
 
-def metrics_table(
-    preds: DataFrame, keys: Sequence[str] = ("model",), by: str = "station", min_rows: int = 0
-) -> DataFrame:
+def metrics_table(preds: DataFrame, keys: Sequence[str] = ("model",), by: str = "station") -> DataFrame:
     """Metrics per key and station plus the pooled ``ALL`` rows.
 
-    Rows are read once: the pooled metrics are combined from the station sums. Stations with fewer than ``min_rows``
-    rows are not listed but count in ``ALL``.
+    Rows are read once: the pooled metrics are combined from the station sums. Every station is listed with its
+    number of rows.
     """
     parts = error_sums(preds, [*keys, by])
     everyone = Window.partitionBy(*keys)
@@ -74,11 +72,17 @@ def metrics_table(
         .withColumn("_mean", F.col("_total") / F.col("n_rows"))
         .withColumn(by, F.when(F.col("_pooled"), F.lit(POOLED)).otherwise(F.col(by)))
     )
-    return _finish(sums.where(F.col("_pooled") | (F.col("n_rows") >= min_rows)), [*keys, by])
+    return _finish(sums, [*keys, by])
+
+
+def row_keys(preds: DataFrame) -> list[str]:
+    """What names a predicted row: split, station and time, and the target where there are several."""
+    return ["split", "station", *(["target"] if "target" in preds.columns else []), "ts"]
 
 
-def align_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[str] = ("split", "station", "ts")) -> DataFrame:
+def align_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
     """One row per key with a column per model, kept only where every model predicts."""
+    keys = keys or row_keys(preds)
     wide = preds.groupBy(*keys).agg(
         F.max("y_true").alias("y_true"),
         *[F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(f"pred_{m}") for m in models],
@@ -86,7 +90,8 @@ def align_predictions(preds: DataFrame, models: Sequence[str], keys: Sequence[st
     return wide.dropna(subset=["y_true", *[f"pred_{m}" for m in models]])
 
 
-def long_predictions(wide: DataFrame, models: Sequence[str], keys: Sequence[str] = ("split", "station", "ts")) -> DataFrame:
+def long_predictions(wide: DataFrame, models: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
+    keys = keys or row_keys(wide)
     cells = [F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("y_pred")) for m in models]
     return wide.select(*keys, "y_true", F.inline(F.array(*cells)))
 
@@ -129,7 +134,7 @@ def route_models(
 
 
 def apply_routing(
-    preds: DataFrame, routing: DataFrame, default: str, keys: Sequence[str] = ("station",), row: Sequence[str] = ("split", "station", "ts")
+    preds: DataFrame, routing: DataFrame, default: str, keys: Sequence[str] = ("station",), row: Sequence[str] | None = None
 ) -> DataFrame:
     """The chosen model's prediction per row, or the default model's where the chosen one has none."""
     chosen = routing.select(*keys, F.col("model").alias("_chosen"))
@@ -138,7 +143,7 @@ def apply_routing(
     )
     own = F.max(F.when(F.col("model") == F.col("_chosen"), F.col("y_pred")))
     spare = F.max(F.when(F.col("model") == F.lit(default), F.col("y_pred")))
-    group = list(dict.fromkeys([*row, *keys]))
+    group = list(dict.fromkeys([*(row or row_keys(preds)), *keys]))
     return (
         rows.groupBy(*group)
         .agg(

@@ -52,13 +52,20 @@ def impute_wide(df: DataFrame, medians: DataFrame, features: Sequence[str], keys
 # Ridge from Gram matrices
 
 
-def gram_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_held: int = 64) -> DataFrame:
-    """Cells (i <= j) of the Gram matrix of [1, columns] per key.
+def centres(df: DataFrame, columns: Sequence[str]) -> list[float]:
+    """Mean of each column over all rows, as numbers to shift by; 0 where there is none."""
+    row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return [x if x is not None and np.isfinite(x) else 0.0 for x in row]
+
+
+def gram_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_held: int = 64, shift: Sequence[float] | None = None) -> DataFrame:
+    """Cells (i <= j) of the Gram matrix of [1, columns - shift] per key; a shift near the means keeps all digits.
 
     Every task adds up its own rows; the partial cells are then summed by Spark, so no group holds more than the cells
     of one key, however many rows the key has.
     """
     key_names, names, held = list(keys), list(columns), max_held
+    offset = np.array(shift if shift is not None else [0.0] * len(names))
     upper = np.triu_indices(len(names) + 1)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,8 +78,9 @@ def gram_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_h
             sums.clear()
 
         for batch in batches:
-            for key, part in batch.groupby(key_names, sort=False):
-                x = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float)])
+            for key, part in batch.groupby(key_names, sort=False, dropna=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                x = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float) - offset])
                 sums[key] = sums[key] + x.T @ x if key in sums else x.T @ x
             if len(sums) > held:
                 yield from flush()
@@ -84,7 +92,7 @@ def gram_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_h
 
 
 def solve_ridge(
-    grams: DataFrame, key: str, n_features: int, targets: Sequence[str], alphas: Sequence[float] = ALPHAS, refit: bool = False
+    grams: DataFrame, key: str, n_features: int, targets: Sequence[str], alphas: Sequence[float] = ALPHAS, refit: bool = False, shift: Sequence[float] | None = None
 ) -> DataFrame:
     """Coefficients per (key, target): alpha with the lowest mean validation RMSE, the first on ties.
 
@@ -93,6 +101,7 @@ def solve_ridge(
     alphas. ``refit`` solves the chosen alpha again on train and val together.
     """
     names, tried, p = list(targets), [float(a) for a in alphas], n_features
+    offset = np.array(shift if shift is not None else [0.0] * (p + len(names)))
 
     def fit(gram: np.ndarray, alpha: float) -> np.ndarray:
         n = gram[0, 0]
@@ -128,7 +137,8 @@ def solve_ridge(
             best = int(np.nanargmin(score)) if np.isfinite(score).any() else 0
             beta = fit(train + val, tried[best]) if refit else fits[best]
             for t, name in enumerate(names):
-                rows.append((pdf[key].iloc[0], name, tried[best], errors[best, t], beta[0, t], beta[1:, t].tolist(), int(train[0, 0])))
+                own = None if pd.isna(pdf[key].iloc[0]) else pdf[key].iloc[0]
+                rows.append((own, name, tried[best], errors[best, t], beta[0, t] + offset[p + t] - offset[:p] @ beta[1:, t], beta[1:, t].tolist(), int(train[0, 0])))
         columns = [key, "target", "alpha", "val_rmse", "intercept", "coefs", "n_train"]
         return pd.DataFrame(rows, columns=columns)
 
@@ -147,8 +157,9 @@ def fit_ridge(
     """Ridge per value of ``key``, or one pooled model, for one or several targets."""
     rows = df if key else df.withColumn("scope", F.lit(POOLED))
     name = key or "scope"
-    grams = gram_cells(rows.where(F.col("split").isin("train", "val")), [name, "split"], [*features, *targets])
-    return solve_ridge(grams, name, len(features), targets, alphas, refit)
+    used, columns = rows.where(F.col("split").isin("train", "val")), [*features, *targets]
+    shift = centres(used, columns)
+    return solve_ridge(gram_cells(used, [name, "split"], columns, shift=shift), name, len(features), targets, alphas, refit, shift)
 
 
 def _dot(x: str | Column, w: str | Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import HEADER_CELL, SHEET_NAME, clean_value, header_name, parse_timestamp, station_from_path
@@ -17,13 +17,9 @@ from gridloom.plans.joins import join_params
 SHEET = ("source_file", "source_sheet")
 
 
-def filter_sheets(sheets: DataFrame, pattern: str = SHEET_NAME, max_per_file: int | None = None, order: str = "sheet_pos") -> DataFrame:
-    """Sheets whose name matches; a cap per file counts sheets before names are looked at."""
-    rows = sheets
-    if max_per_file is not None:
-        place = F.row_number().over(Window.partitionBy("source_file").orderBy(order, "source_sheet"))
-        rows = rows.withColumn("_place", place).where(F.col("_place") <= max_per_file).drop("_place")
-    return rows.where(F.col("source_sheet").rlike(pattern))
+def filter_sheets(sheets: DataFrame, pattern: str = SHEET_NAME) -> DataFrame:
+    """Sheets whose name matches."""
+    return sheets.where(F.col("source_sheet").rlike(pattern))
 
 
 def _last_used(cells: str = "cells") -> Column:
@@ -31,30 +27,33 @@ def _last_used(cells: str = "cells") -> Column:
     return F.array_max(F.transform(F.col(cells), lambda c, i: F.when(F.regexp_replace(c, r"\s+", "") != "", i)))
 
 
-def variable_rows(cells: DataFrame, preview: int = 50, pattern: str = HEADER_CELL) -> DataFrame:
-    """Per sheet the first of the leading rows whose first cell is the time heading; null when there is none."""
-    head = cells.where(F.col("row_idx") < preview)
+def _leading(cells: DataFrame, preview: int | None) -> DataFrame:
+    return cells if preview is None else cells.where(F.col("row_idx") < preview)
+
+
+def variable_rows(cells: DataFrame, preview: int | None = None, pattern: str = HEADER_CELL) -> DataFrame:
+    """Per sheet the first row whose first cell is the time heading; null when there is none.
+
+    ``preview`` looks at that many leading rows only; without it a heading is found wherever it stands.
+    """
     is_header = F.get("cells", 0).rlike(pattern)
-    return head.groupBy(*SHEET).agg(F.min(F.when(is_header, F.col("row_idx"))).cast("bigint").alias("var_row"))
+    return _leading(cells, preview).groupBy(*SHEET).agg(F.min(F.when(is_header, F.col("row_idx"))).cast("bigint").alias("var_row"))
 
 
-def sheet_layout(cells: DataFrame, preview: int = 50, pattern: str = HEADER_CELL) -> DataFrame:
+def sheet_layout(cells: DataFrame, preview: int | None = None, pattern: str = HEADER_CELL) -> DataFrame:
     """Per sheet: header row, used width, variable names and the reason to skip it, if any.
 
-    Only the leading rows of a sheet are gathered, so a group holds at most ``preview`` rows.
+    Two aggregates with map-side combine: the heading of each sheet, then the width of the rows down to it.
     """
-    is_header = F.coalesce(F.get("cells", 0).rlike(pattern), F.lit(False))
-    row = F.struct(
-        "row_idx", is_header.alias("is_header"), _last_used().alias("last"), F.when(is_header, F.col("cells")).alias("names")
-    )
-    head = cells.where(F.col("row_idx") < preview).groupBy(*SHEET).agg(F.array_sort(F.collect_list(row)).alias("_head"))
-    first = F.get(F.filter("_head", lambda r: r["is_header"]), 0)
-    found = head.withColumn("_first", first).withColumn("var_row", F.col("_first.row_idx").cast("bigint"))
-    upto = F.filter("_head", lambda r: r["row_idx"] <= F.col("var_row"))
-    last = F.coalesce(F.array_max(F.transform(upto, lambda r: r["last"])), F.lit(0))
-    width = F.when(F.col("var_row").isNotNull(), last + 1).cast("bigint")
+    head = _leading(cells, preview)
+    place = F.when(F.get("cells", 0).rlike(pattern), F.col("row_idx"))
+    heading = head.groupBy(*SHEET).agg(F.min(place).cast("bigint").alias("var_row"), F.min_by("cells", place).alias("_names"))
+    upto = join_params(head.select(*SHEET, "row_idx", _last_used().alias("_last")), heading.select(*SHEET, "var_row"), SHEET)
+    widths = upto.where(F.col("row_idx") <= F.col("var_row")).groupBy(*SHEET).agg(F.max("_last").alias("_last"))
+    found = heading.join(widths, list(SHEET), "left")
+    width = F.when(F.col("var_row").isNotNull(), F.coalesce("_last", F.lit(0)) + 1).cast("bigint")
     raw = F.transform(
-        F.slice("_first.names", F.lit(2), F.greatest(F.col("width") - 1, F.lit(0)).cast("int")),
+        F.slice("_names", F.lit(2), F.greatest(F.col("width") - 1, F.lit(0)).cast("int")),
         lambda c, i: header_name(c, i + 2),
     )
     reason = F.when(F.col("var_row").isNull(), "no variable row").when(F.col("width") < 2, "too few columns")
@@ -76,11 +75,11 @@ def unique_names(names: str) -> Column:
     return F.transform(listed, numbered)
 
 
-def active_width(cells: DataFrame, preview: int = 50) -> DataFrame:
+def active_width(cells: DataFrame, preview: int | None = None) -> DataFrame:
     return sheet_layout(cells, preview).select(*SHEET, "var_row", "width")
 
 
-def header_names(cells: DataFrame, preview: int = 50) -> DataFrame:
+def header_names(cells: DataFrame, preview: int | None = None) -> DataFrame:
     """One row per (sheet, variable column) with its 1-based sheet column and unique name."""
     layout = sheet_layout(cells, preview).where(F.col("skip_reason").isNull())
     return layout.select(*SHEET, F.posexplode("names").alias("_i", "variable")).select(
@@ -88,7 +87,7 @@ def header_names(cells: DataFrame, preview: int = 50) -> DataFrame:
     )
 
 
-def data_rows(cells: DataFrame, preview: int = 50) -> DataFrame:
+def data_rows(cells: DataFrame, preview: int | None = None) -> DataFrame:
     """Rows below the unit row whose time parses, with the sheet's variable names."""
     layout = sheet_layout(cells, preview).where(F.col("skip_reason").isNull()).select(*SHEET, "var_row", "names")
     rows = join_params(cells, layout, SHEET).where(F.col("row_idx") >= F.col("var_row") + 2)
@@ -97,7 +96,7 @@ def data_rows(cells: DataFrame, preview: int = 50) -> DataFrame:
     return timed.where(F.col("ts").isNotNull())
 
 
-def sheet_to_long(cells: DataFrame, preview: int = 50, station: Column | None = None) -> DataFrame:
+def sheet_to_long(cells: DataFrame, preview: int | None = None, station: Column | None = None) -> DataFrame:
     """Tidy readings of every usable sheet, with their station and origin."""
     rows = data_rows(cells, preview)
     pairs = F.transform("names", lambda name, i: F.struct(name.alias("variable"), F.get("cells", i + 1).alias("cell")))
@@ -116,7 +115,7 @@ def in_sheet_order(df: DataFrame, keys: Sequence[str] = ("station", "ts")) -> Da
     return df.sortWithinPartitions(*keys)
 
 
-def ingest_report(cells: DataFrame, preview: int = 50) -> DataFrame:
+def ingest_report(cells: DataFrame, preview: int | None = None) -> DataFrame:
     """Per sheet: station, rows with a time, columns of the tidy sheet, and why it was skipped."""
     layout = sheet_layout(cells, preview)
     counts = data_rows(cells, preview).groupBy(*SHEET).agg(F.count(F.lit(1)).alias("_rows"))

@@ -106,13 +106,15 @@ def tail_rows(df: DataFrame, n: int, keys: Sequence[str] = ("station",), bucket_
     return numbered.where(F.col("pos") >= F.col("n_pos") - n).select(*df.columns)
 
 
-def history_context(df: DataFrame, rows: int = 97) -> DataFrame:
+def history_context(df: DataFrame, rows: int = 97, train: float = 0.70, val: float = 0.85) -> DataFrame:
     """For val and test: the last ``rows`` grid places before the split, marked with the split they serve.
 
+    ``train`` and ``val`` are the shares at which the chronological split ends its parts.
+
     Feature windows run over the whole series, so nothing downstream needs these copies; the operator serves jobs
     that score one split at a time.
     """
-    train_end, val_end = F.floor(F.col("n_pos") * F.lit(0.70)), F.floor(F.col("n_pos") * F.lit(0.85))
+    train_end, val_end = F.floor(F.col("n_pos") * F.lit(train)), F.floor(F.col("n_pos") * F.lit(val))
     serves = F.array_compact(
         F.array(
             F.when((F.col("pos") < train_end) & (F.col("pos") >= train_end - rows), F.lit("val")),

@@ -14,17 +14,16 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def list_files(spark: SparkSession, root: str, extensions: Sequence[str] = (".xls", ".xlsx", ".xlsm"), first: int | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str, extensions: Sequence[str] = (".xls", ".xlsx", ".xlsm")) -> DataFrame:
     """Data files below ``root`` in path order, without lock files; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     ending = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     listed = files.select("path", name.alias("name"), F.col("length").alias("n_bytes"))
-    listed = listed.where(ending.isin(*extensions) & ~F.startswith(name, F.lit("~$"))).orderBy("path")
-    return listed if first is None else listed.limit(first)
+    return listed.where(ending.isin(*extensions) & ~F.startswith(name, F.lit("~$"))).orderBy("path")
 
 
-def read_cells(spark: SparkSession, root: str, delimiter: str = "\t", max_columns: int = 1024) -> DataFrame:
+def read_cells(spark: SparkSession, root: str, delimiter: str = "\t") -> DataFrame:
     """Delimited sheet dumps as source_file, source_sheet, row_idx, cells.
 
     Dumps lie at ``<root>/<book ...>/<sheet>.<ext>``. Large dumps are split over tasks: rows are numbered inside each
@@ -50,7 +49,7 @@ def read_cells(spark: SparkSession, root: str, delimiter: str = "\t", max_column
         F.regexp_replace(inner, r"/[^/]*$", "").alias("source_file"),
         F.regexp_extract(inner, r"([^/]*?)(\.[^./]*)?$", 1).alias("source_sheet"),
         (F.col("_id") + F.col("_shift")).alias("row_idx"),
-        F.slice(F.split("value", _quoted(delimiter), -1), 1, max_columns).alias("cells"),
+        F.split("value", _quoted(delimiter), -1).alias("cells"),
     )
 
 

@@ -41,6 +41,9 @@ def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
         return f"columns {sorted(spark_df.columns)} != {sorted(sql_df.columns)}"
     if len(spark_df) != len(sql_df):
         return f"rows {len(spark_df)} != {len(sql_df)}"
+    for c in spark_df.columns:  # nullable integers: floats on one side, masked integers on the other
+        if spark_df[c].isna().any() and spark_df[c].dtype.kind == "f" and sql_df[c].dtype.kind == "i":
+            sql_df[c] = sql_df[c].astype(float)
     kinds = {c: (spark_df[c].dtype.kind, sql_df[c].dtype.kind) for c in spark_df.columns}
     odd = {c: k for c, k in kinds.items() if k[0] != k[1] and spark_df[c].notna().any()}
     if odd:

@@ -178,7 +178,6 @@ def test_metrics_and_pooling(spark):
         assert table[s]["rmse"] == pytest.approx(np.sqrt((e**2).mean()))
         assert table[s]["mae"] == pytest.approx(e.abs().mean())
         assert table[s]["r2"] == pytest.approx(1 - (e**2).sum() / ((p.y_true - p.y_true.mean()) ** 2).sum())
-    assert {r["station"] for r in me.metrics_table(preds, min_rows=10**6).collect()} == {"ALL"}
     flat = predictions(spark, [("A", i, "m", 2.0, 2.5) for i in range(3)])
     assert me.metrics(flat).first()["r2"] is None
 
@@ -232,3 +231,27 @@ def test_selection(spark):
     assert pr.default_targets(df, ["q", "y", "a"]) == ["y", "a"]
     with pytest.raises(ValueError):
         pr.default_targets(df)
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e5, 1e9])
+def test_ridge_far_from_zero(spark, mean):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (400, 2))
+    y = 3 * x[:, 0] - 2 * x[:, 1] + rng.normal(0, 0.1, 400)
+    rows = [("A" if i % 2 else None, "train" if i < 300 else "val", float(mean + a), float(mean + b), float(mean + t)) for i, ((a, b), t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "station string, split string, a double, b double, y double")
+    got = mo.fit_ridge(df, ["a", "b"], ["y"], alphas=(1e-6,)).first()
+    design = np.column_stack([np.ones(300), x[:300]])
+    want = np.linalg.lstsq(design, y[:300], rcond=None)[0]
+    assert np.allclose(got["coefs"], want[1:], atol=1e-6)
+    assert got["n_train"] == 300
+    assert {r["station"]: r["n_train"] for r in mo.fit_ridge(df, ["a", "b"], ["y"], key="station").collect()} == {"A": 150, None: 150}
+
+
+def test_targets_stay_apart(spark):
+    rows = [("test", "A", t, i, m, float(10 * (t == "w") + i), float(i)) for t in ("v", "w") for i in range(3) for m in ("m1", "m2")]
+    preds = spark.createDataFrame(rows, "split string, station string, target string, ts int, model string, y_true double, y_pred double")
+    wide = me.align_predictions(preds, ["m1", "m2"])
+    assert wide.count() == 6 and me.long_predictions(wide, ["m1", "m2"]).count() == 12
+    routing = spark.createDataFrame([("A", "m2")], "station string, model string")
+    assert me.apply_routing(preds, routing, "m1").count() == 6
