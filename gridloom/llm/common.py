@@ -18,7 +18,7 @@ from gridloom.session import stage_table
 #: Rows of a key table up to which a join may broadcast it: at most 32 MB of two longs, counted before each use.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python task handles at once; a longer text is handled alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the line and word definitions: space and tab to carriage return.
@@ -85,7 +85,7 @@ def _arrow(schema: str | StructType) -> pa.Schema:
 class Cached(dict):
     """Values of a pure function by key; emptied when full, so that its memory is bounded."""
 
-    def __init__(self, compute: Callable, most: int = 400_000):
+    def __init__(self, compute: Callable, most: int = 150_000):
         super().__init__()
         self.compute, self.most = compute, most
 

@@ -51,7 +51,7 @@ def tokens(text: bytes) -> list[str]:
 
 def bags(docs: DataFrame) -> DataFrame:
     """Each document as n-gram buckets with weights that sum to 1, and its number of words."""
-    known = Cached(grams, 100_000)
+    known = Cached(grams, 50_000)
 
     def bag(text: bytes):
         found = tokens(text)
@@ -60,7 +60,7 @@ def bags(docs: DataFrame) -> DataFrame:
         lists = [known[w] for w in found]
         weight = np.bincount(np.concatenate(lists), np.concatenate([np.full(len(x), 1 / len(x) / len(found)) for x in lists]), BUCKETS)
         at = np.flatnonzero(weight)
-        return at.astype(np.int32).tobytes(), weight[at].astype(np.float32).tobytes()
+        return at.astype(np.uint16).tobytes(), weight[at].astype(np.float32).tobytes()
 
     def work(part: pa.RecordBatch):
         rows = [bag(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
@@ -85,7 +85,7 @@ def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, steps: int = 400,
     labels = np.array([r[0] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 40.0 if labels.any() else -40.0)
-    at = [np.frombuffer(r[1], np.int32) for r in rows]
+    at = [np.frombuffer(r[1], np.uint16) for r in rows]
     weight = [np.frombuffer(r[2], np.float32) for r in rows]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / dim, (BUCKETS, dim)).astype(np.float32)
@@ -124,14 +124,15 @@ def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, steps: int = 400,
     return Model((emb @ side).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 2500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 2200) -> Model:
     """``labels`` has doc_id and ``y`` (0 or 1); rows where ``learn``, an expression over doc_id, holds are learnt from."""
     known = labels.where(learn & F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     order = F.xxhash64("doc_id")
     parts = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most) for y in (0, 1)]
     chosen = stage(parts[0].union(parts[1]), "sample")
     rows = bags(join_small(docs.select("doc_id", "text"), chosen, "doc_id", "inner")).collect()
-    model = train(sorted((r["y"], bytes(r["at"]), bytes(r["weight"])) for r in rows))
+    rows = sorted((r["y"], bytes(r["at"]), bytes(r["weight"])) for r in rows)
+    model = train(rows)
     # Trained as if both classes were as frequent; the bias takes back PRIOR of the true log odds.
     there = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if there.get(0) and there.get(1):

@@ -90,7 +90,7 @@ def test_toxicity_learns_from_parts_of_words():
         found = [toxicity.grams(w) for w in words]
         w = np.bincount(np.concatenate(found), np.concatenate([np.full(len(x), 1 / len(x) / 30) for x in found]), toxicity.BUCKETS)
         at = np.flatnonzero(w)
-        rows.append((int(i % 3 == 0), at.astype(np.int32).tobytes(), w[at].astype(np.float32).tobytes()))
+        rows.append((int(i % 3 == 0), at.astype(np.uint16).tobytes(), w[at].astype(np.float32).tobytes()))
     model = toxicity.train(rows)
     usual = max(model.word(w) for w in vocab)
     assert model.word("qwizzled") > usual and model.word("xyzzles") > usual
