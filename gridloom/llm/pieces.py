@@ -54,7 +54,7 @@ class Pieces:
             node[None] = value
         # Where no piece goes on into a space mark, every path has a boundary before each run of marks.
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if not any(re.search(f"[^{MARK}]{MARK}", p) for p in scores) else "(?s).+")
-        self.known = Cached(lambda run: np.array(self.segment(run), np.int32).tobytes())
+        self.known = Cached(lambda run: np.array(self.segment(run), np.int32).tobytes(), 400_000)
 
     def char_bytes(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode("utf-8", "surrogateescape")]
