@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,13 @@ UNION ALL
 SELECT event_type, ts, 'n', CAST(1 AS DOUBLE) FROM events"""
 
 
+def weather_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """The readings and a direction in degrees."""
+    events = table(spark, sf, "events", "event_type", "ts", "event_id")
+    angle = ((F.col("event_id") * 37) % 360).cast("double")
+    return readings(spark, sf).union(events.select(F.col("event_type"), "ts", F.lit("WD"), angle))
+
+
 def r15(spark: SparkSession, sf: str) -> DataFrame:
     return gr.resample(readings(spark, sf), gr.STEP_S)
 
@@ -130,6 +139,26 @@ CTES["rolled_std"] = f"SELECT *, {_rolled('stddev_samp', 'rollstd')} FROM filled
 CTES["feats"] = f"SELECT *, {_lags}, {_rolled('avg', 'rollmean')} FROM filled WINDOW {_series}, {_frames}"
 
 
+# The same chain over readings with a direction, negatives nulled, the target capped, the direction taken apart.
+CTES["job_readings"] = """
+SELECT station, ts, variable, CASE WHEN value >= 0 THEN value END AS value FROM (
+  SELECT station, ts, variable, value FROM readings
+  UNION ALL SELECT event_type, ts, 'WD', CAST((event_id * 37) % 360 AS DOUBLE) FROM events)"""
+_CHAIN = ("readings", "r15", "bounds", "places", "grid", "split_grid", "known", "filled")
+for _name in _CHAIN[1:]:
+    CTES[f"job_{_name}"] = re.sub(rf"\b({'|'.join(_CHAIN)})\b", r"job_\1", CTES[_name])
+CTES["job_capped"] = """
+SELECT f.station, f.variable, f.ts, f.pos, f.split,
+  CASE WHEN c.cap > 0 AND f.value IS NOT NULL THEN greatest(0.0, least(f.value, c.cap)) ELSE f.value END AS value
+FROM job_filled f LEFT JOIN (SELECT station, variable, quantile_cont(value, 0.995) AS cap FROM job_filled
+  WHERE split = 'train' AND variable = 'value' GROUP BY 1, 2) c ON c.station = f.station AND c.variable = f.variable"""
+CTES["job_rows"] = """
+SELECT station, variable, ts, pos, split, value FROM job_capped WHERE variable <> 'WD'
+UNION ALL SELECT station, 'wd_sin', ts, pos, split, sin(radians(value)) FROM job_capped WHERE variable = 'WD'
+UNION ALL SELECT station, 'wd_cos', ts, pos, split, cos(radians(value)) FROM job_capped WHERE variable = 'WD'"""
+CTES["job_feats"] = f"SELECT *, {_lags}, {_rolled('avg', 'rollmean')} FROM job_rows WINDOW {_series}, {_frames}"
+
+
 def feats(spark: SparkSession, sf: str) -> DataFrame:
     return fe.causal_features(filled(spark, sf), lags=fe.LAGS, means=fe.WINDOWS)
 

@@ -9,6 +9,7 @@ from gridloom.catalog.registry import CTES, R, keep, query
 from gridloom.operators import explore as ex
 from gridloom.operators import features as fe
 from gridloom.operators import metrics as me
+from gridloom.operators.prepare import known_counts
 from gridloom.session import scratch_path, stage_table
 from gridloom.streaming import jobs
 
@@ -199,18 +200,24 @@ CTES["line_corr"] = " UNION ALL ".join(
 )
 
 
-@query("corr_matrix", f"SELECT station, var_a, var_b, {R('r', 'r')}, n_pairs FROM line_corr WHERE n_pairs > 50")
+CTES["line_support"] = "SELECT station, var_a AS variable, n_pairs > 50 AS known, sum((n_pairs > 50)::INT) OVER (PARTITION BY station) AS n_known FROM line_corr WHERE var_a = var_b"
+
+
+@query("corr_matrix", f"""SELECT c.station, var_a, var_b, {R('r', 'r')}, n_pairs, a.known AND b.known AND a.n_known >= 3 AS supported FROM line_corr c
+JOIN line_support a ON a.station = c.station AND a.variable = var_a JOIN line_support b ON b.station = c.station AND b.variable = var_b""")
 def corr_matrix(spark, sf):
     out = ex.correlation_per_station(fr.line_weekly(spark, sf), fr.LINE_VARIABLES, min_values=50)
-    return keep(out, "station", "var_a", "var_b", "n_pairs", rnd=("r",))
+    return keep(out, "station", "var_a", "var_b", "n_pairs", "supported", rnd=("r",))
 
 
-@query("corr_rank", f"""SELECT station, predictor, {R('r', 'r')}, n_pairs, row_number() OVER (PARTITION BY station ORDER BY r DESC, predictor) AS rank FROM (
+@query("corr_rank", f"""SELECT p.station, predictor, {R('r', 'r')}, n_pairs, a.known AND b.known AS supported,
+  CASE WHEN a.known AND b.known THEN row_number() OVER (PARTITION BY p.station, a.known AND b.known ORDER BY r DESC NULLS LAST, predictor) END AS rank FROM (
   SELECT station, CASE WHEN var_a = 'extendedprice' THEN var_b ELSE var_a END AS predictor, r, n_pairs FROM line_corr
-  WHERE (var_a = 'extendedprice' OR var_b = 'extendedprice') AND var_a <> var_b AND n_pairs > 50)""")
+  WHERE (var_a = 'extendedprice' OR var_b = 'extendedprice') AND var_a <> var_b) p
+JOIN line_support a ON a.station = p.station AND a.variable = 'extendedprice' JOIN line_support b ON b.station = p.station AND b.variable = predictor""")
 def corr_rank(spark, sf):
     out = ex.predictor_ranking(fr.line_weekly(spark, sf), "extendedprice", fr.LINE_VARIABLES, min_values=50)
-    return keep(out, "station", "predictor", "n_pairs", "rank", rnd=("r",))
+    return keep(out, "station", "predictor", "n_pairs", "supported", "rank", rnd=("r",))
 
 
 CTES["synced"] = "SELECT ts, " + ", ".join(
@@ -298,12 +305,20 @@ def split_summary(spark, sf):
     return keep(out, *plain, rnd=("target_min", "target_max"))
 
 
-@query("schema_diff", """SELECT kind, column_name FROM (
-  SELECT 'missing' AS kind, unnest(['event_id', 'event_type', 'props', 'user_id']) AS column_name
-  UNION ALL SELECT 'extra', unnest(['station', 'variable'])) WHERE (SELECT count(*) FROM events) > 0""")
+@query("schema_diff", """SELECT 'missing' AS kind, 'event_id' AS column_name, count(event_id) AS n_known FROM events
+UNION ALL SELECT 'missing', 'event_type', count(event_type) FROM events UNION ALL SELECT 'missing', 'props', count(props) FROM events
+UNION ALL SELECT 'missing', 'user_id', count(user_id) FROM events
+UNION ALL SELECT 'extra', 'station', count(station) FROM readings UNION ALL SELECT 'extra', 'variable', count(variable) FROM readings""")
 def schema_diff(spark, sf):
-    """The event table against the readings made of it."""
-    return ex.schema_diff(fr.table(spark, sf, "events"), fr.readings(spark, sf))
+    """The event table against the readings made of it, and how many known values the differing columns hold."""
+    left, right = fr.table(spark, sf, "events"), fr.readings(spark, sf)
+    diff = ex.schema_diff(left, right)
+    sides = (("missing", left, right.columns), ("extra", right, left.columns))
+    counts = [
+        known_counts(side, [c for c in side.columns if c not in other]).select(F.lit(kind).alias("kind"), F.col("feature").alias("column_name"), "n_known")
+        for kind, side, other in sides
+    ]
+    return diff.join(counts[0].union(counts[1]), ["kind", "column_name"])
 
 
 # Streams

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import frames as fr
-from gridloom.catalog.registry import R, keep, query, rounded
+from gridloom.catalog.registry import CTES, R, keep, query, rounded
 from gridloom.functions.calendar import calendar_parts, cyclical_time
 from gridloom.operators import features as fe
 from gridloom.operators import grid as gr
 from gridloom.operators import split as sp
+from gridloom.plans import jobs
 
 
 @query("dedupe_mean", f"SELECT station, ts, {R('avg(value)', 'value', 3)} FROM orders_daily GROUP BY 1, 2")
@@ -192,6 +193,25 @@ def feature_build(spark, sf):
     return keep(out, "station", "ts", "split", F.col("is_weekend").cast("int"), rnd=rnd)
 
 
+_JOB_VARIABLES = ("value", "k", "n", "wd_sin", "wd_cos")
+_JOB = [v if c == "value" else f"{v}_{c}" for v in _JOB_VARIABLES for c in fr.FEATURE_COLUMNS]
+_CLOCK = ("hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend")
+_TRAIN = "FILTER (WHERE split = 'train') OVER ()"
+CTES["job_wide"] = f"""SELECT station, ts, split, {', '.join(f"max(CASE WHEN variable = '{v}' THEN {c} END) AS {v if c == 'value' else f'{v}_{c}'}" for v in _JOB_VARIABLES for c in fr.FEATURE_COLUMNS)}
+FROM job_feats GROUP BY 1, 2, 3"""
+CTES["job_complete"] = f"""SELECT *, sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos,
+  sin(2 * pi() * (isodow(ts) - 1) / 7) AS dow_sin, cos(2 * pi() * (isodow(ts) - 1) / 7) AS dow_cos,
+  CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend FROM job_wide WHERE {_COMPLETE}"""
+
+
+@query("feature_job", f"""SELECT station, ts, split, {R('value', 'value')}, {', '.join(
+    R(f"({c} - avg({c}) {_TRAIN}) / coalesce(nullif(stddev_samp({c}) {_TRAIN}, 0), 1)", c) for c in [*_JOB[1:], *_CLOCK])} FROM job_complete""")
+def feature_job(spark, sf):
+    """The whole way from raw readings with a direction to scaled features, with all variables, lags and windows."""
+    out = jobs.feature_job(fr.weather_readings(spark, sf), "value", ["value", "k", "n", "WD"])
+    return keep(out, "station", "ts", "split", rnd=(*_JOB, *_CLOCK))
+
+
 @query("schema_stable", f"""SELECT station, ts, {R('k', 'k')}, CAST(NULL AS DOUBLE) AS absent, {R('value', 'value')}
 FROM (SELECT station, ts, max(CASE WHEN variable = 'k' THEN value END) AS k, max(CASE WHEN variable = 'value' THEN value END) AS value FROM filled WHERE split = 'test' GROUP BY 1, 2)""")
 def schema_stable(spark, sf):

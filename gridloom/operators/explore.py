@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.operators.metrics import model_order
 from gridloom.plans.joins import join_params
 from gridloom.plans.quantiles import exact_quantiles
+from gridloom.session import stage_table
 
 
 def split_counts(df: DataFrame) -> DataFrame:
@@ -63,28 +64,28 @@ def level_stats(df: DataFrame, value: str = "value") -> DataFrame:
     return df.groupBy("station").agg(F.avg(value).alias("mean")).join(quart, "station")
 
 
-def _pair_cells(columns: Sequence[str]) -> list:
-    cells = []
-    for i, a in enumerate(columns):
-        for b in columns[: i + 1]:
-            both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-            cells.append((a, b, F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")), F.count(F.when(both, 1))))
-    return cells
-
-
-def correlations(wide: DataFrame, columns: Sequence[str], keys: Sequence[str], names: tuple[str, str] = ("var_a", "var_b")) -> DataFrame:
-    """Pearson r over pairwise known rows for the lower triangle of a fixed column list.
+def correlations(
+    wide: DataFrame, columns: Sequence[str], keys: Sequence[str], names: tuple[str, str] = ("var_a", "var_b"), against: str | None = None
+) -> DataFrame:
+    """Pearson r over pairwise known rows: the lower triangle of a column list, or one column ``against`` all.
 
-    The pairs are aggregates of one pass over the wide table; no pair of rows is ever formed.
+    Every row is met once per left-hand column and aggregated at once, so the plan grows with the number of columns,
+    not of pairs, no pair of rows is ever formed, and only sums are shuffled.
     """
-    cells = _pair_cells(columns)
-    aggs = [x for i, (_, _, r, n) in enumerate(cells) for x in (r.alias(f"_r{i}"), n.alias(f"_n{i}"))]
-    one = wide.groupBy(*keys).agg(*aggs)
+    columns = list(columns)
+    cells = [F.col(f"`{c}`").cast("double").alias(f"_c{j}") for j, c in enumerate(columns)]
+    left = range(len(columns)) if against is None else [columns.index(against)]
+    rows = wide.select(*keys, *cells).select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_c{i}").alias("_x")) for i in left])))
+    aggs = [F.corr("_x", f"_c{j}").alias(f"_r{j}") for j in range(len(columns))]
+    aggs += [F.count(F.when(F.col("_x").isNotNull(), F.col(f"_c{j}"))).alias(f"_n{j}") for j in range(len(columns))]
+    one = rows.groupBy(*keys, "_i").agg(*aggs)
     out = [
-        F.struct(F.lit(a).alias(names[0]), F.lit(b).alias(names[1]), F.col(f"_r{i}").alias("r"), F.col(f"_n{i}").alias("n_pairs"))
-        for i, (a, b, _, _) in enumerate(cells)
+        F.struct(F.lit(j).alias("_j"), F.lit(c).alias(names[1]), F.col(f"_r{j}").alias("r"), F.col(f"_n{j}").alias("n_pairs"))
+        for j, c in enumerate(columns)
     ]
-    return one.select(*keys, F.inline(F.array(*out)))
+    pairs = one.select(*keys, "_i", F.element_at(F.lit(columns), F.col("_i") + 1).alias(names[0]), F.inline(F.array(*out)))
+    wanted = pairs if against is not None else pairs.where(F.col("_j") <= F.col("_i"))
+    return wanted.select(*keys, *names, "r", "n_pairs")
 
 
 def widen(df: DataFrame, column: str, names: Sequence[str], keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -92,34 +93,41 @@ def widen(df: DataFrame, column: str, names: Sequence[str], keys: Sequence[str],
     return df.groupBy(*keys).pivot(column, list(names)).agg(F.avg(value))
 
 
+def _support(wide: DataFrame, variables: Sequence[str], min_values: int) -> DataFrame:
+    """Variables per station with more than ``min_values`` values."""
+    counts = wide.groupBy("station").agg(*[F.count(F.col(f"`{v}`")).alias(f"_n{i}") for i, v in enumerate(variables)])
+    listed = F.array_compact(F.array(*[F.when(F.col(f"_n{i}") > min_values, F.lit(v)) for i, v in enumerate(variables)]))
+    return counts.select("station", listed.alias("_known"))
+
+
 def correlation_per_station(
     df: DataFrame, variables: Sequence[str], min_values: int = 200, min_variables: int = 3
 ) -> DataFrame:
-    """Lower-triangle correlations of the variables that have more than ``min_values`` values at a station."""
-    pairs = correlations(widen(df, "variable", variables, ["station", "ts"]), variables, ["station"])
-    own = F.when(F.col("var_a") == F.col("var_b"), F.col("n_pairs"))
+    """Lower-triangle correlations of all variables per station.
 
-    def support(v: str):
-        return F.max(own).over(Window.partitionBy("station", v))
-
-    supported = F.sum((own > min_values).cast("int")).over(Window.partitionBy("station"))
-    known = pairs.select("*", support("var_a").alias("_a"), support("var_b").alias("_b"), supported.alias("_variables"))
-    enough = (F.col("_a") > min_values) & (F.col("_b") > min_values) & (F.col("_variables") >= min_variables)
-    return known.where(enough).select(*pairs.columns)
+    ``supported`` marks pairs of variables with more than ``min_values`` values each, at stations with at least
+    ``min_variables`` of them; no pair is left out.
+    """
+    wide = widen(df, "variable", variables, ["station", "ts"])
+    pairs = correlations(wide, variables, ["station"])
+    own = F.when((F.col("var_a") == F.col("var_b")) & (F.col("n_pairs") > min_values), F.col("var_a"))
+    known = pairs.withColumn("_known", F.collect_set(own).over(Window.partitionBy("station")))
+    enough = F.array_contains("_known", F.col("var_a")) & F.array_contains("_known", F.col("var_b"))
+    return known.select(*pairs.columns, (enough & (F.size("_known") >= min_variables)).alias("supported"))
 
 
 def predictor_ranking(df: DataFrame, target: str, variables: Sequence[str], min_values: int = 200) -> DataFrame:
-    """Correlation of every supported variable with the target, ranked per station."""
-    pairs = correlation_per_station(df, variables, min_values, min_variables=2)
-    hit = pairs.where(((F.col("var_a") == target) | (F.col("var_b") == target)) & (F.col("var_a") != F.col("var_b")))
-    named = hit.select(
-        "station",
-        F.when(F.col("var_a") == target, F.col("var_b")).otherwise(F.col("var_a")).alias("predictor"),
-        "r",
-        "n_pairs",
-    )
-    order = Window.partitionBy("station").orderBy(F.desc_nulls_last("r"), "predictor")
-    return named.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    """Correlation of every other variable with the target, ranked per station among the supported ones.
+
+    Only pairs with the target are computed; unsupported variables stay listed without a rank.
+    """
+    wide = stage_table(widen(df, "variable", variables, ["station", "ts"]), "wide")
+    pairs = correlations(wide, variables, ["station"], ("target", "predictor"), against=target).where(F.col("predictor") != target)
+    known = pairs.join(_support(wide, variables, min_values), "station")
+    enough = F.array_contains("_known", F.lit(target)) & F.array_contains("_known", F.col("predictor"))
+    named = known.select("station", "predictor", "r", "n_pairs", enough.alias("supported"))
+    order = Window.partitionBy("station", "supported").orderBy(F.desc_nulls_last("r"), "predictor")
+    return named.withColumn("rank", F.when(F.col("supported"), F.row_number().over(order)).cast("bigint"))
 
 
 def synchrony(df: DataFrame, stations: Sequence[str]) -> DataFrame:

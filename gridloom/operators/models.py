@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.metrics import align_predictions, long_predictions, metrics
+from gridloom.operators.prepare import scale_wide
 from gridloom.plans.joins import join_params
 from gridloom.plans.quantiles import exact_quantiles
 from gridloom.session import stage_table
@@ -197,12 +198,8 @@ def score_ridge(df: DataFrame, coefs: DataFrame, features: Sequence[str], target
 
 
 def standardize_wide(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Features scaled with train mean and population deviation, one pass, as literals."""
-    aggs = [x for i, c in enumerate(features) for x in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]
-    fit = df.where(F.col("split") == "train").agg(*aggs).first()
-    return df.withColumns(
-        {c: (F.col(c) - F.lit(fit[f"m{i}"] or 0.0)) / F.lit(fit[f"s{i}"] or 1.0) for i, c in enumerate(features)}
-    )
+    """Features scaled with train mean and population deviation."""
+    return scale_wide(df, features, population=True)
 
 
 def assemble(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.plans.joins import join_params, one_group
+from gridloom.plans.joins import join_params
 
 KEY_COLUMNS = ("station", "ts", "timestamp", "split", "pos", "n_pos", "source_file", "source_sheet")
 # Pollutants tried as targets, in this order.
@@ -37,6 +37,14 @@ def apply_scaler(df: DataFrame, params: DataFrame, keys: Sequence[str] = ("varia
     return joined.select(*df.columns, *([out] if out not in df.columns else []))
 
 
+def scale_wide(df: DataFrame, columns: Sequence[str], population: bool = False) -> DataFrame:
+    """The same on wide columns: one pass over train, the moments enter the plan as literals."""
+    std = F.stddev_pop if population else F.stddev_samp
+    aggs = [x for i, c in enumerate(columns) for x in (F.avg(c).alias(f"m{i}"), std(c).alias(f"s{i}"))]
+    fit = df.where(F.col("split") == "train").agg(*aggs).first()
+    return df.withColumns({c: (F.col(c) - F.lit(fit[f"m{i}"] or 0.0)) / F.lit(fit[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
+
+
 def invert_scaler(df: DataFrame, params: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("variable",)) -> DataFrame:
     """Back to original units for the named columns."""
     back = {c: F.col(c) * F.coalesce("std", F.lit(1.0)) + F.coalesce("mean", F.lit(0.0)) for c in columns}
@@ -118,6 +126,12 @@ def proportional_table(df: DataFrame, max_rows: int, key: str = "station") -> Da
     return counts.select(key, "n", quota.cast("bigint").alias("quota"))
 
 
+def _drawn(df: DataFrame, row_id: Sequence[Column | str], seed: int, cells: int) -> DataFrame:
+    """A seeded hash of each row and the hash range it falls in."""
+    rows = df.withColumn("_draw", F.xxhash64(*row_id, F.lit(seed)))
+    return rows.withColumn("_cell", F.pmod(F.col("_draw"), F.lit(cells).cast("bigint")))
+
+
 def take_quota(
     df: DataFrame, quotas: DataFrame, key: str, row_id: Sequence[Column | str], seed: int = 42, cells: int = 1 << 16
 ) -> DataFrame:
@@ -126,8 +140,7 @@ def take_quota(
     Rows fall into many hash ranges that are counted first. Ranges before the one in which the quota ends are taken
     whole; only that one range is ordered. ``df`` is read three times and nothing but the last range is shuffled.
     """
-    rows = df.withColumn("_draw", F.xxhash64(*row_id, F.lit(seed)))
-    rows = rows.withColumn("_cell", F.pmod(F.col("_draw"), F.lit(cells).cast("bigint")))
+    rows = _drawn(df, row_id, seed, cells)
     per_cell = rows.groupBy(key, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(key).orderBy("_cell")) - F.col("_c")
     reached = per_cell.withColumn("_start", before).join(quotas.select(key, "quota"), key)
@@ -143,8 +156,15 @@ def take_quota(
     return whole.select(*df.columns).unionByName(last.where(F.col("_rank") <= F.col("_room")).select(*df.columns))
 
 
-def sample_rows(df: DataFrame, n: int, row_id: Sequence[Column | str], seed: int = 42) -> DataFrame:
-    """One global draw of exactly ``n`` rows, or all rows when there are fewer."""
-    keyed = df.withColumn("_one", one_group(*row_id))
-    quotas = keyed.groupBy("_one").agg(F.least(F.count(F.lit(1)), F.lit(n)).alias("quota"))
-    return take_quota(keyed, quotas, "_one", row_id, seed).select(*df.columns)
+def sample_rows(df: DataFrame, n: int, row_id: Sequence[Column | str], seed: int = 42, cells: int = 1 << 16) -> DataFrame:
+    """One global draw of exactly ``n`` rows, or all rows when there are fewer.
+
+    The driver sees one count per hash range, ``cells`` numbers whatever the input.
+    """
+    rows, left = _drawn(df, row_id, seed, cells), n
+    for cell, count in sorted((r["_cell"], r["count"]) for r in rows.groupBy("_cell").count().collect()):
+        if count > left:
+            last = rows.where(F.col("_cell") == cell).orderBy("_draw", *row_id).limit(left)
+            return rows.where(F.col("_cell") < cell).unionByName(last).select(*df.columns)
+        left -= count
+    return df

@@ -36,15 +36,15 @@ def feature_job(
     step_s: int = gr.STEP_S,
     lags: Sequence[int] = fe.LAGS,
     windows: Sequence[int] = fe.WINDOWS,
+    direction: str | None = "WD",
 ) -> DataFrame:
-    """Raw readings to the scaled feature table of all splits; the target keeps its units."""
+    """Raw readings to the scaled feature table of all splits; the target keeps its units.
+
+    A direction among the variables becomes its sine and cosine before lags and rolling means are taken.
+    """
     capped = prepare_series(readings, step_s, target=target)
-    wide = stage_table(fe.build_features(capped, target, variables, lags, windows), "features")
-    names = [c for c in pr.numeric_columns(wide, [target]) if c != "is_weekend"]
-    aggs = [x for i, c in enumerate(names) for x in (F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]
-    fit = wide.where(F.col("split") == "train").agg(*aggs).first()
-    scaled = {c: (F.col(c) - F.lit(fit[f"m{i}"] or 0.0)) / F.lit(fit[f"s{i}"] or 1.0) for i, c in enumerate(names)}
-    return wide.withColumns(scaled)
+    wide = stage_table(fe.build_features(capped, target, variables, lags, windows, direction), "features")
+    return pr.scale_wide(wide, pr.numeric_columns(wide, [target.replace(".", "_")]))
 
 
 def baseline_report(readings: DataFrame, step_s: int = gr.STEP_S) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.plans.joins import join_params, one_group
+from gridloom.plans.joins import join_params
 
 ACCURACY = 20_000
 
@@ -19,14 +19,11 @@ def exact_quantiles(
 
     A first pass brackets every quantile with ``percentile_approx``, whose rank error is at most n / accuracy. The
     second pass counts the values below each bracket and keeps only values inside, counted per distinct value, so the
-    ordered window sees a few parts in ten thousand of a group.
+    ordered window sees a few parts in ten thousand of a group. A rank more than one place outside its bracket is an error.
     """
     names = list(names or [f"q{int(round(q * 1000)):04d}" for q in qs])
-    keys = list(keys) or ["_all"]
-    data = df.where(F.col(value).isNotNull())
-    if keys == ["_all"]:
-        data = data.withColumn("_all", one_group(value))
-    data = data.select(*keys, F.col(value).cast("double").alias("_v"))
+    keys = list(keys)
+    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     slack = 3.0 / ACCURACY
     cuts = [min(max(q + d, 0.0), 1.0) for q in qs for d in (-slack, slack)]
     rough = data.groupBy(*keys).agg(
@@ -35,25 +32,24 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", [float(c) for c in cuts], ACCURACY).alias("_cuts"),
     )
-    brackets = rough.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(float(q)).alias("q"),
-                    F.col("_n").alias("n"),
-                    (F.lit(float(q)) * (F.col("_n") - 1)).alias("rank"),
-                    (F.col("_min") if cuts[2 * i] <= 0.0 else F.col("_cuts")[2 * i]).alias("lo"),
-                    (F.col("_max") if cuts[2 * i + 1] >= 1.0 else F.col("_cuts")[2 * i + 1]).alias("hi"),
-                )
-                for i, q in enumerate(qs)
-            ]
-        ).alias("_b"),
-    )
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                (F.lit(float(q)) * (F.col("_n") - 1)).alias("rank"),
+                (F.col("_min") if cuts[2 * i] <= 0.0 else F.col("_cuts")[2 * i]).alias("lo"),
+                (F.col("_max") if cuts[2 * i + 1] >= 1.0 else F.col("_cuts")[2 * i + 1]).alias("hi"),
+            )
+            for i, q in enumerate(qs)
+        ]
+    ).alias("_b")
+    if keys:
+        bracketed = join_params(data, rough.select(*keys, brackets), keys)
+    else:  # one row of brackets, as literals
+        fit = rough.first()
+        bracketed = data.withColumns({c: F.lit(fit[c]) for c in rough.columns}).select("_v", brackets)
     hits = (
-        join_params(data, brackets, keys)
-        .select(*keys, "_v", F.explode("_b").alias("b"))
+        bracketed.select(*keys, "_v", F.explode("_b").alias("b"))
         .select(
             *keys,
             F.col("b.i").alias("_i"),
@@ -78,11 +74,13 @@ def exact_quantiles(
     placed = counted.withColumn("_end", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
-    low, high = F.floor("_rank"), F.ceil("_rank")
-    at = placed.groupBy(*keys, "_i", "_rank").agg(
-        F.max(F.when((F.col("_start") <= low) & (low < F.col("_end")), F.col("_v"))).alias("_lo_v"),
-        F.max(F.when((F.col("_start") <= high) & (high < F.col("_end")), F.col("_v"))).alias("_hi_v"),
-    )
+
+    def value_of(place):
+        below, above = F.col("_zone") == "below", F.col("_zone") == "above"
+        deep = (below & (place < F.col("_end") - 1)) | (above & (place > F.col("_start")))
+        value = F.when(deep, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")).otherwise(F.col("_v"))
+        return F.max(F.when((F.col("_start") <= place) & (place < F.col("_end")), value))
+
+    at = placed.groupBy(*keys, "_i", "_rank").agg(value_of(F.floor("_rank")).alias("_lo_v"), value_of(F.ceil("_rank")).alias("_hi_v"))
     value_at = F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * (F.col("_rank") - F.floor("_rank"))
-    out = at.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)])
-    return out.drop("_all")
+    return at.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value_at)).alias(n) for i, n in enumerate(names)])

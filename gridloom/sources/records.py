@@ -30,14 +30,39 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_nested_json(df: DataFrame, key: str, fields: Sequence[str], path: str) -> None:
-    """One JSON object ``{key: {field: value}}`` per line."""
-    inner = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f).cast("double") for f in fields]))
-    df.select(F.to_json(F.create_map(F.col(key), inner)).alias("value")).write.mode("overwrite").text(path)
+    """One JSON object ``{key: {field: value}}`` per line; structs and maps among the fields become nested objects."""
+    document = F.create_map(F.col(key), F.struct(*fields))
+    df.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_nested_json(spark: SparkSession, path: str, key: str = "station", whole_document: bool = False) -> DataFrame:
-    """``{key: {metric: value}}`` as rows of key, metric, value."""
-    read = spark.read.text(path, wholetext=whole_document)
-    parsed = read.select(F.from_json("value", "map<string, map<string, double>>").alias("m"))
-    inner = parsed.select(F.explode("m").alias(key, "_metrics"))
-    return inner.select(key, F.explode("_metrics").alias("metric", "value"))
+    """``{key: {metric: value}}`` of any depth as rows of key, metric, value, text.
+
+    ``metric`` is the path below the key, joined by dots; numbers are in ``value``, everything else but nested objects is
+    in ``text``. One pass is made per level of nesting. A text that is no JSON raises, and so does one that is no object.
+    """
+    lines = spark.read.text(path, wholetext=whole_document).where(F.trim("value") != "")
+    document = F.parse_json("value")
+    is_object = F.schema_of_variant(document).startswith("OBJECT")
+    checked = F.when(is_object, document).otherwise(F.raise_error(F.lit("a metric document must be an object")).cast("variant"))
+    level = _open(spark, lines.select(checked.alias("_v"))).select(F.col("_key").alias(key), F.lit(None).cast("string").alias("metric"), "_v")
+    done = None
+    while True:
+        nested = F.schema_of_variant("_v").startswith("OBJECT")
+        leaves = level.where(~nested)
+        done = leaves if done is None else done.union(leaves)
+        inner = level.where(nested)
+        if inner.isEmpty():
+            break
+        level = _open(spark, inner).select(key, F.concat_ws(".", "metric", "_key").alias("metric"), "_v")
+    kind = F.schema_of_variant("_v")
+    number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    value = F.when(number, F.try_variant_get("_v", "$", "double"))
+    text = F.when(~number & (kind != "VOID"), F.try_variant_get("_v", "$", "string"))
+    return done.select(key, "metric", value.alias("value"), text.alias("text"))
+
+
+def _open(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """One row per entry of the object ``_v``: its name in ``_key``, its content in ``_v``."""
+    entries = spark.tvf.variant_explode(F.col("_v").outer()).select(F.col("key").alias("_key"), F.col("value").alias("_entry"))
+    return df.lateralJoin(entries).drop("_v").withColumnRenamed("_entry", "_v")

@@ -68,8 +68,11 @@ def test_grid_is_computed_once_for_a_fill(spark):
 
 
 def test_feature_job(spark):
-    readings = fr.readings(spark, SF)
-    wide = jobs.feature_job(readings, "value", ["value", "k"], 21_600, (1, 2, 4), (4,))
+    readings = fr.weather_readings(spark, SF)
+    wide = jobs.feature_job(readings, "value", ["value", "k", "WD"], 21_600, (1, 2, 4), (4,))
+    assert "WD" not in wide.columns and {"wd_sin_lag_4", "wd_cos_rollmean_4"} <= set(wide.columns)
+    weekend = wide.where("split = 'train'").agg(F.avg("is_weekend"), F.stddev_samp("is_weekend")).first()
+    assert abs(weekend[0]) < 1e-9 and abs(weekend[1] - 1) < 1e-9
     assert wide.where("value IS NULL OR value_lag_1 IS NULL").count() == 0
     train = wide.where("split = 'train'").agg(F.avg("k_lag_1"), F.stddev_samp("k_lag_1")).first()
     assert abs(train[0]) < 1e-9 and abs(train[1] - 1) < 1e-9

@@ -220,7 +220,11 @@ def test_correlations_are_pairwise(spark):
     keep = np.arange(300) % 4 > 0
     assert got[("b", "a")]["r"] == pytest.approx(np.corrcoef(a[keep], b[keep])[0, 1])
     assert got[("b", "a")]["n_pairs"] == 225 and len(got) == 6
-    assert ex.correlation_per_station(df, ["a", "b", "c"], min_values=250).count() == 0
+    assert all(r["supported"] for r in got.values())
+    few = ex.correlation_per_station(df, ["a", "b", "c"], min_values=250).collect()
+    assert len(few) == 6 and not any(r["supported"] for r in few)
+    unranked = {r["predictor"]: r["rank"] for r in ex.predictor_ranking(df, "c", ["a", "b", "c"], min_values=250).collect()}
+    assert unranked == {"a": 1, "b": None}
     ranked = ex.predictor_ranking(df, "c", ["a", "b", "c"]).orderBy("rank").collect()
     assert [r["rank"] for r in ranked] == [1, 2] and ranked[0]["r"] >= ranked[1]["r"]
 

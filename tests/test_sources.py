@@ -1,9 +1,10 @@
 """Sheets, names, sources and sinks on hand-written cases."""
 
 import os
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
+from helpers import START
 from pyspark.sql import functions as F
 
 from gridloom import session
@@ -14,6 +15,7 @@ from gridloom.session import scratch_path, shared_folder
 from gridloom.sources import cells as ce
 from gridloom.sources import records as rec
 from gridloom.sources import tables as tb
+from gridloom.streaming import jobs
 
 
 def column(spark, texts, expr):
@@ -162,7 +164,43 @@ def test_metric_records(spark):
     assert rec.append_metrics(once, new).count() == 5
     path = scratch_path(spark, "json")
     rec.write_nested_json(new, "station", ["rmse"], path)
-    assert sorted(map(tuple, rec.read_nested_json(spark, path).collect())) == [("A", "rmse", 9.0), ("B", "rmse", 8.0)]
+    assert sorted(map(tuple, rec.read_nested_json(spark, path).collect())) == [("A", "rmse", 9.0, None), ("B", "rmse", 8.0, None)]
+
+
+def test_documents_of_any_depth_are_rows(spark):
+    rows = [("A", "x", ({"x": 1.5, "y": 2.0},), 7), ("B", None, ({},), 0)]
+    df = spark.createDataFrame(rows, "station string, chosen string, val struct<rmse: map<string, double>>, n bigint")
+    path = scratch_path(spark, "json")
+    rec.write_nested_json(df, "station", ["chosen", "val", "n"], path)
+    got = {(r["station"], r["metric"]): (r["value"], r["text"]) for r in rec.read_nested_json(spark, path).collect()}
+    assert got == {
+        ("A", "chosen"): (None, "x"),
+        ("A", "val.rmse.x"): (1.5, None),
+        ("A", "val.rmse.y"): (2.0, None),
+        ("A", "n"): (7.0, None),
+        ("B", "chosen"): (None, None),
+        ("B", "n"): (0.0, None),
+    }
+    for text in ("[1]", "{oops"):
+        broken = scratch_path(spark, "broken")
+        spark.createDataFrame([(text,)], "value string").write.text(broken)
+        with pytest.raises(Exception):
+            rec.read_nested_json(spark, broken).collect()
+
+
+def test_late_rows_of_a_second_file_are_dropped(spark):
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("arriving", "live", "live_checkpoint"))
+    schema = "station string, variable string, ts timestamp_ntz, value double"
+
+    def arrive(*rows):
+        cells = [("A", "v", START + timedelta(hours=h), v) for h, v in rows]
+        spark.createDataFrame(cells, schema).coalesce(1).write.mode("append").parquet(source)
+        return jobs.live_grid(spark, source, spark.createDataFrame([], schema).schema, lambda df: df, out, checkpoint)
+
+    arrive((0, 1.0), (5, 2.0))
+    done = arrive((0, 99.0), (4.5, 3.0), (9, 4.0))
+    # 0:00 is later than the watermark of the first file allows, 4:30 is not.
+    assert sorted((r["ts"], r["value"]) for r in done.collect()) == [(START, 1.0), (START + timedelta(hours=4.5), 3.0), (START + timedelta(hours=5), 2.0)]
 
 
 def test_params_are_fitted_once(spark):
