@@ -15,6 +15,7 @@ alike; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,7 @@ from gridloom.llm.common import Cached, over_texts
 MARK = "▁"
 #: Longest run between spaces of which the ids are remembered.
 REMEMBERED = 64
+_NONE = float("-inf")
 
 
 class Pieces:
@@ -45,16 +47,17 @@ class Pieces:
         self.raw = [b""] * len(sp)
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
-        self.ends: dict = {}  # pieces by their characters from last to first; None holds score and id
-        for piece, value in scores.items():
-            self.raw[value[1]] = piece.replace(MARK, " ").encode()
-            node = self.ends
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[None] = value
+        # Pieces by their characters from last to first; a node holds score and id, or -1, and the nodes before it.
+        self.ends: dict[str, tuple[float, int, dict]] = {}
+        for piece, (score, i) in sorted(scores.items(), key=lambda x: len(x[0])):
+            self.raw[i] = piece.replace(MARK, " ").encode()
+            nodes = self.ends
+            for c in reversed(piece[1:]):
+                nodes = nodes.setdefault(c, (0.0, -1, {}))[2]
+            nodes[piece[0]] = (score, i, {})
         # Where no piece goes on into a space mark, every path has a boundary before each run of marks.
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if not any(re.search(f"[^{MARK}]{MARK}", p) for p in scores) else "(?s).+")
-        self.known = Cached(lambda run: np.array(self.segment(run), np.int32).tobytes(), 400_000)
+        self.known = Cached(lambda run: array("i", self.segment(run)).tobytes(), 200_000)
 
     def char_bytes(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode("utf-8", "surrogateescape")]
@@ -73,7 +76,7 @@ class Pieces:
             if i:
                 out.append(np.array(self.char_bytes(MARK), np.int32).tobytes())
             marked = ("" if i else MARK) + part.replace(" ", MARK)
-            for run in self.cut.findall(marked):
+            for run in map(re.Match.group, self.cut.finditer(marked)):
                 out.append(self.known[run] if len(run) <= REMEMBERED else np.array(self.segment(run), np.int32).tobytes())
         return b"".join(out)
 
@@ -86,63 +89,63 @@ class Stream:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.committed = pieces, []
-        self.window: list[float] = [0.0]  # best scores of the last ``longest`` boundaries
-        self.text = ""  # characters since the last commit, and before it as far as a piece reaches
+        self.window: list[float] = [0.0]  # best scores of the last boundaries, at least ``longest`` of them
+        self.text = ""  # characters since the last commit
         self.back: list[tuple[int, int]] = [(0, -1)]  # per boundary since the commit: where its piece starts, its id
-        self.base = 0  # place in ``text`` of the first boundary in ``back``
         self.widest = 0
 
     def push(self, chars: str) -> None:
-        longest, ends, fallback = self.pieces.longest, self.pieces.ends, self.pieces.fallback
-        for c in chars:
-            self.text += c
-            end, node, best = len(self.text) - self.base, ends, None
-            for length in range(1, min(end, longest) + 1):
-                node = node.get(self.text[-length])
-                if node is None:
+        ends, fallback, window, back = self.pieces.ends, self.pieces.fallback, self.window, self.back
+        longest, most = self.pieces.longest, 2 * self.pieces.longest
+        text, base = self.text + chars, 0  # the last commit is at ``base``
+        for at in range(len(self.text), len(text)):
+            end, length, best, reach, piece = len(back), 1, _NONE, 1, -1
+            node = ends.get(text[at])
+            alone = node is not None and node[1] >= 0
+            while node is not None:
+                score, found, further = node
+                if found >= 0:
+                    value = window[-length] + score
+                    if value >= best:
+                        best, reach, piece = value, length, found
+                if length == end or not further:
                     break
-                if None in node:
-                    value = self.window[-length] + node[None][0]
-                    if best is None or value >= best[0]:
-                        best = (value, end - length, node[None][1])
-            if best is None or None not in ends.get(c, ()):
-                value = self.window[-1] + fallback
-                if best is None or value > best[0]:
-                    best = (value, end - 1, -1)
-            self.window.append(best[0])
-            self.back.append(best[1:])
-            if len(self.window) > longest:
-                del self.window[0]
-            if len(self.back) > 2 * longest:
-                self._commit()
-
-    def _commit(self) -> None:
-        """Commit up to the last boundary that the paths of all boundaries in the window share."""
+                node = further.get(text[at - length])
+                length += 1
+            if not alone and window[-1] + fallback > best:
+                best, reach, piece = window[-1] + fallback, 1, -1
+            window.append(best)
+            back.append((end - reach, piece))
+            if len(window) > most:
+                del window[:-longest]
+            if len(back) > most and (shared := self._shared()):
+                self._take(shared, text, base)
+                back = self.back = [(0, -1), *((s - shared, i) for s, i in back[shared + 1 :])]
+                base += shared
+        self.text = text[base:]
+
+    def _shared(self) -> int:
+        """The last boundary that the paths of all boundaries in the window share; 0 is the last commit."""
         end = len(self.back) - 1
+        self.widest = max(self.widest, len(self.back))
         alive = set(range(max(0, end - self.pieces.longest + 1), end + 1))
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
             alive.add(self.back[last][0])
-        shared = alive.pop()
-        self.widest = max(self.widest, len(self.back))
-        if shared:
-            self._take(shared)
-            self.back = [(0, -1), *((s - shared, i) for s, i in self.back[shared + 1 :])]
-            self.text, self.base = self.text[self.base + shared :], 0
-            self.window = self.window[-len(self.back) :]
+        return alive.pop()
 
-    def _take(self, end: int) -> None:
+    def _take(self, end: int, text: str, base: int) -> None:
         path = []
         while end:
             start, piece = self.back[end]
-            path.append((end, piece))
+            path.append(piece if piece >= 0 else self.pieces.char_bytes(text[base + end - 1]))
             end = start
-        for at, piece in reversed(path):
-            self.committed += [piece] if piece >= 0 else self.pieces.char_bytes(self.text[self.base + at - 1])
+        for piece in reversed(path):
+            self.committed += piece if isinstance(piece, list) else [piece]
 
     def finish(self) -> list[int]:
-        self._take(len(self.back) - 1)
+        self._take(len(self.back) - 1, self.text, 0)
         return self.committed
 
 

@@ -140,11 +140,10 @@ def _best(p, text):
     flat = {}
 
     def collect(node, tail):
-        for c, x in node.items():
-            if c is None:
-                flat[tail] = x
-            else:
-                collect(x, c + tail)
+        for c, (score, i, before) in node.items():
+            if i >= 0:
+                flat[c + tail] = (score, i)
+            collect(before, c + tail)
 
     if not hasattr(p, "flat"):
         collect(p.ends, "")
