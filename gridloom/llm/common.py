@@ -83,16 +83,20 @@ def _arrow(schema: str | StructType) -> pa.Schema:
 
 
 class Cached(dict):
-    """Values of a pure function by key; emptied when full, so that its memory is bounded."""
+    """Values of a pure function by key, at most ``most`` of them: when half are new, the half not asked for since goes."""
 
     def __init__(self, compute: Callable, most: int = 150_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.half, self.before = compute, most // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= self.half:
+            self.before = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
 

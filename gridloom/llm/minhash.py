@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Cached, components, hash64, join_small, over_texts, stage
+from gridloom.llm.common import components, hash64, join_small, over_texts, stage
 
 BANDS, ROWS = 40, 6
 BATCH = 24
@@ -39,8 +39,6 @@ CELL = 256
 #: Members up to which a bucket may give out its candidate pairs: half as many a member at most.
 DENSE = 64
 
-_WORDS = Cached(hash64)
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -51,7 +49,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     words = text.lower().split()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hash64, words), np.uint64, len(words))
     if not len(h):
         return h
     factors = _mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
