@@ -2,9 +2,9 @@
 
 Words become template tokens: numbers, units and names turn into typed placeholders, other words into small letters. Windows
 of WINDOW template tokens of all texts meet those of the benchmark in a hash join. Hits of a document and an item that lie on
-one diagonal (place in the text minus place in the item) form a passage. A passage counts if it holds enough of the item,
-and if its slots are consistent: each value of the item stands for one value of the text wherever it occurs. So exact
-passages are found, and questions asked again with other numbers or names.
+one diagonal (place in the text minus place in the item) form a run. It is cut into the longest stretches with consistent
+slots: each value of the item stands for one value of the text wherever it occurs. A stretch is a passage if it holds enough
+of the item. So exact passages are found, and questions asked again with other numbers or names.
 
 A name is a word with one capital that does not start a sentence. Windows with fewer than half plain words are left out.
 Null and empty texts hold nothing. Items of fewer than WINDOW tokens are one window of their own length, those of fewer than
@@ -63,6 +63,14 @@ def windows(hashes: str, lengths: list[int]) -> Column:
     return F.flatten(F.array(*[of(n) for n in lengths])) if len(lengths) > 1 else of(lengths[0])
 
 
+def clashes(slots: str) -> Column:
+    """Slots whose item value stood for another value before, with the last such place; ``slots`` has at, item and doc in order."""
+    same = F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(s["item"], s["doc"])))) == F.size(F.array_distinct(F.transform(slots, lambda s: s["item"])))
+    before = lambda s: F.filter(slots, lambda o: (o["at"] < s["at"]) & (o["item"] == s["item"]) & (o["doc"] != s["doc"]))
+    pairs = F.transform(slots, lambda s: F.struct(s["at"].alias("at"), F.array_max(F.transform(before(s), lambda o: o["at"])).alias("last")))
+    return F.when(same, F.array().cast("array<struct<at:int,last:int>>")).otherwise(F.filter(pairs, lambda c: c["last"].isNotNull()))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots, verbatim and start (word of the text) for each document and item with a passage."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("t")).distinct()
@@ -78,7 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     seen = read.select("doc_id", F.explode(windows("h", lengths or [window])).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"))
     hits = join_small(seen, known, "window", "inner").groupBy("doc_id", "item_id", "needed", (F.col("pos") - F.col("at")).alias("diagonal"))
     runs = hits.agg(F.collect_set("at").alias("places")).where(F.size("places") >= F.col("needed"))  # as many places as the item has, at most
-    runs = stage(runs.select("doc_id", "item_id", "diagonal", F.array_min("places").alias("low"), F.array_max("places").alias("high"), F.size("places").alias("n_windows")), "runs")
+    runs = stage(runs.select("doc_id", "item_id", "diagonal", "needed", "places", F.array_min("places").alias("low"), F.array_max("places").alias("high")), "runs")
     ids = stage(runs.select("doc_id").distinct(), "hit-documents")
     texts = join_small(docs.select("doc_id", "text"), ids, "doc_id", "inner").select("doc_id", tokens(F.col("text")).alias("t"))
     texts = texts.select("doc_id", F.transform("t", plain).alias("doc_raw"), F.transform("t", template).alias("doc_kind"))
@@ -86,11 +94,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     place = F.sequence(F.col("low"), F.least(F.col("high") + F.col("n") - 1, F.size("doc_kind") - F.col("diagonal") - 1))
     slots = F.transform(
         F.filter(place, lambda i: F.get("kind", i).startswith("#") & (F.get("kind", i) == F.get("doc_kind", i + F.col("diagonal")))),
-        lambda i: F.struct(F.get("raw", i).alias("item"), F.get("doc_raw", i + F.col("diagonal")).alias("doc")),
+        lambda i: F.struct(i.alias("at"), F.get("raw", i).alias("item"), F.get("doc_raw", i + F.col("diagonal")).alias("doc")),
     )
-    judged = both.select("doc_id", "item_id", "n_windows", (F.col("low") + F.col("diagonal")).alias("start"), slots.alias("slots"))
-    values = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
-    kept = judged.where(F.size(F.array_distinct("slots")) == values)
+    judged = both.select("doc_id", "item_id", "diagonal", "places", "needed", "n", slots.alias("slots")).withColumn("clashes", clashes("slots"))
+    # A stretch starts behind a clash's earlier place, or with the run, and ends before the next clash that lies in it.
+    behind = F.explode(F.array_distinct(F.concat(F.array(F.lit(-1)), F.transform("clashes", lambda c: c["last"]))))
+    cut = judged.withColumn("behind", behind).withColumn("stop", F.array_min(F.transform(F.filter("clashes", lambda c: c["last"] > F.col("behind")), lambda c: c["at"])))
+    within = F.filter("places", lambda p: (p > F.col("behind")) & (F.col("stop").isNull() | (p + F.col("n") <= F.col("stop"))))
+    cut = cut.withColumn("places", within).where(F.size("places") >= F.col("needed"))
+    cut = cut.withColumn("low", F.array_min("places")).withColumn("high", F.array_max("places") + F.col("n"))
+    cut = cut.withColumn("slots", F.filter("slots", lambda s: (s["at"] >= F.col("low")) & (s["at"] < F.col("high"))))
+    kept = cut.select("doc_id", "item_id", F.size("places").alias("n_windows"), (F.col("low") + F.col("diagonal")).alias("start"), "slots")
     verbatim = F.forall("slots", lambda s: s["item"] == s["doc"])
     best = kept.select("doc_id", "item_id", F.struct("n_windows", verbatim.alias("verbatim"), F.size("slots").alias("n_slots"), (-F.col("start")).alias("back")).alias("found"))
     best = best.groupBy("doc_id", "item_id").agg(F.max("found").alias("f"))

@@ -292,6 +292,29 @@ def test_templates_with_other_values(spark):
     assert got[1, 10]["verbatim"] and not got[2, 10]["verbatim"] and got[2, 10]["n_slots"] >= 5
 
 
+def _found(spark, docs, bench):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b).collect()}
+
+
+def test_edited_copies_are_cut_into_stretches(spark):
+    """One of several places of a value edited: what is left of the copy on either side is judged by itself."""
+    item = "If Anna buys 12 apples at 3 dollars each and Anna gives Boris 4 of them, how much did Anna pay per apple that is left?"
+    docs = [
+        (1, "Some words. " + item.replace("Anna gives", "Peter gives")),  # 15 words behind the edit
+        (2, "Some words. " + item.replace("much did Anna", "much did Peter")),  # 18 before it
+        (4, "Some words. " + item.replace("Anna", "Clara").replace("much did Clara", "much did Peter")),  # other names, 18 words
+    ]
+    other = "Look at the ball that Anna threw to the dog of Anna and that came back to Anna by the gate of Anna at noon."
+    for name in ("Bea", "Cleo", "Dora", "Emma"):
+        changed = (docs[-1][1] if docs[-1][0] == 3 else other).replace("Anna", name, 1)
+        docs = [d for d in docs if d[0] != 3] + [(3, changed)]  # stretches of fewer than 13 words
+    got = _found(spark, docs, [(10, item), (11, other)])
+    assert set(got) == {(1, 10), (2, 10), (4, 10)}
+    assert (got[1, 10]["start"], got[1, 10]["n_windows"]) == (4, 9)  # from behind the first name to before the last
+    assert (got[2, 10]["start"], got[2, 10]["n_windows"], got[2, 10]["verbatim"]) == (2, 11, True) and not got[4, 10]["verbatim"]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
 def test_components(spark, pairs):
