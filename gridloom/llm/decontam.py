@@ -6,7 +6,9 @@ one diagonal (place in the text minus place in the item) form a run. It is cut i
 slots: each value of the item stands for one value of the text wherever it occurs. A stretch is a passage if it holds enough
 of the item. So exact passages are found, and questions asked again with other numbers or names.
 
-A name is a word with one capital that does not start a sentence. Windows with fewer than half plain words are left out.
+A name is a word with one capital that does not start a sentence. Template windows with fewer than half plain words are left
+out. PASSAGE words in a row, in small letters, are met as one window besides, whatever words they are; it stands for the
+template windows that it holds.
 Null and empty texts hold nothing. Items of fewer than WINDOW tokens are one window of their own length, those of fewer than
 SHORTEST are too short to tell and match nothing. Rows without doc_id or item_id cannot be reported and are left alone.
 Repeated rows are reported once; extra columns are ignored.
@@ -14,6 +16,8 @@ Repeated rows are reported once; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,23 +48,22 @@ def plain(token: Column) -> Column:
     return F.lower(F.when(token < "A", F.regexp_replace(token, LEAD, "")).otherwise(token))
 
 
-def template(token: Column) -> Column:
-    """Placeholder or plain word; digits and sentence marks sort before ``A``."""
-    body = F.lower(F.regexp_replace(token, LEAD, ""))
-    marked = F.when((body >= "0") & (body < ":"), "#number").when(body.isin(*UNITS), "#unit").otherwise(body)
+def template(token: Column, raw: Column) -> Column:
+    """Placeholder or plain word; digits and sentence marks sort before ``A``. ``raw`` is the plain token."""
+    marked = F.when((raw >= "0") & (raw < ":"), "#number").when(raw.isin(*UNITS), "#unit").otherwise(raw)
     small = F.when(token.isin(*UNITS), "#unit").otherwise(token)
-    capital = F.when(F.upper(token) == token, F.lower(token)).otherwise("#name")
-    return F.when(token < "A", marked).when(F.lower(token) == token, small).otherwise(capital)
+    capital = F.when(F.upper(token) == token, raw).otherwise("#name")
+    return F.when(token < "A", marked).when(raw == token, small).otherwise(capital)
 
 
-def windows(hashes: str, lengths: list[int]) -> Column:
-    """Hash of every window, by place, for each length."""
+def windows(hashes: Column, lengths: list[int], sign: int = 1) -> Column:
+    """Hash of every window, by place, for each length; ``sign`` keeps two kinds of windows apart."""
 
     def of(n: int) -> Column:
         places = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct((i - 1).alias("pos"), F.lit(n).alias("n"), F.xxhash64(F.lit(n), F.slice(hashes, i, n)).alias("window")))
+        return F.transform(places, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(sign * n), F.slice(hashes, i, n)).alias("window")))
 
-    return F.flatten(F.array(*[of(n) for n in lengths])) if len(lengths) > 1 else of(lengths[0])
+    return F.concat(*[of(n) for n in lengths])
 
 
 def clashes(slots: str) -> Column:
@@ -74,23 +77,35 @@ def clashes(slots: str) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots, verbatim and start (word of the text) for each document and item with a passage."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("t")).distinct()
-    items = items.where(F.size("t") >= SHORTEST).select("item_id", F.transform("t", plain).alias("raw"), F.transform("t", template).alias("kind"))
-    items = stage(items.withColumn("n", F.least(F.size("kind"), F.lit(window))), "items")
-    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most ``window`` values
-    hashed = items.withColumn("h", F.transform("kind", lambda k: F.xxhash64(k)))
-    cut = hashed.select("item_id", "kind", "n", F.size("h").alias("size"), F.explode(windows("h", lengths or [window])).alias("w"))
-    cut = cut.where(F.col("w.n") == F.col("n")).select("item_id", "n", "size", F.col("w.pos").alias("at"), "w.window", F.slice("kind", F.col("w.pos") + 1, F.col("n")).alias("part"))
-    fixed = F.size(F.filter("part", lambda k: ~k.startswith("#")))
-    known = stage(cut.where(2 * fixed >= F.col("n")).select("window", "item_id", "at", F.least(F.lit(passage - window + 1), F.col("size") - F.col("n") + 1).alias("needed")).distinct(), "item-windows")
-    read = docs.where("doc_id IS NOT NULL").select("doc_id", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(template(t))).alias("h"))
-    seen = read.select("doc_id", F.explode(windows("h", lengths or [window])).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"))
+    items = items.where(F.size("t") >= SHORTEST).withColumn("raw", F.transform("t", plain)).select("item_id", "raw", F.zip_with("t", "raw", template).alias("kind"))
+    items = items.withColumn("n", F.least(F.size("kind"), F.lit(window))).withColumn("long", F.least(F.size("kind"), F.lit(passage)))
+    items = stage(items.withColumn("needed", F.greatest(F.col("long") - F.col("n") + 1, F.lit(1))), "items")
+    pairs = items.select("n", "long").distinct().collect()  # at most ``window`` and ``passage`` values
+    lengths, longs = sorted({r["n"] for r in pairs} or {window}), sorted({r["long"] for r in pairs} or {passage})
+    hashed = items.withColumn("h", F.transform("kind", lambda k: F.xxhash64(k))).withColumn("r", F.transform("raw", lambda k: F.xxhash64(k)))
+
+    def cut_items(length: str, sizes: list[int], hashes: str, sign: int) -> DataFrame:
+        """Windows of each item in its own length, with the number of further template windows they hold."""
+        own = [hashed.where(F.col(length) == n).select("item_id", "n", "needed", "kind", F.lit(n).alias("size"), F.explode(windows(F.col(hashes), [n], sign)).alias("w")) for n in sizes]
+        return reduce(DataFrame.union, own)
+
+    worded = F.size(F.filter(F.slice("kind", F.col("w.pos") + 1, F.col("n")), lambda k: ~k.startswith("#")))
+    by_kind, by_word = cut_items("n", lengths, "h", 1).where(2 * worded >= F.col("n")), cut_items("long", longs, "r", -1)
+    known = by_kind.union(by_word).select(F.col("w.window").alias("window"), "item_id", F.col("w.pos").alias("at"), (F.col("size") - F.col("n")).alias("more"), "needed", "n")
+    known = stage(known.distinct(), "item-windows")
+    read = docs.where("doc_id IS NOT NULL").select("doc_id", tokens(F.col("text")).alias("t")).withColumn("raw", F.transform("t", plain))
+    read = read.select("doc_id", F.zip_with("t", "raw", lambda t, r: F.xxhash64(template(t, r))).alias("h"), F.transform("raw", lambda r: F.xxhash64(r)).alias("r"))
+    both = F.concat(windows(F.col("h"), lengths), windows(F.col("r"), longs, -1))
+    seen = read.select("doc_id", F.explode(both).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"))
     hits = join_small(seen, known, "window", "inner").groupBy("doc_id", "item_id", "needed", (F.col("pos") - F.col("at")).alias("diagonal"))
-    runs = hits.agg(F.collect_set("at").alias("places")).where(F.size("places") >= F.col("needed"))  # as many places as the item has, at most
-    runs = stage(runs.select("doc_id", "item_id", "diagonal", "needed", "places", F.array_min("places").alias("low"), F.array_max("places").alias("high")), "runs")
+    runs = hits.agg(F.collect_set(F.struct("at", "more")).alias("hits"))  # as many places as the item has, at most, of either kind
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["more"]))))
+    runs = runs.select("doc_id", "item_id", "diagonal", "needed", places.alias("places")).where(F.size("places") >= F.col("needed"))
+    runs = stage(runs.select("*", F.array_min("places").alias("low"), F.array_max("places").alias("high")), "runs")
     ids = stage(runs.select("doc_id").distinct(), "hit-documents")
     texts = join_small(docs.select("doc_id", "text"), ids, "doc_id", "inner").select("doc_id", tokens(F.col("text")).alias("t"))
-    texts = texts.select("doc_id", F.transform("t", plain).alias("doc_raw"), F.transform("t", template).alias("doc_kind"))
-    both = runs.join(texts, "doc_id").join(items, "item_id")
+    texts = texts.withColumn("doc_raw", F.transform("t", plain)).select("doc_id", "doc_raw", F.zip_with("t", "doc_raw", template).alias("doc_kind"))
+    both = runs.join(texts, "doc_id").join(items.drop("needed"), "item_id")
     place = F.sequence(F.col("low"), F.least(F.col("high") + F.col("n") - 1, F.size("doc_kind") - F.col("diagonal") - 1))
     slots = F.transform(
         F.filter(place, lambda i: F.get("kind", i).startswith("#") & (F.get("kind", i) == F.get("doc_kind", i + F.col("diagonal")))),
