@@ -8,7 +8,8 @@ of the item. So exact passages are found, and questions asked again with other n
 
 A name is a word with one capital that does not start a sentence. Template windows with fewer than half plain words are left
 out. PASSAGE words in a row, in small letters, are met as one window besides, whatever words they are; it stands for the
-template windows that it holds.
+template windows that it holds. So copies in other letters, or with other marks or line ends before a name, are found too, and
+a name or unit that only the item shows as one is a slot with its own value.
 Null and empty texts hold nothing. Items of fewer than WINDOW tokens are one window of their own length, those of fewer than
 SHORTEST are too short to tell and match nothing. Rows without doc_id or item_id cannot be reported and are left alone.
 Repeated rows are reported once; extra columns are ignored.
@@ -108,7 +109,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     both = runs.join(texts, "doc_id").join(items.drop("needed"), "item_id")
     place = F.sequence(F.col("low"), F.least(F.col("high") + F.col("n") - 1, F.size("doc_kind") - F.col("diagonal") - 1))
     slots = F.transform(
-        F.filter(place, lambda i: F.get("kind", i).startswith("#") & (F.get("kind", i) == F.get("doc_kind", i + F.col("diagonal")))),
+        F.filter(place, lambda i: F.get("kind", i).startswith("#") & ((F.get("kind", i) == F.get("doc_kind", i + F.col("diagonal"))) | (F.get("raw", i) == F.get("doc_raw", i + F.col("diagonal"))))),
         lambda i: F.struct(i.alias("at"), F.get("raw", i).alias("item"), F.get("doc_raw", i + F.col("diagonal")).alias("doc")),
     )
     judged = both.select("doc_id", "item_id", "diagonal", "places", "needed", "n", slots.alias("slots")).withColumn("clashes", clashes("slots"))

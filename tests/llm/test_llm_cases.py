@@ -333,6 +333,21 @@ def test_items_of_numbers_and_names(spark):
     assert all(r["verbatim"] for r in got.values()) and got[3, 10]["start"] == 1 and got[3, 10]["n_windows"] == 6
 
 
+def test_copies_in_other_letters_and_lines(spark):
+    item = "If Anna buys 12 apples at 3 dollars each and Anna gives Boris 4 of them, how much did Anna pay per apple that is left?"
+    docs = [
+        (1, item),
+        (4, item.lower()),
+        (6, item.upper()),
+        (7, "Words.\n" + item.replace(" Anna", "\nAnna").replace(" Boris", ":\n\nBoris")),  # names at the start of lines
+        (8, "So asked: if Anna buys 12 apples at 3 dollars each and Anna gives. Boris"),  # 14 words
+        (9, "So asked: if Anna buys 12 apples at 3 dollars each and anna went"),  # 12 words
+    ]
+    got = _found(spark, docs, [(10, item)])
+    assert set(got) == {(d, 10) for d in (1, 4, 6, 7, 8)}
+    assert all(got[d, 10][c] == got[1, 10][c] for d in (4, 6, 7) for c in ("n_windows", "n_slots", "verbatim"))
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
 def test_components(spark, pairs):
