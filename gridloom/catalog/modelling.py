@@ -250,32 +250,28 @@ def ridge_multi(spark, sf):
     return _report(mo.score_ridge(rows, fit, fr.MODEL_FEATURES, TARGETS, "multi_ridge"))
 
 
-FOREST = {"numTrees": 12, "maxDepth": 6}
-BOOST = {"maxIter": 10, "stepSize": 0.1, "maxDepth": 4}
-
-
 @query("rf_fit")
 def rf_fit(spark, sf):
     vectors = mo.assemble(prepared(spark, sf), fr.MODEL_FEATURES, "value")
-    return _report(mo.score_vectors(mo.fit_forest(vectors, **FOREST), vectors, "rf", "value"))
+    return _report(mo.score_vectors(mo.fit_forest(vectors), vectors, "rf", "value"))
 
 
 @query("gbt_fit")
 def gbt_fit(spark, sf):
     vectors = mo.assemble(prepared(spark, sf), fr.MODEL_FEATURES, "value")
-    return _report(mo.score_vectors(mo.fit_boosted(vectors, **BOOST), vectors, "gbt", "value"))
+    return _report(mo.score_vectors(mo.fit_boosted(vectors), vectors, "gbt", "value"))
 
 
 @query("gbt_sweep")
 def gbt_sweep(spark, sf):
     vectors = mo.assemble(prepared(spark, sf), fr.MODEL_FEATURES, "value")
-    _, rows = mo.sweep_boosted(vectors, maxIter=3, stepSize=0.3)
+    _, rows = mo.sweep_boosted(vectors)
     return keep(rows, *mo.SWEEP, rnd=("val_rmse",), digits=4)
 
 
 @query("gbt_multi")
 def gbt_multi(spark, sf):
-    return _report(mo.fit_per_target(prepared(spark, sf), fr.MODEL_FEATURES, TARGETS, "gbt", **{**BOOST, "maxIter": 5}))
+    return _report(mo.fit_per_target(prepared(spark, sf), fr.MODEL_FEATURES, TARGETS, "gbt"))
 
 
 def _station_ridge(spark, sf, rows=None):

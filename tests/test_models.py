@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from gridloom.catalog import modelling
 from gridloom.operators import explore as ex
 from gridloom.operators import metrics as me
 from gridloom.operators import models as mo
@@ -259,3 +260,28 @@ def test_targets_stay_apart(spark):
     assert wide.count() == 6 and me.long_predictions(wide, ["m1", "m2"]).count() == 12
     routing = spark.createDataFrame([("A", "m2")], "station string, model string")
     assert me.apply_routing(preds, routing, "m1").count() == 6
+
+
+@pytest.mark.parametrize("name", ["rf_fit", "gbt_fit", "gbt_sweep", "gbt_multi"])
+def test_registered_fits_take_the_operators_settings(spark, monkeypatch, name):
+    """The learner is replaced by one that notes its settings: a full fit is too slow here."""
+    seen = []
+
+    class Noted(Exception):
+        pass
+
+    def learner(**settings):
+        seen.append(settings)
+        raise Noted
+
+    rows = spark.createDataFrame([("train", "A", 1.0, 1.0), ("val", "A", 2.0, 2.0)], "split string, station string, value double, k double")
+    monkeypatch.setattr(modelling, "prepared", lambda *_: rows)
+    monkeypatch.setattr(modelling.fr, "MODEL_FEATURES", ("k",))
+    monkeypatch.setattr(mo, "assemble", lambda df, *_: df)
+    monkeypatch.setattr(mo, "RandomForestRegressor", learner)
+    monkeypatch.setattr(mo, "GBTRegressor", learner)
+    with pytest.raises(Noted):
+        getattr(modelling, name)(spark, "")
+    stop = {"validationIndicatorCol": "is_val"}
+    first = {k: v[0] for k, v in mo.SWEEP.items()}
+    assert seen == [{"rf_fit": mo.FOREST, "gbt_fit": {**mo.BOOST, **stop}, "gbt_sweep": {**mo.BOOST, **stop, **first}, "gbt_multi": mo.BOOST}[name]]
