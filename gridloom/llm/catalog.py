@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, decontam, licenses, lines, minhash, pieces, quality, topk, toxicity, urls
+from gridloom.llm import chat, decontam, licenses, lines, metricjoin, minhash, pieces, quality, ranking, spelling, topk, toxicity, urls
 from gridloom.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,57 @@ def op10_quality(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     stats = quality.stage(quality.measure(table(spark, sf_dir, "documents")), "statistics")
     return _predicted(quality.score(stats, quality.fit(stats, labels, _learn())), 0.3)
+
+
+_BYTES = """flatten(list_transform(list_transform(string_split({0}, ''), lambda c: unicode(c)),
+  lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 | (u >> 6), 128 | (u & 63)] END))"""
+
+
+@query(f"""
+WITH RECURSIVE polynomial AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) t),
+r AS (SELECT doc_id, run, count(*) n FROM (
+  SELECT coalesce(doc_id::VARCHAR, '') doc_id, unnest(regexp_extract_all({lowered('text')}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, xor(4294967295, list_reduce({_BYTES.format("doc_id || ':' || run")}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT)) h FROM r, polynomial),
+w AS (SELECT word, sum(n)::BIGINT n FROM (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END word, n FROM h) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+v AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) less FROM (SELECT word, n, unnest(range(length(word))) i FROM w)),
+e AS (SELECT DISTINCT a.word, b.word near, b.n m FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word),
+k AS (SELECT word, count(*) n_near, min(struct_pack(a := -m, b := near)) best FROM e GROUP BY word),
+f AS (SELECT word, n, coalesce(n_near, 0)::BIGINT n_near, CASE WHEN -best.a >= 5 * n THEN best.b END form, CASE WHEN -best.a >= 5 * n THEN -best.a END::BIGINT form_n FROM w LEFT JOIN k USING (word)),
+p AS (SELECT word, word root, 0 step FROM f UNION ALL SELECT p.word, f.form, step + 1 FROM p JOIN f ON p.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, last.root AS root, n, n_near, form_n FROM f JOIN (SELECT word, max(struct_pack(step := step, root := root)) "last" FROM p GROUP BY word) USING (word)""")
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+e AS (SELECT a, b FROM l UNION ALL SELECT vec_id, vec_id FROM embeddings),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) c FROM r GROUP BY a),
+n AS (SELECT a, count(*) n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT n_links, c.c component_id, vec_id = c.c kept FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""")
+def op12_embedding_dedup(spark, sf_dir):
+    return metricjoin.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def _terms_sql(column: str) -> str:
+    return f"regexp_extract_all({lowered(column)}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () i, doc_id, {_terms_sql('text')} w FROM documents),
+s AS (SELECT count(*) all_docs, sum(len(w))::BIGINT all_terms FROM d WHERE len(w) > 0),
+f AS (SELECT i, any_value(doc_id) doc_id, any_value(n) n, term, count(*) tf FROM (SELECT i, doc_id, len(w) n, unnest(w) term FROM d) GROUP BY i, term),
+q AS (SELECT item_id, term, count(*) c FROM (SELECT item_id, unnest({_terms_sql('text')}) term FROM benchmark) GROUP BY ALL),
+g AS (SELECT term, floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1)))::BIGINT w FROM f, s GROUP BY term, all_docs),
+t AS (SELECT q.item_id, f.i, any_value(f.doc_id) doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * all_docs) // all_terms)))))::BIGINT score
+  FROM q JOIN f USING (term) JOIN g USING (term), s GROUP BY q.item_id, f.i),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER "rank", doc_id, score FROM t WHERE score > 0)
+SELECT item_id, "rank", doc_id, score FROM r WHERE "rank" <= 20""")
+def op13_ranked_search(spark, sf_dir):
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
