@@ -62,12 +62,12 @@ def counted(docs: DataFrame, least_letters: int, least_count: int) -> DataFrame:
 
 
 class Index:
-    """Bitsets per (position, letter) over words of l and l + 1 letters, in order of falling frequency."""
+    """Bitsets per (position, letter) over words of l and l + 1 letters, in order of falling frequency, ties as the words read forwards."""
 
-    def __init__(self, words: list[str], counts: list[int], l: int):
-        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
+    def __init__(self, words: list[str], counts: list[int], l: int, backwards: bool):
+        order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i][::-1] if backwards else words[i]))
         self.words, self.counts = [words[i] for i in order], [counts[i] for i in order]
-        self.l, self.width = l, -(-len(words) // 64)
+        self.l, self.backwards, self.width = l, backwards, -(-len(words) // 64)
         letters = codes(self.words, l + 1)
         self.letters = np.unique(letters)
         # One more row, of no word, for letters that no word has.
@@ -85,7 +85,7 @@ class Index:
         at = np.minimum(np.searchsorted(self.letters, queries), len(self.letters) - 1)
         return np.where(self.letters[at] == queries, at, len(self.letters))
 
-    def near(self, queries: list[str], shared: int, backwards: bool) -> np.ndarray:
+    def near(self, queries: list[str], shared: int) -> np.ndarray:
         """Bitsets of the words near each query, which all have l or all l + 1 letters, that share its first ``shared`` letters.
 
         Of words written backwards, those that also share the first half are left out; they met there.
@@ -105,7 +105,7 @@ class Index:
                 inserted = (inserted & ahead) | zero
                 other = other & ahead
             found = (replaced & self.short) | (inserted & self.long)
-            return found & ~(other & self.long) if backwards else found
+            return found & ~(other & self.long) if self.backwards else found
         deleted = same
         for i in range(shared + 1, n):
             behind = self.sets[i - 1][at[:, i]]
@@ -113,7 +113,7 @@ class Index:
             deleted = (deleted & behind) | zero
             other = other & behind
         found = deleted & self.short
-        return found & ~(other & self.short) if backwards else found
+        return found & ~(other & self.short) if self.backwards else found
 
 
 def codes(words: list[str], width: int) -> np.ndarray:
@@ -121,13 +121,13 @@ def codes(words: list[str], width: int) -> np.ndarray:
     return np.array(words, f"<U{width}").view("<u4").reshape(len(words), width)
 
 
-def looked_up(index: Index, queries: list[str], shared: int, backwards: bool):
+def looked_up(index: Index, queries: list[str], shared: int):
     """Per query with near words in the block: its place, their number, the most frequent one's count and word."""
     for n in (index.l, index.l + 1):
         own = np.array([i for i, q in enumerate(queries) if len(q) == n], np.int64)
         for s in range(0, len(own), QUERIES):
             pick = own[s : s + QUERIES]
-            found = index.near([queries[i] for i in pick], shared, backwards)
+            found = index.near([queries[i] for i in pick], shared)
             hit = np.flatnonzero(found.any(1))
             if len(hit):
                 found = found[hit]
@@ -160,9 +160,9 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
 
         def look():
             nonlocal index
-            if index is None:
-                index = Index(base, counts, kind[0])
-            rows = list(looked_up(index, asked, kind[2], kind[1]))
+            if index is None and base:
+                index = Index(base, counts, kind[0], kind[1])
+            rows = list(looked_up(index, asked, kind[2])) if base else []
             turn = (lambda w: w[::-1]) if kind[1] else (lambda w: w)
             columns = [turn(asked[i]) for i, *_ in rows], [r[1] for r in rows], [r[2] for r in rows], [turn(r[3]) for r in rows]
             asked.clear()

@@ -23,7 +23,7 @@ def con():
 
 def test_all_registered():
     names = {n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
