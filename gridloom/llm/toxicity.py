@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Cached, join_small, over_texts, stage
+from gridloom.llm.common import join_small, over_texts, stage
 
 BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
@@ -38,11 +39,63 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def grams(word: str) -> np.ndarray:
-    """Buckets of a word's n-grams, and of the whole word."""
-    marked = f"<{word}>"
-    parts = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return np.array(sorted({zlib.crc32(p.encode()) % BUCKETS for p in parts}), np.int32)
+def _table() -> np.ndarray:
+    """CRC-32 of every byte: eight shifts by the reflected polynomial."""
+    value = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        value = np.where(value & 1, value >> 1 ^ np.uint32(0xEDB88320), value >> 1)
+    return value
+
+
+TABLE = _table()
+
+
+def _append(crc: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Running CRC-32 of many texts after one more code point each, as UTF-8."""
+    size = 1 + (code >= 0x80).astype(np.uint8) + (code >= 0x800) + (code >= 0x10000)
+    lead = code if not len(code) or size.max() == 1 else np.choose(size - 1, [code, 0xC0 | code >> 6, 0xE0 | code >> 12, 0xF0 | code >> 18])
+    crc = TABLE[(crc ^ lead) & 255] ^ crc >> 8
+    for k in (2, 3, 4):
+        more = np.flatnonzero(size >= k)
+        if not len(more):
+            break
+        rest = 0x80 | code[more] >> (6 * (size[more] - k)) & 0x3F
+        crc[more] = TABLE[(crc[more] ^ rest) & 255] ^ crc[more] >> 8
+    return crc
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of many words and of the whole words, distinct and in order a word; and where each word's end.
+
+    All n-grams of one length are hashed at once, each length going on from the one before.
+    """
+    marked = [f"<{w}>" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4")
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.cumsum(sizes)[owner] - np.arange(len(code))
+    found = [np.arange(len(words)) * BUCKETS + np.fromiter((zlib.crc32(m.encode()) % BUCKETS for m in marked), np.int64, len(marked))]
+    crc = np.full(len(code), 0xFFFFFFFF, np.uint32)
+    for n in range(1, max(GRAMS) + 1):
+        crc = _append(crc[: max(0, len(code) - n + 1)], code[n - 1 :])
+        if n in GRAMS:
+            at = np.flatnonzero(left[: len(crc)] >= n)
+            found.append(owner[at] * BUCKETS + (~crc[at] % BUCKETS).astype(np.int64))
+    both = np.sort(np.concatenate(found))
+    both = both[np.diff(both, prepend=-1) > 0]
+    return both % BUCKETS, np.searchsorted(both, np.arange(1, len(words) + 1) * BUCKETS)
+
+
+class Bag:
+    """Tokens of a slice of texts: its distinct words, and each text's words as places among them."""
+
+    def __init__(self, texts: list[bytes | None]):
+        found = [tokens(t or b"") for t in texts]
+        self.sizes = np.fromiter(map(len, found), np.int64, len(found))
+        place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        self.words = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64, int(self.sizes.sum()))
+        self.buckets, self.ends = grams(list(place))
+        self.starts = np.append(0, self.ends[:-1])[: len(self.ends)]
 
 
 def tokens(text: bytes) -> list[str]:
@@ -51,19 +104,15 @@ def tokens(text: bytes) -> list[str]:
 
 def bags(docs: DataFrame) -> DataFrame:
     """Each document as n-gram buckets with weights that sum to 1, and its number of words."""
-    known = Cached(grams, 50_000)
-
-    def bag(text: bytes):
-        found = tokens(text)
-        if not found:
-            return b"", b""
-        lists = [known[w] for w in found]
-        weight = np.bincount(np.concatenate(lists), np.concatenate([np.full(len(x), 1 / len(x) / len(found)) for x in lists]), BUCKETS)
-        at = np.flatnonzero(weight)
-        return at.astype(np.uint16).tobytes(), weight[at].astype(np.float32).tobytes()
 
     def work(part: pa.RecordBatch):
-        rows = [bag(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
+        bag, rows = Bag(part.column("text").cast(pa.binary()).to_pylist()), []
+        size = bag.ends - bag.starts
+        for words in np.split(bag.words, np.cumsum(bag.sizes)[:-1]):
+            own = np.concatenate([bag.buckets[bag.starts[w] : bag.ends[w]] for w in words]) if len(words) else bag.buckets[:0]
+            weight = np.bincount(own, np.repeat(1 / size[words] / max(1, len(words)), size[words]), BUCKETS)
+            at = np.flatnonzero(weight)
+            rows.append((at.astype(np.uint16).tobytes(), weight[at].astype(np.float32).tobytes()))
         return {"y": part.column("y"), "at": [r[0] for r in rows], "weight": [r[1] for r in rows]}
 
     return over_texts(docs.select("y", "text"), work, "y int, at binary, weight binary")
@@ -76,8 +125,13 @@ class Model:
     grams: np.ndarray
     bias: float
 
-    def word(self, word: str) -> float:
-        return float(self.grams[grams(word)].mean())
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
+        bag = Bag(texts)
+        size = bag.ends - bag.starts
+        word = np.bincount(np.repeat(np.arange(len(size)), size), self.grams[bag.buckets], len(size)) / size
+        text = np.bincount(np.repeat(np.arange(len(texts)), bag.sizes), word[bag.words], len(texts))
+        logit = self.bias + text / np.maximum(bag.sizes, 1)
+        return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
 def train(rows: list[tuple[int, bytes, bytes]], dim: int = 8, steps: int = 400, batch: int = 64, rate: float = 1.0, calm: float = 1e-8, seed: int = 7) -> Model:
@@ -143,14 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 2200) ->
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every document; the model is BUCKETS numbers, whatever the input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    logits = Cached(lambda w: shared.value.word(w))
-
-    def one(text: bytes) -> float:
-        found = tokens(text)
-        logit = shared.value.bias + (sum(map(logits.__getitem__, found)) / len(found) if found else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
     def work(part: pa.RecordBatch):
-        return {"doc_id": part.column("doc_id"), "score": [one(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]}
+        return {"doc_id": part.column("doc_id"), "score": shared.value.scores(part.column("text").cast(pa.binary()).to_pylist())}
 
     return over_texts(docs.select("doc_id", "text"), work, "doc_id long, score double")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -87,13 +88,87 @@ def test_toxicity_learns_from_parts_of_words():
         words = rng.choices(vocab, k=30)
         if i % 3 == 0:
             words[5:7] = ["qwizzle" + rng.choice(vocab), "xyzzle"]
-        found = [toxicity.grams(w) for w in words]
+        found = [toxicity.grams([w])[0] for w in words]
         w = np.bincount(np.concatenate(found), np.concatenate([np.full(len(x), 1 / len(x) / 30) for x in found]), toxicity.BUCKETS)
         at = np.flatnonzero(w)
         rows.append((int(i % 3 == 0), at.astype(np.uint16).tobytes(), w[at].astype(np.float32).tobytes()))
     model = toxicity.train(rows)
-    usual = max(model.word(w) for w in vocab)
-    assert model.word("qwizzled") > usual and model.word("xyzzles") > usual
+    usual = model.scores([w.encode() for w in vocab]).max()
+    assert (model.scores([b"qwizzled", b"xyzzles"]) > usual).all()
+
+
+def _plain_grams(word):
+    marked = f"<{word}>"
+    parts = {marked[i : i + n] for n in toxicity.GRAMS for i in range(len(marked) - n + 1)} | {marked}
+    return sorted({zlib.crc32(p.encode()) % toxicity.BUCKETS for p in parts})
+
+
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), min_size=1, max_size=12), min_size=1, max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_toxicity_grams_of_many_words(words):
+    buckets, ends = toxicity.grams(words)
+    assert [x.tolist() for x in np.split(buckets, ends[:-1])] == [_plain_grams(w) for w in words]
+
+
+def _plain_bag(text):
+    words = toxicity.tokens((text or "").encode())
+    weight = {}
+    for w in words:
+        for b in _plain_grams(w):
+            weight[b] = weight.get(b, 0.0) + 1 / len(_plain_grams(w)) / len(words)
+    return weight
+
+
+def test_toxicity_against_plain_loops(spark):
+    """Fit and score of 50 documents: n-grams, bags, softmax and gradients by loops over words and buckets."""
+    rng = random.Random(4)
+    vocab = ["".join(rng.choices("abcdeé", k=rng.randint(1, 7))) for _ in range(60)]
+    docs = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 25)) + ["v1le"] * (i % 3 == 0))) for i in range(48)] + [(48, None), (49, "!!")]
+    labels = [(i, int(i % 3 == 0)) for i in range(50)]
+    frame, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, y int")
+    model = toxicity.fit(frame.repartition(7), marks, F.lit(True))
+    rows = sorted((y, np.array(sorted(bag), np.uint16).tobytes(), np.array([bag[b] for b in sorted(bag)], np.float32).tobytes()) for (_, t), (_, y) in zip(docs, labels, strict=True) for bag in [_plain_bag(t)])
+    want = _plain_train(rows)
+    odds = toxicity.PRIOR * np.log(17 / 33)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame.repartition(3), model).collect()}
+    for doc, text in docs:
+        bag = _plain_bag(text)
+        logit = want.bias + odds + sum(want.grams[b] * w for b, w in bag.items())
+        assert abs(got[doc] - 1 / (1 + np.exp(-logit))) < 1e-3, doc
+    again = {r["doc_id"]: r["score"] for r in toxicity.score(frame.coalesce(1), model).collect()}
+    assert again == got
+
+
+def _plain_train(rows, dim=8, steps=400, batch=64, rate=1.0, calm=1e-8, seed=7):
+    """The same steps with one loop over documents, buckets and coordinates each, in double precision."""
+    rng = np.random.default_rng(seed)
+    emb = rng.normal(0, 1 / dim, (toxicity.BUCKETS, dim)).astype(np.float32).astype(float)
+    out, bias = rng.normal(0, 0.5, (dim, 2)).astype(np.float32).astype(float), np.zeros(2)
+    sums, sum_out, sum_bias = {}, np.full((dim, 2), 1e-2), np.full(2, 1e-2)
+    y = [r[0] for r in rows]
+    bags = [list(zip(np.frombuffer(a, np.uint16).tolist(), np.frombuffer(w, np.float32).tolist(), strict=True)) for _, a, w in rows]
+    epochs = max(5, -(-steps * batch // len(rows)))
+    for epoch in range(epochs):
+        step, order = rate * (1 - epoch / epochs), rng.permutation(len(rows))
+        for start in range(0, len(rows), batch):
+            pick = order[start : start + batch]
+            grads, d_out, d_bias = {}, np.zeros((dim, 2)), np.zeros(2)
+            for i in pick:
+                vec = sum((emb[b] * w for b, w in bags[i]), np.zeros(dim))
+                p = np.exp(vec @ out + bias - (vec @ out + bias).max())
+                p /= p.sum()
+                p[y[i]] -= 1
+                p *= 0.5 / (y.count(y[i]) / len(y)) / len(pick)
+                d_out, d_bias = d_out + np.outer(vec, p), d_bias + p
+                for b, w in bags[i]:
+                    grads[b] = grads.get(b, 0) + out @ p * w
+            for b, g in grads.items():
+                sums[b] = sums.get(b, calm) + g**2
+                emb[b] = emb[b] - step * g / np.sqrt(sums[b])
+            sum_out, sum_bias = sum_out + d_out**2, sum_bias + d_bias**2
+            out, bias = out - step * d_out / np.sqrt(sum_out), bias - step * d_bias / np.sqrt(sum_bias)
+    side = out[:, 1] - out[:, 0]
+    return toxicity.Model(emb @ side, float(bias[1] - bias[0]))
 
 
 def test_toxicity_never_reads_other_labels(spark):
