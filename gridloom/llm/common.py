@@ -39,7 +39,7 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def join_small(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+def join_small(df: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """Join with a staged key table; broadcast only if its counted rows are few, else both sides are shuffled."""
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if small else keys, on, how)

@@ -6,13 +6,15 @@ one diagonal (place in the text minus place in the item) form a run. It is cut i
 slots: each value of the item stands for one value of the text wherever it occurs. A stretch is a passage if it holds enough
 of the item. So exact passages are found, and questions asked again with other numbers or names.
 
-A name is a word with one capital that does not start a sentence. Template windows with fewer than half plain words are left
-out. PASSAGE words in a row, in small letters, are met as one window besides, whatever words they are; it stands for the
+A name is a word with one capital that does not start a sentence. Template windows without a plain word tell nothing and are
+left out. Those with fewer plain words than placeholders count only where a stretch holds twice the windows of a passage, or
+all that the item has, and three different slot values stand in it. PASSAGE words in a row, in small letters, are met as one window besides, whatever words they are; it stands for the
 template windows that it holds. So copies in other letters, or with other marks or line ends before a name, are found too, and
 a name or unit that only the item shows as one is a slot with its own value.
-Null and empty texts hold nothing. Items of fewer than WINDOW tokens are one window of their own length, those of fewer than
-SHORTEST are too short to tell and match nothing. Rows without doc_id or item_id cannot be reported and are left alone.
-Repeated rows are reported once; extra columns are ignored.
+Null and empty texts hold nothing. Items of fewer than WINDOW tokens are one window of their own length; those of fewer than
+``shortest``, which is 1 unless the caller wants otherwise, match nothing. Rows without doc_id or item_id cannot be reported
+and are left alone. Rows of one doc_id with several texts are searched each by itself; a document is reported once an item,
+with its best passage; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from gridloom.llm.common import join_small, stage
 WINDOW = 8
 #: Consecutive words of an item that make a passage; a shorter item has to be there as a whole.
 PASSAGE = 13
-SHORTEST = 5
+#: Different slot values that a stretch with few plain words needs.
+VALUES = 3
 #: Spelled-out units and their signs (fixed values).
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds "
@@ -75,11 +78,13 @@ def clashes(slots: str) -> Column:
     return F.when(same, F.array().cast("array<struct<at:int,last:int>>")).otherwise(F.filter(pairs, lambda c: c["last"].isNotNull()))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, passage: int = PASSAGE, shortest: int = 1) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots, verbatim and start (word of the text) for each document and item with a passage."""
     items = benchmark.where("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("t")).distinct()
-    items = items.where(F.size("t") >= SHORTEST).withColumn("raw", F.transform("t", plain)).select("item_id", "raw", F.zip_with("t", "raw", template).alias("kind"))
+    items = items.where(F.size("t") >= max(1, shortest)).withColumn("raw", F.transform("t", plain)).select("item_id", "raw", F.zip_with("t", "raw", template).alias("kind"))
     items = items.withColumn("n", F.least(F.size("kind"), F.lit(window))).withColumn("long", F.least(F.size("kind"), F.lit(passage)))
+    words = lambda i: F.exists(F.slice("kind", i, F.col("n")), lambda k: ~k.startswith("#"))
+    items = items.withColumn("whole", F.size(F.filter(F.sequence(F.lit(1), F.size("kind") - F.col("n") + 1), words)))
     items = stage(items.withColumn("needed", F.greatest(F.col("long") - F.col("n") + 1, F.lit(1))), "items")
     pairs = items.select("n", "long").distinct().collect()  # at most ``window`` and ``passage`` values
     lengths, longs = sorted({r["n"] for r in pairs} or {window}), sorted({r["long"] for r in pairs} or {passage})
@@ -87,39 +92,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
 
     def cut_items(length: str, sizes: list[int], hashes: str, sign: int) -> DataFrame:
         """Windows of each item in its own length, with the number of further template windows they hold."""
-        own = [hashed.where(F.col(length) == n).select("item_id", "n", "needed", "kind", F.lit(n).alias("size"), F.explode(windows(F.col(hashes), [n], sign)).alias("w")) for n in sizes]
+        own = [hashed.where(F.col(length) == n).select("item_id", "n", "needed", "whole", "kind", F.lit(n).alias("size"), F.explode(windows(F.col(hashes), [n], sign)).alias("w")) for n in sizes]
         return reduce(DataFrame.union, own)
 
     worded = F.size(F.filter(F.slice("kind", F.col("w.pos") + 1, F.col("n")), lambda k: ~k.startswith("#")))
-    by_kind, by_word = cut_items("n", lengths, "h", 1).where(2 * worded >= F.col("n")), cut_items("long", longs, "r", -1)
-    known = by_kind.union(by_word).select(F.col("w.window").alias("window"), "item_id", F.col("w.pos").alias("at"), (F.col("size") - F.col("n")).alias("more"), "needed", "n")
+    by_kind = cut_items("n", lengths, "h", 1).where(worded > 0).withColumn("firm", 2 * worded >= F.col("n"))
+    known = by_kind.union(cut_items("long", longs, "r", -1).withColumn("firm", F.lit(True)))
+    known = known.select(F.col("w.window").alias("window"), "item_id", F.col("w.pos").alias("at"), (F.col("size") - F.col("n")).alias("more"), "needed", "whole", "firm")
     known = stage(known.distinct(), "item-windows")
-    read = docs.where("doc_id IS NOT NULL").select("doc_id", tokens(F.col("text")).alias("t")).withColumn("raw", F.transform("t", plain))
-    read = read.select("doc_id", F.zip_with("t", "raw", lambda t, r: F.xxhash64(template(t, r))).alias("h"), F.transform("raw", lambda r: F.xxhash64(r)).alias("r"))
+    read = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("t")).withColumn("raw", F.transform("t", plain))
+    read = read.select("doc_id", "tag", F.zip_with("t", "raw", lambda t, r: F.xxhash64(template(t, r))).alias("h"), F.transform("raw", lambda r: F.xxhash64(r)).alias("r"))
     both = F.concat(windows(F.col("h"), lengths), windows(F.col("r"), longs, -1))
-    seen = read.select("doc_id", F.explode(both).alias("w")).select("doc_id", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"))
-    hits = join_small(seen, known, "window", "inner").groupBy("doc_id", "item_id", "needed", (F.col("pos") - F.col("at")).alias("diagonal"))
-    runs = hits.agg(F.collect_set(F.struct("at", "more")).alias("hits"))  # as many places as the item has, at most, of either kind
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["more"]))))
-    runs = runs.select("doc_id", "item_id", "diagonal", "needed", places.alias("places")).where(F.size("places") >= F.col("needed"))
+    seen = read.select("doc_id", "tag", F.explode(both).alias("w")).select("doc_id", "tag", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"))
+    hits = join_small(seen, known, "window", "inner").groupBy("doc_id", "tag", "item_id", "needed", "whole", (F.col("pos") - F.col("at")).alias("diagonal"))
+    runs = hits.agg(F.collect_set(F.struct("at", "more", "firm")).alias("hits"))  # as many places as the item has, at most, of either kind
+    places = lambda hits: F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["more"]))))
+    runs = runs.select("doc_id", "tag", "item_id", "diagonal", "needed", "whole", places("hits").alias("places"), places(F.filter("hits", lambda h: h["firm"])).alias("firm"))
+    enough, twice = F.size("firm") >= F.col("needed"), F.size("places") >= F.least(2 * F.col("needed"), F.greatest("whole", F.lit(1)))
+    runs = runs.where(enough | twice)
     runs = stage(runs.select("*", F.array_min("places").alias("low"), F.array_max("places").alias("high")), "runs")
-    ids = stage(runs.select("doc_id").distinct(), "hit-documents")
-    texts = join_small(docs.select("doc_id", "text"), ids, "doc_id", "inner").select("doc_id", tokens(F.col("text")).alias("t"))
-    texts = texts.withColumn("doc_raw", F.transform("t", plain)).select("doc_id", "doc_raw", F.zip_with("t", "doc_raw", template).alias("doc_kind"))
-    both = runs.join(texts, "doc_id").join(items.drop("needed"), "item_id")
+    ids = stage(runs.select("doc_id", "tag").distinct(), "hit-documents")
+    texts = join_small(docs.select("doc_id", F.xxhash64("text").alias("tag"), "text"), ids, ["doc_id", "tag"], "inner").select("doc_id", "tag", tokens(F.col("text")).alias("t"))
+    texts = texts.withColumn("doc_raw", F.transform("t", plain)).select("doc_id", "tag", "doc_raw", F.zip_with("t", "doc_raw", template).alias("doc_kind"))
+    both = runs.join(texts, ["doc_id", "tag"]).join(items.drop("needed", "whole"), "item_id")
     place = F.sequence(F.col("low"), F.least(F.col("high") + F.col("n") - 1, F.size("doc_kind") - F.col("diagonal") - 1))
     slots = F.transform(
         F.filter(place, lambda i: F.get("kind", i).startswith("#") & ((F.get("kind", i) == F.get("doc_kind", i + F.col("diagonal"))) | (F.get("raw", i) == F.get("doc_raw", i + F.col("diagonal"))))),
         lambda i: F.struct(i.alias("at"), F.get("raw", i).alias("item"), F.get("doc_raw", i + F.col("diagonal")).alias("doc")),
     )
-    judged = both.select("doc_id", "item_id", "diagonal", "places", "needed", "n", slots.alias("slots")).withColumn("clashes", clashes("slots"))
+    judged = both.select("doc_id", "item_id", "diagonal", "places", "firm", "needed", "whole", "n", slots.alias("slots")).withColumn("clashes", clashes("slots"))
     # A stretch starts behind a clash's earlier place, or with the run, and ends before the next clash that lies in it.
     behind = F.explode(F.array_distinct(F.concat(F.array(F.lit(-1)), F.transform("clashes", lambda c: c["last"]))))
     cut = judged.withColumn("behind", behind).withColumn("stop", F.array_min(F.transform(F.filter("clashes", lambda c: c["last"] > F.col("behind")), lambda c: c["at"])))
-    within = F.filter("places", lambda p: (p > F.col("behind")) & (F.col("stop").isNull() | (p + F.col("n") <= F.col("stop"))))
-    cut = cut.withColumn("places", within).where(F.size("places") >= F.col("needed"))
+    within = lambda all_: F.filter(all_, lambda p: (p > F.col("behind")) & (F.col("stop").isNull() | (p + F.col("n") <= F.col("stop"))))
+    cut = cut.withColumns({"places": within("places"), "firm": within("firm")}).where(enough | twice)
+    cut = cut.withColumn("places", F.when(enough, F.col("firm")).otherwise(F.col("places")))
     cut = cut.withColumn("low", F.array_min("places")).withColumn("high", F.array_max("places") + F.col("n"))
     cut = cut.withColumn("slots", F.filter("slots", lambda s: (s["at"] >= F.col("low")) & (s["at"] < F.col("high"))))
+    cut = cut.where(enough | (F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) >= VALUES))
     kept = cut.select("doc_id", "item_id", F.size("places").alias("n_windows"), (F.col("low") + F.col("diagonal")).alias("start"), "slots")
     verbatim = F.forall("slots", lambda s: s["item"] == s["doc"])
     best = kept.select("doc_id", "item_id", F.struct("n_windows", verbatim.alias("verbatim"), F.size("slots").alias("n_slots"), (-F.col("start")).alias("back")).alias("found"))

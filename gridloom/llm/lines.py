@@ -137,9 +137,10 @@ def repeated(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_firs
 def bitmaps(docs: DataFrame, min_docs: int = 10, min_length: int = 1, keep_first: bool = False) -> DataFrame:
     """doc, tag and ``keep``, a compressed bitmap: bit i is 0 where line i goes; lines past its end stay.
 
-    Documents that keep all lines have no row. A document's places are gathered by document, so bounded by its text.
+    Documents that keep all lines have no row. A document's places are gathered by document, each once, so bounded by its text
+    however often the row is repeated.
     """
-    dropped = repeated(docs, min_docs, min_length, keep_first).groupBy("doc", "tag").agg(F.collect_list("pos").alias("places"))
+    dropped = repeated(docs, min_docs, min_length, keep_first).groupBy("doc", "tag").agg(F.collect_set("pos").alias("places"))
 
     def run(batches):
         for batch in batches:

@@ -26,6 +26,8 @@ STATISTICS = (
     "distinct_words distinct_lines longest_word common_word short_lines ends_well"
 ).split()
 FEATURES = 256
+#: Sums that reach the driver.
+GROUPS = 8
 BINS = 1024
 _LETTERS = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 _SYMBOLS = np.array([b < 128 and not chr(b).isalnum() and not chr(b).isspace() and chr(b) not in ".,;:?!'\"()-" for b in range(256)])
@@ -110,7 +112,7 @@ def _stack(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _add_up(rows: DataFrame, per_batch, width: int) -> np.ndarray:
-    """Sum of one vector per task; tasks are first summed in groups of a few hundred, so nothing large meets."""
+    """Sum of one vector per task: tasks are summed in groups, those in GROUPS more, so the driver gets GROUPS vectors however many tasks there are."""
 
     def run(batches):
         total = np.zeros(width)
@@ -127,8 +129,8 @@ def _add_up(rows: DataFrame, per_batch, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
 
     parts = rows.mapInArrow(run, "sum binary")
-    groups = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    merged = parts.repartition(groups).mapInArrow(merge, "sum binary")
+    groups = max(GROUPS, rows.sparkSession.sparkContext.defaultParallelism)
+    merged = parts.repartition(groups).mapInArrow(merge, "sum binary").repartition(GROUPS).mapInArrow(merge, "sum binary")
     return sum((np.frombuffer(bytes(r["sum"])) for r in merged.collect()), np.zeros(width))
 
 

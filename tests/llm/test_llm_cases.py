@@ -280,6 +280,23 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert got == want | {1200: [(1203, 3 * 128 * 64)]}
 
 
+def test_top_k_of_large_components(spark):
+    """Components at and beyond every limit, as queries and as candidates: products as Python integers."""
+    rng = np.random.default_rng(6)
+    sizes = [0.3, 4095.99, 4096.0, 65_536.0, 70_000.0, 1e9, 1e15, -1e20, 1e30]
+    rows = [(i, [float(sizes[i % 9] * rng.choice([1, -1]) * rng.uniform(0.5, 1)), float(rng.normal())]) for i in range(120)]
+    rows += [(150, [70000.0, 1.0]), (151, [-1e20, 1.0]), (152, [1e300, 0.0]), (200, [1e308, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = {i: [int(c) * 256 if abs(c) > 1e300 else int(np.floor(256 * c)) for c in v] for i, v in rows}
+    whole[200][0] = int(np.finfo(float).max)
+    fit = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    want = {q: [fit(s) for s in sorted((sum(a * b for a, b in zip(whole[q], whole[i], strict=True)) for i in whole if i != q), reverse=True)[:5]] for q in whole if q % 50 == 0}
+    assert got == want
+
+
 def test_few_exact_vectors_are_read():
     rng = np.random.default_rng(0)
     rows = rng.integers(-128, 128, (4096, 64)).astype(np.int32)
@@ -363,10 +380,31 @@ def test_templates_with_other_values(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("w", F.lit(1)).withColumn("window", F.lit(1))
     b = spark.createDataFrame(bench, "item_id long, text string").withColumn("n", F.lit(1))
     got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b).collect()}
-    assert set(got) >= {(1, 10), (2, 10), (7, 12)} and (3, 10) not in got and not any(k[0] in (5, None) for k in got)
+    assert set(got) >= {(1, 10), (2, 10), (3, 10), (7, 12)} and not any(k[0] in (5, None) for k in got)
     assert got[1, 10]["verbatim"] and not got[2, 10]["verbatim"] and got[2, 10]["n_slots"] >= 5
 
 
+def test_short_and_placeholder_rich_items(spark):
+    """Items of a few words; numbers and names that outnumber the plain words, with other values; a list of numbers alone is no copy."""
+    bench = [(1, "What is seven squared?"), (2, "Sum the numbers 12 15 18 21 24 27 30 33 36 39 and 42, then divide the sum by 11."), (3, "After lunch Mary and Tom drove 40 miles to Paris, 50 miles to Rome and 60 miles to Berlin with Anna.")]
+    docs = [
+        (1, "He asked me: what is seven squared? I knew."), (2, "What is seven minus two?"),
+        (3, "Question. Sum the numbers 2 5 8 1 4 7 0 3 6 9 and 22, then divide the sum by 13. Good luck."),
+        (4, "Lists: " + " ".join(map(str, range(500)))), (5, "After lunch Bob and Tim drove 41 miles to London, 51 miles to Lisbon and 61 miles to Vienna with Clara."),
+        (6, "Sum the numbers 7 7 7 7 7 7 7 7 7 7 and 7, then divide the sum by 7."),
+    ]
+    assert set(_found(spark, docs, bench)) == {(1, 1), (3, 2), (5, 3), (6, 2)}
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b, shortest=5).collect()} == {(3, 2), (5, 3), (6, 2)}
+
+
+def test_rows_of_one_document_are_searched_apart(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi"
+    words = item.split()
+    halves = [(1, " ".join(words[:11])), (1, " ".join("x" * 11) + " " + " ".join(words[11:])), (2, item), (2, "clean"), (2, item)]
+    assert set(_found(spark, halves, [(9, item)])) == {(2, 9)}
+
+
 def _found(spark, docs, bench):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     return {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b).collect()}
