@@ -179,7 +179,8 @@ def test_sequence_windows(spark):
         ([0, 1, 2], 3), ([1, 2, 3], 10), ([2, 3, 10], 11), ([3, 10, 11], 12)]
     whole = lb.sequence_windows(df, ["value"], "value", 3, contiguous_step_s=900).orderBy("ts").collect()
     assert [r["y"] for r in whole] == [3, 10]
-    assert lb.sequence_windows(df, ["value"], "value", 6).count() == 0
+    assert [r["y"] for r in lb.sequence_windows(df, ["value"], "value", 6).collect()] == [12]
+    assert lb.sequence_windows(df, ["value"], "value", 7).count() == 0
 
 
 def test_multi_target_windows_and_eligibility(spark):
@@ -187,7 +188,8 @@ def test_multi_target_windows_and_eligibility(spark):
     got = lb.sequence_windows_multi(df, ["value"], ["value"], 4, 2).orderBy("ts").collect()
     assert [x["value"] for x in got[0]["x"]] == [0, 1, 2, 3] and got[0]["y_value"] == 5
     assert len(got) == 20 - 3 - 2
-    assert lb.sequence_windows_multi(df, ["value"], ["value"], 14, 2).count() == 0
+    assert sorted(r["y_value"] for r in lb.sequence_windows_multi(df, ["value"], ["value"], 14, 2).collect()) == [15, 16, 17, 18, 19]
+    assert lb.sequence_windows_multi(df, ["value"], ["value"], 19, 2).count() == 0
     assert lb.window_eligible(df, 4, 2).count() == 16
 
 
