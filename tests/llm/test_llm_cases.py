@@ -193,15 +193,24 @@ def test_url_rules(spark):
     ]
     rules = catalog.RULES
     assert sorted(map(tuple, urls.judge(df, rules).collect())) == want
-    table = spark.createDataFrame(rules, "host string, path string, verdict string")
-    assert sorted(map(tuple, urls.judge_by_join(df, table).collect())) == want
+    assert sorted(map(tuple, urls.judge(df, rules, most=1).collect())) == want  # every rule a range of its own
+    assert sorted(map(tuple, urls.judge(df, []).collect())) == sorted((a, b, c, None, "allow") for a, b, c, _, _ in want)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_url_rules_given_twice_and_long_addresses(spark, most):
+    """The last of equal rules holds, however the array is cut; a very long address is judged whole."""
+    rules = [("a.com", "/x", "block"), ("a.com", "/x", "allow"), ("b.com", "/" + "y" * 30_000, "block"), ("b.com", "/", "allow"), ("a.com", "/x\nz", "block")]
+    pages = [(1, "http://a.com/xyz"), (2, "http://b.com/" + "y" * 100_000), (3, "http://" + "s." * 20_000 + "a.com/x"), (4, "http://a.com/x\nzz")]
+    got = {r["page_id"]: (r["verdict"], r["rule"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rules, default="none", most=most).collect()}
+    assert got == {1: ("allow", "a.com/x"), 2: ("block", "b.com/" + "y" * 30_000), 3: ("allow", "a.com/x"), 4: ("block", "a.com/x\nz")}
 
 
 def test_colliding_digests_are_confirmed():
-    index = urls.DigestArray([("a.com", "/", "block"), ("b.com", "/", "allow"), ("c.com", "/x", "block")], digest=lambda k: len(k) % 2)
-    probe = lambda h, p: [index.full[j] for j in index.probe(index.candidates(h, p)) if j >= 0]
+    (index,) = urls.digest_ranges([("a.com", "/", "block"), ("b.com", "/", "allow"), ("c.com", "/x", "block")], digest=lambda k: len(k) % 2)
+    probe = lambda h, p: [index.full(j) for j in index.probe(index.candidates(h, p)) if j >= 0]
     assert probe("a.com", "/z") == [b"a.com\n/"] and probe("d.com", "/x") == [] and probe("w.c.com", "/xy") == [b"c.com\n/x"]
-    assert urls.DigestArray([]).candidates("a.com", "/") == []
+    assert urls.digest_ranges([]) == []
 
 
 @pytest.fixture(scope="module")
