@@ -166,13 +166,16 @@ def feats(spark: SparkSession, sf: str) -> DataFrame:
 FEATURE_COLUMNS = ("value", *[f"lag_{k}" for k in fe.LAGS], *[f"rollmean_{w}" for w in fe.WINDOWS])
 
 
+MODEL_VARIABLES = ("value", "k", "n")
+
+
 def model_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide rows with two targets and a handful of features; rows without the target or its lags are dropped."""
-    return fe.build_features(filled_once(spark, sf), "value", ["value", "k"], lags=(1, 2, 3, 4), windows=(4, 12))
+    """Wide rows with all lags and rolling means of all variables, staged; rows without the target or its lags are dropped."""
+    return stage_table(fe.build_features(filled_once(spark, sf), "value", MODEL_VARIABLES), "features")
 
 
 MODEL_FEATURES = (
-    *[f"{v}_{c}" for v in ("value", "k") for c in ("lag_1", "lag_2", "lag_3", "lag_4", "rollmean_4", "rollmean_12")],
+    *[f"{v}_{c}" for v in MODEL_VARIABLES for c in FEATURE_COLUMNS[1:]],
     "hour_sin",
     "hour_cos",
     "dow_sin",

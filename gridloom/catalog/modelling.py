@@ -66,15 +66,14 @@ def drop_all_null(spark, sf):
     return keep(wide, "station", "ts", rnd=tuple(kept), digits=3)
 
 
-_MATRIX = ("value_lag_1", "value_rollmean_12", "k_rollmean_4")
-CTES["matrix"] = "SELECT split, station, ts, " + ", ".join(
-    f"max(CASE WHEN variable = '{v}' THEN {c} END) AS {v}_{c}"
-    for v, c in (("value", "value"), *(("value", f"lag_{k}") for k in (1, 2, 3, 4)), ("value", "rollmean_12"), ("k", "rollmean_4"))
+_MATRIX = tuple(f"{v}_{c}" for v in fr.MODEL_VARIABLES for c in fr.FEATURE_COLUMNS[1:])
+CTES["matrix"] = "SELECT split, station, ts, max(CASE WHEN variable = 'value' THEN value END) AS value_value, " + ", ".join(
+    f"max(CASE WHEN variable = '{v}' THEN {c} END) AS {v}_{c}" for v in fr.MODEL_VARIABLES for c in fr.FEATURE_COLUMNS[1:]
 ) + " FROM feats GROUP BY 1, 2, 3"
+_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in ("value_value", *[c for c in _MATRIX if c.startswith("value_lag")]))
 
 
-@query("model_matrix", f"""SELECT split, station, ts, {R('value_value', 'label')}, {', '.join(R(c, c) for c in _MATRIX)} FROM matrix
-WHERE value_value IS NOT NULL AND value_lag_1 IS NOT NULL AND value_lag_2 IS NOT NULL AND value_lag_3 IS NOT NULL AND value_lag_4 IS NOT NULL""")
+@query("model_matrix", f"""SELECT split, station, ts, {R('value_value', 'label')}, {', '.join(R(c, c) for c in _MATRIX)} FROM matrix WHERE {_KNOWN}""")
 def model_matrix(spark, sf):
     """The vectors taken apart again; a missing feature is NaN in a vector and null here."""
     rows = pr.model_matrix(fr.model_table(spark, sf), _MATRIX, "value")
@@ -156,7 +155,7 @@ _SEQ = """SELECT station, ts, value AS y, first_ts, last_ts, s, m FROM (
   SELECT *, count(*) OVER w AS m, min(ts) OVER w AS first_ts, max(ts) OVER w AS last_ts, sum(value) OVER w AS s,
     count(*) OVER (PARTITION BY station) AS n
   FROM complete WINDOW w AS (PARTITION BY station ORDER BY ts ROWS BETWEEN {a} PRECEDING AND {b})) WHERE m = {t}"""
-_T = 24
+_T = 96
 
 
 @query("sequence_windows", f"""SELECT station, ts, {R('y', 'y')}, first_ts, last_ts, {R('s', 'x_sum')}, m AS n_items,
@@ -221,9 +220,9 @@ def ridge_1d(spark, sf):
 
 
 def prepared(spark, sf):
-    """The model table with its missing features filled from train, staged for the fits."""
-    table = stage_table(fr.model_table(spark, sf), "features")
-    return stage_table(mo.impute_wide(table, mo.wide_medians(table, fr.MODEL_FEATURES), fr.MODEL_FEATURES), "imputed")
+    """The model table with its missing features filled from train: one staged table, the medians as literals over it."""
+    table = fr.model_table(spark, sf)
+    return mo.impute_wide(table, mo.wide_medians(table, fr.MODEL_FEATURES), fr.MODEL_FEATURES)
 
 
 def _report(preds, digits=4):
@@ -258,15 +257,18 @@ def rf_fit(spark, sf):
 
 @query("gbt_fit")
 def gbt_fit(spark, sf):
+    """Rounds grown, the round that was kept, and the metrics of the trees up to it."""
     vectors = mo.assemble(prepared(spark, sf), fr.MODEL_FEATURES, "value")
-    return _report(mo.score_vectors(mo.fit_boosted(vectors), vectors, "gbt", "value"))
+    model = mo.fit_boosted(vectors)
+    report = _report(mo.score_vectors(model, vectors, "gbt", "value"))
+    return report.withColumns({"n_rounds": F.lit(model.n_rounds).cast("long"), "best_round": F.lit(model.best_round).cast("long")})
 
 
 @query("gbt_sweep")
 def gbt_sweep(spark, sf):
     vectors = mo.assemble(prepared(spark, sf), fr.MODEL_FEATURES, "value")
     _, rows = mo.sweep_boosted(vectors)
-    return keep(rows, *mo.SWEEP, rnd=("val_rmse",), digits=4)
+    return keep(rows, *mo.SWEEP, "n_rounds", "best_round", rnd=("val_rmse",), digits=4)
 
 
 @query("gbt_multi")
@@ -274,40 +276,47 @@ def gbt_multi(spark, sf):
     return _report(mo.fit_per_target(prepared(spark, sf), fr.MODEL_FEATURES, TARGETS, "gbt"))
 
 
-def _station_ridge(spark, sf, rows=None):
-    """Medians, moments and coefficients per station."""
-    table = rows if rows is not None else stage_table(fr.model_table(spark, sf), "features")
-    medians = mo.wide_medians(table, fr.MODEL_FEATURES, ["station"])
-    filled = stage_table(mo.impute_wide(table, medians, fr.MODEL_FEATURES, ["station"]), "imputed")
-    fit = mo.fit_ridge(filled, fr.MODEL_FEATURES, ["value"], key="station", refit=True)
-    return filled, fit
+@query("rf_multi")
+def rf_multi(spark, sf):
+    """One forest a target, grown side by side."""
+    return _report(mo.fit_per_target(prepared(spark, sf), fr.MODEL_FEATURES, TARGETS, "rf"))
+
+
+def _stations(spark, sf, learners: dict):
+    """The model table, its vectors and a registry of the learners' models per station."""
+    table = fr.model_table(spark, sf)
+    vectors = mo.assemble_targets(table, fr.MODEL_FEATURES, ["value"])
+    return table, vectors, mo.fit_stations(table, vectors, fr.MODEL_FEATURES, "value", learners)
 
 
 @query("per_station_fit")
 def per_station_fit(spark, sf):
-    _, fit = _station_ridge(spark, sf)
-    out = fit.select("station", "target", "alpha", "n_train", F.size("coefs").cast("bigint").alias("n_features"), "val_rmse", "intercept")
-    return keep(out, "station", "target", "alpha", "n_train", "n_features", rnd=("val_rmse", "intercept"), digits=4)
+    """Ridge, forest and boosting per station on the station's own features: pooled and per-station metrics on every split."""
+    _, vectors, registry = _stations(spark, sf, {"ridge": {"refit": False}, "rf": {}, "gbt": {}})
+    preds = stage_table(mo.score_registry(vectors, registry, fr.MODEL_FEATURES, ["value"]), "scored")
+    sizes = registry.groupBy("station", "model").agg(F.max(F.size("features")).cast("long").alias("n_features"))
+    return _report(preds).join(sizes, ["station", "model"], "left")
 
 
 @query("score_long")
 def score_long(spark, sf):
-    filled, fit = _station_ridge(spark, sf)
-    scored = mo.score_ridge(filled, fit, fr.MODEL_FEATURES, ["value"], "ridge", key="station")
+    """Predictions of the stations' ridge and forest models, all from one scan of the rows."""
+    _, vectors, registry = _stations(spark, sf, {"ridge": {"refit": True}, "rf": {}})
+    scored = mo.score_registry(vectors, registry, fr.MODEL_FEATURES, ["value"])
     return keep(scored, "split", "station", "ts", "target", "model", rnd=("y_true", "y_pred"), digits=4)
 
 
 @query("compare_strategies")
 def compare_strategies(spark, sf):
-    """Global ridge, ridge per station and the routed choice of both on the same test rows."""
-    table = prepared(spark, sf)
-    pooled = mo.fit_ridge(table, fr.MODEL_FEATURES, ["value"])
-    one = mo.score_ridge(table, pooled, fr.MODEL_FEATURES, ["value"], "global")
-    filled, fit = _station_ridge(spark, sf, stage_table(fr.model_table(spark, sf), "features"))
-    each = mo.score_ridge(filled, fit, fr.MODEL_FEATURES, ["value"], "per_station", key="station")
+    """Global boosting, ridge and boosting per station, and the routed choice of them on the same test rows."""
+    table, vectors, registry = _stations(spark, sf, {"ridge": {"refit": False}, "gbt": {}})
+    filled = mo.impute_wide(table, mo.wide_medians(table, fr.MODEL_FEATURES), fr.MODEL_FEATURES)
+    pooled = mo.assemble(filled, fr.MODEL_FEATURES, "value")
+    one = mo.score_vectors(mo.fit_boosted(pooled), pooled, "global", "value")
+    each = mo.score_registry(vectors, registry, fr.MODEL_FEATURES, ["value"])
     both = stage_table(one.unionByName(each), "scored")
     val = me.metrics(both.where("split = 'val'"), ["station", "model"])
-    routing = me.route_models(val, ["global", "per_station"])
+    routing = me.route_models(val, ["global", "ridge", "gbt"])
     routed = me.apply_routing(both, routing, "global")
-    named = {"global": both.where("model = 'global'"), "per_station": both.where("model = 'per_station'"), "routed": routed}
+    named = {m: both.where(F.col("model") == m) for m in ("global", "ridge", "gbt")} | {"routed": routed}
     return keep(mo.compare_strategies(named), "strategy", "n_rows", rnd=("rmse", "mae", "r2"), digits=4)

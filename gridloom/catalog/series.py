@@ -171,7 +171,7 @@ def rolling_std(spark, sf):
     return keep(fe.rolling_std(fr.filled(spark, sf)), "station", "variable", "ts", rnd=_STD)
 
 
-_WIDE_VARIABLES = ("value", "k")
+_WIDE_VARIABLES = fr.MODEL_VARIABLES
 _WIDE = [v if c == "value" else f"{v}_{c}" for v in _WIDE_VARIABLES for c in fr.FEATURE_COLUMNS]
 
 
@@ -180,7 +180,7 @@ def _wide_sql(select: str, where: str) -> str:
         f"max(CASE WHEN variable = '{v}' THEN {c} END) AS {v if c == 'value' else f'{v}_{c}'}"
         for v in _WIDE_VARIABLES for c in fr.FEATURE_COLUMNS
     )
-    return f"SELECT {select} FROM (SELECT station, ts, split, {cells} FROM feats WHERE variable IN ('value', 'k') GROUP BY 1, 2, 3) WHERE {where}"
+    return f"SELECT {select} FROM (SELECT station, ts, split, {cells} FROM feats GROUP BY 1, 2, 3) WHERE {where}"
 
 
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ["value", *[f"value_{c}" for c in _LAG]])

@@ -91,13 +91,14 @@ def base_columns(df: DataFrame, target: str | None = None) -> DataFrame:
 
 def widen_features(df: DataFrame, variables: Sequence[str], columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """One row per key with ``<variable>`` and ``<variable>_<column>`` for a fixed list of variables."""
-    cells = []
-    for v in variables:
+    def name(v: str, c: str) -> str:
         safe = v.replace(".", "_")
-        for c in columns:
-            name = safe if c == "value" else f"{safe}_{c}"
-            cells.append(F.max(F.when(F.col("variable") == v, F.col(c))).alias(name))
-    return df.groupBy(*keys).agg(*cells)
+        return safe if c == "value" else f"{safe}_{c}"
+
+    # One aggregate a variable, over a struct of all its columns; taken apart behind the shuffle.
+    held = [F.max(F.when(F.col("variable") == v, F.struct(*columns))).alias(f"_v{i}") for i, v in enumerate(variables)]
+    apart = [F.col(f"_v{i}.{c}").alias(name(v, c)) for i, v in enumerate(variables) for c in columns]
+    return df.groupBy(*keys).agg(*held).select(*keys, *apart)
 
 
 def build_features(

@@ -1,16 +1,20 @@
-"""Ridge, random forest and boosted trees: global, per station and for several targets."""
+"""Ridge, random forest and boosted trees: global, per station and for several targets; a registry of models scored in one scan."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import trees as tr
 from gridloom.operators.metrics import align_predictions, long_predictions, metrics
 from gridloom.operators.prepare import scale_wide
 from gridloom.plans.joins import join_params
@@ -21,6 +25,7 @@ from gridloom.session import stage_table
 ALPHAS = (0.1, 1.0, 10.0)
 FOREST = {"numTrees": 300, "maxDepth": 20, "seed": 42}
 BOOST = {"maxIter": 1500, "stepSize": 0.03, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9", "seed": 42}
+PATIENCE = 50
 SWEEP = {"maxDepth": (3, 5), "minInstancesPerNode": (1, 5), "minInfoGain": (0.0, 0.01)}
 POOLED = "ALL"
 
@@ -59,53 +64,75 @@ def centres(df: DataFrame, columns: Sequence[str]) -> list[float]:
     return [x if x is not None and np.isfinite(x) else 0.0 for x in row]
 
 
-def gram_cells(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_held: int = 64, shift: Sequence[float] | None = None) -> DataFrame:
-    """Cells (i <= j) of the Gram matrix of [1, columns - shift] per key; a shift near the means keeps all digits.
+def gram_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_held: int = 64, shift: Sequence[float] | None = None, salts: int = 16) -> DataFrame:
+    """Gram matrices of [1, columns - shift] per key, as the packed upper triangle (``gram``); a shift near the means keeps all digits.
 
-    Every task adds up its own rows; the partial cells are then summed by Spark, so no group holds more than the cells
-    of one key, however many rows the key has.
+    Every task adds up its own rows and gives out one row a key; these are added up in two levels, the first spread over
+    ``salts`` tasks a key. A task holds ``max_held`` matrices at most, however many rows a key has; keys that are given out
+    early may come in several rows, to be added up by the reader.
     """
     key_names, names, held = list(keys), list(columns), max_held
     offset = np.array(shift if shift is not None else [0.0] * len(names))
     upper = np.triu_indices(len(names) + 1)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summed(parts: Iterator[tuple[tuple, np.ndarray]]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
-
-        def flush() -> Iterator[pd.DataFrame]:
-            for key, gram in sums.items():
-                cells = {k: [v] * len(upper[0]) for k, v in zip(key_names, key)}
-                yield pd.DataFrame({**cells, "i": upper[0], "j": upper[1], "s": gram[upper]})
-            sums.clear()
-
-        for batch in batches:
-            for key, part in batch.groupby(key_names, sort=False, dropna=False):
-                key = tuple(None if pd.isna(k) else k for k in key)
-                x = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float) - offset])
-                sums[key] = sums[key] + x.T @ x if key in sums else x.T @ x
+        for key, gram in parts:
+            sums[key] = sums[key] + gram if key in sums else gram
             if len(sums) > held:
-                yield from flush()
-        yield from flush()
+                yield frame(sums)
+                sums.clear()
+        yield frame(sums)
+
+    def frame(sums: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        cells = {k: pd.Series([key[i] for key in sums], dtype=object) for i, k in enumerate(key_names)}
+        return pd.DataFrame({**cells, "gram": pd.Series([g.tobytes() for g in sums.values()], dtype=object)})
+
+    def keyed(key) -> tuple:
+        return tuple(None if pd.isna(k) else k for k in key)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts():
+            for batch in batches:
+                for key, part in batch.groupby(key_names, sort=False, dropna=False):
+                    x = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float) - offset])
+                    yield keyed(key), (x.T @ x)[upper]
+
+        return summed(parts())
 
-    schema = ", ".join([*(f"{k} string" for k in key_names), "i int, j int, s double"])
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return summed((keyed(row[:-1]), np.frombuffer(row[-1])) for batch in batches for row in batch[[*key_names, "gram"]].itertuples(index=False, name=None))
+
+    schema = ", ".join([*(f"{k} string" for k in key_names), "gram binary"])
     data = df.select(*key_names, *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).dropna(subset=names)
-    return data.mapInPandas(partial, schema).groupBy(*key_names, "i", "j").agg(F.sum("s").alias("s"))
+    salted = data.mapInPandas(partial, schema).withColumn("_salt", F.spark_partition_id() % salts)
+    return salted.repartition(*key_names, "_salt").mapInPandas(merge, schema).repartition(*key_names).mapInPandas(merge, schema)
+
+
+def whole_gram(rows: Sequence[bytes], size: int) -> np.ndarray:
+    """The symmetric matrix of packed triangles, added up."""
+    g, upper = np.zeros((size, size)), np.triu_indices(size)
+    for row in rows:
+        g[upper] += np.frombuffer(row)
+    return g + np.triu(g, 1).T
 
 
 def solve_ridge(
-    grams: DataFrame, key: str, n_features: int, targets: Sequence[str], alphas: Sequence[float] = ALPHAS, refit: bool = False, shift: Sequence[float] | None = None
+    grams: DataFrame, key: str, features: Sequence[str], targets: Sequence[str], alphas: Sequence[float] = ALPHAS, refit: bool = False,
+    shift: Sequence[float] | None = None, masked: DataFrame | None = None,
 ) -> DataFrame:
     """Coefficients per (key, target): alpha with the lowest mean validation RMSE, the first on ties.
 
-    Works on the cells of ``gram_cells`` keyed by (key, split). Inputs are standardised with train moments
-    (population deviation); validation errors follow from the validation Gram matrix, so rows are read once for all
-    alphas. ``refit`` solves the chosen alpha again on train and val together.
+    Works on ``gram_rows`` keyed by (key, split). Inputs are standardised with train moments (population deviation);
+    validation errors follow from the validation Gram matrix, so rows are read once for all alphas. ``refit`` solves the
+    chosen alpha again on train and val together. ``masked`` (key, features) names the columns that a key's system uses:
+    its part of the matrix is cut out, and ``features`` and ``coefs`` of the result are as long as that list.
     """
-    names, tried, p = list(targets), [float(a) for a in alphas], n_features
-    offset = np.array(shift if shift is not None else [0.0] * (p + len(names)))
+    names, tried, columns_of, by_list = list(targets), [float(a) for a in alphas], list(features), masked is not None
+    whole = np.array(shift if shift is not None else [0.0] * (len(columns_of) + len(names)))
 
     def fit(gram: np.ndarray, alpha: float) -> np.ndarray:
-        n = gram[0, 0]
+        n, p = gram[0, 0], len(gram) - 1 - len(names)
         mean = gram[0, 1:] / n
         centred = gram[1:, 1:] - n * np.outer(mean, mean)
         spread = np.sqrt(np.maximum(np.diag(centred)[:p], 0.0) / n)
@@ -115,21 +142,16 @@ def solve_ridge(
         return np.vstack([mean[p:] - mean[:p] @ w, w])
 
     def rmse(gram: np.ndarray, beta: np.ndarray, t: int) -> float:
-        c = np.zeros(gram.shape[0])
+        c, p = np.zeros(gram.shape[0]), len(gram) - 1 - len(names)
         c[: p + 1], c[p + 1 + t] = beta[:, t], -1.0
         return float(np.sqrt(max(c @ gram @ c, 0.0) / gram[0, 0])) if gram[0, 0] else float("nan")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = p + 1 + len(names)
-        grams_of = {}
-        for split, part in pdf.groupby("split"):
-            g = np.zeros((size, size))
-            i, j, s = part["i"].to_numpy(), part["j"].to_numpy(), part["s"].to_numpy()
-            g[i, j] = s
-            g[j, i] = s
-            grams_of[split] = g
-        empty = np.zeros((size, size))
-        train, val = grams_of.get("train", empty), grams_of.get("val", empty)
+        size = len(columns_of) + 1 + len(names)
+        used = [columns_of.index(f) for f in pdf["features"].iloc[0]] if by_list else list(range(len(columns_of)))
+        cut = np.array([0, *(i + 1 for i in used), *range(len(columns_of) + 1, size)])
+        offset, p = whole[cut[1:] - 1], len(used)
+        train, val = (whole_gram(pdf.loc[pdf["split"] == s, "gram"], size)[np.ix_(cut, cut)] for s in ("train", "val"))
         rows = []
         if train[0, 0] > 0:
             fits = [fit(train, a) for a in tried]
@@ -139,11 +161,13 @@ def solve_ridge(
             beta = fit(train + val, tried[best]) if refit else fits[best]
             for t, name in enumerate(names):
                 own = None if pd.isna(pdf[key].iloc[0]) else pdf[key].iloc[0]
-                rows.append((own, name, tried[best], errors[best, t], beta[0, t] + offset[p + t] - offset[:p] @ beta[1:, t], beta[1:, t].tolist(), int(train[0, 0])))
-        columns = [key, "target", "alpha", "val_rmse", "intercept", "coefs", "n_train"]
-        return pd.DataFrame(rows, columns=columns)
+                intercept = beta[0, t] + offset[p + t] - offset[:p] @ beta[1:, t]
+                rows.append((own, name, tried[best], errors[best, t], intercept, beta[1:, t].tolist(), int(train[0, 0]), [columns_of[i] for i in used]))
+        return pd.DataFrame(rows, columns=[key, "target", "alpha", "val_rmse", "intercept", "coefs", "n_train", "features"])
 
-    schema = f"{key} string, target string, alpha double, val_rmse double, intercept double, coefs array<double>, n_train bigint"
+    schema = f"{key} string, target string, alpha double, val_rmse double, intercept double, coefs array<double>, n_train bigint, features array<string>"
+    if by_list:
+        grams = grams.join(masked.select(key, "features"), key)
     return grams.groupBy(key).applyInPandas(solve, schema)
 
 
@@ -154,13 +178,14 @@ def fit_ridge(
     key: str | None = None,
     alphas: Sequence[float] = ALPHAS,
     refit: bool = False,
+    masked: DataFrame | None = None,
 ) -> DataFrame:
-    """Ridge per value of ``key``, or one pooled model, for one or several targets."""
+    """Ridge per value of ``key``, each on its own columns where ``masked`` lists them, or one pooled model, for one or several targets."""
     rows = df if key else df.withColumn("scope", F.lit(POOLED))
     name = key or "scope"
     used, columns = rows.where(F.col("split").isin("train", "val")), [*features, *targets]
     shift = centres(used, columns)
-    return solve_ridge(gram_cells(used, [name, "split"], columns, shift=shift), name, len(features), targets, alphas, refit, shift)
+    return solve_ridge(gram_rows(used, [name, "split"], columns, shift=shift), name, features, targets, alphas, refit, shift, masked)
 
 
 def _dot(x: str | Column, w: str | Column) -> Column:
@@ -216,8 +241,15 @@ def linear_ridge(train: DataFrame, alpha: float):
     return lr.fit(train)
 
 
+def predicted(model, vectors: DataFrame) -> DataFrame:
+    """Rows with ``prediction`` of a Spark ML model, an ensemble or a forest table."""
+    if isinstance(model, DataFrame):
+        return tr.score_forest(model, vectors)
+    return tr.score_ensemble(model, vectors) if isinstance(model, tr.Ensemble) else model.transform(vectors)
+
+
 def val_rmse(model, vectors: DataFrame) -> float:
-    scored = model.transform(vectors.where(F.col("split") == "val"))
+    scored = predicted(model, vectors.where(F.col("split") == "val"))
     return scored.agg(F.sqrt(F.avg(F.pow(F.col("label") - F.col("prediction"), 2)))).first()[0]
 
 
@@ -230,62 +262,164 @@ def tune_ridge(vectors: DataFrame, alphas: Sequence[float] = ALPHAS, refit: bool
     return linear_ridge(rows, best), best, dict(zip(alphas, errors))
 
 
-def fit_forest(vectors: DataFrame, **params):
-    return RandomForestRegressor(**{**FOREST, **params}).fit(vectors.where(F.col("split") == "train"))
+def fit_forest(vectors: DataFrame, path: str | None = None, **params) -> DataFrame:
+    """A forest table on the train rows; with ``path`` an interrupted fit goes on where it stopped."""
+    return tr.grow_forest(vectors.where(F.col("split") == "train"), path, **{**FOREST, **params})
 
 
-def fit_boosted(vectors: DataFrame, early_stop: bool = True, **params):
-    """Boosted trees; with ``early_stop`` the val split decides when to stop adding trees."""
+def fit_boosted(vectors: DataFrame, early_stop: bool = True, patience: int = PATIENCE, **params) -> tr.Ensemble:
+    """Boosted trees; with ``early_stop`` the val split decides how many of them are kept."""
     settings = {**BOOST, **params}
-    if not early_stop:
-        return GBTRegressor(**settings).fit(vectors.where(F.col("split") == "train"))
-    rows = vectors.where(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
-    return GBTRegressor(validationIndicatorCol="is_val", **settings).fit(rows)
+    rounds, step = settings.pop("maxIter"), settings.pop("stepSize")
+    return tr.boost(vectors, rounds, step, patience if early_stop else None, **settings)
 
 
-def sweep_boosted(vectors: DataFrame, grid: Mapping[str, Sequence] = SWEEP, **params):
-    """Every combination of a small grid fitted on train; returns the best model and a row per combination."""
+def sweep_boosted(vectors: DataFrame, grid: Mapping[str, Sequence] = SWEEP, workers: int = 8, **params) -> tuple[tr.Ensemble, DataFrame]:
+    """Every combination of a small grid fitted on train, side by side; the best model (the first on ties) and a row per combination."""
     combos: list[dict] = [{}]
     for name, values in grid.items():
         combos = [{**c, name: v} for c in combos for v in values]
-    best, rows = None, []
-    for combo in combos:
-        model = fit_boosted(vectors, early_stop=True, **{**params, **combo})
-        error = val_rmse(model, vectors)
-        rows.append((*[float(combo[k]) for k in grid], float(error)))
-        if best is None or error < best[1]:
-            best = (model, error)
-    schema = ", ".join([*(f"{k} double" for k in grid), "val_rmse double"])
-    return best[0], vectors.sparkSession.createDataFrame(rows, schema)
+    fits = tr.concurrently(vectors.sparkSession, [lambda c=c: fit_boosted(vectors, **{**params, **c}) for c in combos], workers)
+    errors = [f.val_errors[f.best_round - 1] if f.best_round else float("nan") for f in fits]
+    rows = [(*[float(c[k]) for k in grid], float(e), f.n_rounds, f.best_round) for c, e, f in zip(combos, errors, fits, strict=True)]
+    schema = ", ".join([*(f"{k} double" for k in grid), "val_rmse double, n_rounds long, best_round long"])
+    best = fits[int(np.nanargmin(errors)) if np.isfinite(errors).any() else 0]
+    return best, vectors.sparkSession.createDataFrame(rows, schema)
 
 
 def score_vectors(model, vectors: DataFrame, name: str, target: str) -> DataFrame:
-    return model.transform(vectors).select(
+    return predicted(model, vectors).select(
         "split", "station", "ts", F.lit(target).alias("target"), F.lit(name).alias("model"), F.col("label").alias("y_true"), F.col("prediction").alias("y_pred")
     )
 
 
-def fit_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[str], learner: str, **params) -> DataFrame:
-    """Independent tree models per target, scored on all splits."""
-    out = None
-    for t in targets:
-        vectors = assemble(df, features, t)
-        model = fit_forest(vectors, **params) if learner == "rf" else fit_boosted(vectors, early_stop=False, **params)
-        scored = score_vectors(model, vectors, f"multi_{learner}", t)
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
-def fit_trees_per_station(df: DataFrame, features: Sequence[str], target: str, stations: Sequence[str], learner: str, **params) -> DataFrame:
-    """One tree model per listed station, each fitted by Spark over the cluster, scored on all splits."""
-    vectors = assemble(df, features, target)
-    out = None
-    for s in stations:
-        rows = vectors.where(F.col("station") == s)
-        model = fit_forest(rows, **params) if learner == "rf" else fit_boosted(rows, **params)
-        scored = score_vectors(model, rows, learner, target)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def assemble_targets(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
+    """One staged table of vectors with all targets; missing features stay as NaN."""
+    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
+    return stage_table(vec.select("split", "station", "ts", *[F.col(t).cast("double").alias(t) for t in targets], "features"), "vectors")
+
+
+def fit_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[str], learner: str, workers: int = 8, **params) -> DataFrame:
+    """Independent tree models per target, fitted side by side on one table of vectors, scored on all splits."""
+    vectors = assemble_targets(df, features, targets)
+
+    def rows_of(target: str) -> DataFrame:
+        return vectors.select("split", "station", "ts", F.col(target).alias("label"), "features").where(F.col("label").isNotNull())
+
+    def fit(target: str):
+        return fit_forest(rows_of(target), **params) if learner == "rf" else fit_boosted(rows_of(target), early_stop=False, **params)
+
+    models = tr.concurrently(df.sparkSession, [lambda t=t: fit(t) for t in targets], workers)
+    parts = [score_vectors(m, rows_of(t), f"multi_{learner}", t) for t, m in zip(targets, models, strict=True)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+# Models per station and their registry
+
+#: A model of the registry: rows of one (station, target, model) hold its parts; ridge models have coefficients and no trees.
+REGISTRY = "station string, target string, model string, part int, features array<string>, medians array<double>, intercept double, coefs array<double>, scale double, packed binary, n_rounds long, best_round long"
+
+
+def own_features(df: DataFrame, features: Sequence[str], key: str = "station") -> DataFrame:
+    """(key, features, medians): the features that a station's train rows know, with their exact medians, in the given order."""
+    listed = wide_medians(df, features, [key]).where(F.col("median").isNotNull())
+    place = F.array_position(F.lit(list(features)), F.col("feature"))
+    ordered = F.array_sort(F.collect_list(F.struct(place.alias("place"), "feature", "median")))
+    held = listed.groupBy(key).agg(ordered.alias("_f"))
+    return held.select(key, F.transform("_f", lambda f: f["feature"]).alias("features"), F.transform("_f", lambda f: f["median"]).alias("medians"))
+
+
+def fit_stations(df: DataFrame, vectors: DataFrame, features: Sequence[str], target: str, learners: Mapping[str, Mapping], workers: int = 8) -> DataFrame:
+    """A registry of one model per station and learner, each on the station's own features.
+
+    ``learners`` maps a model name to its settings; the name's beginning says which it is: ridge, rf or gbt. ``vectors``
+    is the table of ``assemble_targets`` of the same rows. Stations come from the table of own features: one row each.
+    Ridge systems are solved in Spark, one station a group; tree models are fitted side by side, each over the cluster.
+    """
+    spark, places = df.sparkSession, {f: i for i, f in enumerate(features)}
+    own = stage_table(own_features(df, features), "own-features")
+    parts = []
+    if any(m.startswith("ridge") for m in learners):
+        entry = F.map_from_arrays("features", "medians")
+        joined = join_params(df, own.select("station", "features", entry.alias("_medians")), ["station"])
+        # What a station does not know is 0 in its Gram matrix and left out when it is solved.
+        filled = joined.withColumns({f: F.coalesce(F.col(f), F.try_element_at("_medians", F.lit(f)), F.lit(0.0)) for f in features}).drop("_medians")
+        for name in [m for m in learners if m.startswith("ridge")]:
+            fit = fit_ridge(filled, features, [target], key="station", masked=own, **learners[name])
+            one = fit.join(own.withColumnRenamed("features", "own"), "station")
+            cells = F.filter(F.arrays_zip("own", "medians"), lambda c: F.array_contains("features", c["own"]))
+            parts.append(one.select("station", "target", F.lit(name).alias("model"), F.lit(0).alias("part"), "features", F.transform(cells, lambda c: c["medians"]).alias("medians"), "intercept", "coefs", F.lit(1.0).alias("scale"), F.lit(None).cast("binary").alias("packed"), F.lit(0).cast("long").alias("n_rounds"), F.lit(0).cast("long").alias("best_round")))
+
+    def rows_of(station: str | None, names: list[str], medians: list[float]) -> DataFrame:
+        cells = vector_to_array("features")
+        filled = [F.when(F.isnan(cells[places[f]]), F.lit(m)).otherwise(cells[places[f]]) for f, m in zip(names, medians, strict=True)]
+        rows = vectors.where(F.col("station").eqNullSafe(F.lit(station)) & F.col(target).isNotNull())
+        return rows.select("split", F.col(target).alias("label"), array_to_vector(F.array(*filled)).alias("features"))
+
+    def fit(row, name: str) -> DataFrame:
+        rows = stage_table(rows_of(row["station"], row["features"], row["medians"]), "station-vectors")
+        if name.startswith("rf"):
+            forest = fit_forest(rows, **learners[name])
+            total = forest.agg(F.sum("n_trees")).first()[0]
+            made = forest.select("part", F.lit(1.0 / total).alias("scale"), "packed", F.lit(total).cast("long").alias("n_rounds"), F.lit(total).cast("long").alias("best_round"))
+        else:
+            model = fit_boosted(rows, **learners[name])
+            made = spark.createDataFrame([(0, 1.0, bytearray(model.packed()), model.n_rounds, model.best_round)], "part int, scale double, packed binary, n_rounds long, best_round long")
+        lists = F.lit(list(row["features"])).alias("features"), F.lit([float(m) for m in row["medians"]]).alias("medians")
+        full = made.select(F.lit(row["station"]).cast("string").alias("station"), F.lit(target).alias("target"), F.lit(name).alias("model"), "part", *lists, F.lit(0.0).alias("intercept"), F.lit(None).cast("array<double>").alias("coefs"), "scale", "packed", "n_rounds", "best_round")
+        return stage_table(full, "station-model")
+
+    grown = [m for m in learners if not m.startswith("ridge")]
+    if grown:
+        stations = own.orderBy("station").collect()  # one row a station
+        parts += tr.concurrently(spark, [lambda r=r, m=m: fit(r, m) for r in stations for m in grown], workers)
+    return stage_table(reduce(DataFrame.unionByName, parts), "registry")
+
+
+def score_registry(vectors: DataFrame, registry: DataFrame, features: Sequence[str], targets: Sequence[str], most: int = tr.PASS_BYTES) -> DataFrame:
+    """Long predictions of all stations by all models of a registry, in one scan of the vectors.
+
+    Missing features of a row become the medians of its station's model. A scan holds models of at most ``most`` bytes; a
+    larger registry takes several, whose parts are added up by row. A station null in the registry is a pooled model, used
+    for rows of every station. Rows without the target or without a model are left out.
+    """
+    places, key = {f: i for i, f in enumerate(features)}, ["station", "target", "model", "part"]
+    groups = tr.passes(registry, key, most)
+    schema = "split string, station string, ts timestamp_ntz, target string, model string, y_true double, y_pred double"
+
+    def scan(group: list) -> DataFrame:
+        wanted = registry.sparkSession.createDataFrame(group, "station string, target string, model string, part int")
+        same = reduce(lambda a, b: a & b, [registry[c].eqNullSafe(wanted[c]) for c in key])
+        shared = registry.sparkSession.sparkContext.broadcast([r.asDict() for r in registry.join(wanted, same, "left_semi").collect()])
+
+        def run(batches):
+            models = [(r, [places[f] for f in r["features"]], np.array(r["medians"]), tr.Ensemble.unpacked(bytes(r["packed"])) if r["packed"] is not None else None) for r in shared.value]
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("_x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                station = np.array(batch.column("station").to_pylist(), object)
+                for r, at, medians, trees in models:
+                    truth = batch.column(f"_y{targets.index(r['target'])}")
+                    pick = np.flatnonzero(((station == r["station"]) | (r["station"] is None)) & truth.is_valid().to_numpy(zero_copy_only=False))
+                    if not len(pick):
+                        continue
+                    own = x[np.ix_(pick, at)]
+                    own = np.where(np.isnan(own), medians, own)
+                    told = r["scale"] * (trees.predict(own) if trees is not None else r["intercept"] + own @ np.array(r["coefs"]))
+                    rows = batch.take(pa.array(pick))
+                    named = [pa.array([r[c]] * len(pick)) for c in ("target", "model")]
+                    columns = [rows.column("split"), rows.column("station"), rows.column("ts"), *named, rows.column(f"_y{targets.index(r['target'])}"), pa.array(told)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["split", "station", "ts", "target", "model", "y_true", "y_pred"])
+
+        cells = [F.col(t).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)]
+        return vectors.select("split", "station", "ts", *cells, vector_to_array("features").alias("_x")).mapInArrow(run, schema)
+
+    scored = reduce(DataFrame.unionByName, [scan(g) for g in groups])
+    # Parts of one model meet by row; a model of one part needs no shuffle.
+    if registry.groupBy(*key[:3]).count().where("count > 1").isEmpty():
+        return scored
+    return scored.groupBy("split", "station", "ts", "target", "model").agg(F.first("y_true").alias("y_true"), F.sum("y_pred").alias("y_pred"))
 
 
 def compare_strategies(preds: Mapping[str, DataFrame], split: str = "test") -> DataFrame:

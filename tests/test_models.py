@@ -1,5 +1,6 @@
 """Quantiles, samples, scalers, models, metrics and routing."""
 
+import threading
 from datetime import timedelta
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from helpers import START
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from gridloom.catalog import modelling
@@ -15,6 +16,7 @@ from gridloom.operators import explore as ex
 from gridloom.operators import metrics as me
 from gridloom.operators import models as mo
 from gridloom.operators import prepare as pr
+from gridloom.operators import trees as tr
 from gridloom.plans.quantiles import exact_quantiles
 from gridloom.session import scratch_path
 from gridloom.sources.tables import load_model, save_model
@@ -144,11 +146,12 @@ def test_trees(spark):
     forest = me.metrics(mo.score_vectors(mo.fit_forest(vectors, numTrees=8, **small), vectors, "rf", "y"), ["split"])
     boosted = mo.fit_boosted(vectors, maxIter=20, stepSize=0.3, **small)
     assert all(r["r2"] > 0.3 for r in forest.collect())
+    assert boosted.n_rounds <= 20 and boosted.val_errors[boosted.best_round - 1] == min(boosted.val_errors)
     assert mo.val_rmse(boosted, vectors) < vectors.agg(F.stddev_pop("label")).first()[0]
     model, rows = mo.sweep_boosted(vectors, {"maxDepth": (2, 3)}, maxIter=3)
     assert rows.count() == 2 and mo.val_rmse(model, vectors) == pytest.approx(rows.agg(F.min("val_rmse")).first()[0])
-    each = mo.fit_trees_per_station(df, X, "y", ["A", "B"], "rf", numTrees=3, **small)
-    assert each.count() == 600
+    each = mo.fit_stations(df, mo.assemble_targets(df, X, ["y"]), X, "y", {"rf": {"numTrees": 3, **small}})
+    assert mo.score_registry(mo.assemble_targets(df, X, ["y"]), each, X, ["y"]).count() == 600
 
 
 def test_saved_pipeline_keeps_features_and_target(spark):
@@ -264,24 +267,138 @@ def test_targets_stay_apart(spark):
 
 @pytest.mark.parametrize("name", ["rf_fit", "gbt_fit", "gbt_sweep", "gbt_multi"])
 def test_registered_fits_take_the_operators_settings(spark, monkeypatch, name):
-    """The learner is replaced by one that notes its settings: a full fit is too slow here."""
+    """The learners are replaced by ones that note their settings: a full fit is too slow here."""
     seen = []
 
     class Noted(Exception):
         pass
 
-    def learner(**settings):
+    def forest(train, path=None, **settings):
         seen.append(settings)
         raise Noted
 
-    rows = spark.createDataFrame([("train", "A", 1.0, 1.0), ("val", "A", 2.0, 2.0)], "split string, station string, value double, k double")
+    def boost(vectors, rounds, step, patience, **settings):
+        seen.append({"maxIter": rounds, "stepSize": step, **settings, "patience": patience})
+        raise Noted
+
+    rows = spark.createDataFrame([("train", "A", 1.0, 1.0), ("val", "A", 2.0, 2.0)], "split string, station string, value double, k double").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
     monkeypatch.setattr(modelling, "prepared", lambda *_: rows)
     monkeypatch.setattr(modelling.fr, "MODEL_FEATURES", ("k",))
     monkeypatch.setattr(mo, "assemble", lambda df, *_: df)
-    monkeypatch.setattr(mo, "RandomForestRegressor", learner)
-    monkeypatch.setattr(mo, "GBTRegressor", learner)
+    monkeypatch.setattr(mo.tr, "grow_forest", forest)
+    monkeypatch.setattr(mo.tr, "boost", boost)
     with pytest.raises(Noted):
         getattr(modelling, name)(spark, "")
-    stop = {"validationIndicatorCol": "is_val"}
-    first = {k: v[0] for k, v in mo.SWEEP.items()}
-    assert seen == [{"rf_fit": mo.FOREST, "gbt_fit": {**mo.BOOST, **stop}, "gbt_sweep": {**mo.BOOST, **stop, **first}, "gbt_multi": mo.BOOST}[name]]
+    grid = [{**mo.BOOST, "maxDepth": d, "minInstancesPerNode": m, "minInfoGain": g, "patience": 50} for d in (3, 5) for m in (1, 5) for g in (0.0, 0.01)]
+    want = {"rf_fit": [mo.FOREST], "gbt_fit": [{**mo.BOOST, "patience": 50}], "gbt_sweep": grid, "gbt_multi": [{**mo.BOOST, "patience": None}] * 2}[name]
+    assert sorted(map(repr, seen)) == sorted(map(repr, want))
+
+
+# Tree ensembles
+
+
+def test_patience_passes_a_plateau_and_keeps_the_best_prefix():
+    errors = [5.0, 4.0, *[4.5] * 49, 3.0, *[3.5] * 49]
+    assert tr.best_round(errors, 50) == (52, False)
+    assert tr.best_round([*errors, 3.5, 1.0], 50) == (52, True)  # the fiftieth round without a new minimum ends it
+    assert tr.best_round([5.0, 4.0, *[4.5] * 50, 3.0], 50) == (2, True)
+    assert tr.best_round([2.0, 2.0, 2.0], 2) == (1, True) and tr.best_round([], 50) == (0, False) and tr.best_round([float("nan")] * 3, 2) == (3, False)
+
+
+def _steps(spark):
+    """Two features; the target is a step function that depth-1 trees cannot reach in one round; val repeats train, then turns."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 8, (400, 2)).astype(float)
+    y = 3.0 * (x[:, 0] > 3) + 2.0 * (x[:, 1] > 5) + rng.normal(0, 0.3, 400)
+    split = np.where(np.arange(400) % 4 == 3, "val", "train")
+    rows = [(str(s), "A", START + timedelta(minutes=15 * i), float(a), float(b), float(t)) for i, (s, (a, b), t) in enumerate(zip(split, x, y, strict=True))]
+    return spark.createDataFrame(rows, "split string, station string, ts timestamp_ntz, a double, b double, y double"), x, y, split
+
+
+def test_boosting_follows_its_definition(spark):
+    """Replayed in NumPy: round by round on residuals, errors after each round, the prefix with the smallest one kept."""
+    df, x, y, split = _steps(spark)
+    vectors = mo.assemble(df, ["a", "b"], "y")
+    model = tr.boost(vectors, 12, 0.5, patience=3, chunk=5, seed=1, maxDepth=2)
+    train, val = split == "train", split == "val"
+    told, errors = np.full(len(y), y[train].mean()), []
+    whole = tr.boost(vectors, model.n_rounds, 0.5, patience=None, chunk=4, seed=1, maxDepth=2)
+    assert whole.best_round == len(whole.root) == model.n_rounds
+    for i in range(model.n_rounds):
+        one = tr.Ensemble(0.0, np.ones(1), whole.root[i : i + 1], whole.feature, whole.threshold, whole.left, whole.right, whole.value)
+        step = one.predict(x)
+        for leaf in np.unique(step[train]):  # a leaf says the mean residual of its train rows
+            assert leaf == pytest.approx((y - told)[train][step[train] == leaf].mean())
+        told = told + 0.5 * step
+        errors.append(np.sqrt(((y - told)[val] ** 2).mean()))
+    assert model.val_errors == pytest.approx(errors)
+    assert (model.best_round, len(model.root)) == (tr.best_round(errors, 3)[0],) * 2
+    scored = {r["ts"]: r["prediction"] for r in tr.score_ensemble(model, vectors).collect()}
+    again = tr.Ensemble.unpacked(model.packed()).predict(x)
+    assert [scored[START + timedelta(minutes=15 * i)] for i in range(400)] == pytest.approx(again)
+
+
+def test_forest_of_small_forests(spark):
+    """The mean over all trees, as Spark scores the same small forests; an interrupted fit grows only what is missing."""
+    df, x, _, _ = _steps(spark)
+    vectors = mo.assemble(df, ["a", "b"], "y")
+    path = scratch_path(spark, "forest")
+    settings = {"numTrees": 7, "maxDepth": 5, "seed": 3, "part_trees": 3}
+    forest = tr.grow_forest(vectors, path, **settings)
+    assert sorted(r["n_trees"] for r in forest.collect()) == [1, 3, 3]
+    want = np.zeros(len(x))
+    for part, n in enumerate((3, 3, 1)):
+        model = RandomForestRegressor(numTrees=n, maxDepth=5, seed=3 + 1000 * part).fit(vectors)
+        want += n / 7 * np.array([r["prediction"] for r in model.transform(vectors).orderBy("ts").collect()])
+    for most in (1, tr.PASS_BYTES):  # a pass a part, or one for all
+        assert [r["prediction"] for r in tr.score_forest(forest, vectors, most).orderBy("ts").collect()] == pytest.approx(want.tolist())
+    before = {r["part"]: r["packed"] for r in forest.collect()}
+    lost = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=1")
+    lost.getFileSystem(spark._jsc.hadoopConfiguration()).delete(lost, True)
+    kept = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part=0/_SUCCESS")
+    time = kept.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(kept).getModificationTime()
+    after = {r["part"]: r["packed"] for r in tr.grow_forest(vectors, path, **settings).collect()}
+    assert after == before and kept.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(kept).getModificationTime() == time
+
+
+def test_jobs_side_by_side(spark):
+    """Jobs of different fits overlap: each waits until the other has begun."""
+    barrier = threading.Barrier(2, timeout=60)
+    assert tr.concurrently(spark, [lambda i=i: (barrier.wait(), spark.range(i).count())[1] for i in (3, 4)], 2) == [3, 4]
+
+
+def test_stations_use_their_own_features(spark):
+    """A station without a variable has a shorter list; one scan scores ridge, forest and boosting of all stations."""
+    df = frame(spark, 500).withColumn(X[1], F.when(F.col("station") != "B", F.col(X[1])))
+    vectors = mo.assemble_targets(df, X, ["y"])
+    learners = {"ridge": {"alphas": [1.0]}, "rf": {"numTrees": 4, "maxDepth": 3, "part_trees": 3}, "gbt": {"maxIter": 6, "stepSize": 0.3, "maxDepth": 2}}
+    registry = mo.fit_stations(df, vectors, X, "y", learners)
+    lists = {(r["station"], r["model"]): r["features"] for r in registry.collect()}
+    assert all(f == (X if s != "B" else [c for c in X if c != X[1]]) for (s, _), f in lists.items()) and len(lists) == 6
+    for most in (1, tr.PASS_BYTES):
+        scored = mo.score_registry(vectors, registry, X, ["y"], most)
+        assert scored.groupBy("model").count().where("count = 500").count() == 3
+        assert not mo.metrics(scored.where("split = 'train'"), ["model", "station"]).where("station = 'A' AND r2 < 0.2").count()
+    plan = mo.score_registry(vectors, registry, X, ["y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+    alone = df.where("station = 'B'")
+    own = [c for c in X if c != X[1]]
+    fit = mo.fit_ridge(mo.impute_wide(alone, mo.wide_medians(alone, own), own), own, ["y"], alphas=[1.0])
+    want = {r["ts"]: r["y_pred"] for r in mo.score_ridge(mo.impute_wide(alone, mo.wide_medians(alone, own), own), fit, own, ["y"], "m").collect()}
+    got = {r["ts"]: r["y_pred"] for r in scored.where("station = 'B' AND model = 'ridge'").collect()}
+    assert got.keys() == want.keys() and all(got[t] == pytest.approx(want[t]) for t in want)
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e5, 1e9])
+def test_packed_moments(spark, mean):
+    """One row a task and key is shuffled; keys given out early are added up by the reader."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(mean, 1.0, (300, 3))
+    df = spark.createDataFrame([(f"s{i % 3}", *map(float, r)) for i, r in enumerate(x)], "station string, a double, b double, c double").repartition(4)
+    shift = [mean] * 3
+    for held in (1, 64):
+        rows = mo.gram_rows(df, ["station"], ["a", "b", "c"], held, shift).collect()
+        assert held == 1 or len(rows) == 3
+        for k in range(3):
+            one = np.column_stack([np.ones(100), x[k::3] - mean])
+            assert mo.whole_gram([bytes(r["gram"]) for r in rows if r["station"] == f"s{k}"], 4) == pytest.approx(one.T @ one)
