@@ -24,9 +24,10 @@ from gridloom.session import stage_table
 # The settings that are tuned or kept by the learners.
 ALPHAS = (0.1, 1.0, 10.0)
 FOREST = {"numTrees": 300, "maxDepth": 20, "seed": 42}
-BOOST = {"maxIter": 1500, "stepSize": 0.03, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9", "seed": 42}
+BOOST = {"maxIter": 1500, "stepSize": 0.03, "maxDepth": 6, "subsamplingRate": 0.8, "columnRate": 0.8, "penalty": 1.0, "minInstancesPerNode": 1, "seed": 42}
+MULTI = {"maxIter": 800, "stepSize": 0.05, "subsamplingRate": 0.9, "columnRate": 0.9}
+SWEEP = {"maxDepth": (3, 5), "minInstancesPerNode": (1, 5), "penalty": (1.0, 5.0)}
 PATIENCE = 50
-SWEEP = {"maxDepth": (3, 5), "minInstancesPerNode": (1, 5), "minInfoGain": (0.0, 0.01)}
 POOLED = "ALL"
 
 
@@ -307,7 +308,7 @@ def fit_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[str
         return vectors.select("split", "station", "ts", F.col(target).alias("label"), "features").where(F.col("label").isNotNull())
 
     def fit(target: str):
-        return fit_forest(rows_of(target), **params) if learner == "rf" else fit_boosted(rows_of(target), early_stop=False, **params)
+        return fit_forest(rows_of(target), **params) if learner == "rf" else fit_boosted(rows_of(target), early_stop=False, **{**MULTI, **params})
 
     models = tr.concurrently(df.sparkSession, [lambda t=t: fit(t) for t in targets], workers)
     parts = [score_vectors(m, rows_of(t), f"multi_{learner}", t) for t, m in zip(targets, models, strict=True)]
@@ -352,7 +353,7 @@ def fit_stations(df: DataFrame, vectors: DataFrame, features: Sequence[str], tar
 
     def rows_of(station: str | None, names: list[str], medians: list[float]) -> DataFrame:
         cells = vector_to_array("features")
-        filled = [F.when(F.isnan(cells[places[f]]), F.lit(m)).otherwise(cells[places[f]]) for f, m in zip(names, medians, strict=True)]
+        filled = [F.when(F.isnan(cells[places[f]]), F.lit(float(m))).otherwise(cells[places[f]]) for f, m in zip(names, medians, strict=True)]
         rows = vectors.where(F.col("station").eqNullSafe(F.lit(station)) & F.col(target).isNotNull())
         return rows.select("split", F.col(target).alias("label"), array_to_vector(F.array(*filled)).alias("features"))
 

@@ -1,8 +1,9 @@
-"""Tree ensembles: grown by Spark ML a few trees at a time, kept as plain tables, scored in Arrow batches.
+"""Tree ensembles, kept as plain tables and scored in Arrow batches.
 
-Spark ML grows every tree over the cluster. What it has grown is read into arrays of nodes, so a forest can be put together
-from forests fitted one after the other or side by side, boosting can go on from where it stopped and be cut back to its
-best prefix, and an ensemble is a table of bytes that a scan can score.
+Forests are grown by Spark ML a few trees at a time; what it has grown is read into arrays of nodes, so a forest can be put
+together from small ones, fitted side by side and kept when a driver is lost. Boosting grows its trees from sums over bins,
+one job a level, since Spark ML has no patience, no penalty and no missing values. An ensemble is a row of bytes that a
+scan can score.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,10 @@ PASS_BYTES = 64 << 20
 
 @dataclass
 class Ensemble:
-    """``base`` plus weighted trees; nodes of all trees in one set of arrays, children as places in it, leaves with feature -1."""
+    """``base`` plus weighted trees; nodes of all trees in one set of arrays, children as places in it, leaves with feature -1.
+
+    Values up to the threshold go left, and missing ones where ``gap`` says so.
+    """
 
     base: float
     weight: np.ndarray
@@ -38,11 +42,16 @@ class Ensemble:
     left: np.ndarray
     right: np.ndarray
     value: np.ndarray
+    gap: np.ndarray = None
     n_rounds: int = 0
     best_round: int = 0
     val_errors: list[float] = field(default_factory=list)
 
-    ARRAYS = ("weight", "root", "feature", "threshold", "left", "right", "value")
+    ARRAYS = ("weight", "root", "feature", "threshold", "left", "right", "value", "gap")
+
+    def __post_init__(self):
+        if self.gap is None:
+            self.gap = np.zeros(len(self.feature), bool)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.full(len(x), self.base), np.arange(len(x))
@@ -50,7 +59,8 @@ class Ensemble:
             at, live = np.full(len(x), root), rows
             while len(live := live[self.feature[at[live]] >= 0]):
                 here = at[live]
-                down = x[live, self.feature[here]] <= self.threshold[here]
+                cell = x[live, self.feature[here]]
+                down = np.where(np.isnan(cell), self.gap[here], cell <= self.threshold[here])
                 at[live] = np.where(down, self.left[here], self.right[here])
             out += weight * self.value[at]
         return out
@@ -73,7 +83,7 @@ def join_trees(parts: Sequence[Ensemble], base: float, weights: Sequence[float])
     def together(name: str, shift: bool = False) -> np.ndarray:
         return np.concatenate([getattr(p, name) + (o if shift else 0) for p, o in zip(parts, offsets)]) if parts else np.zeros(0, np.int32)
 
-    return Ensemble(base, np.asarray(weights, float), together("root", True), together("feature"), together("threshold"), together("left", True), together("right", True), together("value"))
+    return Ensemble(base, np.asarray(weights, float), together("root", True), together("feature"), together("threshold"), together("left", True), together("right", True), together("value"), together("gap").astype(bool))
 
 
 def read_trees(model) -> list[Ensemble]:
@@ -204,48 +214,210 @@ def _add(rows: DataFrame, trees: Ensemble) -> DataFrame:
 
 # Boosting
 
+#: Rows of a block, bins of a feature (one more for missing), sums that reach the driver from one job.
+BLOCK, BINS, MISSING, GROUPS = 8192, 64, 255, 16
+BLOCKS = "block long, n int, train binary, label binary, pred binary, bins binary"
+
+
+def cut_points(vectors: DataFrame, bins: int = BINS) -> list[np.ndarray]:
+    """Ascending cuts of every feature, at quantiles of its known train values; a value belongs to the first cut not below it."""
+    rows = _open(vectors.where(F.col("split") == "train"))
+    width = rows.select(F.max(F.size("_x"))).first()[0] or 0
+    share = [(i + 1) / bins for i in range(bins - 1)]
+    known = [F.when(~F.isnan(F.col("_x")[i]), F.col("_x")[i]) for i in range(width)]
+    found = rows.agg(*[F.percentile_approx(k, share, 10_000).alias(f"q{i}") for i, k in enumerate(known)]).first() if width else []
+    return [np.unique(np.array(q or [], float)) for q in found]
+
+
+def pack_blocks(vectors: DataFrame, cuts: list[np.ndarray], base: float) -> DataFrame:
+    """Train and val rows in blocks: which are train, labels, what is predicted so far, and the bin of every feature in a byte."""
+
+    def run(batches):
+        place = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            for s in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(s, BLOCK)
+                x = part.column("_x").flatten().to_numpy().reshape(part.num_rows, -1)
+                bins = np.stack([np.searchsorted(c, x[:, i], "left") for i, c in enumerate(cuts)], 1).astype(np.uint8)
+                bins[np.isnan(x)] = MISSING
+                row = [place, part.num_rows, part.column("train").to_numpy(zero_copy_only=False).tobytes(), part.column("label").to_numpy().tobytes(), np.full(part.num_rows, base).tobytes(), bins.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=[f.split()[0] for f in BLOCKS.split(", ")])
+                place += 1
+
+    used = _open(vectors.where(F.col("split").isin("train", "val"))).select((F.col("split") == "train").alias("train"), "label", "_x")
+    return stage_table(used.mapInArrow(run, BLOCKS), "blocks")
+
+
+@dataclass
+class Grown:
+    """A tree over bins while it grows: nodes with feature -1 are leaves; ``gap`` sends missing values to the left."""
+
+    feature: list[int] = field(default_factory=lambda: [-1])
+    cut: list[int] = field(default_factory=lambda: [0])
+    gap: list[bool] = field(default_factory=lambda: [False])
+    left: list[int] = field(default_factory=lambda: [-1])
+    right: list[int] = field(default_factory=lambda: [-1])
+    value: list[float] = field(default_factory=lambda: [0.0])
+
+    def split(self, node: int, feature: int, cut: int, gap: bool, values: tuple[float, float]) -> list[int]:
+        sons = [len(self.feature), len(self.feature) + 1]
+        self.feature[node], self.cut[node], self.gap[node], self.left[node], self.right[node] = feature, cut, gap, *sons
+        for value in values:
+            for column, x in ((self.feature, -1), (self.cut, 0), (self.gap, False), (self.left, -1), (self.right, -1), (self.value, value)):
+                column.append(x)
+        return sons
+
+    def walk(self, bins: np.ndarray) -> np.ndarray:
+        """The node that each row ends in."""
+        feature, cut, gap, left, right = (np.array(x) for x in (self.feature, self.cut, self.gap, self.left, self.right))
+        at, live = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        while len(live := live[feature[at[live]] >= 0]):
+            here = at[live]
+            b = bins[live, feature[here]]
+            at[live] = np.where(np.where(b == MISSING, gap[here], b <= cut[here]), left[here], right[here])
+        return at
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        return np.array(self.value)[self.walk(bins)]
+
+    def unbinned(self, cuts: list[np.ndarray]) -> Ensemble:
+        # A cut behind the last stands for all known values.
+        limit = [np.append(c, np.inf)[k] if f >= 0 else 0.0 for f, k in zip(self.feature, self.cut, strict=True) for c in [cuts[max(f, 0)]]]
+        nodes = np.array(self.feature, np.int32), np.array(limit, float), np.array(self.left, np.int32), np.array(self.right, np.int32), np.array(self.value)
+        return Ensemble(0.0, np.ones(1), np.zeros(1, np.int64), *nodes, np.array(self.gap))
+
+
+def _blocks_of(batches):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            block, n, train, label, pred, bins = (batch.column(c)[r].as_py() for c in batch.schema.names)
+            yield block, np.frombuffer(train, bool), np.frombuffer(label), np.frombuffer(pred), np.frombuffer(bins, np.uint8).reshape(n, -1)
+
+
+def _summed(blocks: DataFrame, per_block: Callable, width: int) -> np.ndarray:
+    """Sum of one vector a task; of many tasks in groups first, so the driver gets GROUPS vectors at most."""
+
+    def run(batches):
+        total = np.zeros(width)
+        for block in _blocks_of(batches):
+            total += per_block(*block)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    def merge(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            for s in batch.column("sums").to_pylist():
+                total += np.frombuffer(s)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    sums = blocks.mapInArrow(run, "sums binary")
+    if len(blocks.inputFiles()) > GROUPS:
+        sums = sums.repartition(GROUPS).mapInArrow(merge, "sums binary")
+    return sum((np.frombuffer(bytes(r["sums"])) for r in sums.collect()), np.zeros(width))
+
+
+def _best_split(h: np.ndarray, penalty: float, least: int) -> tuple | None:
+    """Best (feature, cut, gap, left sum, left count) of a node's sums (feature, bin, kind), the first on ties; None if nothing is gained."""
+    known, lost = h[:, :BINS].cumsum(1), h[:, BINS:]
+    total = h[0].sum(0)
+    gains = []
+    for left in (known, known + lost):
+        right = total - left
+        ok = (left[..., 1] >= max(least, 1)) & (right[..., 1] >= max(least, 1))
+        gain = left[..., 0] ** 2 / np.maximum(left[..., 1] + penalty, 1e-12) + right[..., 0] ** 2 / np.maximum(right[..., 1] + penalty, 1e-12)
+        gains.append(np.where(ok, gain - total[0] ** 2 / max(total[1] + penalty, 1e-12), -np.inf))
+    gap, feature, cut = np.unravel_index(int(np.argmax(gains)), (2, len(h), BINS))
+    if not gains[gap][feature, cut] > 1e-9 * (1 + total[0] ** 2 / max(total[1], 1)):
+        return None
+    return int(feature), int(cut), bool(gap), *(known[feature, cut] + (lost[feature, 0] if gap else 0))
+
 
 def boost(
-    vectors: DataFrame, rounds: int, step: float, patience: int | None = 50, chunk: int = 25, seed: int = 0, **params
+    vectors: DataFrame, rounds: int, step: float, patience: int | None = 50, chunk: int = 10, seed: int = 0, maxDepth: int = 6,
+    subsamplingRate: float = 1.0, columnRate: float = 1.0, penalty: float = 1.0, minInstancesPerNode: int = 1,
 ) -> Ensemble:
     """Additive trees, each grown on the residual of all before it and shrunk by ``step``, from the mean of the train labels.
 
-    With ``patience`` the error on the val split is taken after every round; growing ends once so many rounds have passed
-    without a new minimum, and the ensemble is cut back to the round of the smallest error (the first on ties). Rounds are
-    grown in chunks: after each, the outputs of its trees are staged beside the rows, so plans stay short and a round
-    never walks more than ``chunk`` trees.
+    Features are binned once. A level of a tree is one job: tasks add up residuals and rows by node, feature and bin, the
+    driver compares the splits. A leaf says the sum of its residuals divided by its rows plus ``penalty``; missing values
+    go to the side that gains more. Rows and columns are drawn anew for every tree, by ``seed`` and place.
+
+    With ``patience`` the error on the val split is taken after every round; growing ends as soon as so many rounds have
+    passed without a new minimum, and the ensemble is cut back to the round of the smallest error (the first on ties).
+    After every ``chunk`` rounds what is predicted so far is staged, so a task never walks more trees than that.
     """
-    used = vectors.where(F.col("split").isin("train", "val") if patience else F.col("split") == "train")
-    base = vectors.where(F.col("split") == "train").agg(F.avg("label")).first()[0] or 0.0
-    start = used.select("split", "label", "features", F.lit(float(base)).alias("pred"))
-    trees: list[Ensemble] = []
+    base = float(vectors.where(F.col("split") == "train").agg(F.avg("label")).first()[0] or 0.0)
+    cuts = cut_points(vectors)
+    blocks = pack_blocks(vectors, cuts, base)
+    trees: list[Grown] = []
+    made: list[Grown] = []
     errors: list[float] = []
-    while len(trees) < rounds and not best_round(errors, patience)[1]:
-        now, made = start.withColumn("before", F.col("pred")), []
-        for i in range(min(chunk, rounds - len(trees))):
-            train = now.where(F.col("split") == "train").select("features", (F.col("label") - F.col("pred")).alias("label"))
-            grown = RandomForestRegressor(numTrees=1, bootstrap=False, seed=seed + len(trees) + i, **params).fit(train).setPredictionCol(f"_t{i}")
-            now = grown.transform(now).withColumn("pred", F.col("pred") + F.lit(step) * F.col(f"_t{i}"))
-            made += read_trees(grown)
-        trees += made
-        shown = F.array(*[F.col(f"_t{i}") for i in range(len(made))]).alias("shown")
-        start = stage_table(now.select("split", "label", "features", "pred", "before", shown), "boosted")
-        if patience:
-            errors += _errors(start.where(F.col("split") == "val"), len(made), step)
-        start = start.select("split", "label", "features", "pred")
+    width = max(1, round(columnRate * len(cuts)))
+
+    def level(tree: Grown, frontier: list[int], columns: np.ndarray, number: int) -> np.ndarray:
+        place = np.full(len(tree.feature), -1)
+        place[frontier] = np.arange(len(frontier))
+        size, walked = len(frontier) * len(columns) * (BINS + 1), list(made)
+
+        def per_block(block, train, label, pred, bins):
+            left = label - pred - step * sum((t.predict(bins) for t in walked), np.zeros(len(label)))
+            val = left[~train]
+            own = train & (np.random.default_rng([seed, number, block]).random(len(train)) < subsamplingRate)
+            at = place[tree.walk(bins[own])]
+            own, at = np.flatnonzero(own)[at >= 0], at[at >= 0]
+            bin_ = np.minimum(bins[own][:, columns], BINS).astype(np.int64)
+            cell = ((at[:, None] * len(columns) + np.arange(len(columns))) * (BINS + 1) + bin_).ravel()
+            sums = np.bincount(cell, np.repeat(left[own], len(columns)), size), np.bincount(cell, minlength=size)
+            return np.concatenate([np.stack(sums, 1).ravel(), [val @ val, len(val)]])
+
+        return _summed(blocks, per_block, 2 * size + 2)
+
+    while True:
+        number = len(trees) + len(made)
+        columns = np.sort(np.random.default_rng([seed, number]).permutation(len(cuts))[:width])
+        tree, frontier = Grown(), [0]
+        for depth in range(max(1, maxDepth)):
+            sums = level(tree, frontier, columns, number)
+            if not depth and patience and number:
+                errors.append(float(np.sqrt(sums[-2] / sums[-1])) if sums[-1] else float("nan"))
+            if not depth and (number >= rounds or (patience and best_round(errors, patience)[1])):
+                frontier = []
+                break
+            cells, after = sums[:-2].reshape(len(frontier), len(columns), BINS + 1, 2), []
+            if not depth:
+                total = cells[0, 0].sum(0)
+                tree.value[0] = float(total[0] / max(total[1] + penalty, 1e-12))
+            for node, h in zip(frontier, cells, strict=True):
+                best = _best_split(h, penalty, minInstancesPerNode) if maxDepth else None
+                if best:
+                    feature, cut, gap, g, n = best
+                    rest = h[0].sum(0) - [g, n]
+                    after += tree.split(node, int(columns[feature]), cut, gap, (float(g / (n + penalty)), float(rest[0] / (rest[1] + penalty))))
+            frontier = after
+            if not frontier:
+                break
+        if number >= rounds or (patience and best_round(errors, patience)[1]):
+            break
+        made.append(tree)
+        if len(made) == chunk:
+            blocks = _advanced(blocks, made, step)
+            trees, made = trees + made, []
+    trees += made
     best = best_round(errors, patience)[0] if patience else len(trees)
-    out = join_trees(trees[:best], float(base), np.full(best, step))
+    out = join_trees([t.unbinned(cuts) for t in trees[:best]], base, np.full(best, step))
     out.n_rounds, out.best_round, out.val_errors = len(trees), best, errors
     return out
 
 
-def _errors(val: DataFrame, count: int, step: float) -> list[float]:
-    """Root mean squared error after each of the chunk's rounds, in one pass."""
-    told, sums = F.col("before"), []
-    for i in range(count):
-        told = told + F.lit(step) * F.col("shown")[i]
-        sums.append(F.sqrt(F.avg(F.pow(F.col("label") - told, 2))).alias(f"e{i}"))
-    return [float("nan") if e is None else e for e in val.agg(*sums).first()]
+def _advanced(blocks: DataFrame, made: list[Grown], step: float) -> DataFrame:
+    """Blocks with what the chunk's trees say added to what is predicted."""
+
+    def run(batches):
+        for batch in batches:
+            pred = [(p + step * sum((t.predict(bins) for t in made), np.zeros(len(p)))).tobytes() for _, _, _, p, bins in _blocks_of([batch])]
+            yield pa.RecordBatch.from_arrays([pa.array(pred, pa.binary()) if n == "pred" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+
+    return stage_table(blocks.mapInArrow(run, BLOCKS), "boosted")
 
 
 def best_round(errors: Sequence[float], patience: int | None) -> tuple[int, bool]:

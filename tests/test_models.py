@@ -289,8 +289,8 @@ def test_registered_fits_take_the_operators_settings(spark, monkeypatch, name):
     monkeypatch.setattr(mo.tr, "boost", boost)
     with pytest.raises(Noted):
         getattr(modelling, name)(spark, "")
-    grid = [{**mo.BOOST, "maxDepth": d, "minInstancesPerNode": m, "minInfoGain": g, "patience": 50} for d in (3, 5) for m in (1, 5) for g in (0.0, 0.01)]
-    want = {"rf_fit": [mo.FOREST], "gbt_fit": [{**mo.BOOST, "patience": 50}], "gbt_sweep": grid, "gbt_multi": [{**mo.BOOST, "patience": None}] * 2}[name]
+    grid = [{**mo.BOOST, "maxDepth": d, "minInstancesPerNode": m, "penalty": g, "patience": 50} for d in (3, 5) for m in (1, 5) for g in (1.0, 5.0)]
+    want = {"rf_fit": [mo.FOREST], "gbt_fit": [{**mo.BOOST, "patience": 50}], "gbt_sweep": grid, "gbt_multi": [{**mo.BOOST, **mo.MULTI, "patience": None}] * 2}[name]
     assert sorted(map(repr, seen)) == sorted(map(repr, want))
 
 
@@ -315,20 +315,36 @@ def _steps(spark):
     return spark.createDataFrame(rows, "split string, station string, ts timestamp_ntz, a double, b double, y double"), x, y, split
 
 
-def test_boosting_follows_its_definition(spark):
+def _gain(left, below, penalty):
+    return sum(left[m].sum() ** 2 / (m.sum() + penalty) for m in (below, ~below) if m.any())
+
+
+def _best_first_split(x, left, penalty):
+    tried = [(f, v) for f in range(x.shape[1]) for v in np.unique(x[:, f])[:-1]]
+    return max(((c, _gain(left, x[:, c[0]] <= c[1], penalty)) for c in tried), key=lambda t: t[1])
+
+
+@pytest.mark.parametrize("penalty", [0.0, 4.0])
+def test_boosting_follows_its_definition(spark, penalty):
     """Replayed in NumPy: round by round on residuals, errors after each round, the prefix with the smallest one kept."""
     df, x, y, split = _steps(spark)
     vectors = mo.assemble(df, ["a", "b"], "y")
-    model = tr.boost(vectors, 12, 0.5, patience=3, chunk=5, seed=1, maxDepth=2)
+    model = tr.boost(vectors, 12, 0.5, patience=3, chunk=5, seed=1, maxDepth=2, penalty=penalty)
     train, val = split == "train", split == "val"
     told, errors = np.full(len(y), y[train].mean()), []
-    whole = tr.boost(vectors, model.n_rounds, 0.5, patience=None, chunk=4, seed=1, maxDepth=2)
+    whole = tr.boost(vectors, model.n_rounds, 0.5, patience=None, chunk=4, seed=1, maxDepth=2, penalty=penalty)
     assert whole.best_round == len(whole.root) == model.n_rounds
     for i in range(model.n_rounds):
-        one = tr.Ensemble(0.0, np.ones(1), whole.root[i : i + 1], whole.feature, whole.threshold, whole.left, whole.right, whole.value)
+        one = tr.Ensemble(0.0, np.ones(1), whole.root[i : i + 1], whole.feature, whole.threshold, whole.left, whole.right, whole.value, whole.gap)
         step = one.predict(x)
-        for leaf in np.unique(step[train]):  # a leaf says the mean residual of its train rows
-            assert leaf == pytest.approx((y - told)[train][step[train] == leaf].mean())
+        left = (y - told)[train]
+        for leaf in np.unique(step[train]):  # a leaf says the shrunk mean residual of its train rows
+            own = step[train] == leaf
+            assert leaf == pytest.approx(left[own].sum() / (own.sum() + penalty))
+        cut, gain = _best_first_split(x[train], left, penalty)  # the root splits where two leaves explain most
+        root = whole.root[i]
+        got = _gain(left, x[train][:, whole.feature[root]] <= whole.threshold[root], penalty)
+        assert got == pytest.approx(gain), (cut, whole.feature[root], whole.threshold[root])
         told = told + 0.5 * step
         errors.append(np.sqrt(((y - told)[val] ** 2).mean()))
     assert model.val_errors == pytest.approx(errors)
@@ -338,6 +354,18 @@ def test_boosting_follows_its_definition(spark):
     assert [scored[START + timedelta(minutes=15 * i)] for i in range(400)] == pytest.approx(again)
 
 
+def test_boosting_sends_missing_values_where_they_gain(spark):
+    """Missing values carry the large labels: they go to their side; a column without values and a constant one are no harm."""
+    rng = np.random.default_rng(4)
+    gone = rng.random(300) < 0.4
+    rows = [("train" if i % 3 else "val", "A", START + timedelta(minutes=15 * i), float("nan") if g else float(i % 7), float("nan"), 1.0, float(5.0 * g + 0.1 * (i % 7))) for i, g in enumerate(gone)]
+    df = spark.createDataFrame(rows, "split string, station string, ts timestamp_ntz, a double, b double, c double, y double").repartition(3)
+    model = tr.boost(mo.assemble_targets(df, ["a", "b", "c"], ["y"]).withColumnRenamed("y", "label"), 30, 0.5, maxDepth=3, penalty=0.0)
+    assert model.val_errors[-1] < 0.05
+    told = model.predict(np.array([[np.nan, np.nan, 1.0], [3.0, np.nan, 1.0]]))
+    assert told[0] == pytest.approx(5.3, abs=0.3) and told[1] == pytest.approx(0.3, abs=0.1)
+
+
 def test_forest_of_small_forests(spark):
     """The mean over all trees, as Spark scores the same small forests; an interrupted fit grows only what is missing."""
     df, x, _, _ = _steps(spark)
