@@ -97,17 +97,15 @@ def parquet_roundtrip(spark, sf):
 @query("metrics_upsert", f"""SELECT station, model, {R('rmse', 'rmse')}, n_rows FROM metric_rows
 WHERE target = 'value' AND ((split = 'val' AND model <> 'mean4') OR (split = 'test' AND model = 'mean4'))""")
 def metrics_upsert(spark, sf):
-    """A CSV of validation metrics in which one model's rows are replaced twice by its test metrics."""
+    """Validation metrics at one path, in which one model's rows are replaced twice by its test metrics."""
     preds = fr.predictions(spark, sf, "value")
     table = stage_table(me.metrics_table(preds, ["split", "model"]), "metrics")
-    old, new = scratch_path(spark, "metrics"), scratch_path(spark, "metrics")
-    schema = "station string, model string, rmse double, n_rows bigint"
-    columns = ["station", "model", "rmse", "n_rows"]
-    rows = table.where("split = 'test' AND model = 'mean4'").select(*columns)
-    rec.write_csv(table.where("split = 'val'").select(*columns), old)
-    rec.write_csv(rec.upsert_metrics(rec.read_csv(spark, old, schema), rows), new)
-    twice = rec.upsert_metrics(rec.read_csv(spark, new, schema), rows)
-    return keep(twice, "station", "model", "n_rows", rnd=("rmse",))
+    path, columns = scratch_path(spark, "metrics"), ["station", "model", "rmse", "n_rows"]
+    rec.upsert_in_place(table.where("split = 'val'").select(*columns), path)
+    for _ in range(2):
+        rec.upsert_in_place(table.where("split = 'test' AND model = 'mean4'").select(*columns), path)
+    kept = rec.read_csv(spark, path, "station string, rmse double, n_rows bigint, model string")
+    return keep(kept, "station", "model", "n_rows", rnd=("rmse",))
 
 
 @query("require_columns", "SELECT event_type AS station, count(*) AS n_rows FROM events GROUP BY 1")

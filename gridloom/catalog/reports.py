@@ -194,17 +194,15 @@ _PAIRS = [(a, b) for i, a in enumerate(fr.LINE_VARIABLES) for b in fr.LINE_VARIA
 CTES["line_wide"] = "SELECT station, ts, " + ", ".join(
     f"avg(CASE WHEN variable = '{v}' THEN value END) AS {v}" for v in fr.LINE_VARIABLES
 ) + " FROM line_weekly GROUP BY 1, 2"
-CTES["line_corr"] = " UNION ALL ".join(
-    f"SELECT station, '{a}' AS var_a, '{b}' AS var_b, corr({a}, {b}) AS r, count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END) AS n_pairs FROM line_wide GROUP BY 1"
-    for a, b in _PAIRS
-)
-
-
+CTES["line_corr"] = "SELECT station, unnest([" + ", ".join(
+    f"struct_pack(var_a := '{a}', var_b := '{b}', r := corr({a}, {b}), n_pairs := count(CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN 1 END))" for a, b in _PAIRS
+) + "], recursive := true) FROM line_wide GROUP BY station"
 CTES["line_support"] = "SELECT station, var_a AS variable, n_pairs > 50 AS known, sum((n_pairs > 50)::INT) OVER (PARTITION BY station) AS n_known FROM line_corr WHERE var_a = var_b"
 
 
-@query("corr_matrix", f"""SELECT c.station, var_a, var_b, {R('r', 'r')}, n_pairs, a.known AND b.known AND a.n_known >= 3 AS supported FROM line_corr c
-JOIN line_support a ON a.station = c.station AND a.variable = var_a JOIN line_support b ON b.station = c.station AND b.variable = var_b""")
+@query("corr_matrix", f"""SELECT station, var_a, var_b, {R('r', 'r')}, n_pairs,
+  list_contains(known, var_a) AND list_contains(known, var_b) AND len(known) >= 3 AS supported FROM (
+  SELECT *, list(var_a) FILTER (var_a = var_b AND n_pairs > 50) OVER (PARTITION BY station) AS known FROM line_corr)""")
 def corr_matrix(spark, sf):
     out = ex.correlation_per_station(fr.line_weekly(spark, sf), fr.LINE_VARIABLES, min_values=50)
     return keep(out, "station", "var_a", "var_b", "n_pairs", "supported", rnd=("r",))

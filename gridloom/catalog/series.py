@@ -104,10 +104,8 @@ JOIN (SELECT station, variable, median(value) AS m FROM filled WHERE split = 'tr
 def median_impute(spark, sf):
     df = fr.filled_once(spark, sf)
     series = ["station", "variable"]
-    one = sp.apply_medians(df, sp.fit_medians(df)).withColumnRenamed("value", "by_variable")
-    both = sp.apply_medians(
-        one.join(df.select(*series, "pos", "value"), [*series, "pos"]), sp.fit_medians(df, series), series
-    ).withColumnRenamed("value", "by_station")
+    one = sp.apply_medians(df.withColumn("raw", F.col("value")), sp.fit_medians(df)).withColumnsRenamed({"value": "by_variable", "raw": "value"})
+    both = sp.apply_medians(one, sp.fit_medians(df, series), series).withColumnRenamed("value", "by_station")
     return keep(both, *series, "ts", "split", rnd=("by_variable", "by_station"))
 
 

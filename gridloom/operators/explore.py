@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.metrics import model_order
 from gridloom.plans.joins import join_params
+from gridloom.plans.packed import added, packed_sums
 from gridloom.plans.quantiles import exact_quantiles
 from gridloom.session import stage_table
 
@@ -69,23 +72,39 @@ def correlations(
 ) -> DataFrame:
     """Pearson r over pairwise known rows: the lower triangle of a column list, or one column ``against`` all.
 
-    Every row is met once per left-hand column and aggregated at once, so the plan grows with the number of columns,
-    not of pairs, no pair of rows is ever formed, and only sums are shuffled.
+    Counts, sums, squares and products of all pairs are matrices that every task adds up over its rows, masked where a
+    value is missing, around the means of all rows; one packed row a task and key is shuffled. r is null where one side
+    does not vary.
     """
     columns = list(columns)
-    cells = [F.col(f"`{c}`").cast("double").alias(f"_c{j}") for j, c in enumerate(columns)]
-    left = range(len(columns)) if against is None else [columns.index(against)]
-    rows = wide.select(*keys, *cells).select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_c{i}").alias("_x")) for i in left])))
-    aggs = [F.corr("_x", f"_c{j}").alias(f"_r{j}") for j in range(len(columns))]
-    aggs += [F.count(F.when(F.col("_x").isNotNull(), F.col(f"_c{j}"))).alias(f"_n{j}") for j in range(len(columns))]
-    one = rows.groupBy(*keys, "_i").agg(*aggs)
-    out = [
-        F.struct(F.lit(j).alias("_j"), F.lit(c).alias(names[1]), F.col(f"_r{j}").alias("r"), F.col(f"_n{j}").alias("n_pairs"))
-        for j, c in enumerate(columns)
-    ]
-    pairs = one.select(*keys, "_i", F.element_at(F.lit(columns), F.col("_i") + 1).alias(names[0]), F.inline(F.array(*out)))
-    wanted = pairs if against is not None else pairs.where(F.col("_j") <= F.col("_i"))
-    return wanted.select(*keys, *names, "r", "n_pairs")
+    p, own = len(columns), range(len(columns)) if against is None else [columns.index(against)]
+    middle = wide.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in columns]).first()
+    shift = np.array([m if m is not None and np.isfinite(m) else 0.0 for m in middle])
+    left = list(own)
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(x)
+        x, mask = np.where(known, x - shift, 0.0), known.astype(float)
+        # By (left, right): rows, sums and squares of either side where both are known, products.
+        ml, xl = mask[:, left], x[:, left]
+        return np.concatenate([m.ravel() for m in (ml.T @ mask, xl.T @ mask, (xl**2).T @ mask, ml.T @ x, ml.T @ x**2, xl.T @ x)])
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, sx, sxx, sy, syy, sxy = added(list(pdf["sums"])).reshape(6, len(left), p)
+        m = np.maximum(n, 1)
+        vx, vy, c = sxx - sx**2 / m, syy - sy**2 / m, sxy - sx * sy / m
+        still = (n < 2) | (vx <= 1e-12 * sxx) | (vy <= 1e-12 * syy)
+        r = np.where(still, np.nan, c / np.sqrt(np.where(still, 1.0, vx * vy)))
+        i, j = np.indices(r.shape)
+        wanted = (j <= np.array(left)[i]) if against is None else np.ones(r.shape, bool)
+        i, j = i[wanted], j[wanted]
+        held = {k: [pdf[k].iloc[0]] * len(i) for k in keys}
+        found = pd.Series(r[i, j]).astype(object).where(~np.isnan(r[i, j]), None)
+        return pd.DataFrame({**held, names[0]: [columns[left[k]] for k in i], names[1]: [columns[k] for k in j], "r": found, "n_pairs": n[i, j].astype(np.int64)})
+
+    keys = list(keys)
+    schema = ", ".join([*(f"{k} string" for k in keys), f"{names[0]} string, {names[1]} string, r double, n_pairs bigint"])
+    return packed_sums(wide, keys, columns, moments).groupBy(*keys).applyInPandas(pairs, schema)
 
 
 def widen(df: DataFrame, column: str, names: Sequence[str], keys: Sequence[str], value: str = "value") -> DataFrame:

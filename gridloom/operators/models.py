@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -18,6 +18,7 @@ from gridloom.operators import trees as tr
 from gridloom.operators.metrics import align_predictions, long_predictions, metrics
 from gridloom.operators.prepare import scale_wide
 from gridloom.plans.joins import join_params
+from gridloom.plans.packed import added, packed_sums
 from gridloom.plans.quantiles import exact_quantiles
 from gridloom.session import stage_table
 
@@ -65,56 +66,23 @@ def centres(df: DataFrame, columns: Sequence[str]) -> list[float]:
     return [x if x is not None and np.isfinite(x) else 0.0 for x in row]
 
 
-def gram_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_held: int = 64, shift: Sequence[float] | None = None, salts: int = 16) -> DataFrame:
-    """Gram matrices of [1, columns - shift] per key, as the packed upper triangle (``gram``); a shift near the means keeps all digits.
+def gram_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_held: int = 64, shift: Sequence[float] | None = None) -> DataFrame:
+    """Gram matrices of [1, columns - shift] per key, as the packed upper triangle (``sums``); a shift near the means keeps all digits."""
+    offset = np.array(shift if shift is not None else [0.0] * len(columns))
+    upper = np.triu_indices(len(columns) + 1)
 
-    Every task adds up its own rows and gives out one row a key; these are added up in two levels, the first spread over
-    ``salts`` tasks a key. A task holds ``max_held`` matrices at most, however many rows a key has; keys that are given out
-    early may come in several rows, to be added up by the reader.
-    """
-    key_names, names, held = list(keys), list(columns), max_held
-    offset = np.array(shift if shift is not None else [0.0] * len(names))
-    upper = np.triu_indices(len(names) + 1)
-
-    def summed(parts: Iterator[tuple[tuple, np.ndarray]]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-        for key, gram in parts:
-            sums[key] = sums[key] + gram if key in sums else gram
-            if len(sums) > held:
-                yield frame(sums)
-                sums.clear()
-        yield frame(sums)
-
-    def frame(sums: dict[tuple, np.ndarray]) -> pd.DataFrame:
-        cells = {k: pd.Series([key[i] for key in sums], dtype=object) for i, k in enumerate(key_names)}
-        return pd.DataFrame({**cells, "gram": pd.Series([g.tobytes() for g in sums.values()], dtype=object)})
-
-    def keyed(key) -> tuple:
-        return tuple(None if pd.isna(k) else k for k in key)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def parts():
-            for batch in batches:
-                for key, part in batch.groupby(key_names, sort=False, dropna=False):
-                    x = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float) - offset])
-                    yield keyed(key), (x.T @ x)[upper]
-
-        return summed(parts())
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return summed((keyed(row[:-1]), np.frombuffer(row[-1])) for batch in batches for row in batch[[*key_names, "gram"]].itertuples(index=False, name=None))
+    def moments(x: np.ndarray) -> np.ndarray:
+        one = np.column_stack([np.ones(len(x)), x - offset])
+        return (one.T @ one)[upper]
 
-    schema = ", ".join([*(f"{k} string" for k in key_names), "gram binary"])
-    data = df.select(*key_names, *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).dropna(subset=names)
-    salted = data.mapInPandas(partial, schema).withColumn("_salt", F.spark_partition_id() % salts)
-    return salted.repartition(*key_names, "_salt").mapInPandas(merge, schema).repartition(*key_names).mapInPandas(merge, schema)
+    return packed_sums(df.dropna(subset=list(columns)), keys, columns, moments, max_held)
 
 
 def whole_gram(rows: Sequence[bytes], size: int) -> np.ndarray:
     """The symmetric matrix of packed triangles, added up."""
-    g, upper = np.zeros((size, size)), np.triu_indices(size)
-    for row in rows:
-        g[upper] += np.frombuffer(row)
+    g = np.zeros((size, size))
+    if len(rows):
+        g[np.triu_indices(size)] = added(rows)
     return g + np.triu(g, 1).T
 
 
@@ -152,7 +120,7 @@ def solve_ridge(
         used = [columns_of.index(f) for f in pdf["features"].iloc[0]] if by_list else list(range(len(columns_of)))
         cut = np.array([0, *(i + 1 for i in used), *range(len(columns_of) + 1, size)])
         offset, p = whole[cut[1:] - 1], len(used)
-        train, val = (whole_gram(pdf.loc[pdf["split"] == s, "gram"], size)[np.ix_(cut, cut)] for s in ("train", "val"))
+        train, val = (whole_gram(list(pdf.loc[pdf["split"] == s, "sums"]), size)[np.ix_(cut, cut)] for s in ("train", "val"))
         rows = []
         if train[0, 0] > 0:
             fits = [fit(train, a) for a in tried]

@@ -16,6 +16,15 @@ def upsert_metrics(existing: DataFrame, rows: DataFrame) -> DataFrame:
     return existing.join(models, "model", "left_anti").select(*existing.columns).unionByName(rows, allowMissingColumns=True)
 
 
+def upsert_in_place(rows: DataFrame, path: str) -> None:
+    """Metrics kept at one path, a folder a model: only the folders of the models in ``rows`` are replaced, each when the job commits.
+
+    A run that ends early leaves all models as they were; a repeated one changes nothing.
+    """
+    writer = rows.write.mode("overwrite").partitionBy("model").option("header", "true").option("partitionOverwriteMode", "dynamic")
+    writer.csv(path)
+
+
 def append_metrics(existing: DataFrame, rows: DataFrame) -> DataFrame:
     """Plain append; running it twice keeps both copies."""
     return existing.unionByName(rows, allowMissingColumns=True)

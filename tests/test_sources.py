@@ -167,6 +167,21 @@ def test_metric_records(spark):
     assert sorted(map(tuple, rec.read_nested_json(spark, path).collect())) == [("A", "rmse", 9.0, None), ("B", "rmse", 8.0, None)]
 
 
+def test_upsert_in_place_cut_short_leaves_all_models(spark):
+    path, schema = scratch_path(spark, "metrics"), "station string, rmse double, model string"
+    read = lambda: sorted((r["model"], r["station"], r["rmse"]) for r in rec.read_csv(spark, path, schema).collect())
+    rec.upsert_in_place(spark.createDataFrame([("A", 1.0, "m1"), ("A", 2.0, "m2"), ("B", 3.0, "m2")], schema), path)
+    rows = spark.createDataFrame([("A", 9.0, "m1")], schema)
+    rec.upsert_in_place(rows, path)
+    rec.upsert_in_place(rows, path)
+    whole = [("m1", "A", 9.0), ("m2", "A", 2.0), ("m2", "B", 3.0)]
+    assert read() == whole
+    broken = spark.range(40).repartition(4).select(F.lit("A").alias("station"), F.when(F.col("id") == 39, F.raise_error(F.lit("lost")).cast("double")).otherwise(5.0).alias("rmse"), F.lit("m2").alias("model"))
+    with pytest.raises(Exception, match="lost"):
+        rec.upsert_in_place(broken, path)
+    assert read() == whole
+
+
 def test_documents_of_any_depth_are_rows(spark):
     rows = [("A", "x", ({"x": 1.5, "y": 2.0},), 7), ("B", None, ({},), 0)]
     df = spark.createDataFrame(rows, "station string, chosen string, val struct<rmse: map<string, double>>, n bigint")
