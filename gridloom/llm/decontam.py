@@ -60,14 +60,44 @@ def template(token: Column, raw: Column) -> Column:
     return F.when(token < "A", marked).when(raw == token, small).otherwise(capital)
 
 
-def windows(hashes: Column, lengths: list[int], sign: int = 1) -> Column:
-    """Hash of every window, by place, for each length; ``sign`` keeps two kinds of windows apart."""
+def with_windows(df: DataFrame, lengths: dict[str, list[int]]) -> tuple[DataFrame, Column]:
+    """The frame with hashes of windows of each named column of words, and all of them by place, one length after the other.
 
-    def of(n: int) -> Column:
-        places = F.when(F.size(hashes) >= n, F.sequence(F.lit(1), F.size(hashes) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(sign * n), F.slice(hashes, i, n)).alias("window")))
+    A window's hash is made from two windows of half its length, or from two that overlap; so a word costs a few hashes of
+    two values, however long the window. Words of two columns have hashes of their own.
+    """
 
-    return F.concat(*[of(n) for n in lengths])
+    def paired(name: str, apart: int, salt: Column) -> Column:
+        return F.zip_with(name, F.slice(name, apart + 1, F.size(name)), lambda a, b: F.xxhash64(salt, a, b))
+
+    half, longest = 2, max(max(of) for of in lengths.values())
+    df = df.withColumns({f"_{w}2": paired(w, 1, F.lit(w)) for w in lengths})
+    while 2 * half <= longest:
+        df = df.withColumns({f"_{w}{2 * half}": paired(f"_{w}{half}", half, F.lit(0)) for w, of in lengths.items() if 2 * half <= max(of)})
+        half *= 2
+
+    def of(words: str, n: int) -> Column:
+        power = 1 << (n.bit_length() - 1)
+        if n == 1:
+            hashes = F.transform(words, lambda w: F.xxhash64(F.lit(words), w))
+        else:
+            hashes = F.col(f"_{words}{n}") if n == power else paired(f"_{words}{power}", n - power, F.lit(n))
+        return F.slice(hashes, 1, window_count(F.size(f"_{words}2"), n))
+
+    return df, F.concat(*[of(w, n) for w, all_ in lengths.items() for n in all_])
+
+
+def window_count(size: Column, length: int) -> Column:
+    return F.greatest(size - (length - 1), F.lit(0))
+
+
+def window_start(place: Column, size: Column, lengths: list[int]) -> Column:
+    """Word at which the window at ``place`` among windows of all ``lengths`` starts."""
+    first, starts = F.lit(0), F.lit(None).cast("int")
+    for n in lengths:
+        starts = F.when(place >= first, place - first).otherwise(starts)
+        first = first + window_count(size, n)
+    return starts
 
 
 def clashes(slots: str) -> Column:
@@ -88,23 +118,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pa
     items = stage(items.withColumn("needed", F.greatest(F.col("long") - F.col("n") + 1, F.lit(1))), "items")
     pairs = items.select("n", "long").distinct().collect()  # at most ``window`` and ``passage`` values
     lengths, longs = sorted({r["n"] for r in pairs} or {window}), sorted({r["long"] for r in pairs} or {passage})
-    hashed = items.withColumn("h", F.transform("kind", lambda k: F.xxhash64(k))).withColumn("r", F.transform("raw", lambda k: F.xxhash64(k)))
 
-    def cut_items(length: str, sizes: list[int], hashes: str, sign: int) -> DataFrame:
+    def cut_items(length: str, sizes: list[int], words: str) -> DataFrame:
         """Windows of each item in its own length, with the number of further template windows they hold."""
-        own = [hashed.where(F.col(length) == n).select("item_id", "n", "needed", "whole", "kind", F.lit(n).alias("size"), F.explode(windows(F.col(hashes), [n], sign)).alias("w")) for n in sizes]
+        own = [with_windows(items.where(F.col(length) == n), {words: [n]}) for n in sizes]
+        own = [df.select("item_id", "n", "needed", "whole", "kind", F.lit(n).alias("size"), F.posexplode(all_).alias("at", "window")) for n, (df, all_) in zip(sizes, own)]
         return reduce(DataFrame.union, own)
 
-    worded = F.size(F.filter(F.slice("kind", F.col("w.pos") + 1, F.col("n")), lambda k: ~k.startswith("#")))
-    by_kind = cut_items("n", lengths, "h", 1).where(worded > 0).withColumn("firm", 2 * worded >= F.col("n"))
-    known = by_kind.union(cut_items("long", longs, "r", -1).withColumn("firm", F.lit(True)))
-    known = known.select(F.col("w.window").alias("window"), "item_id", F.col("w.pos").alias("at"), (F.col("size") - F.col("n")).alias("more"), "needed", "whole", "firm")
+    worded = F.size(F.filter(F.slice("kind", F.col("at") + 1, F.col("n")), lambda k: ~k.startswith("#")))
+    by_kind = cut_items("n", lengths, "kind").where(worded > 0).withColumn("firm", 2 * worded >= F.col("n"))
+    known = by_kind.union(cut_items("long", longs, "raw").withColumn("firm", F.lit(True)))
+    known = known.select("window", "item_id", "at", (F.col("size") - F.col("n")).alias("more"), "needed", "whole", "firm")
     known = stage(known.distinct(), "item-windows")
     read = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("t")).withColumn("raw", F.transform("t", plain))
-    read = read.select("doc_id", "tag", F.zip_with("t", "raw", lambda t, r: F.xxhash64(template(t, r))).alias("h"), F.transform("raw", lambda r: F.xxhash64(r)).alias("r"))
-    both = F.concat(windows(F.col("h"), lengths), windows(F.col("r"), longs, -1))
-    seen = read.select("doc_id", "tag", F.explode(both).alias("w")).select("doc_id", "tag", F.col("w.pos").alias("pos"), F.col("w.window").alias("window"))
-    hits = join_small(seen, known, "window", "inner").groupBy("doc_id", "tag", "item_id", "needed", "whole", (F.col("pos") - F.col("at")).alias("diagonal"))
+    read = read.select("doc_id", "tag", F.size("raw").alias("size"), "raw", F.zip_with("t", "raw", template).alias("kind"))
+    read, all_ = with_windows(read, {"kind": lengths, "raw": longs})
+    seen = read.select("doc_id", "tag", "size", F.posexplode(all_).alias("place", "window"))
+    start = window_start(F.col("place"), F.col("size"), lengths + longs)
+    hits = join_small(seen, known, "window", "inner").groupBy("doc_id", "tag", "item_id", "needed", "whole", (start - F.col("at")).alias("diagonal"))
     runs = hits.agg(F.collect_set(F.struct("at", "more", "firm")).alias("hits"))  # as many places as the item has, at most, of either kind
     places = lambda hits: F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["at"], h["at"] + h["more"]))))
     runs = runs.select("doc_id", "tag", "item_id", "diagonal", "needed", "whole", places("hits").alias("places"), places(F.filter("hits", lambda h: h["firm"])).alias("firm"))
