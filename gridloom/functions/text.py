@@ -19,14 +19,19 @@ SHORT_DATE = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})(?:[ T]+(\d.*))?$"
 YEAR_FIRST_DATE = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[ T]+(\d.*))?$"
 YEAR_OR_MONTH = r"^\d{4}(-\d{1,2})?$"
 COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
+COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})[ T]+(\d{2}):?(\d{2})$"
+COMPACT_SECONDS = r"^(\d{4})(\d{2})(\d{2})[ T]+(\d{2}):?(\d{2}):?(\d{2})$"
+WORDED_DATE = r"^\d.*[A-Za-z]{2}|^[A-Za-z]{3,9}[-, ]+\d"
 WORDED_FORMATS = (
     "d/M/yyyy h:mm:ss a",
     "d/M/yyyy h:mm a",
     "d MMM yyyy H:mm:ss",
     "d MMM yyyy H:mm",
+    "d MMM yyyy h:mm a",
     "d MMM yyyy",
     "d MMMM yyyy H:mm:ss",
     "d MMMM yyyy H:mm",
+    "d MMMM yyyy h:mm a",
     "d MMMM yyyy",
 )
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -88,6 +93,14 @@ def parse_timestamp(cell: Column | str) -> Column:
 
     worded = F.regexp_replace(F.regexp_replace(text, r"[-,]", " "), r"^(\d+)[ /](\d+)[ /](\d+)", "$1/$2/$3")
     worded = F.initcap(F.regexp_replace(worded, r"\s+", " "))
+    # Month first, month alone, two-digit years: rewritten as day, month and a year of four digits.
+    for shape, order in (
+        (r"^([A-Za-z]{3,9}) (\d{1,2}) (\d{2}(?:\d{2})?)(?= |$)", "$2 $1 $3"),
+        (r"^([A-Za-z]{3,9}) (\d{4})$", "1 $1 $2"),
+        (r"^(\d{1,2} [A-Za-z]{3,9}) ([0-5]\d|6[0-8])(?= |$)", "$1 20$2"),
+        (r"^(\d{1,2} [A-Za-z]{3,9}) (\d{2})(?= |$)", "$1 19$2"),
+    ):
+        worded = F.regexp_replace(worded, shape, order)
     tries = [F.try_to_timestamp(worded, F.lit(f)).cast("timestamp_ntz") for f in WORDED_FORMATS]
     # Two-digit years from 69 on lie in the last century.
     recent = F.regexp_extract(text, SHORT_DATE, 3) < "69"
@@ -100,7 +113,9 @@ def parse_timestamp(cell: Column | str) -> Column:
         shaped(YEAR_OR_MONTH, "$0"),
         F.when(recent, shaped(SHORT_DATE, "20$3-$2-$1 $4", "20$3-$1-$2 $4")).otherwise(shaped(SHORT_DATE, "19$3-$2-$1 $4", "19$3-$1-$2 $4")),
         shaped(COMPACT_DATE, "$1-$2-$3"),
-        F.when(text.rlike(r"^\d.*[A-Za-z]{2}"), F.coalesce(*tries)),
+        shaped(COMPACT_TIME, "$1-$2-$3 $4:$5"),
+        shaped(COMPACT_SECONDS, "$1-$2-$3 $4:$5:$6"),
+        F.when(text.rlike(WORDED_DATE), F.coalesce(*tries)),
         F.when(in_range, F.timestamp_micros(micros).cast("timestamp_ntz")),
     )
 

@@ -43,6 +43,18 @@ def test_timestamps(spark):
         "31-02-2024": None,
         "19999": None,
         "70001": None,
+        "Jan 5, 2024 10:15": datetime(2024, 1, 5, 10, 15),
+        "Jan 5, 2024 10:15 PM": datetime(2024, 1, 5, 22, 15),
+        "jan 5 24": datetime(2024, 1, 5),
+        "5-Jan-24 10:00": datetime(2024, 1, 5, 10),
+        "5 Jan 99": datetime(1999, 1, 5),
+        "20240105 1015": datetime(2024, 1, 5, 10, 15),
+        "20240105T101530": datetime(2024, 1, 5, 10, 15, 30),
+        "20240105 9915": None,
+        "January 2024": datetime(2024, 1, 1),
+        "Jan-2024": datetime(2024, 1, 1),
+        "Maint 2024": None,
+        "Row 5 2024": None,
     }
     assert column(spark, list(cases), tx.parse_timestamp) == list(cases.values())
 
