@@ -70,11 +70,14 @@ def sheet_filter(spark, sf):
     return sh.filter_sheets(listing.distinct())
 
 
-@query("union_by_name", """SELECT event_type AS station, ts AS timestamp, 'a' AS source_file, value AS "A", CAST(NULL AS DOUBLE) AS "B" FROM events
+_UNION = """SELECT event_type AS station, ts AS timestamp, 'a' AS source_file, value AS "A", CAST(NULL AS DOUBLE) AS "B" FROM events
 WHERE event_type <> 'view'
 UNION ALL SELECT event_type, ts, 'b', TRY_CAST(CASE WHEN event_id % 2 = 0 THEN 'off' ELSE CAST(value AS VARCHAR) END AS DOUBLE), CAST(user_id AS DOUBLE) FROM events
-WHERE event_type = 'view'""")
-def union_by_name(spark, sf):
+WHERE event_type = 'view'"""
+
+
+def _chunks(spark, sf):
+    """Two chunks of the events: the second has a column of its own and texts where the first has numbers."""
     ev = fr.table(spark, sf, "events", "event_id", "event_type", "ts", "value", "user_id")
     a = ev.where("event_type <> 'view'").select(
         F.col("value").alias("A"), F.col("ts").alias("timestamp"), F.col("event_type").alias("station"), F.lit("a").alias("source_file")
@@ -83,7 +86,21 @@ def union_by_name(spark, sf):
     b = ev.where("event_type = 'view'").select(
         F.col("event_type").alias("station"), F.col("user_id").cast("double").alias("B"), text.alias("A"), F.col("ts").alias("timestamp"), F.lit("b").alias("source_file")
     )
-    return tb.union_chunks([a, b])
+    return a, b
+
+
+@query("union_by_name", _UNION)
+def union_by_name(spark, sf):
+    return tb.union_chunks(_chunks(spark, sf))
+
+
+@query("union_chunk_files", _UNION)
+def union_chunk_files(spark, sf):
+    """The chunks as files, one for each partition, day and chunk."""
+    root = scratch_path(spark, "chunks")
+    for name, chunk in zip("ab", _chunks(spark, sf)):
+        chunk.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(f"{root}/{name}")
+    return tb.union_files(spark, root)
 
 
 @query("parquet_roundtrip", f"SELECT station, variable, count(*) AS n_rows, {R('avg(value)', 'mean')} FROM r15 GROUP BY 1, 2")

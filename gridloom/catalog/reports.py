@@ -10,6 +10,7 @@ from gridloom.operators import explore as ex
 from gridloom.operators import features as fe
 from gridloom.operators import metrics as me
 from gridloom.operators.prepare import known_counts
+from gridloom.operators.sheets import sheet_to_long
 from gridloom.session import scratch_path, stage_table
 from gridloom.streaming import jobs
 
@@ -332,6 +333,27 @@ def stream_ingest(spark, sf):
     return done.select("station", "ts", "variable", "value")
 
 
+@query("stream_sheets", "SELECT station, ts, variable, value, source_file, source_sheet FROM tidy")
+def stream_sheets(spark, sf):
+    """Sheets of two groups of books, arriving one after the other as dumps; a third run finds nothing new."""
+    cells = fr.sheet_cells(spark, sf).withColumns({"book": F.col("source_file"), "sheet": F.col("source_sheet")})
+    cells = stage_table(cells.withColumn("late", F.crc32("book") % 2 == 0), "arriving")
+    root, out, checkpoint = (scratch_path(spark, n) for n in ("dumps", "sheets", "sheets_checkpoint"))
+
+    def named(part):
+        return F.url_decode(F.replace(F.regexp_extract("source_file", f"{part}=([^/]*)", 1), F.lit("+"), F.lit("%2B")))
+
+    def tidy(rows):
+        return sheet_to_long(rows.select(named("book").alias("source_file"), named("sheet").alias("source_sheet"), "row_idx", "cells"))
+
+    for late in (False, True, None):
+        if late is not None:
+            lines = cells.where(F.col("late") == late).repartition("book", "sheet").sortWithinPartitions("book", "sheet", "row_idx")
+            lines.select("book", "sheet", F.concat_ws("\t", "cells").alias("value")).write.mode("append").partitionBy("book", "sheet").text(root)
+        done = jobs.ingest_sheets(spark, root, out, checkpoint, tidy)
+    return done.select("station", "ts", "variable", "value", "source_file", "source_sheet")
+
+
 @query("stream_grid", f"""SELECT station, variable, time_bucket(INTERVAL '15 minutes', ts) AS ts, {R('avg(value)', 'value')}, count(value) AS n_values FROM readings
 GROUP BY 1, 2, 3
 HAVING time_bucket(INTERVAL '15 minutes', min(ts)) + INTERVAL '15 minutes' <= (SELECT date_trunc('milliseconds', max(ts)) FROM readings) - INTERVAL '1 hour'""")

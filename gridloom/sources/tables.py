@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +55,36 @@ def union_chunks(chunks: Sequence[DataFrame], leading: Sequence[str] = LEADING)
     return out
 
 
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path and columns of each Parquet file, read from its footer."""
+    for batch in batches:
+        found = []
+        for content in batch.column("content"):
+            footer = pq.ParquetFile(pa.BufferReader(content.as_buffer())).schema
+            leaves = (footer.column(i) for i in range(len(footer.names)))
+            found.append("\n".join(f"{c.path} {c.physical_type} {c.logical_type} {c.max_repetition_level}" for c in leaves))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string())], ["path", "layout"])
+
+
+def union_files(spark: SparkSession, root: str, leading: Sequence[str] = LEADING) -> DataFrame:
+    """All Parquet files below ``root`` under one schema, as ``union_chunks`` in the order of their paths.
+
+    Files whose types agree are one scan, however many there are. Otherwise one job reads the footers, and the plan has one
+    scan for each different layout.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    try:
+        return union_chunks([reader.option("mergeSchema", "true").parquet(root)], leading)
+    except (PySparkException, Py4JJavaError) as e:  # Spark hands this failure on unconverted
+        if not any(name in str(e) for name in ("CANNOT_MERGE_SCHEMAS", "CANNOT_MERGE_INCOMPATIBLE_DATA_TYPE")):
+            raise
+    files = reader.format("binaryFile").load(root).select("path", "content")
+    groups: dict[str, list[str]] = {}
+    for path, layout in sorted(map(tuple, files.mapInArrow(_layouts, "path string, layout string").collect())):  # one short row a file
+        groups.setdefault(layout, []).append(path)
+    return union_chunks([spark.read.parquet(*paths) for paths in groups.values()], leading)
+
+
 def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """The frame itself, or an error that names the missing columns in order."""
     missing = sorted(set(required) - set(df.columns))

@@ -1,4 +1,4 @@
-"""Two streaming jobs: incremental ingest with resume and live grid means."""
+"""Streaming jobs: incremental ingest of tables and of raw sheets with resume, and live grid means."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridloom.operators.sheets import sheet_to_long
+from gridloom.sources.cells import dump_lines, number_cells
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -38,6 +41,29 @@ def ingest_files(
     return spark.read.parquet(out)
 
 
+def ingest_sheets(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    checkpoint: str,
+    tidy: Callable[[DataFrame], DataFrame] = sheet_to_long,
+    max_files: int | None = None,
+) -> DataFrame:
+    """Tidy readings of the sheet dumps that have arrived below ``root`` since the last run.
+
+    A batch holds whole dumps; heading and width of each are found inside the batch. Its rows go to a folder of the batch's
+    number, so a batch that is repeated after a failure replaces itself.
+    """
+
+    def write(lines: DataFrame, batch: int) -> None:
+        tidy(number_cells(lines, root)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
+    writer = dump_lines(reader, root).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 def grid_means(stream: DataFrame, step: str = "15 minutes", lateness: str = "1 hour", keys: tuple[str, ...] = ("station", "variable")) -> DataFrame:
     """Mean per series and step; rows later than the watermark are dropped. Gaps are not filled on a live stream."""
     timed = stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness)

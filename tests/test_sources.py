@@ -281,3 +281,48 @@ def test_two_digit_years(spark):
 
     df = spark.createDataFrame([("01-08-99",), ("01-08-68",), ("01-08-69",)], "t string").select(parse_timestamp("t").alias("ts"))
     assert [r["ts"].year for r in df.collect()] == [1999, 2068, 1969]
+
+
+def test_files_are_joined_by_layout_not_one_by_one(spark):
+    def scans(root):
+        return tb.union_files(spark, root)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+    root = scratch_path(spark, "chunk_files")
+    for i in range(6):
+        wide = [(str(i), "B", i / 2)] if i % 2 else [(i, "A")]
+        schema = "n string, station string, z double" if i % 2 else "n int, station string"
+        spark.createDataFrame(wide, schema).coalesce(1).write.parquet(f"{root}/part_{i}")
+    merged = tb.union_files(spark, root)
+    assert merged.columns == ["station", "n", "z"] and dict(merged.dtypes)["n"] == "int"
+    assert {tuple(r) for r in merged.collect()} == {("A", 0, None), ("B", 1, 0.5), ("A", 2, None), ("B", 3, 1.5), ("A", 4, None), ("B", 5, 2.5)}
+    assert scans(root) == 2
+    same = scratch_path(spark, "same_files")
+    for i in range(4):
+        spark.createDataFrame([(i, "A")], f"{'nm'[i % 2]} int, station string").coalesce(1).write.parquet(f"{same}/part_{i}")
+    assert scans(same) == 1 and {tuple(r) for r in tb.union_files(spark, same).collect()} == {("A", None, 0), ("A", 1, None), ("A", None, 2), ("A", 3, None)}
+
+
+def test_sheets_are_ingested_once_each(spark):
+    root, out, checkpoint = (scratch_path(spark, n).replace("file:", "") for n in ("sheet_dumps", "sheet_rows", "sheet_checkpoint"))
+
+    def arrive(sheet, *values):
+        os.makedirs(f"{root}/Bhatagaon DCR/book", exist_ok=True)
+        rows = [f"0{i + 1}-08-2022 00:15\t{v}" for i, v in enumerate(values)]
+        with open(f"{root}/Bhatagaon DCR/book/{sheet}.txt", "w") as f:
+            f.write("\n".join(["Report\t", "Date & Time\tNO2", "\tug/m3", *rows]) + "\n")
+
+    def ingest():
+        done = jobs.ingest_sheets(spark, root, out, checkpoint)
+        return sorted((r["station"], r["source_sheet"], r["ts"].day, r["value"]) for r in done.collect())
+
+    arrive("01", 1.5, "Maint.")
+    first = [("BHATAGAON", "01", 1, 1.5), ("BHATAGAON", "01", 2, None)]
+    assert ingest() == first
+    arrive("02", 7)
+    both = [*first, ("BHATAGAON", "02", 1, 7.0)]
+    assert ingest() == both and ingest() == both
+    # As if the driver was lost before the second batch was marked as done.
+    for name in ("1", ".1.crc"):
+        if os.path.exists(f"{checkpoint}/commits/{name}"):
+            os.remove(f"{checkpoint}/commits/{name}")
+    assert ingest() == both
