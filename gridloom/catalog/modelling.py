@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -14,7 +15,6 @@ from gridloom.operators import prepare as pr
 from gridloom.operators.features import causal_features
 from gridloom.operators.naming import pivot_wide
 from gridloom.operators.split import require_nonnull
-from gridloom.plans.series import epoch_us
 from gridloom.session import stage_table
 
 _SAMPLE = "CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) ELSE 1 END"
@@ -158,24 +158,22 @@ _SEQ = """SELECT station, ts, value AS y, first_ts, last_ts, s, m FROM (
 _T = 96
 
 
+def _n_items(x):
+    return np.full(len(x), x.shape[1])
+
+
 @query("sequence_windows", f"""SELECT station, ts, {R('y', 'y')}, first_ts, last_ts, {R('s', 'x_sum')}, m AS n_items,
   epoch_us(last_ts) - epoch_us(first_ts) = {(_T - 1) * 900_000_000} AS contiguous FROM ({_SEQ.format(a=_T, b='1 PRECEDING', t=_T)})""")
 def sequence_windows(spark, sf):
-    """Windows summed up per row, and whether they have no hole in time."""
-    windows = lb.sequence_windows(complete_rows(spark, sf), ["value"], "value", _T)
-    span = epoch_us(F.col("x")[_T - 1]["ts"]) - epoch_us(F.col("x")[0]["ts"])
-    marked = windows.withColumn("contiguous", span == (_T - 1) * 900_000_000)
-    total = F.aggregate("x", F.lit(0.0), lambda s, r: s + r["value"])
-    out = marked.select(
-        "station",
-        "ts",
-        "y",
-        F.col("x")[0]["ts"].alias("first_ts"),
-        F.col("x")[_T - 1]["ts"].alias("last_ts"),
-        total.alias("x_sum"),
-        F.size("x").cast("bigint").alias("n_items"),
-        "contiguous",
-    )
+    """Windows summed up per row, and whether they have no hole in time: from rows stored once, in packed blocks."""
+    packed = stage_table(lb.pack_windows(complete_rows(spark, sf), ["value"], ["value"], _T), "packed")
+
+    def work(x, y, first, last, label):
+        whole = last - first == np.timedelta64((_T - 1) * 900, "s")
+        return {"ts": label, "y": y[:, 0], "first_ts": first, "last_ts": last, "x_sum": x.sum((1, 2)), "n_items": _n_items(x), "contiguous": whole}
+
+    schema = "ts timestamp_ntz, y double, first_ts timestamp_ntz, last_ts timestamp_ntz, x_sum double, n_items long, contiguous boolean"
+    out = lb.map_windows(packed, work, schema, _T)
     return keep(out, "station", "ts", "first_ts", "last_ts", "n_items", "contiguous", rnd=("y", "x_sum"))
 
 
@@ -186,9 +184,12 @@ def sequence_windows(spark, sf):
     w AS (PARTITION BY station ORDER BY ts ROWS BETWEEN {_T - 1} PRECEDING AND CURRENT ROW))
 WHERE m = {_T} AND y_ts IS NOT NULL""")
 def sequence_multi(spark, sf):
-    windows = lb.sequence_windows_multi(complete_rows(spark, sf), ["value"], ["value"], _T, 4)
-    total = F.aggregate("x", F.lit(0.0), lambda s, r: s + r["value"])
-    out = windows.select("station", "ts", "y_ts", "y_value", total.alias("x_sum"), F.size("x").cast("bigint").alias("n_items"))
+    packed = stage_table(lb.pack_windows(complete_rows(spark, sf), ["value"], ["value"], _T, 4), "packed")
+
+    def work(x, y, first, last, label):
+        return {"ts": last, "y_ts": label, "y_value": y[:, 0], "x_sum": x.sum((1, 2)), "n_items": _n_items(x)}
+
+    out = lb.map_windows(packed, work, "ts timestamp_ntz, y_ts timestamp_ntz, y_value double, x_sum double, n_items long", _T, 4)
     return keep(out, "station", "ts", "y_ts", "n_items", rnd=("y_value", "x_sum"))
 
 

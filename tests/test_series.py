@@ -183,6 +183,50 @@ def test_sequence_windows(spark):
     assert lb.sequence_windows(df, ["value"], "value", 7).count() == 0
 
 
+def _unpacked(packed, length, horizon=1):
+    def work(x, y, first, last, label):
+        assert x.base is not None
+        return {"x": list(x.reshape(len(x), -1)), "y": list(y), "first": first, "last": last, "label": label}
+
+    schema = "x array<double>, y array<double>, first timestamp_ntz, last timestamp_ntz, label timestamp_ntz"
+    return lb.map_windows(packed, work, schema, length, horizon)
+
+
+@pytest.mark.parametrize("n, length, horizon", [(0, 3, 1), (3, 3, 1), (4, 3, 1), (60, 1, 1), (700, 3, 2), (700, 17, 40)])
+def test_packed_windows_agree_with_loops(spark, n, length, horizon):
+    """Short blocks, so that windows and labels reach over many edges."""
+    df = _rows(spark, range(n)).withColumns({"w": F.when(F.col("value") % 5 != 0, -F.col("value")), "x": F.lit("clash")})
+    df = df.unionByName(df.withColumn("station", F.lit("B"))) if n else df
+    packed = lb.pack_windows(df, ["value", "w"], ["w", "value"], length, horizon)
+    got = _unpacked(packed, length, horizon).collect()
+    nan = float("nan")
+    rows = [[float(i), nan if i % 5 == 0 else -float(i)] for i in range(n)]
+    want = {i: (sum(rows[i - length + 1 : i + 1], []), rows[i + horizon][::-1]) for i in range(length - 1, n - horizon)}
+    for station in {r["station"] for r in got}:
+        mine = {round((r["last"] - START).total_seconds() / 900): r for r in got if r["station"] == station}
+        assert sorted(mine) == sorted(want)
+        for i, (x, y) in want.items():
+            assert np.allclose(mine[i]["x"], x, equal_nan=True) and np.allclose(mine[i]["y"], y, equal_nan=True)
+            assert mine[i]["first"] == START + timedelta(minutes=15 * (i - length + 1))
+            assert mine[i]["label"] == START + timedelta(minutes=15 * (i + horizon))
+    assert len(got) == len(want) * (2 if n else 0)
+
+
+def test_packed_windows_store_rows_once(spark):
+    df = _rows(spark, range(20_000))
+    packed = lb.pack_windows(df, ["value"], ["value"], 96)
+    stored, n_blocks, n_windows = packed.agg(F.sum(F.size("x")), F.count("*"), F.sum(F.size("at"))).first()
+    assert n_blocks > 1 and 20_000 <= stored < 1.1 * 20_000 and n_windows == 20_000 - 96
+
+
+def test_packed_windows_without_holes(spark):
+    df = _rows(spark, [0, 1, 2, 3, 10, 11, 12])
+    got = _unpacked(lb.pack_windows(df, ["value"], ["value"], 3, contiguous_step_s=900), 3).orderBy("last").collect()
+    assert [(r["x"], r["y"]) for r in got] == [([0, 1, 2], [3]), ([1, 2, 3], [10])]
+    with pytest.raises(ValueError):
+        lb.pack_windows(df, ["value"], ["value"], 0)
+
+
 def test_multi_target_windows_and_eligibility(spark):
     df = _rows(spark, range(20))
     got = lb.sequence_windows_multi(df, ["value"], ["value"], 4, 2).orderBy("ts").collect()
