@@ -183,9 +183,9 @@ MODEL_FEATURES = (
 )
 
 
-def predictions(spark: SparkSession, sf: str, *targets: str) -> DataFrame:
-    """Three baselines for every variable: the last value, the value an hour ago, the mean of the last hour."""
-    rows = fe.causal_features(filled(spark, sf, *targets), lags=(1, 4), means=(4,))
+def baselines(rows: DataFrame) -> DataFrame:
+    """Three predictions of every filled row: the last value, the value an hour ago, the mean of the last hour."""
+    rows = fe.causal_features(rows, lags=(1, 4), means=(4,))
     cells = [
         F.struct(F.lit(m).alias("model"), F.col(c).alias("y_pred"))
         for m, c in zip(MODELS, ("lag_1", "lag_4", "rollmean_4"))
@@ -196,6 +196,11 @@ def predictions(spark: SparkSession, sf: str, *targets: str) -> DataFrame:
     return long.dropna(subset=["y_true", "y_pred"])
 
 
+def predictions(spark: SparkSession, sf: str, *targets: str) -> DataFrame:
+    """The baselines for every variable."""
+    return baselines(filled(spark, sf, *targets))
+
+
 def predictions_once(spark: SparkSession, sf: str, *targets: str) -> DataFrame:
     return stage_table(predictions(spark, sf, *targets), "predictions")
 

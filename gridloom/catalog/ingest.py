@@ -195,10 +195,14 @@ def clean_values(spark, sf):
 @query("provenance", """SELECT station, source_file, source_sheet, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts
 FROM tidy GROUP BY 1, 2, 3""")
 def provenance(spark, sf):
+    """First and last time by place in the written order, per partition: equal to the SQL's only where rows are in order."""
     tidy = sh.in_sheet_order(sh.sheet_to_long(fr.sheet_cells(spark, sf)))
-    return tidy.groupBy("station", "source_file", "source_sheet").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    placed = tidy.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    keys = ["station", "source_file", "source_sheet"]
+    ends = placed.groupBy(*keys, "part").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("ts", "place").alias("head"), F.max_by("ts", "place").alias("tail")
     )
+    return ends.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.min("head").alias("first_ts"), F.max("tail").alias("last_ts"))
 
 
 @query("ingest_report", f"""SELECT s.source_file, s.source_sheet, {fr.station_sql('s.source_file')} AS station,

@@ -24,10 +24,9 @@ def value_preds(spark, sf, once=False):
 
 @query("metrics_basic", f"""SELECT model, {R('sqrt(avg((y_true - y_pred) ** 2))', 'rmse')}, {R('avg(abs(y_true - y_pred))', 'mae')},
   {R('CASE WHEN max(y_true) > min(y_true) THEN 1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)) END', 'r2')}, count(*) AS n_rows
-FROM preds WHERE target = 'n' OR target = 'value' GROUP BY model""")
+FROM preds GROUP BY model""")
 def metrics_basic(spark, sf):
-    preds = fr.predictions(spark, sf, "n", "value")
-    return keep(me.metrics(preds), "model", "n_rows", rnd=M)
+    return keep(me.metrics(fr.predictions(spark, sf)), "model", "n_rows", rnd=M)
 
 
 @query("metrics_by_station", f"""SELECT model, station, n_rows, {MS} FROM metric_rows
@@ -244,7 +243,7 @@ def metric_matrix(spark, sf):
 def metric_matrix_target(spark, sf):
     """Pooled R2 by target and model."""
     table = me.metrics_table(fr.predictions(spark, sf).where("split = 'test'"), ["target", "model"])
-    return keep(ex.metric_matrix(table.where("station = 'ALL'"), "target", "model", fr.MODELS, "r2"), "target", rnd=fr.MODELS)
+    return keep(ex.metric_matrix(table.where("pooled"), "target", "model", fr.MODELS, "r2"), "target", rnd=fr.MODELS)
 
 
 _TARGETS = ("value", "k", "n")
@@ -284,12 +283,13 @@ LEFT JOIN (SELECT station, count(*) AS n_features FROM (SELECT station, variable
 LEFT JOIN (SELECT station, count(*) AS test_rows FROM target_rows WHERE split = 'test' GROUP BY 1) t ON t.station = b.station
 WHERE b.target = 'value'""")
 def scorecard(spark, sf):
-    preds = value_preds(spark, sf, once=True)
+    """Filled rows are written once; predictions, features and counts all come from them."""
+    rows = fr.filled_once(spark, sf)
+    preds = stage_table(fr.baselines(rows.where("variable = 'value'")), "predictions")
     routing = _routing(preds)
     chosen = me.metrics_table(me.apply_routing(preds, routing, "persist1").where("split = 'test'"), ["model"])
-    rows = fr.filled_once(spark, sf)
     counts = ex.split_counts(rows.where("variable = 'value'"))
-    out = ex.scorecard(routing, chosen.where("station <> 'ALL'"), fe.base_columns(rows, "value"), counts)
+    out = ex.scorecard(routing, chosen.where("NOT pooled"), fe.base_columns(rows, "value"), counts)
     return keep(out, "station", "chosen", "n_features", "test_rows", rnd=("val_rmse", *M))
 
 

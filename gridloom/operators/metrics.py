@@ -47,10 +47,10 @@ def metrics(preds: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
 
 
 def metrics_table(preds: DataFrame, keys: Sequence[str] = ("model",), by: str = "station") -> DataFrame:
-    """Metrics per key and station plus the pooled ``ALL`` rows.
+    """Metrics per key and station plus the pooled rows, which are named ``ALL`` and marked by ``pooled``.
 
     Rows are read once: the pooled metrics are combined from the station sums. Every station is listed with its
-    number of rows.
+    number of rows. A station may itself be named ``ALL``; only ``pooled`` tells the two apart.
     """
     parts = error_sums(preds, [*keys, by])
     everyone = Window.partitionBy(*keys)
@@ -67,12 +67,17 @@ def metrics_table(preds: DataFrame, keys: Sequence[str] = ("model",), by: str =
             F.sum("_sse").alias("_sse"),
             F.sum("_sae").alias("_sae"),
             F.when(pooled, inner + between).otherwise(inner).alias("_sst"),
-            pooled.alias("_pooled"),
+            pooled.alias("pooled"),
         )
         .withColumn("_mean", F.col("_total") / F.col("n_rows"))
-        .withColumn(by, F.when(F.col("_pooled"), F.lit(POOLED)).otherwise(F.col(by)))
+        .withColumn(by, F.when(F.col("pooled"), F.lit(POOLED)).otherwise(F.col(by)))
     )
-    return _finish(sums, [*keys, by])
+    return _finish(sums, [*keys, by, "pooled"])
+
+
+def is_pooled(table: DataFrame) -> Column:
+    """Rows over all stations; tables without the mark, as older files have it, tell them by name."""
+    return F.col("pooled") if "pooled" in table.columns else F.col("station") == POOLED
 
 
 def row_keys(preds: DataFrame) -> list[str]:
@@ -158,14 +163,14 @@ def apply_routing(
 
 def best_of(table: DataFrame, models: Sequence[str], default: str) -> DataFrame:
     """The model of a subset with the lowest pooled RMSE, as one row; ``default`` when none is listed."""
-    pooled = table.where((F.col("station") == POOLED) & F.col("model").isin(*models) & F.col("rmse").isNotNull())
+    pooled = table.where(is_pooled(table) & F.col("model").isin(*models) & F.col("rmse").isNotNull())
     best = pooled.agg(F.min(F.struct("rmse", model_order(models).alias("place"), "model")).alias("b"))
     return best.select(F.coalesce("b.model", F.lit(default)).alias("model"), F.col("b.rmse").alias("rmse"))
 
 
 def rank_by_r2(table: DataFrame, target: str | None = None) -> DataFrame:
     """Models by mean R2 of the primary target, or over all targets, best first."""
-    rows = table.where(F.col("station") != POOLED)
+    rows = table.where(~is_pooled(table))
     if target is not None:
         rows = rows.where(F.col("target") == target)
     mean = rows.groupBy("model").agg(F.avg("r2").alias("mean_r2"))

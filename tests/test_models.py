@@ -183,6 +183,14 @@ def test_metrics_and_pooling(spark):
         assert table[s]["rmse"] == pytest.approx(np.sqrt((e**2).mean()))
         assert table[s]["mae"] == pytest.approx(e.abs().mean())
         assert table[s]["r2"] == pytest.approx(1 - (e**2).sum() / ((p.y_true - p.y_true.mean()) ** 2).sum())
+    named = predictions(spark, [(s, i, "m", float(i), i + e) for s, e in (("ALL", 1.0), ("B", 3.0)) for i in range(4)])
+    named = me.metrics_table(named.unionByName(named.withColumns({"model": F.lit("other"), "y_pred": F.col("y_pred") + F.when(F.col("station") == "ALL", -1).otherwise(5)})))
+    one = {(r["station"], r["pooled"]): r for r in named.where("model = 'm'").collect()}
+    assert set(one) == {("ALL", False), ("ALL", True), ("B", False)} and one["ALL", True]["n_rows"] == 8
+    assert one["ALL", False]["rmse"] == pytest.approx(1) and one["ALL", True]["rmse"] == pytest.approx(np.sqrt(5))
+    assert me.best_of(named, ["m", "other"], "m").first()["model"] == "m"
+    assert me.best_of(named.drop("pooled").where("station <> 'ALL'"), ["m"], "none").first()["model"] == "none"
+    assert {r["model"]: r["mean_r2"] for r in me.rank_by_r2(named).collect()}["m"] == pytest.approx(((1 - 4 / 5) + (1 - 36 / 5)) / 2)
     flat = predictions(spark, [("A", i, "m", 2.0, 2.5) for i in range(3)])
     assert me.metrics(flat).first()["r2"] is None
 

@@ -326,3 +326,13 @@ def test_sheets_are_ingested_once_each(spark):
         if os.path.exists(f"{checkpoint}/commits/{name}"):
             os.remove(f"{checkpoint}/commits/{name}")
     assert ingest() == both
+
+
+def test_sheet_order_is_kept_in_every_partition(spark):
+    rows = [(f"s{i % 3}", START + timedelta(minutes=(i * 7919) % 1000), float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "station string, ts timestamp_ntz, value double").repartition(4)
+    placed = sh.in_sheet_order(df).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}).toPandas()
+    for _, part in placed.groupby("part"):
+        part = part.sort_values("place")
+        assert [*zip(part.station, part.ts, strict=True)] == sorted(zip(part.station, part.ts, strict=True))
+    assert len(placed) == 1000
