@@ -10,10 +10,12 @@ the whole sequence is one shingle; without words it is empty and linked with not
    buckets with others: of many copies of one text, the text itself.
 3. Candidates are verified in turns: after each batch of signature values a pair is dropped once the posterior
    probability of a similarity at the threshold (uniform prior) is below ``miss``. Survivors are compared on full sets.
-4. Only where a bucket still holds more than one component are its other pairs looked at: its members are dealt into
-   cells of bounded size, and tasks compare signatures within a cell. From buckets of at most DENSE members the pairs of
-   different components that pass all batches leave the task, to be compared on full sets; to cells of larger buckets the
-   full sets are sent along, and only links leave the task. Pairs within a component cannot change the result.
+4. Only where a bucket still holds more than one component are its other pairs looked at. Members of its largest component
+   need not meet each other, so only the members outside it (strays) are compared, with each other and with all: both kinds
+   are dealt into chunks, a cell is a chunk of strays and another chunk, and tasks compare signatures within a cell. From
+   buckets of at most DENSE members the pairs of different components that pass all batches leave the task, to be compared
+   on full sets; to cells of larger buckets the full sets are sent along, and only links leave the task. Pairs within a
+   component cannot change the result.
 
 Null and empty texts have no shingles and form components of their own. Repeated rows of a doc_id stay or go together.
 Rows without doc_id are linked with nothing, have a null component and are not kept by it. Extra columns are ignored.
@@ -147,12 +149,17 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
 
 
 def cells(mixed: DataFrame, own: DataFrame, count: int, percent: int, miss: float) -> DataFrame:
-    """Pairs (a, b) of different ``part`` in buckets (bucket, n, rep, part) that no batch of signature values rules out.
+    """Pairs (a, b) of different ``part`` in buckets that no batch of signature values rules out.
 
+    ``mixed`` has bucket, rep, part, n (members), ``strays`` (members outside the largest part) and ``stray``.
     ``own`` has rep, sig and ``x``, the full set as bytes or null. With sets, pairs that are no links are ruled out too.
     """
-    chunks = F.ceil(F.col("n") / CELL)
-    dealt = mixed.join(own, "rep").withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    # Chunks of strays come first; a member of the largest part meets those only, a stray meets all.
+    few, rest = F.ceil(F.col("strays") / CELL), F.ceil((F.col("n") - F.col("strays")) / CELL)
+    h = F.xxhash64("rep")
+    chunk = F.when(F.col("stray"), F.pmod(h, few)).otherwise(few + F.pmod(h, rest))
+    meets = F.when(F.col("stray"), few + rest).otherwise(few)
+    dealt = mixed.join(own, "rep").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
     dealt = dealt.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "part", "sig", "x")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     steps = least_matches(count, BATCH, percent, miss)
@@ -235,8 +242,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, band
     links = stage(confirm(docs, stage(prune(first, reps, bands * rows, percent, miss), "survivors"), width, percent), "links")
     found = components(links)
     placed = members.where("n > 2").join(found, members.rep == found.node, "left").select("bucket", "n", "rep", F.coalesce("root", "rep").alias("part"))
-    split = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    mixed = stage(placed.join(split, "bucket"), "mixed")
+    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("own"))
+    split = sizes.groupBy("bucket").agg(F.max(F.struct("own", "part")).alias("top"), F.sum("own").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    split = split.select("bucket", F.col("top.part").alias("main"), (F.col("all") - F.col("top.own")).alias("strays"))
+    mixed = stage(placed.join(split, "bucket").withColumn("stray", F.col("part") != F.col("main")).drop("main"), "mixed")
     sigs = stage(join_small(reps.select("rep", "sig"), stage(mixed.select("rep").distinct(), "needed"), "rep", "left_semi"), "signatures")
     few, many = mixed.where(F.col("n") <= DENSE), mixed.where(F.col("n") > DENSE)
     rest = cells(few, sigs.withColumn("x", F.lit(None).cast("binary")), bands * rows, percent, miss)

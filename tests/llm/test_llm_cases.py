@@ -528,6 +528,28 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in range(len(docs))}
 
 
+def test_members_of_the_largest_part_do_not_meet(spark, monkeypatch):
+    """One bucket of two parts and some strays, small chunks: all pairs of different parts whose sets link, no member of the large part with another."""
+    monkeypatch.setattr(minhash, "CELL", 4)
+    count, base = 48, list(range(100, 140))
+    sets = {i: np.array(sorted([*base, 1000 + i, 2000 + i]), np.uint64) for i in range(40)} | {i: np.array([i, 7], np.uint64) for i in range(90, 97)}
+    part = {i: 0 for i in range(30)} | {i: 30 for i in range(30, 35)} | {i: i for i in [*range(35, 40), *range(90, 97)]}
+    strays = sum(p != 0 for p in part.values())
+    mixed = spark.createDataFrame([(1, i, part[i], len(sets), strays, part[i] != 0) for i in sets], "bucket long, rep long, part long, n long, strays long, stray boolean")
+    own = spark.createDataFrame([(i, bytearray(minhash.signature(x, count).tobytes()), bytearray(x.tobytes())) for i, x in sets.items()], "rep long, sig binary, x binary")
+    want = set()
+    for a in sets:
+        for b in sets:
+            both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+            if a < b and part[a] != part[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                want.add((a, b))
+    assert len(want) > 300
+    got = minhash.cells(mixed, own, count, 85, 1e-9)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want
+    alone = mixed.where("part = 0 OR rep = 90").withColumns({"strays": F.lit(1).cast("long"), "n": F.lit(31).cast("long")})
+    assert minhash.cells(alone, own, count, 85, 1e-9).count() == 0
+
+
 def test_pruning_keeps_what_the_posterior_allows():
     steps = dict(minhash.least_matches(240, 24, 85, 1e-9))
     assert all(0 < m < 0.85 * n for n, m in steps.items()) and steps[240] > 0.5 * 240
@@ -538,6 +560,40 @@ def test_isotonic():
     assert np.allclose(quality.isotonic(ones, all_), [0, 0.5, 0.5, 0.5, 1])
 
 
+def test_quality_agrees_with_whole_matrices(spark):
+    """Ridge as one least-squares problem over all rows, isotonic scores by the min-max formula over all intervals."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["data", "River,", "THE", "sun.", "12", "é", "!!", "x\ny"]) for _ in range(rng.randrange(60))) for _ in range(250)] + ["", None]
+    y = [float(rng.random() < 0.2 + 0.6 * ("THE" in (t or "")[:30])) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, y int")
+    stats = quality.measure(docs)
+    model = quality.fit(stats, labels, F.col("doc_id") % 5 != 0)
+    got = {r["doc_id"]: r["score"] for r in quality.score(stats, model).collect()}
+
+    x = np.array([quality.statistics((t or "").encode()) for t in texts])
+    learn = np.array([i % 5 != 0 for i in range(len(texts))])
+    target = np.array(y)[learn]
+    spread = x[learn].std(0)
+    spread[spread < 1e-5] = 1
+    draw = np.random.default_rng(11)
+    turn, phase = draw.normal(0, 1 / 3, (x.shape[1], quality.FEATURES)), draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.sqrt(2 / quality.FEATURES) * np.cos((x - x[learn].mean(0)) / spread @ turn + phase)
+    z = np.hstack([z, np.ones((len(z), 1))])
+    penalty = np.diag([np.sqrt(1e-3 * learn.sum())] * quality.FEATURES + [0.0])
+    weights = np.linalg.lstsq(np.vstack([z[learn], penalty]), np.concatenate([target, np.zeros(len(penalty))]), rcond=None)[0]
+    raw = z @ weights
+    assert np.allclose(model.raw(x), raw, atol=1e-6)
+    place = np.clip(np.floor((raw + 0.5) / 2 * quality.BINS), 0, quality.BINS - 1).astype(int)
+    used = sorted(set(place[learn]))
+    ones, all_ = (np.array([w[place[learn] == b].sum() for b in used]) for w in (target, np.ones(len(target))))
+    share = [[ones[i : j + 1].sum() / all_[i : j + 1].sum() if i <= j else None for j in range(len(used))] for i in range(len(used))]
+    fitted = [max(min(share[i][j] for j in range(k, len(used))) for i in range(k + 1)) for k in range(len(used))]
+    want = [fitted[max(0, np.searchsorted(used, b, side="right") - 1)] for b in place]
+    edge = np.abs((raw + 0.5) / 2 * quality.BINS - np.round((raw + 0.5) / 2 * quality.BINS)) < 1e-3
+    assert edge.sum() < 5 and np.allclose(np.array([got[i] for i in range(len(texts))])[~edge], np.array(want)[~edge], atol=1e-9)
+
+
 def test_quality_never_reads_other_labels(spark):
     docs = spark.createDataFrame([(i, "word " * (i % 9) + "!" * (i % 4)) for i in range(60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y int")
