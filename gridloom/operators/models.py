@@ -67,15 +67,20 @@ def centres(df: DataFrame, columns: Sequence[str]) -> list[float]:
 
 
 def gram_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], max_held: int = 64, shift: Sequence[float] | None = None) -> DataFrame:
-    """Gram matrices of [1, columns - shift] per key, as the packed upper triangle (``sums``); a shift near the means keeps all digits."""
+    """Gram matrices of [1, columns - shift] per key, as the packed upper triangle (``sums``); a shift near the means keeps all digits.
+
+    Rows with a missing column are left out by the tasks: a filter over computed columns doubles the constraints that the
+    optimizer derives with each of them.
+    """
     offset = np.array(shift if shift is not None else [0.0] * len(columns))
     upper = np.triu_indices(len(columns) + 1)
 
     def moments(x: np.ndarray) -> np.ndarray:
-        one = np.column_stack([np.ones(len(x)), x - offset])
+        whole = x[~np.isnan(x).any(axis=1)]
+        one = np.column_stack([np.ones(len(whole)), whole - offset])
         return (one.T @ one)[upper]
 
-    return packed_sums(df.dropna(subset=list(columns)), keys, columns, moments, max_held)
+    return packed_sums(df, keys, columns, moments, max_held)
 
 
 def whole_gram(rows: Sequence[bytes], size: int) -> np.ndarray:

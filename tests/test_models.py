@@ -461,3 +461,24 @@ def test_packed_moments(spark, mean):
         for k in range(3):
             one = np.column_stack([np.ones(100), x[k::3] - mean])
             assert mo.whole_gram([bytes(r["sums"]) for r in rows if r["station"] == f"s{k}"], 4) == pytest.approx(one.T @ one)
+
+
+def test_moments_of_many_computed_columns(spark):
+    """No filter over the columns, whose constraints would double with each of them; incomplete rows are left out all the same."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 30))
+    x[3, 4], x[7, 0] = np.nan, np.nan
+    names = [f"c{i}" for i in range(30)]
+    schema = "station string, " + ", ".join(f"{n} double" for n in names)
+    df = spark.createDataFrame([("AB"[i % 2], *(None if np.isnan(v) and i == 3 else float(v) for v in r)) for i, r in enumerate(x)] + [("C", *[None] * 30)], schema)
+    computed = df.withColumns({n: F.coalesce(F.col(n) * 2, F.try_element_at(F.create_map(F.lit("none"), F.lit(0.0)), F.lit(n))) for n in names})
+    grams = mo.gram_rows(computed, ["station"], names)
+    assert "atleastnnonnulls" not in grams._jdf.queryExecution().analyzed().toString().lower()
+    rows = grams.collect()
+    for k in range(2):
+        own = x[k::2][~np.isnan(x[k::2]).any(1)] * 2
+        one = np.column_stack([np.ones(len(own)), own])
+        assert mo.whole_gram([bytes(r["sums"]) for r in rows if r["station"] == "AB"[k]], 31) == pytest.approx(one.T @ one)
+    assert mo.whole_gram([bytes(r["sums"]) for r in rows if r["station"] == "C"], 31)[0, 0] == 0
+    fit = mo.fit_ridge(computed.withColumn("split", F.lit("train")), names[1:], ["c0"], key="station", alphas=[1.0])
+    assert {r["station"]: r["n_train"] for r in fit.collect()} == {"A": 30, "B": 28}
