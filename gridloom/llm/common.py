@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,10 +89,19 @@ class Cached(dict):
         super().__init__()
         self.compute, self.half, self.before = compute, most // 2, {}
 
+    def _turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
+    def add(self, items: Iterable[tuple], n: int) -> None:
+        """``n`` values computed elsewhere."""
+        if len(self) + n > self.half:
+            self._turn()
+        self.update(items)
+
     def __missing__(self, key):
         if len(self) >= self.half:
-            self.before = dict(self)
-            self.clear()
+            self._turn()
         value = self.before.pop(key, None)
         if value is None:
             value = self.compute(key)

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by streaming Viterbi.
 
-The best segmentation has the largest sum of the model's piece scores; ties prefer the longer last piece. The encoder
-reads a text once. Scores are kept for a window as long as the longest piece; backpointers are kept until all paths that
-can still win run through one boundary, then the ids up to it are committed and forgotten.
+The best segmentation has the largest sum of the model's piece scores; ties prefer the longer last piece. Scores are kept
+for a window as long as the longest piece; backpointers are kept until all paths that can still win run through one
+boundary, then the ids up to it are committed and forgotten. The runs between spaces that a slice of texts brings anew are
+read in order, each from the end of what it shares with the one before.
 
 Texts are taken as they are: a space becomes the space mark and one mark is put in front, as the format does. Characters
 without a piece, and a space mark that stands in the text itself, become byte pieces, so decoding returns every text
@@ -16,7 +17,9 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from gridloom.llm.common import Cached, over_texts
 MARK = "▁"
 #: Longest run between spaces of which the ids are remembered.
 REMEMBERED = 64
+#: Characters up to which a text's runs are listed at once, and runs of a longer text that are.
+LISTED, TAKEN = 1 << 20, 1 << 16
 _NONE = float("-inf")
 
 
@@ -57,7 +62,8 @@ class Pieces:
             nodes[piece[0]] = (score, i, {})
         # Where no piece goes on into a space mark, every path has a boundary before each run of marks.
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if not any(re.search(f"[^{MARK}]{MARK}", p) for p in scores) else "(?s).+")
-        self.known = Cached(lambda run: array("i", self.segment(run)).tobytes(), 200_000)
+        self.packed = [array("i", [i]).tobytes() for i in range(len(sp))]
+        self.known = Cached(lambda run: array("i", self.segment(run)).tobytes(), 400_000)
 
     def char_bytes(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode("utf-8", "surrogateescape")]
@@ -67,19 +73,78 @@ class Pieces:
         stream.push(text)
         return stream.finish()
 
-    def encode(self, text: bytes) -> bytes:
-        """Ids as 32-bit integers in a row."""
-        if not text:
-            return b""
-        out = []
-        for i, part in enumerate(text.decode("utf-8", "surrogateescape").split(MARK)):
+    def segment_sorted(self, runs: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Short runs with their ids: what ``Stream`` does, from the boundaries that a run shares with the one before it."""
+        ends, fallback = self.ends, self.fallback
+        scores, spelled, before = [0.0], [b""], ""
+        for run in sorted(runs):
+            shared = 0
+            for a, b in zip(before, run):
+                if a != b:
+                    break
+                shared += 1
+            del scores[shared + 1 :], spelled[shared + 1 :]
+            for last in range(shared, len(run)):
+                best, start, piece, at = _NONE, last, -1, last
+                node = ends.get(run[last])
+                alone = node is not None and node[1] >= 0
+                while node is not None:
+                    score, found, further = node
+                    if found >= 0:
+                        value = scores[at] + score
+                        if value >= best:
+                            best, start, piece = value, at, found
+                    if not at or not further:
+                        break
+                    at -= 1
+                    node = further.get(run[at])
+                if not alone and scores[last] + fallback > best:
+                    best, start, piece = scores[last] + fallback, last, -1
+                scores.append(best)
+                spelled.append(spelled[start] + (self.packed[piece] if piece >= 0 else array("i", self.char_bytes(run[last])).tobytes()))
+            yield run, spelled[-1]
+            before = run
+
+    def runs(self, text: bytes) -> Iterator[list[str] | None]:
+        """The runs of a text in order, in lists; None stands for a space mark of the text itself."""
+        for i, part in enumerate(text.decode("utf-8", "surrogateescape").split(MARK) if text else ()):
             if i:
-                out.append(np.array(self.char_bytes(MARK), np.int32).tobytes())
+                yield None
             marked = ("" if i else MARK) + part.replace(" ", MARK)
-            for run in map(re.Match.group, self.cut.finditer(marked)):
-                out.append(self.known[run] if len(run) <= REMEMBERED else np.array(self.segment(run), np.int32).tobytes())
+            if len(marked) <= LISTED:
+                yield self.cut.findall(marked)
+            else:
+                found = map(re.Match.group, self.cut.finditer(marked))
+                while some := list(islice(found, TAKEN)):
+                    yield some
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids as 32-bit integers in a row."""
+        out, mark = [], array("i", self.char_bytes(MARK)).tobytes()
+        for runs in self.runs(text):
+            if runs is None:
+                out.append(mark)
+            elif max(map(len, runs), default=0) <= REMEMBERED:
+                out += map(self.known.__getitem__, runs)
+            else:
+                out += [self.known[run] if len(run) <= REMEMBERED else array("i", self.segment(run)).tobytes() for run in runs]
         return b"".join(out)
 
+    def encode_all(self, texts: Iterable[bytes | None]) -> list[bytes | None]:
+        """Ids of each text; the short runs that are not remembered are segmented together, some at a time."""
+        given, known, out, start = list(texts), self.known, [], 0
+        while start < len(given):
+            new, end = set(), start
+            while end < len(given) and len(new) < known.half:
+                for runs in self.runs(given[end] or b""):
+                    if len(new) < known.half:
+                        new.update([r for r in set(runs or ()) if r not in known and r not in known.before and len(r) <= REMEMBERED])
+                end += 1
+            known.add(self.segment_sorted(new), len(new))
+            out += [None if t is None else self.encode(t) for t in given[start:end]]
+            start = end
+        return out
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))[1:]
 
@@ -167,7 +232,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def work(part: pa.RecordBatch):
         pieces = load(shared.value)
         given = part.column("text").cast(pa.binary()).to_pylist()
-        packed = [None if t is None else pieces.encode(t) for t in given]
+        packed = pieces.encode_all(given)
         flat = np.frombuffer(b"".join(p or b"" for p in packed), np.int32)
         sizes = np.array([len(p or b"") // 4 for p in packed], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])

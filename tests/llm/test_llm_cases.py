@@ -268,6 +268,30 @@ def test_window_is_bounded(model):
     assert model.decode([model.known and 0] and stream.finish()) == text.replace("\u2581", " ").encode()[1:]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("abe the\u2581in  \u00e9\U0001f600ingtion"), max_size=150), max_size=6))
+def test_runs_segmented_together_are_as_alone(texts):
+    """Boundaries shared with the run before, texts in parts, lists in parts: the same ids as run by run."""
+    p = pieces.load(pieces.read_model(catalog.MODEL))
+    few, known = common.Cached(p.known.compute, 12), p.known
+    given = [None if t is None else t.encode() for t in texts]
+    alone = [None if t is None else b"".join(b"".join(p.known.compute(r) for r in q) if q is not None else np.array(p.char_bytes(pieces.MARK), np.int32).tobytes() for q in p.runs(t)) for t in given]
+    p.known = few
+    try:
+        assert p.encode_all(given) == alone
+    finally:
+        p.known = known
+
+
+def test_no_short_run_is_segmented_alone(spark, monkeypatch):
+    p = pieces.Pieces(pieces.read_model(catalog.MODEL))
+    monkeypatch.setattr(p, "segment", lambda run: pytest.fail(run))
+    monkeypatch.setattr(pieces, "LISTED", 8)
+    monkeypatch.setattr(pieces, "TAKEN", 2)
+    text = b"one onetwo onetwothree  two onethr one"
+    assert p.decode(np.frombuffer(p.encode_all([text, None, b""])[0], np.int32).tolist()) == text
+
+
 def test_invalid_utf8_returns(model):
     raw = b"\xff\xfe caf\xc3 ok"
     assert model.decode(np.frombuffer(model.encode(raw), np.int32).tolist()) == raw
