@@ -29,6 +29,8 @@ BOOST = {"maxIter": 1500, "stepSize": 0.03, "maxDepth": 6, "subsamplingRate": 0.
 MULTI = {"maxIter": 800, "stepSize": 0.05, "subsamplingRate": 0.9, "columnRate": 0.9}
 SWEEP = {"maxDepth": (3, 5), "minInstancesPerNode": (1, 5), "penalty": (1.0, 5.0)}
 PATIENCE = 50
+#: Rows up to which one task is enough to grow trees.
+FOREST_ROWS = 50_000
 POOLED = "ALL"
 
 
@@ -237,8 +239,14 @@ def tune_ridge(vectors: DataFrame, alphas: Sequence[float] = ALPHAS, refit: bool
 
 
 def fit_forest(vectors: DataFrame, path: str | None = None, **params) -> DataFrame:
-    """A forest table on the train rows; with ``path`` an interrupted fit goes on where it stopped."""
-    return tr.grow_forest(vectors.where(F.col("split") == "train"), path, **{**FOREST, **params})
+    """A forest table on the train rows; with ``path`` an interrupted fit goes on where it stopped.
+
+    Every task that grows trees holds and shuffles the sums of all open nodes, however few rows it has. So the rows are
+    dealt over no more tasks than there are FOREST_ROWS in them; small forests side by side keep the cluster busy.
+    """
+    train = vectors.where(F.col("split") == "train")
+    parts = max(1, -(-train.count() // FOREST_ROWS))
+    return tr.grow_forest(train.coalesce(parts) if parts < train.rdd.getNumPartitions() else train, path, **{**FOREST, **params})
 
 
 def fit_boosted(vectors: DataFrame, early_stop: bool = True, patience: int = PATIENCE, **params) -> tr.Ensemble:

@@ -420,6 +420,17 @@ def test_forest_of_small_forests(spark):
     assert after == before and kept.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(kept).getModificationTime() == time
 
 
+def test_forest_tasks_have_rows_enough(spark, monkeypatch):
+    """Few rows in many partitions are grown in as many tasks as their number asks for, and none is lost."""
+    seen = []
+    monkeypatch.setattr(mo.tr, "grow_forest", lambda train, path=None, **_: seen.append((train.rdd.getNumPartitions(), train.count())))
+    rows = spark.range(100, numPartitions=6).select(F.when(F.col("id") < 70, "train").otherwise("val").alias("split"))
+    for most in (50_000, 30, 1):
+        monkeypatch.setattr(mo, "FOREST_ROWS", most)
+        mo.fit_forest(rows)
+    assert seen == [(1, 70), (3, 70), (6, 70)]
+
+
 def test_jobs_side_by_side(spark):
     """Jobs of different fits overlap: each waits until the other has begun."""
     barrier = threading.Barrier(2, timeout=60)
