@@ -9,13 +9,14 @@ scan can score.
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, inheritable_thread_target
+from pyspark import StorageLevel, TaskContext, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -216,6 +217,8 @@ def _add(rows: DataFrame, trees: Ensemble) -> DataFrame:
 
 #: Rows of a block, bins of a feature (one more for missing), sums that reach the driver from one job.
 BLOCK, BINS, MISSING, GROUPS = 8192, 64, 255, 16
+#: Chunks of rounds between two stagings.
+STAGED = 5
 BLOCKS = "block long, n int, train binary, label binary, pred binary, bins binary"
 
 
@@ -290,30 +293,81 @@ class Grown:
 def _blocks_of(batches):
     for batch in batches:
         for r in range(batch.num_rows):
-            block, n, train, label, pred, bins = (batch.column(c)[r].as_py() for c in batch.schema.names)
-            yield block, np.frombuffer(train, bool), np.frombuffer(label), np.frombuffer(pred), np.frombuffer(bins, np.uint8).reshape(n, -1)
+            yield _opened(batch.column(c)[r].as_py() for c in batch.schema.names)
 
 
-def _summed(blocks: DataFrame, per_block: Callable, width: int) -> np.ndarray:
+def _opened(row) -> tuple:
+    block, n, train, label, pred, bins = row
+    return block, np.frombuffer(train, bool), np.frombuffer(label), np.frombuffer(pred), np.frombuffer(bins, np.uint8).reshape(n, -1)
+
+
+def _kept(blocks: DataFrame):
+    """The blocks as an RDD that executors keep: a level is one short job without a plan."""
+    return blocks.rdd.map(lambda r: (r[0], r[1], *(bytes(c) for c in r[2:]))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _summed(blocks, per_block: Callable, width: int) -> np.ndarray:
     """Sum of one vector a task; of many tasks in groups first, so the driver gets GROUPS vectors at most."""
 
-    def run(batches):
+    def run(rows):
         total = np.zeros(width)
-        for block in _blocks_of(batches):
-            total += per_block(*block)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        for row in rows:
+            total += per_block(*_opened(row))
+        yield total.tobytes()
 
-    def merge(batches):
+    def merge(parts):
         total = np.zeros(width)
-        for batch in batches:
-            for s in batch.column("sums").to_pylist():
-                total += np.frombuffer(s)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        for part in parts:
+            total += np.frombuffer(part)
+        yield total.tobytes()
 
-    sums = blocks.mapInArrow(run, "sums binary")
-    if len(blocks.inputFiles()) > GROUPS:
-        sums = sums.repartition(GROUPS).mapInArrow(merge, "sums binary")
-    return sum((np.frombuffer(bytes(r["sums"])) for r in sums.collect()), np.zeros(width))
+    sums = blocks.mapPartitions(run)
+    if blocks.getNumPartitions() > GROUPS:
+        sums = sums.coalesce(GROUPS, shuffle=True).mapPartitions(merge)
+    return sum((np.frombuffer(part) for part in sums.collect()), np.zeros(width))
+
+
+@dataclass
+class Drawn:
+    """A block's rows as a tree sees them: predicted (``pred``) and ``told`` since by the first ``n_told`` trees, the rows drawn for tree ``number``, their cells and residuals."""
+
+    pred: np.ndarray
+    told: np.ndarray
+    n_told: int = 0
+    number: int = -1
+    own: np.ndarray = None
+    cells: np.ndarray = None
+    left: np.ndarray = None
+    val: np.ndarray = None
+
+    def size(self) -> int:
+        return sum(a.nbytes for a in (self.pred, self.told, self.own, self.cells, self.left, self.val) if a is not None)
+
+
+#: Of this Python worker, the latest last; a block that is not held is drawn again, with the same result.
+_DRAWN: dict[tuple, Drawn] = {}
+
+
+def drawn(key: tuple, block: int, train, label, pred, bins, walked: Sequence[Grown], chunk: int, step: float, columns: np.ndarray, number: int, seed: int, rate: float, most: int = 64 << 20) -> Drawn:
+    """The block's rows for tree ``number`` after the trees ``walked``, added up ``chunk`` at a time; up to ``most`` bytes are held for the next level."""
+    held = _DRAWN.pop((key, block), None)
+    if held is None or held.n_told > len(walked):
+        held = Drawn(pred, np.zeros(len(label)))
+    if held.number != number:
+        for tree in walked[held.n_told :]:
+            held.told, held.n_told = held.told + tree.predict(bins), held.n_told + 1
+            if held.n_told % chunk == 0:
+                held.pred, held.told = held.pred + step * held.told, np.zeros(len(label))
+        left = label - held.pred - step * held.told
+        own = np.flatnonzero(train & (np.random.default_rng([seed, number, block]).random(len(train)) < rate))
+        held.number, held.own, held.val = number, own, left[~train]
+        held.cells = np.arange(len(columns)) * (BINS + 1) + np.minimum(bins[own][:, columns], BINS)
+        held.left = left[own]
+    _DRAWN[key, block] = held
+    total = sum(h.size() for h in _DRAWN.values())
+    while total > most and _DRAWN:
+        total -= _DRAWN.pop(next(iter(_DRAWN))).size()
+    return held
 
 
 def _best_split(h: np.ndarray, penalty: float, least: int) -> tuple | None:
@@ -344,11 +398,13 @@ def boost(
 
     With ``patience`` the error on the val split is taken after every round; growing ends as soon as so many rounds have
     passed without a new minimum, and the ensemble is cut back to the round of the smallest error (the first on ties).
-    After every ``chunk`` rounds what is predicted so far is staged, so a task never walks more trees than that.
+    What is predicted is added up by ``chunk`` rounds and staged after STAGED chunks, so a task never walks more trees
+    than those; what a worker holds of its blocks (``drawn``) spares it the trees it has walked.
     """
     base = float(vectors.where(F.col("split") == "train").agg(F.avg("label")).first()[0] or 0.0)
     cuts = cut_points(vectors)
     blocks = pack_blocks(vectors, cuts, base)
+    kept, fit = _kept(blocks), uuid.uuid4().hex
     trees: list[Grown] = []
     made: list[Grown] = []
     errors: list[float] = []
@@ -357,20 +413,17 @@ def boost(
     def level(tree: Grown, frontier: list[int], columns: np.ndarray, number: int) -> np.ndarray:
         place = np.full(len(tree.feature), -1)
         place[frontier] = np.arange(len(frontier))
-        size, walked = len(frontier) * len(columns) * (BINS + 1), list(made)
+        size, walked, key = len(frontier) * len(columns) * (BINS + 1), list(made), (fit, len(trees))
 
         def per_block(block, train, label, pred, bins):
-            left = label - pred - step * sum((t.predict(bins) for t in walked), np.zeros(len(label)))
-            val = left[~train]
-            own = train & (np.random.default_rng([seed, number, block]).random(len(train)) < subsamplingRate)
-            at = place[tree.walk(bins[own])]
-            own, at = np.flatnonzero(own)[at >= 0], at[at >= 0]
-            bin_ = np.minimum(bins[own][:, columns], BINS).astype(np.int64)
-            cell = ((at[:, None] * len(columns) + np.arange(len(columns))) * (BINS + 1) + bin_).ravel()
-            sums = np.bincount(cell, np.repeat(left[own], len(columns)), size), np.bincount(cell, minlength=size)
-            return np.concatenate([np.stack(sums, 1).ravel(), [val @ val, len(val)]])
-
-        return _summed(blocks, per_block, 2 * size + 2)
+            held = drawn(key, block, train, label, pred, bins, walked, chunk, step, columns, number, seed, subsamplingRate)
+            at = place[tree.walk(bins[held.own])]
+            live = at >= 0
+            cell = (at[live, None] * len(columns) * (BINS + 1) + held.cells[live]).ravel()
+            sums = np.bincount(cell, np.repeat(held.left[live], len(columns)), size), np.bincount(cell, minlength=size)
+            return np.concatenate([np.stack(sums, 1).ravel(), [held.val @ held.val, len(held.val)]])
+
+        return _summed(kept, per_block, 2 * size + 2)
 
     while True:
         number = len(trees) + len(made)
@@ -399,9 +452,11 @@ def boost(
         if number >= rounds or (patience and best_round(errors, patience)[1]):
             break
         made.append(tree)
-        if len(made) == chunk:
-            blocks = _advanced(blocks, made, step)
-            trees, made = trees + made, []
+        if len(made) == STAGED * chunk:
+            blocks = _advanced(blocks, made, step, chunk)
+            kept.unpersist()
+            kept, trees, made = _kept(blocks), trees + made, []
+    kept.unpersist()
     trees += made
     best = best_round(errors, patience)[0] if patience else len(trees)
     out = join_trees([t.unbinned(cuts) for t in trees[:best]], base, np.full(best, step))
@@ -409,12 +464,17 @@ def boost(
     return out
 
 
-def _advanced(blocks: DataFrame, made: list[Grown], step: float) -> DataFrame:
-    """Blocks with what the chunk's trees say added to what is predicted."""
+def _advanced(blocks: DataFrame, made: list[Grown], step: float, chunk: int) -> DataFrame:
+    """Blocks with what the trees of some chunks say added to what is predicted, chunk by chunk."""
+
+    def told(pred: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        for s in range(0, len(made), chunk):
+            pred = pred + step * sum((t.predict(bins) for t in made[s : s + chunk]), np.zeros(len(pred)))
+        return pred
 
     def run(batches):
         for batch in batches:
-            pred = [(p + step * sum((t.predict(bins) for t in made), np.zeros(len(p)))).tobytes() for _, _, _, p, bins in _blocks_of([batch])]
+            pred = [told(p, bins).tobytes() for _, _, _, p, bins in _blocks_of([batch])]
             yield pa.RecordBatch.from_arrays([pa.array(pred, pa.binary()) if n == "pred" else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
     return stage_table(blocks.mapInArrow(run, BLOCKS), "boosted")

@@ -431,6 +431,36 @@ def test_forest_tasks_have_rows_enough(spark, monkeypatch):
     assert seen == [(1, 70), (3, 70), (6, 70)]
 
 
+def test_drawn_rows_are_the_same_held_or_not(monkeypatch):
+    """A worker that holds a block, one that fell behind and one that never saw it agree to the bit; what is held is bounded."""
+    rng = np.random.default_rng(5)
+    bins, label, train, pred = rng.integers(0, 8, (300, 3)).astype(np.uint8), rng.normal(size=300), rng.random(300) < 0.8, rng.normal(size=300)
+    trees = []
+    for i in range(7):
+        trees.append(tr.Grown())
+        trees[-1].split(0, i % 3, int(rng.integers(0, 7)), False, (float(rng.normal()), float(rng.normal())))
+    columns = np.array([0, 2])
+
+    def draw(n, **kw):
+        return tr.drawn(("fit", 0), 4, train, label, pred, bins, trees[:n], 3, 0.3, columns, n, 1, 0.7, **kw)
+
+    monkeypatch.setattr(tr, "_DRAWN", {})
+    for n in (0, 1, 1, 2, 6, 7):
+        held = draw(n)
+        kept = dict(tr._DRAWN)
+        tr._DRAWN.clear()
+        anew = draw(n, most=0)
+        assert not tr._DRAWN and len(kept) == 1
+        tr._DRAWN.update(kept)
+        want = pred
+        for s in range(0, n - n % 3, 3):
+            want = want + 0.3 * sum((t.predict(bins) for t in trees[s : s + 3]), np.zeros(300))
+        left = label - want - 0.3 * sum((t.predict(bins) for t in trees[n - n % 3 : n]), np.zeros(300))
+        for one in (held, anew):
+            assert np.array_equal(one.val, left[~train]) and np.array_equal(one.left, left[one.own]) and train[one.own].all()
+            assert np.array_equal(one.cells, np.minimum(bins[one.own][:, columns], tr.BINS) + np.arange(2) * (tr.BINS + 1))
+
+
 def test_jobs_side_by_side(spark):
     """Jobs of different fits overlap: each waits until the other has begun."""
     barrier = threading.Barrier(2, timeout=60)
