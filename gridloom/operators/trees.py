@@ -1,9 +1,11 @@
 """Tree ensembles, kept as plain tables and scored in Arrow batches.
 
-Forests are grown by Spark ML a few trees at a time; what it has grown is read into arrays of nodes, so a forest can be put
-together from small ones, fitted side by side and kept when a driver is lost. Boosting grows its trees from sums over bins,
-one job a level, since Spark ML has no patience, no penalty and no missing values. An ensemble is a row of bytes that a
-scan can score.
+Forests are grown a few trees at a time, so a forest can be put together from small ones, fitted side by side and kept when a
+driver is lost. Shallow trees are grown by Spark ML, and what it has grown is read into arrays of nodes. Its tasks send a
+full histogram for every open node, however few rows are left in it, so deep trees are grown from binned rows here: nodes of
+many rows from sums over bins, one job a level, and each node of few rows by one task that gets its rows. Boosting grows its
+trees from such sums too, since Spark ML has no patience, no penalty and no missing values. An ensemble is a row of bytes
+that a scan can score.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
@@ -132,31 +135,248 @@ def concurrently(spark: SparkSession, jobs: Sequence[Callable], workers: int = 8
 # Random forest
 
 
-def grow_forest(train: DataFrame, path: str | None = None, part_trees: int = 5, workers: int = 8, **params) -> DataFrame:
+#: Levels up to which Spark ML grows a forest; bins of a feature in deeper ones, as many as Spark ML takes.
+DENSE_DEPTH, FOREST_BINS = 8, 32
+#: Rows of a node that one task completes; open nodes that a job sums up; of these, the ones compared at once.
+NODE_ROWS, OPEN_NODES, COMPARED = 50_000, 128, 64
+#: Rows times trees of a part, which is one row of the forest's table.
+PART_ROWS = 250_000
+#: What a deep forest can be asked for; other settings are left to Spark ML.
+DEEP_SETTINGS = {"maxDepth", "minInstancesPerNode", "maxBins"}
+
+
+def grow_forest(train: DataFrame, path: str | None = None, part_trees: int | None = None, workers: int = 8, **params) -> DataFrame:
     """A forest as a table (part, n_trees, packed), grown as small forests with seeds of their own, side by side.
 
     Every part is written below ``path`` when it is ready; a run that finds parts there, after a lost driver, grows only
-    the others. Parts are the same in every run and order.
+    the others. Parts are the same in every run and order. ``part_trees`` is 5 by default, for deep trees as many as make
+    PART_ROWS with the rows, 1 to 25.
     """
     spark = train.sparkSession
     settings = dict(params)
     total, seed = settings.pop("numTrees"), settings.pop("seed", 0)
     path = path or scratch_path(spark, "forest")
+    deep = None
+    if settings.get("maxDepth", 5) > DENSE_DEPTH and not set(settings) - DEEP_SETTINGS and settings.get("maxBins", FOREST_BINS) <= MISSING:
+        deep = _Deep(train, share=1 / 3 if total > 1 else 1.0, **settings)
+        part_trees = part_trees or max(1, min(25, PART_ROWS // deep.n))
+    part_trees = part_trees or 5
     sizes = [min(part_trees, total - s) for s in range(0, total, part_trees)]
 
     def grow(part: int) -> None:
         target = f"{path}/part={part}"
         if _ready(spark, target):
             return
-        model = RandomForestRegressor(numTrees=sizes[part], seed=seed + 1000 * part, **settings).fit(train)
-        trees = join_trees(read_trees(model), 0.0, np.ones(sizes[part]))
-        row = spark.createDataFrame([(sizes[part], bytearray(trees.packed()))], "n_trees int, packed binary")
-        row.coalesce(1).write.mode("overwrite").parquet(target)
+        if deep:
+            row = deep.grow(sizes[part], seed + 1000 * part)
+        else:
+            model = RandomForestRegressor(numTrees=sizes[part], seed=seed + 1000 * part, **settings).fit(train)
+            trees = join_trees(read_trees(model), 0.0, np.ones(sizes[part]))
+            row = spark.createDataFrame([(sizes[part], bytearray(trees.packed()))], "n_trees int, packed binary").coalesce(1)
+        row.write.mode("overwrite").parquet(target)
 
     concurrently(spark, [lambda p=p: grow(p) for p in range(len(sizes))], workers)
+    if deep:
+        deep.close()
     return spark.read.schema("n_trees int, packed binary, part int").parquet(path).where(F.col("part") < len(sizes))
 
 
+def _drawn_often(seed: int, tree: int, block: int, n: int) -> np.ndarray:
+    """How often each row of a block is drawn for a tree: with replacement, as many rows as there are on average."""
+    return np.random.default_rng([seed, tree, block]).poisson(1.0, n).astype(float)
+
+
+def _some_features(rng: np.random.Generator, nodes: int, width: int, share: float) -> np.ndarray:
+    """The features that each node may be split by, drawn without replacement."""
+    few = max(1, int(np.ceil(share * width)))
+    return np.argsort(rng.random((nodes, width)), axis=1)[:, :few]
+
+
+def _sums_by_bin(at: np.ndarray, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, features: np.ndarray, size: int) -> np.ndarray:
+    """Sums of labels and weights (kind, node, place in ``features``, bin) of rows that lie in nodes ``at``."""
+    nodes, few = features.shape
+    cell = np.minimum(np.take_along_axis(bins, features[at], 1), size - 1).astype(np.intp)
+    cell += (at[:, None] * few + np.arange(few)) * size
+    sums = (np.bincount(cell.ravel(), np.repeat(x, few), nodes * few * size) for x in (weight * label, weight))
+    return np.array(list(sums)).reshape(2, nodes, few, size)
+
+
+def _best_splits(h: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """For each node of sums ``h``: whether anything is gained, the best (place, cut), the first on ties, and sums of the node and of its left side."""
+    total, left, rows = h[:, :, 0].sum(2).T, h[..., :-1].cumsum(3), np.arange(h.shape[1])
+    g, n = left
+    others = total[:, 1, None, None] - n
+    score = total[:, 0, None, None] - g
+    score *= score
+    score /= np.maximum(others, 1)
+    score += g * g / np.maximum(n, 1)
+    score[np.minimum(n, others) < max(least, 1)] = -np.inf
+    score = score.reshape(len(rows), -1)
+    best, whole = score.argmax(1), total[:, 0] ** 2 / np.maximum(total[:, 1], 1)
+    place, cut = np.divmod(best, left.shape[3])
+    return score[rows, best] - whole > 1e-9 * (1 + whole), place, cut, total, left[:, rows, place, cut].T
+
+
+def complete(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, depth: int, least: int, share: float, size: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """(feature, cut, left, right, value) of the nodes of a tree grown to its end over few rows; leaves have feature -1."""
+    width = bins.shape[1]
+    feature, cut, left, value = (np.full(1, -1), np.zeros(1, int), np.full(1, -1), np.full(1, np.average(label, weights=weight)))
+    at, nodes = np.zeros(len(label), int), np.zeros(1, int)  # each row's place among the open nodes
+    for _ in range(depth):
+        order = np.argsort(at, kind="stable")
+        bins, label, weight, at = bins[order], label[order], weight[order], at[order]
+        found = []
+        for s in range(0, len(nodes), COMPARED):
+            here = slice(*np.searchsorted(at, [s, s + COMPARED]))
+            features = _some_features(rng, min(COMPARED, len(nodes) - s), width, share)
+            ok, place, k, total, side = _best_splits(_sums_by_bin(at[here] - s, bins[here], label[here], weight[here], features, size), least)
+            found.append((ok, features[np.arange(len(ok)), place], k, side, total - side))
+        ok, by, k, one, other = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not ok.any():
+            break
+        sons = np.stack([one[ok], other[ok]], 1).reshape(-1, 2)  # left and right of each split node in turn
+        feature[nodes[ok]], cut[nodes[ok]], left[nodes[ok]] = by[ok], k[ok], len(feature) + 2 * np.arange(ok.sum())
+        made = len(feature) + np.arange(len(sons))
+        feature, cut, left, value = (np.append(x, y) for x, y in ((feature, np.full(len(sons), -1)), (cut, np.zeros(len(sons), int)), (left, np.full(len(sons), -1)), (value, sons[:, 0] / sons[:, 1])))
+        # A son of fewer rows than two leaves need, or whose labels are all the same, stays a leaf.
+        live = ok[at]
+        bins, label, weight, at = bins[live], label[live], weight[live], at[live]
+        at = 2 * (np.cumsum(ok) - 1)[at] + (bins[np.arange(len(at)), by[at]] > k[at])
+        low, high = np.full(len(sons), np.inf), np.full(len(sons), -np.inf)
+        np.minimum.at(low, at, label)
+        np.maximum.at(high, at, label)
+        open_ = (sons[:, 1] >= 2 * max(least, 1)) & (high > low)
+        live, nodes = open_[at], made[open_]
+        bins, label, weight, at = bins[live], label[live], weight[live], (np.cumsum(open_) - 1)[at[live]]
+        if not len(nodes):
+            break
+    return feature, cut, left, np.where(left < 0, -1, left + 1), value
+
+
+class _Deep:
+    """What the parts of a deep forest share: its rows, binned and in blocks."""
+
+    def __init__(self, train: DataFrame, share: float, maxDepth: int, minInstancesPerNode: int = 1, maxBins: int = FOREST_BINS):
+        rows = train.withColumn("split", F.lit("train"))
+        self.n, mean, spread = rows.agg(F.count("label"), F.avg("label"), F.stddev_pop("label")).first()
+        if not self.n:
+            raise ValueError("a forest needs rows to learn from")
+        self.mean, self.spread = float(mean), float(spread) or 1.0
+        self.share, self.depth, self.least, self.size = share, maxDepth, minInstancesPerNode, maxBins + 1
+        cuts = cut_points(rows, maxBins)
+        # A cut behind the last stands for all known values.
+        self.limits = np.stack([np.pad(c, (0, self.size - len(c)), constant_values=np.inf) for c in cuts])
+        self.blocks = pack_blocks(rows, cuts, 0.0)
+        self.kept = _kept(self.blocks) if self.n > NODE_ROWS else None
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+
+    def tops(self, trees: int, seed: int) -> tuple[list[Grown], list[list[tuple[int, int]]]]:
+        """The upper part of each tree, its nodes of more than NODE_ROWS rows split, and the (node, levels left) to complete."""
+        tops: list[Grown] = [Grown() for _ in range(trees)]
+        todo: list[list[tuple[int, int]]] = [[] for _ in range(trees)]
+        if self.n <= NODE_ROWS:
+            return tops, [[(0, self.depth)] for _ in range(trees)]
+        rng, frontier = np.random.default_rng([seed, trees]), [(t, 0) for t in range(trees)]
+        for level in range(self.depth):
+            after = []
+            for s in range(0, len(frontier), OPEN_NODES):
+                group = frontier[s : s + OPEN_NODES]
+                features = _some_features(rng, len(group), len(self.limits), self.share)
+                h = self._level(tops, group, features, seed)
+                ok, place, cut, total, left = _best_splits(h, self.least)
+                for i, (t, node) in enumerate(group):
+                    if not level:
+                        tops[t].value[0] = float(total[i, 0] / max(total[i, 1], 1))
+                    if ok[i]:
+                        sides = left[i], total[i] - left[i]
+                        sons = tops[t].split(node, int(features[i, place[i]]), int(cut[i]), False, tuple(float(x[0] / x[1]) for x in sides))
+                        for son, side in zip(sons, sides, strict=True):
+                            if side[1] > NODE_ROWS:
+                                after.append((t, son))
+                            elif level + 1 < self.depth:
+                                todo[t].append((son, self.depth - level - 1))
+            frontier = after
+            if not frontier:
+                break
+        return tops, todo
+
+    def _level(self, tops: list[Grown], group: list[tuple[int, int]], features: np.ndarray, seed: int) -> np.ndarray:
+        size, mean, spread = self.size, self.mean, self.spread
+        walked = {t: tops[t] for t, _ in group}
+        shape = (2, *features.shape, size)
+
+        def per_block(block, train, label, pred, bins):
+            out = np.zeros(shape)
+            for t, tree in walked.items():
+                own = [i for i, (u, _) in enumerate(group) if u == t]
+                place = np.full(len(tree.feature), -1)
+                place[[group[i][1] for i in own]] = np.arange(len(own))
+                often, at = _drawn_often(seed, t, block, len(label)), place[tree.walk(bins)]
+                live = np.flatnonzero((at >= 0) & (often > 0))
+                out[:, own] = _sums_by_bin(at[live], bins[live], (label[live] - mean) / spread, often[live], features[own], size)
+            return out.ravel()
+
+        return _summed(self.kept, per_block, int(np.prod(shape))).reshape(shape)
+
+    def grow(self, trees: int, seed: int) -> DataFrame:
+        """(n_trees, packed): a row of so many trees. A group is the rows of one node, NODE_ROWS at most; a task puts the nodes together."""
+        mean, spread, size, share, least, limits = self.mean, self.spread, self.size, self.share, self.least, self.limits
+        tops, todo = self.tops(trees, seed)
+        levels = [dict(nodes) for nodes in todo]
+
+        def deal(batches):
+            for batch in batches:
+                for block, _, label, _, bins in _blocks_of([batch]):
+                    for t, tree in enumerate(tops):
+                        often, at = _drawn_often(seed, t, block, len(label)), tree.walk(bins)
+                        for node in np.unique(at).tolist():
+                            own = np.flatnonzero((at == node) & (often > 0)) if node in levels[t] else at[:0]
+                            if len(own):
+                                row = t, node, block, len(own), ((label[own] - mean) / spread).tobytes(), often[own].tobytes(), bins[own].tobytes()
+                                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["tree", "node", "block", "n", "label", "often", "bins"])
+
+        def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            t, node = (int(k) for k in key)
+            pdf = pdf.sort_values("block")
+            label, often = (np.frombuffer(b"".join(pdf[c])) for c in ("label", "often"))
+            bins = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(label), -1)
+            feature, cut, left, right, value = complete(bins, label, often, levels[t][node], least, share, size, np.random.default_rng([seed, t, node]))
+            limit = np.where(feature < 0, 0.0, limits[np.maximum(feature, 0), cut])
+            nodes = feature.astype(np.int32), limit, left.astype(np.int32), right.astype(np.int32), mean + spread * value
+            return pd.DataFrame({"tree": [t], "node": [node], "packed": [Ensemble(0.0, np.ones(1), np.zeros(1, np.int64), *nodes).packed()]})
+
+        def together(batches):
+            found: list[dict[int, Ensemble]] = [{} for _ in tops]
+            for batch in batches:
+                for t, node, packed in zip(*(batch.column(c).to_pylist() for c in ("tree", "node", "packed")), strict=True):
+                    found[t][node] = Ensemble.unpacked(packed)
+            whole = join_trees([_with_subtrees(top, limits, mean, spread, own) for top, own in zip(tops, found, strict=True)], 0.0, np.ones(len(tops)))
+            yield pa.RecordBatch.from_arrays([pa.array([len(tops)], pa.int32()), pa.array([whole.packed()], pa.binary())], names=["n_trees", "packed"])
+
+        dealt = self.blocks.mapInArrow(deal, "tree int, node long, block long, n int, label binary, often binary, bins binary")
+        parts = dealt.groupBy("tree", "node").applyInPandas(finish, "tree int, node long, packed binary")
+        return parts.repartition(1).mapInArrow(together, "n_trees int, packed binary")
+
+
+def _with_subtrees(top: Grown, limits: np.ndarray, mean: float, spread: float, subtrees: dict[int, Ensemble]) -> Ensemble:
+    """One tree of a top and the trees that some of its leaves have become; a subtree's root takes the leaf's place."""
+    feature, left, right = (np.array(x, np.int32) for x in (top.feature, top.left, top.right))
+    limit, value = np.where(feature < 0, 0.0, limits[np.maximum(feature, 0), top.cut]), mean + spread * np.array(top.value)
+    parts, size = [(feature, limit, left, right, value)], len(feature)
+    for node, tree in sorted(subtrees.items()):
+        # The root goes to the leaf's place, the others behind what is there.
+        sons = [np.where(x < 0, -1, x + size - 1).astype(np.int32) for x in (tree.left, tree.right)]
+        own = tree.feature, tree.threshold, *sons, tree.value
+        for whole, x in zip(parts[0], own, strict=True):
+            whole[node] = x[0]
+        parts.append(tuple(x[1:] for x in own))
+        size += len(tree.feature) - 1
+    return Ensemble(0.0, np.ones(1), np.zeros(1, np.int64), *(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
 def _ready(spark: SparkSession, path: str) -> bool:
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)

@@ -523,3 +523,92 @@ def test_moments_of_many_computed_columns(spark):
     assert mo.whole_gram([bytes(r["sums"]) for r in rows if r["station"] == "C"], 31)[0, 0] == 0
     fit = mo.fit_ridge(computed.withColumn("split", F.lit("train")), names[1:], ["c0"], key="station", alphas=[1.0])
     assert {r["station"]: r["n_train"] for r in fit.collect()} == {"A": 30, "B": 28}
+
+
+def _within(tree, x, drawn):
+    """Rows and their draws in every leaf of a tree, with the leaf's depth."""
+    open_ = [(int(tree.root[0]), np.flatnonzero(drawn), 0)]
+    while open_:
+        node, rows, depth = open_.pop()
+        f = tree.feature[node]
+        if f < 0:
+            yield node, rows, depth
+        else:
+            down = x[rows, f] <= tree.threshold[node]
+            open_ += [(int(tree.left[node]), rows[down], depth + 1), (int(tree.right[node]), rows[~down], depth + 1)]
+
+
+@pytest.mark.parametrize("node_rows", [50_000, 60])
+def test_deep_trees_are_grown_to_their_end(spark, monkeypatch, node_rows):
+    """Every leaf holds the mean of the rows drawn for the tree and none of them can be split; the upper nodes over all rows or in one task."""
+    monkeypatch.setattr(tr, "NODE_ROWS", node_rows)
+    monkeypatch.setattr(tr, "OPEN_NODES", 3)
+    df, x, y, _ = _steps(spark)
+    rows = mo.assemble(df.repartition(3), ["a", "b"], "y")
+    blocks = {}
+    keep = tr.pack_blocks
+
+    def noted(*args):
+        out = keep(*args)
+        blocks.update({r["block"]: np.frombuffer(bytes(r["label"])) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(tr, "pack_blocks", noted)
+    forest = {r["part"]: tr.Ensemble.unpacked(bytes(r["packed"])) for r in tr.grow_forest(rows, numTrees=5, maxDepth=12, seed=4, part_trees=2).collect()}
+    assert sorted(len(t.root) for t in forest.values()) == [1, 2, 2]
+    at = {v: i for i, v in enumerate(y)}
+    for part, trees in forest.items():
+        ends = [*trees.root[1:], len(trees.feature)]
+        for t, (root, end) in enumerate(zip(trees.root, ends, strict=True)):
+            drawn = np.zeros(len(y))
+            for block, label in blocks.items():
+                drawn[[at[v] for v in label]] = np.random.default_rng([4 + 1000 * part, t, block]).poisson(1.0, len(label))
+            own = tr.Ensemble(0.0, np.ones(1), np.array([root]), trees.feature, trees.threshold, trees.left, trees.right, trees.value)
+            leaves = list(_within(own, x, drawn))
+            assert sum(len(r) for _, r, _ in leaves) == (drawn > 0).sum() and all(root <= n < end for n, _, _ in leaves)
+            for node, inside, depth in leaves:
+                assert trees.value[node] == pytest.approx(np.average(y[inside], weights=drawn[inside])) and depth <= 12
+    told = np.mean([t.predict(x) / len(t.root) for t in forest.values()], 0)
+    assert 1 - ((y - told) ** 2).mean() / y.var() > 0.9
+
+
+def test_a_tree_by_brute_force():
+    """All features, every cut tried in plain loops; missing values go right; sons keep at least so many rows."""
+    rng = np.random.default_rng(8)
+    bins, y, w = rng.integers(0, 5, (60, 3)).astype(np.uint8), rng.normal(size=60), rng.integers(1, 4, 60).astype(float)
+    bins[rng.random(60) < 0.2, 1] = tr.MISSING
+    for depth, least in ((1, 1), (3, 1), (20, 1), (20, 8)):
+        feature, cut, left, right, value = tr.complete(bins, y, w, depth, least, 1.0, 6, np.random.default_rng(0))
+
+        def loss(rows):
+            return (w[rows] * (y[rows] - np.average(y[rows], weights=w[rows])) ** 2).sum() if len(rows) else 0.0
+
+        def compare(node, rows, level):
+            assert value[node] == pytest.approx(np.average(y[rows], weights=w[rows]))
+            sides = [(rows[bins[rows, f] <= c], rows[bins[rows, f] > c]) for f in range(3) for c in range(5)]
+            sides = [s for s in sides if all(w[r].sum() >= least for r in s) and min(map(len, s))]
+            best = min((loss(a) + loss(b) for a, b in sides), default=np.inf)
+            if feature[node] < 0:
+                assert level == depth or best > loss(rows) - 1e-6
+                return
+            down = bins[rows, feature[node]] <= cut[node]
+            assert loss(rows[down]) + loss(rows[~down]) == pytest.approx(best)
+            compare(left[node], rows[down], level + 1)
+            compare(right[node], rows[~down], level + 1)
+
+        compare(0, np.arange(60), 0)
+
+
+def test_deep_forest_in_few_jobs(spark):
+    """A deep forest costs a few jobs a part, not one for every level of every small forest."""
+    df, x, y, _ = _steps(spark)
+    vectors = mo.assemble(df, ["a", "b"], "y")
+    spark.sparkContext.setJobGroup("deep-forest", "")
+    try:
+        forest = mo.fit_forest(vectors, numTrees=20, maxDepth=20)
+        assert forest.agg(F.sum("n_trees")).first()[0] == 20
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep-forest")) < 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    with pytest.raises(ValueError, match="rows"):
+        mo.fit_forest(vectors.where("split = 'none'"))
