@@ -446,7 +446,8 @@ def cut_points(vectors: DataFrame, bins: int = BINS) -> list[np.ndarray]:
     """Ascending cuts of every feature, at quantiles of its known train values; a value belongs to the first cut not below it."""
     rows = _open(vectors.where(F.col("split") == "train"))
     width = rows.select(F.max(F.size("_x"))).first()[0] or 0
-    share = [(i + 1) / bins for i in range(bins - 1)]
+    # One array for all features: a list would be turned into literals again for each of them.
+    share = F.array(*[F.lit((i + 1) / bins) for i in range(bins - 1)])
     known = [F.when(~F.isnan(F.col("_x")[i]), F.col("_x")[i]) for i in range(width)]
     found = rows.agg(*[F.percentile_approx(k, share, 10_000).alias(f"q{i}") for i, k in enumerate(known)]).first() if width else []
     return [np.unique(np.array(q or [], float)) for q in found]

@@ -612,3 +612,16 @@ def test_deep_forest_in_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     with pytest.raises(ValueError, match="rows"):
         mo.fit_forest(vectors.where("split = 'none'"))
+
+
+def test_quantile_shares_are_literals_once(spark, monkeypatch):
+    """The shares are not turned into literals again for every feature, which takes the driver seconds a fit."""
+    from pyspark.sql.functions import builtin
+
+    df, x, _, _ = _steps(spark)
+    vectors, made, whole = mo.assemble(df, ["a", "b"], "y"), [], builtin.lit
+    monkeypatch.setattr(builtin, "lit", lambda v: made.append(v) or whole(v))
+    cuts = tr.cut_points(vectors, 8)
+    assert len(made) < 10 and all(set(c) <= set(range(8)) for c in cuts)
+    few = tr.cut_points(vectors, 2)
+    assert [c.tolist() for c in few] == [[float(np.sort(v)[(len(v) + 1) // 2 - 1])] for v in x[np.arange(400) % 4 != 3].T]
