@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -45,13 +46,13 @@ def join_small(df: DataFrame, keys: DataFrame, on: str | list[str], how: str) ->
     return df.join(F.broadcast(keys) if small else keys, on, how)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch where its texts reach SLICE_BYTES, so that one slice and its results stay small."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where its texts reach ``most`` bytes, SLICE_BYTES by default, so that one slice and its results stay small."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, before + (most or SLICE_BYTES), side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -61,15 +62,24 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, object]], schema: str | StructType) -> DataFrame:
+def give_back() -> None:
+    """Return freed memory to the machine: a Python worker outlives its task, and what it keeps is missing in the next step."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.pythonapi, "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
+
+
+def over_texts(df: DataFrame, work: Callable[[pa.RecordBatch], dict[str, object]], schema: str | StructType, most: int | None = None) -> DataFrame:
     """Run ``work`` over slices of a frame with a ``text`` column; it returns the output columns of its rows."""
     types = _arrow(schema)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 out = work(part)
                 yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in types], schema=types)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

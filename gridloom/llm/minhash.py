@@ -24,6 +24,7 @@ Rows without doc_id are linked with nothing, have a null component and are not k
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, hash64, join_small, over_texts, stage
+from gridloom.llm.common import components, give_back, hash64, join_small, over_texts, slices, stage
 
 BANDS, ROWS = 40, 6
 BATCH = 24
@@ -135,6 +136,7 @@ def prune(pairs: DataFrame, sigs: DataFrame, count: int, percent: int, miss: flo
                 hits[alive] += (x[alive, before:seen] == y[alive, before:seen]).sum(1)
                 alive, before = alive[hits[alive] >= least], seen
             yield batch.select(["a", "b"]).take(pa.array(alive))
+        give_back()
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
@@ -189,14 +191,15 @@ def cells(mixed: DataFrame, own: DataFrame, count: int, percent: int, miss: floa
             for a, b in compare(key, held) if held else ():
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "chunk", "rep", "part", "sig", "x")]
+        for part in (p for batch in batches for p in slices(batch, "x")):
+            cols = [part.column(c).to_pylist() for c in ("bucket", "i", "j", "chunk", "rep", "part", "sig", "x")]
             for row in zip(*cols, strict=True):
                 if row[:3] != key:
                     yield from flush()
                     key, held = row[:3], []
                 held.append(row[3:])
         yield from flush()
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -211,18 +214,21 @@ def full_sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return stage(over_texts(found, work, "rep long, x binary"), "sets")
 
 
+def confirmed(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose full sets x and y are linked; sets of a slice of pairs are opened at once, not of a whole batch."""
+    for part in (p for batch in batches for p in slices(batch, "x")):
+        keep = [linked(x, y, percent) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+        yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    give_back()
+
+
 def confirm(docs: DataFrame, left: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs linked by their full sets, among candidates."""
     ends = left.select(F.col("a").alias("rep")).union(left.select("b")).distinct()
     sets = full_sets(docs, ends, width)
 
-    def run(batches):
-        for batch in batches:
-            keep = [linked(x, y, percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     both = left.join(sets.select(F.col("rep").alias("a"), "x"), "a").join(sets.select(F.col("rep").alias("b"), F.col("x").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "x", "y").mapInArrow(lambda batches: confirmed(batches, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-9) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -626,3 +627,16 @@ def test_quality_never_reads_other_labels(spark):
     stats = quality.measure(docs)
     a, b = (quality.fit(stats, x, learn) for x in (labels, turned))
     assert np.allclose(a.weights, b.weights) and np.allclose(a.calibrated, b.calibrated)
+
+
+def test_full_sets_are_opened_a_slice_at_a_time(monkeypatch):
+    """Of a batch of pairs with large sets, a few are compared at once, and the task gives back what it freed."""
+    freed = []
+    monkeypatch.setattr("gridloom.llm.common.SLICE_BYTES", 1000)
+    monkeypatch.setattr(minhash, "give_back", lambda: freed.append(1))
+    x, y = (np.arange(s, s + 40, dtype=np.uint64).tobytes() for s in (0, 2))
+    rows = [(0, i, x, y if i % 2 else x[:80]) for i in range(1, 12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["a", "b", "x", "y"])
+    found = list(minhash.confirmed(iter([batch]), 80))
+    assert [p for b in found for p in zip(*(c.to_pylist() for c in b.columns), strict=True)] == [(0, i) for i in range(1, 12, 2)]
+    assert len(found) == 4 and freed == [1]
