@@ -302,6 +302,10 @@ def fit_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[str
 REGISTRY = "station string, target string, model string, part int, features array<string>, medians array<double>, intercept double, coefs array<double>, scale double, packed binary, n_rounds long, best_round long"
 
 
+#: Parts of models in a file of a registry.
+MODELS_A_FILE = 4
+
+
 def own_features(df: DataFrame, features: Sequence[str], key: str = "station") -> DataFrame:
     """(key, features, medians): the features that a station's train rows know, with their exact medians, in the given order."""
     listed = wide_medians(df, features, [key]).where(F.col("median").isNotNull())
@@ -316,21 +320,21 @@ def fit_stations(df: DataFrame, vectors: DataFrame, features: Sequence[str], tar
 
     ``learners`` maps a model name to its settings; the name's beginning says which it is: ridge, rf or gbt. ``vectors``
     is the table of ``assemble_targets`` of the same rows. Stations come from the table of own features: one row each.
-    Ridge systems are solved in Spark, one station a group; tree models are fitted side by side, each over the cluster.
+    Ridge systems are solved in Spark, one station a group; beside them, tree models are fitted side by side, each over the cluster.
     """
     spark, places = df.sparkSession, {f: i for i, f in enumerate(features)}
     own = stage_table(own_features(df, features), "own-features")
-    parts = []
-    if any(m.startswith("ridge") for m in learners):
+
+    def linear(name: str) -> DataFrame:
         entry = F.map_from_arrays("features", "medians")
         joined = join_params(df, own.select("station", "features", entry.alias("_medians")), ["station"])
         # What a station does not know is 0 in its Gram matrix and left out when it is solved.
         filled = joined.withColumns({f: F.coalesce(F.col(f), F.try_element_at("_medians", F.lit(f)), F.lit(0.0)) for f in features}).drop("_medians")
-        for name in [m for m in learners if m.startswith("ridge")]:
-            fit = fit_ridge(filled, features, [target], key="station", masked=own, **learners[name])
-            one = fit.join(own.withColumnRenamed("features", "own"), "station")
-            cells = F.filter(F.arrays_zip("own", "medians"), lambda c: F.array_contains("features", c["own"]))
-            parts.append(one.select("station", "target", F.lit(name).alias("model"), F.lit(0).alias("part"), "features", F.transform(cells, lambda c: c["medians"]).alias("medians"), "intercept", "coefs", F.lit(1.0).alias("scale"), F.lit(None).cast("binary").alias("packed"), F.lit(0).cast("long").alias("n_rounds"), F.lit(0).cast("long").alias("best_round")))
+        fitted = fit_ridge(filled, features, [target], key="station", masked=own, **learners[name])
+        one = fitted.join(own.withColumnRenamed("features", "own"), "station")
+        cells = F.filter(F.arrays_zip("own", "medians"), lambda c: F.array_contains("features", c["own"]))
+        full = one.select("station", "target", F.lit(name).alias("model"), F.lit(0).alias("part"), "features", F.transform(cells, lambda c: c["medians"]).alias("medians"), "intercept", "coefs", F.lit(1.0).alias("scale"), F.lit(None).cast("binary").alias("packed"), F.lit(0).cast("long").alias("n_rounds"), F.lit(0).cast("long").alias("best_round"))
+        return stage_table(full, "station-model")
 
     def rows_of(station: str | None, names: list[str], medians: list[float]) -> DataFrame:
         cells = vector_to_array("features")
@@ -349,13 +353,15 @@ def fit_stations(df: DataFrame, vectors: DataFrame, features: Sequence[str], tar
             made = spark.createDataFrame([(0, 1.0, bytearray(model.packed()), model.n_rounds, model.best_round)], "part int, scale double, packed binary, n_rounds long, best_round long")
         lists = F.lit(list(row["features"])).alias("features"), F.lit([float(m) for m in row["medians"]]).alias("medians")
         full = made.select(F.lit(row["station"]).cast("string").alias("station"), F.lit(target).alias("target"), F.lit(name).alias("model"), "part", *lists, F.lit(0.0).alias("intercept"), F.lit(None).cast("array<double>").alias("coefs"), "scale", "packed", "n_rounds", "best_round")
-        return stage_table(full, "station-model")
+        return full if name.startswith("rf") else stage_table(full, "station-model")
 
     grown = [m for m in learners if not m.startswith("ridge")]
+    jobs = [lambda m=m: linear(m) for m in learners if m not in grown]
     if grown:
         stations = own.orderBy("station").collect()  # one row a station
-        parts += tr.concurrently(spark, [lambda r=r, m=m: fit(r, m) for r in stations for m in grown], workers)
-    return stage_table(reduce(DataFrame.unionByName, parts), "registry")
+        jobs += [lambda r=r, m=m: fit(r, m) for r in stations for m in grown]
+    parts = tr.concurrently(spark, jobs, workers)
+    return stage_table(reduce(DataFrame.unionByName, parts), "registry", rows_a_file=MODELS_A_FILE)
 
 
 def score_registry(vectors: DataFrame, registry: DataFrame, features: Sequence[str], targets: Sequence[str], most: int = tr.PASS_BYTES) -> DataFrame:
@@ -365,41 +371,50 @@ def score_registry(vectors: DataFrame, registry: DataFrame, features: Sequence[s
     larger registry takes several, whose parts are added up by row. A station null in the registry is a pooled model, used
     for rows of every station. Rows without the target or without a model are left out.
     """
-    places, key = {f: i for i, f in enumerate(features)}, ["station", "target", "model", "part"]
+    spark, places, key = registry.sparkSession, {f: i for i, f in enumerate(features)}, ["station", "target", "model", "part"]
     groups = tr.passes(registry, key, most)
+    if len(groups) > 1:  # each pass reads its own files
+        numbered = spark.createDataFrame([(*k, i) for i, g in enumerate(groups) for k in g], "station string, target string, model string, part int, pass int")
+        same = reduce(lambda a, b: a & b, [registry[c].eqNullSafe(numbered[c]) for c in key])
+        registry = stage_table(registry.join(F.broadcast(numbered), same).select(*[registry[c] for c in registry.columns], "pass"), "passes", ("pass",), MODELS_A_FILE)
     schema = "split string, station string, ts timestamp_ntz, target string, model string, y_true double, y_pred double"
 
-    def scan(group: list) -> DataFrame:
-        wanted = registry.sparkSession.createDataFrame(group, "station string, target string, model string, part int")
-        same = reduce(lambda a, b: a & b, [registry[c].eqNullSafe(wanted[c]) for c in key])
-        shared = registry.sparkSession.sparkContext.broadcast([r.asDict() for r in registry.join(wanted, same, "left_semi").collect()])
+    def scan(i: int) -> DataFrame:
+        own_models = registry.where(F.col("pass") == i) if len(groups) > 1 else registry
+        held = sorted((r.asDict() for r in own_models.collect()), key=lambda r: [(r[c] is not None, r[c]) for c in key])
+        shared = spark.sparkContext.broadcast(held)
 
         def run(batches):
-            models = [(r, [places[f] for f in r["features"]], np.array(r["medians"]), tr.Ensemble.unpacked(bytes(r["packed"])) if r["packed"] is not None else None) for r in shared.value]
+            models: dict[tuple, list] = {}
+            for r in shared.value:
+                trees = tr.Ensemble.unpacked(bytes(r["packed"])) if r["packed"] is not None else None
+                models.setdefault(tuple(r[c] for c in key[:3]), []).append((r, [places[f] for f in r["features"]], np.array(r["medians"]), trees))
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = batch.column("_x").flatten().to_numpy().reshape(batch.num_rows, -1)
                 station = np.array(batch.column("station").to_pylist(), object)
-                for r, at, medians, trees in models:
-                    truth = batch.column(f"_y{targets.index(r['target'])}")
-                    pick = np.flatnonzero(((station == r["station"]) | (r["station"] is None)) & truth.is_valid().to_numpy(zero_copy_only=False))
+                for (of, target, name), parts in models.items():
+                    truth = batch.column(f"_y{targets.index(target)}")
+                    pick = np.flatnonzero(((station == of) | (of is None)) & truth.is_valid().to_numpy(zero_copy_only=False))
                     if not len(pick):
                         continue
-                    own = x[np.ix_(pick, at)]
-                    own = np.where(np.isnan(own), medians, own)
-                    told = r["scale"] * (trees.predict(own) if trees is not None else r["intercept"] + own @ np.array(r["coefs"]))
+                    told = np.zeros(len(pick))
+                    for r, at, medians, trees in parts:
+                        own = x[np.ix_(pick, at)]
+                        own = np.where(np.isnan(own), medians, own)
+                        told += r["scale"] * (trees.predict(own) if trees is not None else r["intercept"] + own @ np.array(r["coefs"]))
                     rows = batch.take(pa.array(pick))
-                    named = [pa.array([r[c]] * len(pick)) for c in ("target", "model")]
-                    columns = [rows.column("split"), rows.column("station"), rows.column("ts"), *named, rows.column(f"_y{targets.index(r['target'])}"), pa.array(told)]
+                    named = [pa.array([c] * len(pick)) for c in (target, name)]
+                    columns = [rows.column("split"), rows.column("station"), rows.column("ts"), *named, rows.column(f"_y{targets.index(target)}"), pa.array(told)]
                     yield pa.RecordBatch.from_arrays(columns, names=["split", "station", "ts", "target", "model", "y_true", "y_pred"])
 
         cells = [F.col(t).cast("double").alias(f"_y{i}") for i, t in enumerate(targets)]
         return vectors.select("split", "station", "ts", *cells, vector_to_array("features").alias("_x")).mapInArrow(run, schema)
 
-    scored = reduce(DataFrame.unionByName, [scan(g) for g in groups])
-    # Parts of one model meet by row; a model of one part needs no shuffle.
-    if registry.groupBy(*key[:3]).count().where("count > 1").isEmpty():
+    scored = reduce(DataFrame.unionByName, [scan(i) for i in range(len(groups))])
+    # Passes of one model meet by row; models of one pass need no shuffle.
+    if sum(len({k[:3] for k in g}) for g in groups) == len({k[:3] for g in groups for k in g}):
         return scored
     return scored.groupBy("split", "station", "ts", "target", "model").agg(F.first("y_true").alias("y_true"), F.sum("y_pred").alias("y_pred"))
 

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from gridloom.session import scratch_path, stage_table
 
-#: Packed trees that one pass over the rows sends to the executors, in bytes.
-PASS_BYTES = 64 << 20
+#: Packed trees that one pass over the rows sends to the executors, in bytes; opened they take about three times as much.
+PASS_BYTES = 32 << 20
 
 
 @dataclass
@@ -51,8 +51,6 @@ class Ensemble:
     best_round: int = 0
     val_errors: list[float] = field(default_factory=list)
 
-    ARRAYS = ("weight", "root", "feature", "threshold", "left", "right", "value", "gap")
-
     def __post_init__(self):
         if self.gap is None:
             self.gap = np.zeros(len(self.feature), bool)
@@ -70,14 +68,29 @@ class Ensemble:
         return out
 
     def packed(self) -> bytes:
-        file = io.BytesIO()
-        np.savez(file, base=self.base, **{a: getattr(self, a) for a in self.ARRAYS})
+        """All that ``predict`` needs: numbers that come often once, children by their distance, nothing of what inner nodes would say."""
+        leaf, place, file = self.feature < 0, np.arange(len(self.feature)), io.BytesIO()
+        left, right = np.where(leaf, 0, self.left - place), np.where(leaf, 0, self.right - self.left)
+        limits, limit = np.unique(np.where(leaf, 0.0, self.threshold), return_inverse=True)
+        values, value = np.unique(np.where(leaf, self.value, 0.0), return_inverse=True)
+        small = {"feature": self.feature, "left": left, "right": right, "limit": limit, "value": value}
+        np.savez(file, base=self.base, weight=self.weight, root=self.root, limits=limits, values=values, gap=np.packbits(self.gap.astype(bool)), **{k: _narrow(v) for k, v in small.items()})
         return file.getvalue()
 
     @classmethod
     def unpacked(cls, content: bytes) -> Ensemble:
-        held = np.load(io.BytesIO(content))
-        return cls(float(held["base"]), *(held[a] for a in cls.ARRAYS))
+        held = dict(np.load(io.BytesIO(content)))
+        feature = held["feature"].astype(np.int32)
+        left = np.arange(len(feature), dtype=np.int32) + held["left"].astype(np.int32)
+        sons = (np.where(feature < 0, -1, x).astype(np.int32) for x in (left, left + held["right"].astype(np.int32)))
+        gap = np.unpackbits(held["gap"], count=len(feature)).astype(bool)
+        return cls(float(held["base"]), held["weight"], held["root"], feature, held["limits"][held["limit"]], *sons, held["values"][held["value"]], gap)
+
+
+def _narrow(whole: np.ndarray) -> np.ndarray:
+    """Whole numbers in the fewest bytes that hold them all."""
+    ends = [int(whole.min()), int(whole.max())] if len(whole) else [0]
+    return whole.astype(np.result_type(*(np.min_scalar_type(e) for e in ends)))
 
 
 def join_trees(parts: Sequence[Ensemble], base: float, weights: Sequence[float]) -> Ensemble:
@@ -194,16 +207,21 @@ def _some_features(rng: np.random.Generator, nodes: int, width: int, share: floa
 
 def _sums_by_bin(at: np.ndarray, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, features: np.ndarray, size: int) -> np.ndarray:
     """Sums of labels and weights (kind, node, place in ``features``, bin) of rows that lie in nodes ``at``."""
-    nodes, few = features.shape
-    cell = np.minimum(np.take_along_axis(bins, features[at], 1), size - 1).astype(np.intp)
-    cell += (at[:, None] * few + np.arange(few)) * size
-    sums = (np.bincount(cell.ravel(), np.repeat(x, few), nodes * few * size) for x in (weight * label, weight))
+    return _sums_of(at, np.minimum(np.take_along_axis(bins, features[at], 1), size - 1), label, weight, len(features), size)
+
+
+def _sums_of(at: np.ndarray, cell: np.ndarray, label: np.ndarray, weight: np.ndarray, nodes: int, size: int) -> np.ndarray:
+    """The same of rows whose bins by place are ``cell``."""
+    few = cell.shape[1]
+    cell = (cell + np.arange(0, nodes * few * size, size).reshape(nodes, few)[at]).ravel()
+    sums = (np.bincount(cell, np.repeat(x, few), nodes * few * size) for x in (weight * label, weight))
     return np.array(list(sums)).reshape(2, nodes, few, size)
 
 
-def _best_splits(h: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def _best_splits(h: np.ndarray, least: int, total: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For each node of sums ``h``: whether anything is gained, the best (place, cut), the first on ties, and sums of the node and of its left side."""
-    total, left, rows = h[:, :, 0].sum(2).T, h[..., :-1].cumsum(3), np.arange(h.shape[1])
+    total = h[:, :, 0].sum(2).T if total is None else total
+    left, rows = h[..., :-1].cumsum(3), np.arange(h.shape[1])
     g, n = left
     others = total[:, 1, None, None] - n
     score = total[:, 0, None, None] - g
@@ -217,21 +235,40 @@ def _best_splits(h: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     return score[rows, best] - whole > 1e-9 * (1 + whole), place, cut, total, left[:, rows, place, cut].T
 
 
+def _best_of_few(h: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """The same for nodes of few rows, from the bins that have rows only: a cut behind an empty bin is the one before it."""
+    shape, used = h.shape[1:3], h[1] > 0
+    held = np.count_nonzero(used, axis=2).ravel()
+    most, cell = max(2, int(held.max())), np.flatnonzero(used)
+    to = np.arange(len(cell)) + np.repeat(np.arange(len(held)) * most - (np.cumsum(held) - held), held)
+    few, cuts = np.zeros((2, len(held) * most)), np.zeros(len(held) * most, np.intp)
+    few[0, to], few[1, to], cuts[to] = h[0].ravel()[cell], h[1].ravel()[cell], cell % h.shape[3]
+    ok, place, cut, total, left = _best_splits(few.reshape(2, *shape, most), least, h[:, :, 0].sum(2).T)
+    return ok, place, cuts.reshape(*shape, most)[np.arange(shape[0]), place, cut], total, left
+
+
 def complete(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, depth: int, least: int, share: float, size: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
     """(feature, cut, left, right, value) of the nodes of a tree grown to its end over few rows; leaves have feature -1."""
-    width = bins.shape[1]
+    width, cells = bins.shape[1], np.minimum(bins, size - 1).ravel()
+    first = np.arange(0, len(cells), width)  # of each row; rows that are still open change places, cells never
     feature, cut, left, value = (np.full(1, -1), np.zeros(1, int), np.full(1, -1), np.full(1, np.average(label, weights=weight)))
     at, nodes = np.zeros(len(label), int), np.zeros(1, int)  # each row's place among the open nodes
     for _ in range(depth):
-        order = np.argsort(at, kind="stable")
-        bins, label, weight, at = bins[order], label[order], weight[order], at[order]
-        found = []
+        # Nodes of like size are compared side by side: each takes as long as the largest beside it.
+        held, features = np.bincount(at, minlength=len(nodes)), _some_features(rng, len(nodes), width, share)
+        by_size = np.argsort(held, kind="stable")
+        rank = np.argsort(by_size)
+        order = np.argsort(rank[at], kind="stable")
+        first, label, weight, at = first[order], label[order], weight[order], at[order]
+        ends, found = np.cumsum([0, *held[by_size]]), []
         for s in range(0, len(nodes), COMPARED):
-            here = slice(*np.searchsorted(at, [s, s + COMPARED]))
-            features = _some_features(rng, min(COMPARED, len(nodes) - s), width, share)
-            ok, place, k, total, side = _best_splits(_sums_by_bin(at[here] - s, bins[here], label[here], weight[here], features, size), least)
-            found.append((ok, features[np.arange(len(ok)), place], k, side, total - side))
-        ok, by, k, one, other = (np.concatenate(x) for x in zip(*found, strict=True))
+            group = by_size[s : s + COMPARED]
+            here, own = slice(ends[s], ends[s + len(group)]), features[group]
+            node = rank[at[here]] - s
+            h = _sums_of(node, cells[first[here, None] + own[node]], label[here], weight[here], len(group), size)
+            ok, place, k, total, side = (_best_of_few if held[group[-1]] < size / 2 else _best_splits)(h, least)
+            found.append((ok, own[np.arange(len(ok)), place], k, side, total - side))
+        ok, by, k, one, other = (np.concatenate(x)[rank] for x in zip(*found, strict=True))
         if not ok.any():
             break
         sons = np.stack([one[ok], other[ok]], 1).reshape(-1, 2)  # left and right of each split node in turn
@@ -240,14 +277,14 @@ def complete(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, depth: int
         feature, cut, left, value = (np.append(x, y) for x, y in ((feature, np.full(len(sons), -1)), (cut, np.zeros(len(sons), int)), (left, np.full(len(sons), -1)), (value, sons[:, 0] / sons[:, 1])))
         # A son of fewer rows than two leaves need, or whose labels are all the same, stays a leaf.
         live = ok[at]
-        bins, label, weight, at = bins[live], label[live], weight[live], at[live]
-        at = 2 * (np.cumsum(ok) - 1)[at] + (bins[np.arange(len(at)), by[at]] > k[at])
+        first, label, weight, at = first[live], label[live], weight[live], at[live]
+        at = 2 * (np.cumsum(ok) - 1)[at] + (cells[first + by[at]] > k[at])
         low, high = np.full(len(sons), np.inf), np.full(len(sons), -np.inf)
         np.minimum.at(low, at, label)
         np.maximum.at(high, at, label)
         open_ = (sons[:, 1] >= 2 * max(least, 1)) & (high > low)
         live, nodes = open_[at], made[open_]
-        bins, label, weight, at = bins[live], label[live], weight[live], (np.cumsum(open_) - 1)[at[live]]
+        first, label, weight, at = first[live], label[live], weight[live], (np.cumsum(open_) - 1)[at[live]]
         if not len(nodes):
             break
     return feature, cut, left, np.where(left < 0, -1, left + 1), value

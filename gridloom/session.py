@@ -63,14 +63,15 @@ def drop_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def stage_table(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), rows_a_file: int = 0) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     Cuts the lineage for frames that several jobs read (fits, sweeps), survives the loss of an executor and lets
-    each reader prune columns and push filters.
+    each reader prune columns and push filters. Rows of megabytes need few ``rows_a_file``: a reader holds thousands
+    of rows of a file at once.
     """
     path = scratch_path(df.sparkSession, name)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("maxRecordsPerFile", rows_a_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

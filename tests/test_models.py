@@ -625,3 +625,51 @@ def test_quantile_shares_are_literals_once(spark, monkeypatch):
     assert len(made) < 10 and all(set(c) <= set(range(8)) for c in cuts)
     few = tr.cut_points(vectors, 2)
     assert [c.tolist() for c in few] == [[float(np.sort(v)[(len(v) + 1) // 2 - 1])] for v in x[np.arange(400) % 4 != 3].T]
+
+
+def test_packed_trees_are_small():
+    """A node of a forest takes a dozen bytes, not forty, and says the same when it is opened again."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 30, (3000, 5)).astype(np.uint8)
+    y, parts = rng.normal(size=3000).round(2), []
+    for i in range(3):
+        feature, cut, left, right, value = tr.complete(x, y, np.ones(3000), 20, 1, 0.5, 33, np.random.default_rng(i))
+        parts.append(tr.Ensemble(0.0, np.ones(1), np.zeros(1, np.int64), feature.astype(np.int32), cut + 0.5, left.astype(np.int32), right.astype(np.int32), value))
+    for n in (1, 3):
+        trees = tr.join_trees(parts[:n], 1.5, np.full(n, 1 / n))
+        trees.gap[::7] = True
+        again = tr.Ensemble.unpacked(trees.packed())
+        assert len(trees.packed()) < 14 * len(trees.feature) + 3000 and (again.gap == trees.gap).all()
+        holes = np.where(rng.random(x.shape) < 0.1, np.nan, x.astype(float))
+        assert again.predict(holes).tolist() == trees.predict(holes).tolist()
+
+
+def test_nodes_of_few_rows_are_split_alike():
+    """Bins without rows change nothing: the same split, sums and order of ties, to the last digit."""
+    rng, seen = np.random.default_rng(6), set()
+    for rows, least in ((1, 1), (3, 1), (9, 1), (16, 3)):
+        at = np.repeat(np.arange(20), rng.integers(1, rows + 1, 20))
+        bins, weight = rng.integers(0, 33, (len(at), 4)).astype(np.uint8), rng.integers(1, 4, len(at)).astype(float)
+        bins[:, 3] = bins[:, 1]  # two features that always tie
+        features = np.tile(np.arange(4), (20, 1))
+        h = tr._sums_by_bin(at, bins, rng.normal(size=len(at)), weight, features, 33)
+        want, got = tr._best_splits(h, least), tr._best_of_few(h, least)
+        ok = want[0]
+        seen |= set(ok.tolist())
+        assert (got[0] == ok).all() and (got[3] == want[3]).all()
+        assert all((g[ok] == w[ok]).all() for g, w in zip(got, want, strict=True))
+    assert seen == {True, False}
+
+
+def test_registry_is_read_in_small_files_and_added_up_in_the_scan(spark):
+    """Parts of a model that fit in one pass need no shuffle of their predictions; no file of models holds many of them."""
+    df = frame(spark, 200)
+    vectors = mo.assemble_targets(df, X, ["y"])
+    registry = mo.fit_stations(df, vectors, X, "y", {"rf": {"numTrees": 12, "maxDepth": 3, "part_trees": 1}})
+    assert registry.count() == 24
+    assert registry.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= mo.MODELS_A_FILE
+    scored = mo.score_registry(vectors, registry, X, ["y"])
+    assert "Aggregate" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["station"], r["ts"]): r["y_pred"] for r in scored.collect()}
+    passes = mo.score_registry(vectors, registry, X, ["y"], 2000)  # some parts of a model in a pass
+    assert {(r["station"], r["ts"]): r["y_pred"] for r in passes.collect()} == pytest.approx(got) and len(got) == 200
